@@ -5,18 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import chat_format, decontaminate, language_id, license_scan, packing, secrets, simhash, token_files, topk_search, toxicity
+from .common import new_path, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import license_scan
-
     return license_scan.report(table(spark, sf_dir, "documents"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import decontaminate
-
     found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
     return found.select(
@@ -26,10 +23,45 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import simhash
-
     return simhash.report(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_simhash)}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.report(table(spark, sf_dir, "embeddings"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.report(rows.unionByName(chat_format.control_conversation(spark)))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.report(table(spark, sf_dir, "documents"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), path)
+    return token_files.digest(spark, path)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_decontamination, op3_simhash, op4_toxicity, op5_topk_search,
+        op6_chat_format, op7_packing, op8_secrets, op9_language_id, op10_token_files,
+    )
+}
 ORACLES: dict[str, str] = {}
