@@ -26,13 +26,17 @@ from .common import id_crc
 TARGETS = frozenset("you your yours yourself he she they them him her these those people everyone tú usted ustedes vosotros du dich dir ihr euch sie tu toi vous eux".split())
 NEGATIONS = frozenset("not no never none without isn't aren't wasn't don't doesn't nicht kein keine nie niemals ne pas jamais aucun sans nunca jamás sin ni".split())
 REPORTS = frozenset("said says saying told claimed claims quoted wrote reported called alleged dijo dice sagte sagt behauptete dit disait prétend".split())
-THREATS = frozenset("kill hurt destroy shoot stab burn beat hang die murder matar morir töten sterben umbringen tuer mourir détruire".split())
+THREATS = frozenset("kill hurt destroy shoot stab burn beat hang murder matar morir töten sterben umbringen tuer mourir détruire".split())
 
 #: Bounds of the fit: labelled documents in expectation, entries of the learned lexicon.
 TRAINING_DOCS = 12_000
 LEXICON = 20_000
-LEAST_DOCS = 4
-STEMS = (4, 5, 6)
+LEAST_DOCS = 3
+STEMS = (3, 4, 5, 6, 7, 8)
+#: Least weight of a learned entry, weight of a given threat, and from which score a clause counts as strong.
+LEAST_WEIGHT = 2.0
+THREAT_WEIGHT = 1.0
+STRONG = 3.0
 THRESHOLD = 0.7
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n\"“”«»]")
 _STOPS = frozenset(".!?;:\n")
@@ -107,13 +111,11 @@ class Model:
     def symbol(self, word: str) -> tuple[str, float]:
         got = self._memo.get(word)
         if got is None:
-            weight = self.words.get(word)
-            if weight is None:
-                weight = max((self.stems[word[:n]] for n in STEMS if word[:n] in self.stems and len(word) >= n), default=None)
-            if weight is not None:
+            weight = max([self.words.get(word, 0.0), *[self.stems.get(word[:n], 0.0) for n in STEMS if len(word) > n]])
+            if weight:
                 got = "L", weight
             elif word in THREATS:
-                got = "L", 1.0
+                got = "L", THREAT_WEIGHT
             elif word in NEGATIONS:
                 got = "N", 0.0
             elif word in TARGETS:
@@ -142,15 +144,16 @@ class Model:
             yield found
 
     def features(self, text: str | None) -> np.ndarray:
-        """Per kind of match, the largest and the log of one plus the summed clause weight."""
-        out = np.zeros(2 * len(OUTPUTS))
-        total = np.zeros(len(OUTPUTS))
+        """Of the clause scores (sums of weights): the two largest, log(1 + sum), log(1 + number of strong ones); and
+        log(1 + sum of weights) of directed, negated and reported matches."""
+        scores, kinds = [], [0.0] * len(OUTPUTS)
         for clause in self.clauses(text):
+            scores.append(sum(weight for _, weight in clause))
             for kind, weight in clause:
-                out[kind] = max(out[kind], weight)
-                total[kind] += weight
-        out[len(OUTPUTS) :] = np.log1p(total)
-        return out
+                kinds[kind] += weight
+        first, second = (sorted(scores, reverse=True) + [0.0, 0.0])[:2]
+        strong = sum(x >= STRONG for x in scores)
+        return np.array([first, second, math.log1p(sum(scores)), math.log1p(strong), *map(math.log1p, kinds[1:])])
 
     def score(self, text: str | None) -> float:
         if self.coefficients is None:
@@ -159,19 +162,35 @@ class Model:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 60) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; features only raise the score (their weights are kept >= 0)."""
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 200) -> np.ndarray:
+    """Ridge logistic regression by Newton steps, halved until they help. What raises a score by its nature (all but
+    the last two features) keeps a weight >= 0."""
     x = np.column_stack((np.ones(len(x)), x))
-    w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], penalty)
     ridge[0] = 1e-3
+    held = slice(1, x.shape[1] - 2)
+
+    def loss(w):
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * (ridge * w * w).sum())
+
+    w = np.zeros(x.shape[1])
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge) + 1e-9 * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
-        w = w + step
-        w[1:] = np.maximum(w[1:], 0.0)
-        if np.abs(step).max() < 1e-6:
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        step, size = np.linalg.solve(h, x.T @ (y - p) - ridge * w), 1.0
+        while size > 1e-6:
+            trial = w + size * step
+            trial[held] = np.maximum(trial[held], 0.0)
+            if (then := loss(trial)) < now:
+                break
+            size /= 2
+        else:
+            break
+        done = now - then < 1e-7 * (1 + now)
+        w, now = trial, then
+        if done:
             break
     return w
 
@@ -215,8 +234,9 @@ def fit(docs: DataFrame, labels: DataFrame, training_docs: int = TRAINING_DOCS,
     if total is None or not total["bad"] or total["bad"] == total["n"]:
         return Model(prior=0.0 if total is None or not total["bad"] else 1.0)
     base = total["bad"] / total["n"]
-    odds = F.log((F.col("bad") + 0.5 * base) / (F.col("n") - F.col("bad") + 0.5 * (1 - base))) - math.log(base / (1 - base))
-    ranked = counted.where((F.col("entry") != "#") & (F.col("bad") >= LEAST_DOCS)).withColumn("weight", odds).where(F.col("weight") >= 2.5)
+    bad, good = F.col("bad") + 0.5, F.col("n") - F.col("bad") + 0.5
+    odds = F.log(bad / good) - math.log(base / (1 - base)) - F.sqrt(1 / bad + 1 / good)  # less one standard error
+    ranked = counted.where((F.col("entry") != "#") & (F.col("bad") >= LEAST_DOCS)).withColumn("weight", odds).where(F.col("weight") >= LEAST_WEIGHT)
     model = Model()
     for r in ranked.orderBy(F.desc("weight"), "entry").limit(lexicon).collect():
         (model.words if r["entry"][0] == "w" else model.stems)[r["entry"][1:]] = r["weight"]
