@@ -16,12 +16,13 @@ Tables = Mapping[str, DataFrame]
 
 @dataclass(frozen=True)
 class Rule:
-    """A check: which rows of a table break it, and the message they get (text, or a column for values in it)."""
+    """A check: which rows of a table break it, and the message they get (text, or SQL for one with values in it)."""
 
     table: str
     key: str
     broken: Callable[[DataFrame, Tables], DataFrame]
-    message: str | Column
+    message: str
+    is_sql: bool = False
 
 
 def where(condition: str) -> Callable[[DataFrame, Tables], DataFrame]:
@@ -39,7 +40,7 @@ def run_rules(tables: Tables, rules: Sequence[Rule]) -> DataFrame:
     parts = [
         rule.broken(tables[rule.table], tables).select(
             F.lit(rule.table).alias("table_name"), F.col(rule.key).cast("long").alias("id"),
-            (rule.message if isinstance(rule.message, Column) else F.lit(rule.message)).alias("error"),
+            (F.expr(rule.message) if rule.is_sql else F.lit(rule.message)).alias("error"),
         )
         for rule in rules
     ]

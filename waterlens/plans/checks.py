@@ -18,7 +18,7 @@ RULES = [
     rules.Rule("orders", "o_orderkey", rules.where("abs(o_totalprice - 1000) < 500"), "order price near 1000"),
     rules.Rule("orders", "o_orderkey", rules.where("o_orderstatus = 'F' AND o_orderdate >= timestamp'1997-01-01'"), "closed order in open period"),
     rules.Rule("lineitem", "l_orderkey", rules.where("l_discount > 0.09 AND l_tax > 0.07"), "line with high discount and tax"),
-    rules.Rule("nation", "n_nationkey", rules.where("n_nationkey = n_regionkey"), F.concat(F.lit("nation "), F.col("n_name"), F.lit(" equals its region"))),
+    rules.Rule("nation", "n_nationkey", rules.where("n_nationkey = n_regionkey"), "concat('nation ', n_name, ' equals its region')", is_sql=True),
 ]
 
 
