@@ -31,7 +31,7 @@ LEAST_NAME = 3.0
 LEAST_LITERAL = 8
 LEAST_BITS = 2.5
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-_PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|%.*%|your[-_ ].*|change[-_]?me.*|example.*|none|null|true|false|todo)$")
+_PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\[.*\]|\$\{.*\}|%.*%|your[-_ ].*|change[-_]?me.*|example.*|none|null|true|false|todo)$")
 #: name, separator and the first operand; source (=, :=, =>), configuration (: and =) and JSON ("name": "value").
 _PAIR = re.compile(r"""(?:(?P<q>["'])(?P<qname>[A-Za-z_][\w.\-]{0,63})(?P=q)|(?<![\w.\-])(?P<name>[A-Za-z_][\w.\-]{0,63}))[ \t]{0,8}(?::=|=>|[:=])(?!=)[ \t]{0,8}""", re.ASCII)
 _OPERAND = re.compile(r"""(?P<q>["'`])(?P<text>(?:(?!(?P=q))[^\\\n]|\\.){0,4096})(?P=q)|(?P<bare>[A-Za-z0-9+/_.=$\-]{1,4096})""", re.ASCII)

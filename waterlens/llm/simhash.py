@@ -179,6 +179,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     All columns stay. Repeated rows of that doc_id become one. Rows with a null doc_id cannot be named, so they stay.
     """
-    kept = report(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    kept = report(docs).where("doc_id = component_id").select("doc_id").distinct()
+    rows = docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates(["doc_id"])
     return rows.unionByName(docs.where("doc_id IS NULL"))
