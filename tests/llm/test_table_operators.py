@@ -99,13 +99,40 @@ def test_tree_search_equals_a_scan():
         assert found == {(a, b) for a in range(len(values)) for b in range(len(values)) if int(values[a] ^ values[b]).bit_count() <= radius}
 
 
+def plain_similarities(texts):
+    """Jaccard similarity of five-word shingles for every pair that shares one."""
+    sets = {}
+    for doc, text in texts.items():
+        words = (text or "").encode().lower().split()
+        sets[doc] = {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    ids = sorted(sets)
+    return {(a, b): len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) for k, b in enumerate(ids) for a in ids[:k]}
+
+
+def test_near_copies_group_and_others_do_not(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) < 4000")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    group = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(docs).collect()}
+    assert group.keys() == texts.keys()
+    similar = plain_similarities(texts)
+    near = [group[a] == group[b] for (a, b), j in similar.items() if j >= 0.8]
+    assert len(near) > 10 and sum(near) / len(near) > 0.95
+    best = defaultdict(float)
+    for (a, b), j in similar.items():
+        best[a], best[b] = max(best[a], j), max(best[b], j)
+    sizes = Counter(group.values())
+    assert all(sizes[group[d]] == 1 for d in texts if best[d] < 0.3 and texts[d].split())
+    assert all(group[d] == min(k for k in texts if group[k] == group[d]) for d in list(texts)[::25])
+
+
 def test_one_document_of_each_group_stays(spark, docs):
     given = odd(spark, docs)
     kept = simhash.deduplicate(given)
     assert kept.columns == given.columns
     found = Counter(r["doc_id"] for r in kept.collect())
-    groups = {r["component_id"] for r in simhash.report(given).where("doc_id IS NOT NULL").collect()}
+    groups = {r["group_id"] for r in simhash.similar_groups(given).collect()}
     assert {k for k in found if k is not None} == groups and all(n == 1 for k, n in found.items() if k is not None) and found[None] == 2
+    assert simhash.deduplicate(given.where("false")).count() == 0
 
 
 # -- search
@@ -290,7 +317,7 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert all(f.columns == docs.columns for f in frames[:-1])
     ids = [{r["doc_id"] for r in f.select("doc_id").collect()} for f in frames]
     assert ids[0] == {r["doc_id"] for r in docs.collect()} | {902}
-    assert ids[1] == {r["component_id"] for r in simhash.report(frames[0]).collect()}
+    assert ids[1] == {r["group_id"] for r in simhash.similar_groups(frames[0]).collect()}
     leaked = {r["doc_id"] for r in queries.op2_decontamination(spark, SMALL).where("contaminated").collect()}
     assert ids[2] == ids[1] - leaked and ids[3] == ids[2] == ids[4]
     assert {r["doc_id"]: r["text"] for r in frames[3].collect()}[902] == "[SECRET]"

@@ -1,41 +1,13 @@
-"""Small helpers shared by the training-data operators: shared folder, lineage cuts and table reads."""
+"""What the training-data operators share: table reads, the shared folder, lineage cuts and id hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from waterlens.session import cut, new_path, shared_dir, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table `name` of a data folder; the path may be any that Spark can read."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="waterlens-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """`df` materialised in the shared folder, so later steps neither recompute it nor depend on one executor."""
-    base = shared_dir(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(base)
-    return df.checkpoint(eager=True)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+__all__ = ["cut", "id_crc", "new_path", "shared_dir", "table"]
 
 
 def id_crc(column: str) -> Column:

@@ -1,13 +1,17 @@
 """SimHash near-duplicates: 64-bit fingerprints, BK-tree search within shards, components by star contraction.
 
-Fingerprints within radius 2 agree in at least two of four 16-bit blocks, so each distinct fingerprint goes to the six
-shards of its block pairs and every link is found inside a shard. A shard's BK-tree is built and searched in the task
+`report` links 64-bit fingerprints of 3-word shingles at radius 2: these agree in at least two of four 16-bit blocks, so each distinct fingerprint goes to the six
+shards of its block pairs and every link is found inside a shard. `deduplicate` links 128-bit fingerprints of 5-word
+shingles at the radius that a similarity of 0.8 gives; its shards are samples of the bits of a second fingerprint, of the
+distinct words, in as many tables as the wanted recall takes. A shard's BK-tree is built and searched in the task
 that holds the shard: the trees of all documents have no size bound, so they are dealt by key and not broadcast.
 A shard returns the star forest of its links (one edge per member), never all pairs.
 """
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -18,27 +22,55 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waterlens.operators.graph import components
+
 from .common import cut
 
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
 _BLOCK = 16
+#: For `deduplicate`: chance to meet in a shard for a pair at the wanted similarity, and that such a pair agrees in a bit.
+RECALL = 0.97
+AGREE = 0.9
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint of a text, unsigned; zero without words."""
-    tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not tokens:
-        return 0
-    runs = [tokens] if len(tokens) < shingle else zip(*(tokens[k:] for k in range(shingle)), strict=False)
-    digests = [xxhash.xxh64_digest(b" ".join(run), SEED) for run in runs]
-    ones = np.zeros(64, dtype=np.int64)
+def _words(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def _shingles(tokens: list[bytes], size: int) -> Iterator[bytes]:
+    if len(tokens) < size:
+        return iter([b" ".join(tokens)] if tokens else [])
+    return map(b" ".join, zip(*(tokens[k:] for k in range(size)), strict=False))
+
+
+def _majority(digests: list[bytes]) -> bytes:
+    """The bits that more than half of the digests set, most significant first."""
+    bits = 8 * len(digests[0])
+    ones = np.zeros(bits, dtype=np.int64)
     for k in range(0, len(digests), _CHUNK):
         part = digests[k : k + _CHUNK]
-        ones += np.unpackbits(np.frombuffer(b"".join(part), dtype=np.uint8)).reshape(len(part), 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(digests)).tobytes(), "big")
+        ones += np.unpackbits(np.frombuffer(b"".join(part), dtype=np.uint8)).reshape(len(part), bits).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(digests)).tobytes()
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of a text, unsigned; zero without words."""
+    digests = [xxhash.xxh64_digest(run, SEED) for run in _shingles(_words(text), shingle)]
+    return int.from_bytes(_majority(digests), "big") if digests else 0
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> tuple[int, int, int]:
+    """Upper and lower half of the 128-bit fingerprint of a text's shingles, and the 64-bit one of its distinct words;
+    zeros without words."""
+    tokens = _words(text)
+    if not tokens:
+        return 0, 0, 0
+    wide = _majority([xxhash.xxh3_128_digest(run, SEED) for run in _shingles(tokens, shingle)])
+    words = _majority([xxhash.xxh64_digest(w, SEED) for w in set(tokens)])
+    return int.from_bytes(wide[:8], "big"), int.from_bytes(wide[8:], "big"), int.from_bytes(words, "big")
 
 
 def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -47,12 +79,12 @@ def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 class BKTree:
-    """Values by Hamming distance: a node's children are keyed by their distance to it."""
+    """Values (rows of 64-bit words) by Hamming distance: a node's children are keyed by their distance to it."""
 
     def __init__(self, values: np.ndarray):
-        self.values = values
+        self.values = values.reshape(len(values), -1)
         self.children: list[dict[int, int]] = [{} for _ in values]
-        plain = values.tolist()
+        plain = [int.from_bytes(v.tobytes(), "little") for v in self.values]
         for k in range(1, len(plain)):
             value, at = plain[k], 0
             while (child := self.children[at].get(d := (plain[at] ^ value).bit_count())) is not None:
@@ -62,10 +94,11 @@ class BKTree:
     def within(self, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
         """(node, positions of queries within the radius). All queries descend together, each along the edges whose
         distance differs from its own by no more than the radius."""
+        queries = queries.reshape(len(queries), -1)
         stack = [(0, np.arange(len(queries)))] if len(self.values) else []
         while stack:
             at, rows = stack.pop()
-            distance = np.bitwise_count(queries[rows] ^ self.values[at]).astype(np.int64)
+            distance = np.bitwise_count(queries[rows] ^ self.values[at]).sum(axis=1, dtype=np.int64)
             near = rows[distance <= radius]
             if len(near):
                 yield at, near
@@ -76,40 +109,43 @@ class BKTree:
 
 
 def star_forest(values: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, int]]:
-    """Edges (member, least member) of the components that links within the radius make among distinct values."""
+    """Edges (position of a member, of the least member) of the components that links within the radius make."""
     label = np.arange(len(values))
     for node, near in BKTree(values).within(values, radius):
         labels = np.unique(np.append(label[near], label[node]))
         if len(labels) > 1:
             label[np.isin(label, labels[1:])] = labels[0]
     for k in np.flatnonzero(label != np.arange(len(values))):
-        yield int(values[k]), int(values[label[k]])
-
-
-def _shard_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) sorted by both, equal keys in one task: the star forest of each key's fingerprints."""
-    held_key, held = None, np.empty(0, dtype=np.uint64)
-
-    def edges(values):
-        out = list(star_forest(values))
-        a, b = (np.array([e[k] for e in out], dtype=np.uint64).view(np.int64) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(0).to_numpy()
-        values = batch.column(1).to_numpy().view(np.uint64)
-        starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
-        if held_key == keys[0]:
-            values, starts = np.concatenate((held, values)), np.concatenate(([0], starts[1:] + len(held)))
-        elif len(held) > 1:
-            yield edges(held)
-        for k in np.flatnonzero(np.diff(starts[:-1]) > 1):
-            yield edges(values[starts[k] : starts[k + 1]])
-        held_key, held = keys[-1], values[starts[-2] :].copy()
-    if len(held) > 1:
-        yield edges(held)
+        yield int(k), int(label[k])
+
+
+def _shard_edges(radius: int):
+    """A task over rows (key, id, words of the fingerprint) sorted by key: the star forest of each key's rows."""
+
+    def edges(ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        out = list(star_forest(values, radius))
+        return pa.RecordBatch.from_arrays([pa.array(ids[[e[k] for e in out]], type=pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, held = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            rows = np.column_stack([batch.column(k).to_numpy() for k in range(1, batch.num_columns)])
+            starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
+            if held is not None and held_key == keys[0]:
+                rows, starts = np.concatenate((held, rows)), np.concatenate(([0], starts[1:] + len(held)))
+            elif held is not None and len(held) > 1:
+                yield edges(held[:, 0], np.ascontiguousarray(held[:, 1:]).view(np.uint64))
+            for k in np.flatnonzero(np.diff(starts[:-1]) > 1):
+                part = rows[starts[k] : starts[k + 1]]
+                yield edges(part[:, 0], np.ascontiguousarray(part[:, 1:]).view(np.uint64))
+            held_key, held = keys[-1], rows[starts[-2] :].copy()
+        if held is not None and len(held) > 1:
+            yield edges(held[:, 0], np.ascontiguousarray(held[:, 1:]).view(np.uint64))
+
+    return task
 
 
 def links(fingerprints: DataFrame) -> DataFrame:
@@ -120,38 +156,35 @@ def links(fingerprints: DataFrame) -> DataFrame:
         for n, (a, b) in enumerate(combinations(range(64 // _BLOCK), 2))
     ])
     shards = fingerprints.select(F.explode(pairs).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
-    return shards.mapInArrow(_shard_edges, "u long, v long")
+    return shards.select("key", F.col("fp").alias("id"), "fp").mapInArrow(_shard_edges(RADIUS), "u long, v long")
+
 
+def radius_of(similarity: float, bits: int = 128) -> int:
+    """Differing bits that a pair of this Jaccard similarity has at most, with 1.5 standard deviations to spare: the
+    share of differing bits is the angle between the texts, whose cosine is 2 J / (1 + J)."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * share + 1.5 * math.sqrt(bits * share * (1 - share)))
 
-def components(edges: DataFrame) -> DataFrame:
-    """(u, v): every node of the edges but the least of its component, with that least node.
 
-    Alternates large-star and small-star contraction until a round changes nothing. Each round is written to the shared
-    folder; the driver sees two numbers of it. Nodes with very many edges are first summed by task.
+def similar_links(classes: DataFrame, radius: int, rows: int, recall: float = RECALL, agree: float = AGREE) -> DataFrame:
+    """Edges (u, v) between ids of `classes` (id, hi, lo, words) whose wide fingerprints differ in at most `radius` bits.
+
+    Shards are keys of as many sampled bits of `words` as keep them small at this number of rows; a pair, whose bits
+    agree with probability `agree`, shares one of the tables' keys with probability `recall`.
     """
-    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-
-    def state(df):
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    def star(pairs, keep):
-        least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = pairs.join(least, "u")
-        return joined.where(keep).select(F.col("v").alias("u"), F.col("m").alias("v")), least
-
-    before = state(edges)
-    while before[0]:
-        both = edges.union(edges.select("v", "u"))
-        large, _ = star(both, F.col("v") > F.col("u"))
-        large = large.where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small, least = star(down, F.col("v") <= F.col("u"))
-        edges = cut(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = state(edges)
-        if now == before:
-            break
-        before = now
-    return edges
+    size = max(12, min(40, math.ceil(math.log2(max(rows, 2)))))
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - agree**size))
+    draw = random.Random(SEED)
+
+    def key(table: int):
+        bits = [F.shiftleft(F.shiftrightunsigned("words", b).bitwiseAND(F.lit(1).cast("long")), at) for at, b in enumerate(draw.sample(range(64), size))]
+        total = F.lit(table).cast("long") * (1 << 48)
+        for bit in bits:
+            total = total + bit
+        return total
+
+    shards = classes.select(F.explode(F.array(*[key(t) for t in range(tables)])).alias("key"), "id", "hi", "lo").repartition("key").sortWithinPartitions("key", "id")
+    return shards.mapInArrow(_shard_edges(radius), "u long, v long")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -174,11 +207,28 @@ def report(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """`docs` with one row of each near-duplicate component: that of the smallest doc_id.
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """(doc_id, group_id) of every distinct non-null doc_id: the smallest doc_id that links of at least about this
+    Jaccard similarity of word shingles reach. Equal texts always link, null and empty ones among themselves."""
+
+    def wide(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = np.array([wide_fingerprint(t, shingle) for t in texts], dtype=np.uint64).reshape(-1, 3).view(np.int64)
+            yield pd.DataFrame(found, columns=["hi", "lo", "words"])
+
+    of = F.pandas_udf(wide, "hi long, lo long, words long").asNondeterministic()
+    prints = cut(docs.where("doc_id IS NOT NULL").select("doc_id", of("text").alias("p")).select("doc_id", "p.*"))
+    classes = cut(prints.groupBy("hi", "lo", "words").agg(F.min("doc_id").alias("id")))
+    found = components(similar_links(classes, radius_of(similarity), classes.count()))
+    named = classes.join(found, F.col("id") == F.col("u"), "left").select("hi", "lo", "words", F.coalesce("v", "id").alias("group_id"))
+    return prints.join(named, ["hi", "lo", "words"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+
+
+def deduplicate(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """`docs` with one row of each group of near duplicates: that of the smallest doc_id.
 
     All columns stay. Repeated rows of that doc_id become one. Rows with a null doc_id cannot be named, so they stay.
     """
-    kept = report(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = similar_groups(docs, similarity, shingle).where("doc_id = group_id").select("doc_id")
     rows = docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates(["doc_id"])
     return rows.unionByName(docs.where("doc_id IS NULL"))
