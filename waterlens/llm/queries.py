@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, language_id, license_scan, packing, secrets, simhash, token_files, topk_search, toxicity
 from .common import new_path, table
+from .oracles import ORACLES  # noqa: F401
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +65,3 @@ QUERIES = {
         op6_chat_format, op7_packing, op8_secrets, op9_language_id, op10_token_files,
     )
 }
-ORACLES: dict[str, str] = {}
