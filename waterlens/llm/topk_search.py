@@ -158,16 +158,18 @@ def search(vectors: DataFrame, k: int = K, every: int = 20, shard: int = SHARD,
     candidates = rows.withColumn("shard", F.pmod(spread, F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def meet(asked: DataFrame, given: DataFrame) -> DataFrame:
+        given = given.select(*[F.col(c).alias(c) for c in ("vec_id", "v", "dim", "block", "shard")])  # columns of its own: both sides stem from one table
+        asked = asked.select(*[F.col(c).alias(c) for c in ("vec_id", "v", "dim", "block", "shard", "kth")])
         return asked.groupBy("dim", "block", "shard").cogroup(given.groupBy("dim", "block", "shard")).applyInPandas(_search(k), FOUND)
 
     home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
     first = queries.withColumn("shard", home).withColumn("kth", F.lit(None).cast("double"))
-    found = cut(meet(first.select("vec_id", "v", "dim", "block", "shard", "kth"), candidates.where(F.col("shard") == home).select("vec_id", "v", "dim", "block", "shard")))
+    found = cut(meet(first, candidates.where(F.col("shard") == home)))
     if shards > 1:
         bounds = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("kth"))
         others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home)
         again = queries.join(bounds, F.col("vec_id") == F.col("query_id"), "left").withColumn("shard", F.explode(others))
-        found = found.union(meet(again.select("vec_id", "v", "dim", "block", "shard", "kth"), candidates.where(F.col("shard") != home).select("vec_id", "v", "dim", "block", "shard")))
+        found = found.union(meet(again, candidates.where(F.col("shard") != home)))
     best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))
 
