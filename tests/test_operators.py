@@ -136,6 +136,22 @@ def test_sqlite_tables_are_read_in_ranges(spark, tmp_path):
     assert read("unused").count() == 0
 
 
+def test_domain_documents_and_delimited_text(spark, tmp_path):
+    path = tmp_path / "domains.xml"
+    path.write_text("<all><value><column_name>kind</column_name><code>1</code><name>weir</name></value><value><column_name>kind</column_name><code>2</code></value></all>")
+    rows = files.read_domains(spark, str(path), "value").collect()
+    assert sorted(map(tuple, rows), key=repr) == [("kind", "1", "weir"), ("kind", "2", None)]
+    df = spark.createDataFrame([(1, 2.5), (2, None)], "k int, v double")
+    files.write_csv(df, str(tmp_path / "csv"))
+    assert sorted(map(tuple, files.read_csv(spark, str(tmp_path / "csv"), "k int, v double").collect())) == [(1, 2.5), (2, None)]
+
+
+def test_snapping_joins_chains_and_equal_points(spark):
+    points = spark.createDataFrame([(3, 0.0, 0.0), (1, 0.9, 0.0), (2, 1.8, 0.0), (4, 9.0, 9.0), (5, 9.0, 9.0)], "id long, x double, y double")
+    found = {r["id"]: (r["node"], r["x"]) for r in graph.snap(points, 1.0).collect()}
+    assert found == {1: (1, 0.9), 2: (1, 0.9), 3: (1, 0.9), 4: (4, 9.0), 5: (4, 9.0)}
+
+
 def test_streams(spark, tmp_path):
     begin = datetime.datetime(2024, 1, 1)
     rows = [("a", begin + datetime.timedelta(minutes=20 * k), float(k % 5)) for k in range(30)]

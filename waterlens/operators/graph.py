@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .spatial import within_distance
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -45,6 +46,19 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select("id").join(found.select(F.col("u").alias("_u"), "v"), F.col("id") == F.col("_u"), "left").select("id", F.coalesce("v", "id").alias("component"))
 
 
+def snap(points: DataFrame, tolerance: float) -> DataFrame:
+    """(id, node, x, y): points (id, x, y) that chains of steps within the tolerance join are one node, named and placed
+    by its smallest id. Equal points are one node however many there are."""
+    places = cut(points.groupBy("x", "y").agg(F.min("id").alias("place")))
+    left = places.select(F.col("place").alias("u"), F.col("x").alias("lx"), F.col("y").alias("ly"))
+    right = places.select(F.col("place").alias("v"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    close = within_distance(left, right, tolerance).where("u < v").select("u", "v")
+    named = connected_components(places.select(F.col("place").alias("id")), close).select(F.col("id").alias("_place"), F.col("component").alias("node"))
+    spots = places.select(F.col("place").alias("node"), F.col("x").alias("node_x"), F.col("y").alias("node_y"))
+    found = points.join(places, ["x", "y"]).join(named, F.col("place") == F.col("_place")).join(spots, "node")
+    return found.select("id", "node", F.col("node_x").alias("x"), F.col("node_y").alias("y"))
+
+
 def classify_components(members: DataFrame, valid: str, active: str) -> DataFrame:
     """Class of each component by its contact with the 1D network: any valid contact, any active one, or none."""
     found = members.groupBy("component").agg(F.count("*").alias("n_members"), F.bool_or(valid).alias("_v"), F.bool_or(active).alias("_a"))

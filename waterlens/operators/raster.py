@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.curves import interpolate_arrays
+from ..functions.geometry import in_ring
 
 WATER = 10.0
 
@@ -100,6 +101,18 @@ def resample(pixels: DataFrame, x: str, y: str, size: float) -> DataFrame:
     return pixels.withColumn("px", F.floor(F.col(x) / size)).withColumn("py", F.floor(F.col(y) / size))
 
 
+def rasterise(polygons: DataFrame, value: str, size: float) -> DataFrame:
+    """(px, py, value) of the pixels whose centre a polygon (ring: closed array<struct<x,y>>) holds; where several do,
+    the largest value stays. Pixel centres are made row by row, so a large polygon spreads over its rows."""
+    bounds = lambda axis, f: f(F.transform("ring", lambda p: p[axis]))
+    low = lambda axis: F.floor(bounds(axis, F.array_min) / size).cast("long")
+    high = lambda axis: F.floor(bounds(axis, F.array_max) / size).cast("long")
+    rows = polygons.select("ring", value, F.explode(F.sequence(low("y"), high("y"))).alias("py"))
+    pixels = rows.select("ring", value, "py", F.explode(F.sequence(low("x"), high("x"))).alias("px"))
+    inside = pixels.where(in_ring((F.col("px") + 0.5) * size, (F.col("py") + 0.5) * size, F.col("ring")))
+    return inside.groupBy("px", "py").agg(F.max(value).alias("value"))
+
+
 def map_tiles(tiles: DataFrame, function: Callable[[np.ndarray], np.ndarray], value: str = "data") -> DataFrame:
     """A numpy function over each tile's values (array<double>, null as NaN), tile by tile, in Arrow batches."""
     at, names, schema = tiles.columns.index(value), tiles.columns, tiles.schema

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any_case
-from ..operators import graph, network, raster, relational, spatial
+from ..operators import convert, graph, network, raster, relational, spatial
 from ..session import table
 from .registry import query
 from .shapes import _CUSTOMERS, _SUPPLIERS, _boxes, _places
@@ -212,3 +212,46 @@ def top_totals(spark, d):
     found = relational.carry_max(table(spark, d, "lineitem"), ["l_orderkey"], [F.col("l_extendedprice"), -F.col("l_linenumber"), -F.col("l_partkey")], ["l_partkey"]).withColumnRenamed("l_partkey", "top_part")
     total = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("total")).where("total > 300000")
     return found.join(total, "l_orderkey").select("l_orderkey", "top_part", F.round("total", 2).alias("total"))
+
+
+_SHA = "sha256('opening|' || CAST(s_suppkey AS VARCHAR))"
+
+
+@query(f"""
+    SELECT {_SHA}[1:8] || '-' || {_SHA}[9:12] || '-' || {_SHA}[13:16] || '-' || {_SHA}[17:20] || '-' || {_SHA}[21:32] AS globalid, s_suppkey AS weir_id, round(s_acctbal, 1) AS crest_level,
+      CAST(NULL AS DOUBLE) AS width, CASE WHEN n_nationkey IS NOT NULL THEN s_nationkey END AS area_id FROM supplier LEFT JOIN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) ON n_nationkey = s_nationkey""")
+def converted_layer(spark, d):
+    """A child layer made from its parents: stable ids, a fixed schema, foreign keys that exist."""
+    parents = table(spark, d, "supplier").withColumn("level", F.round("s_acctbal", 1))
+    openings = convert.child_layer(parents, "s_suppkey", "weir_id", {"level": "crest_level", "s_nationkey": "area_id"}, {"crest_level": "double", "width": "double", "area_id": "int"}, "opening")
+    areas = table(spark, d, "nation").where("n_regionkey < 3")
+    return convert.linked_layers({"opening": openings, "area": areas}, [("opening", "area_id", "area", "n_nationkey")])["opening"]
+
+
+@query("""
+    SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN 'zero' WHEN 1 THEN 'one' END AS kind, CASE WHEN c_mktsegment = 'BUILDING' THEN 'B' WHEN c_mktsegment = 'MACHINERY' THEN 'M' END AS segment FROM customer""")
+def domains_decoded(spark, d):
+    domains = spark.sql("SELECT * FROM VALUES ('kind', '0', 'zero'), ('kind', '1', 'one'), ('kind', '1', 'zzz'), ('segment', 'BUILDING', 'B'), ('segment', 'MACHINERY', 'M') AS t(column_name, code, name)")
+    coded = table(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") % 3).alias("kind"), F.col("c_mktsegment").alias("segment"))
+    return convert.decode_domains(coded, domains, ["kind", "segment"])
+
+
+@query(f"""
+    WITH {_SUPPLIERS}, p(px) AS (SELECT unnest(range(0, 110))), q(py) AS (SELECT unnest(range(0, 110)))
+    SELECT px, py, max(s_suppkey) AS value FROM b, p, q WHERE px * 10 + 5 > rx + 0.25 AND py * 10 + 5 > ry + 0.25 AND (px * 10 + 5 - rx - 0.25) / 60 + (py * 10 + 5 - ry - 0.25) / 45 < 1 GROUP BY 1, 2""")
+def rasterised(spark, d):
+    """Triangles as pixels of 10 by 10; the oracle writes the edges out."""
+    corner = lambda dx, dy: F.struct((F.col("x") + 0.25 + dx).alias("x"), (F.col("y") + 0.25 + dy).alias("y"))
+    triangles = _places(table(spark, d, "supplier"), "s_suppkey", "x", "y").select("s_suppkey", F.array(corner(0.0, 0.0), corner(60.0, 0.0), corner(0.0, 45.0), corner(0.0, 0.0)).alias("ring"))
+    return raster.rasterise(triangles, "s_suppkey", 10.0).where("px < 110 AND py < 110")
+
+
+@query(f"""
+    WITH RECURSIVE p AS (SELECT c_custkey AS id, lx AS x, ly AS y FROM ({_CUSTOMERS.removeprefix("a AS ")}) WHERE c_custkey <= 120),
+    e AS (SELECT a.id AS u, b.id AS v FROM p a JOIN p b ON a.id <> b.id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 900),
+    r AS (SELECT id, id AS seen FROM p UNION SELECT r.id, e.v FROM r JOIN e ON e.u = r.seen),
+    c AS (SELECT id, min(seen) AS node FROM r GROUP BY 1)
+    SELECT c.id, node, x, y FROM c JOIN p ON p.id = node""")
+def snapped_nodes(spark, d):
+    points = _places(table(spark, d, "customer").where("c_custkey <= 120"), "c_custkey", "x", "y").withColumnRenamed("c_custkey", "id")
+    return graph.snap(points, 30.0)

@@ -21,6 +21,16 @@ def write_csv(df: DataFrame, path: str, separator: str = ";") -> None:
     df.write.mode("overwrite").option("header", True).option("sep", separator).csv(path)
 
 
+def read_domains(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
+    """(column_name, code, name) of an XML domain document: one element per value, with these children."""
+    return spark.read.format("xml").option("rowTag", row_tag).schema("column_name string, code string, name string").load(path)
+
+
+def read_query(spark: SparkSession, url: str, sql: str, **options: str) -> DataFrame:
+    """A query that a database runs, as a table; what is filtered afterwards is pushed to it where it can be."""
+    return spark.read.format("jdbc").options(url=url, query=sql, **options).load()
+
+
 def round_numbers(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, so dumps of equal data are equal text."""
     return df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
