@@ -162,13 +162,14 @@ class Model:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 200) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5, rounds: int = 200) -> np.ndarray:
     """Ridge logistic regression by Newton steps, halved until they help. What raises a score by its nature (all but
-    the last two features) keeps a weight >= 0."""
+    the last two features) keeps a weight >= 0: a weight at that bound moves only when the slope leads inside."""
     x = np.column_stack((np.ones(len(x)), x))
     ridge = np.full(x.shape[1], penalty)
     ridge[0] = 1e-3
-    held = slice(1, x.shape[1] - 2)
+    held = np.arange(x.shape[1])
+    held = (held > 0) & (held < x.shape[1] - 2)
 
     def loss(w):
         z = x @ w
@@ -178,20 +179,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int =
     now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
-        step, size = np.linalg.solve(h, x.T @ (y - p) - ridge * w), 1.0
-        while size > 1e-6:
+        slope = x.T @ (y - p) - ridge * w
+        free = ~(held & (w <= 0) & (slope <= 0))
+        h = (x[:, free] * (p * (1 - p))[:, None]).T @ x[:, free] + np.diag(ridge[free])
+        step, size, then = np.zeros(len(w)), 1.0, now
+        step[free] = np.linalg.solve(h, slope[free])
+        while size > 1e-8:
             trial = w + size * step
             trial[held] = np.maximum(trial[held], 0.0)
             if (then := loss(trial)) < now:
                 break
             size /= 2
-        else:
+        if now - then < 1e-9 * (1 + now):
             break
-        done = now - then < 1e-7 * (1 + now)
         w, now = trial, then
-        if done:
-            break
     return w
 
 
