@@ -30,6 +30,8 @@ RADIUS = 2
 SHINGLE = 3
 SEED = 42
 _BLOCK = 16
+#: Rows of a shard up to which all its pairs are compared at once, without a tree.
+SMALL = 16
 #: For `deduplicate`: chance to meet in a shard for a pair at the wanted similarity, and that such a pair agrees in a bit.
 RECALL = 0.97
 AGREE = 0.9
@@ -119,31 +121,46 @@ def star_forest(values: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int,
         yield int(k), int(label[k])
 
 
-def _shard_edges(radius: int):
-    """A task over rows (key, id, words of the fingerprint) sorted by key: the star forest of each key's rows."""
+def _pairs(keys: np.ndarray, rows: np.ndarray, small: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+    """Pairs of ids within the radius in the shards of at most SMALL rows, all shards at once: a tree over so few is no
+    more than these comparisons. small: which rows belong to such shards."""
+    for gap in range(1, SMALL):
+        at = np.flatnonzero(small[gap:] & (keys[gap:] == keys[:-gap]))
+        if not len(at):
+            return
+        near = np.bitwise_count(rows[at + gap, 1:].view(np.uint64) ^ rows[at, 1:].view(np.uint64)).sum(axis=1, dtype=np.int64) <= radius
+        yield np.column_stack((rows[at + gap, 0], rows[at, 0]))[near]
+
 
-    def edges(ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        out = list(star_forest(values, radius))
-        return pa.RecordBatch.from_arrays([pa.array(ids[[e[k] for e in out]], type=pa.int64()) for k in (0, 1)], names=["u", "v"])
+def _shard_edges(radius: int):
+    """A task over rows (key, id, words of the fingerprint) sorted by key: links of small shards, the star forest of
+    each larger one."""
+
+    def edges(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
+        sizes = np.diff(starts)
+        found = list(_pairs(keys, rows, np.repeat(sizes <= SMALL, sizes), radius))
+        for k in np.flatnonzero(sizes > SMALL):
+            part = rows[starts[k] : starts[k + 1]]
+            forest = list(star_forest(np.ascontiguousarray(part[:, 1:]).view(np.uint64), radius))
+            found.append(part[np.array(forest, dtype=np.int64).reshape(-1, 2), 0])
+        out = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, k])) for k in (0, 1)], names=["u", "v"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = None, None
+        keys, rows = np.empty(0, dtype=np.int64), None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column(0).to_numpy()
-            rows = np.column_stack([batch.column(k).to_numpy() for k in range(1, batch.num_columns)])
-            starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
-            if held is not None and held_key == keys[0]:
-                rows, starts = np.concatenate((held, rows)), np.concatenate(([0], starts[1:] + len(held)))
-            elif held is not None and len(held) > 1:
-                yield edges(held[:, 0], np.ascontiguousarray(held[:, 1:]).view(np.uint64))
-            for k in np.flatnonzero(np.diff(starts[:-1]) > 1):
-                part = rows[starts[k] : starts[k + 1]]
-                yield edges(part[:, 0], np.ascontiguousarray(part[:, 1:]).view(np.uint64))
-            held_key, held = keys[-1], rows[starts[-2] :].copy()
-        if held is not None and len(held) > 1:
-            yield edges(held[:, 0], np.ascontiguousarray(held[:, 1:]).view(np.uint64))
+            more = np.column_stack([batch.column(k).to_numpy() for k in range(1, batch.num_columns)])
+            keys = np.concatenate((keys, batch.column(0).to_numpy()))
+            rows = more if rows is None else np.concatenate((rows, more))
+            whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+            if whole:
+                yield from edges(keys[:whole], rows[:whole])
+                keys, rows = keys[whole:], rows[whole:]
+        if len(keys):
+            yield from edges(keys, rows)
 
     return task
 
@@ -172,7 +189,7 @@ def similar_links(classes: DataFrame, radius: int, rows: int, recall: float = RE
     Shards are keys of as many sampled bits of `words` as keep them small at this number of rows; a pair, whose bits
     agree with probability `agree`, shares one of the tables' keys with probability `recall`.
     """
-    size = max(12, min(40, math.ceil(math.log2(max(rows, 2)))))
+    size = max(12, min(40, math.ceil(math.log2(max(rows, 2))) + 2))
     tables = math.ceil(math.log(1 - recall) / math.log(1 - agree**size))
     draw = random.Random(SEED)
 
