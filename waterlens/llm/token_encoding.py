@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 
-import numpy as np
 from tokenizers import Tokenizer
 
 #: Words held by a worker's cache; past it the cache starts anew.
@@ -42,12 +42,14 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(_byte_level(piece))], dtype="<u4").tobytes()
+            found = [t.id for t in self.model.tokenize(piece.translate(_TO_CHARS) if piece.isascii() else _byte_level(piece))]
+            ids = self.pieces[piece] = struct.pack(f"<{len(found)}I", *found)
         return ids
 
     def _word(self, word: str) -> bytes:
