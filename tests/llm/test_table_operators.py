@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import random
@@ -231,10 +232,15 @@ def test_cached_encoding_equals_the_library():
         assert [t for t in texts if encoder.encode(t) != encoder.whole(t)] == []
 
 
-def plain_ids(name, text, end):
+@functools.lru_cache
+def plain_tokenizer(name):
     tokenizer = Tokenizer.from_file(token_encoding.default_path(name))
     tokenizer.encode_special_tokens = True
-    return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, end], dtype="<u4")
+    return tokenizer
+
+
+def plain_ids(name, text, end):
+    return np.array([*plain_tokenizer(name).encode(text or "", add_special_tokens=False).ids, end], dtype="<u4")
 
 
 def test_fullest_combination_equals_a_search():
