@@ -126,6 +126,52 @@ def test_near_copies_group_and_others_do_not(spark):
     assert all(group[d] == min(k for k in texts if group[k] == group[d]) for d in list(texts)[::25])
 
 
+def linked(pairs):
+    """The least member of each node's component."""
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return find
+
+
+def test_no_link_under_the_similarity_is_used(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = {}
+    for n in range(60):  # pairs at about 0.7, and groups of many copies at 0.9 with a rim about 0.7 from each other
+        base = [word() for _ in range(200)]
+        texts[100 * n], texts[100 * n + 1] = " ".join(base), " ".join(base[: 164 + n % 8] + [word() for _ in range(36 - n % 8)])
+    base = [word() for _ in range(300)]
+    for k in range(40):
+        copy = list(base)
+        for at in rng.sample(range(0, 300, 10), 1 + k % 7):
+            copy[at] = word()
+        texts[10_000 + k] = " ".join(copy)
+    group = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    similar = plain_similarities(texts)
+    find = linked([p for p, j in similar.items() if j >= 0.8])
+    assert sum(0.6 <= j < 0.8 for j in similar.values()) > 60
+    assert group == {d: find(d) for d in texts}
+
+
+def test_recall_of_copies_with_a_fifth_appended(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for n in range(1000):
+        base = [word() for _ in range(100)]
+        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(base + [word() for _ in range(24)]))]  # 96 of 120 shingles
+    found = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id % 2 = 1")
+    assert found.where("group_id = doc_id - 1").count() >= 985 and found.where("group_id NOT IN (doc_id, doc_id - 1)").count() == 0
+
+
 def test_one_document_of_each_group_stays(spark, docs):
     given = odd(spark, docs)
     kept = simhash.deduplicate(given)

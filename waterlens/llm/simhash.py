@@ -1,17 +1,18 @@
 """SimHash near-duplicates: 64-bit fingerprints, BK-tree search within shards, components by star contraction.
 
 `report` links 64-bit fingerprints of 3-word shingles at radius 2: these agree in at least two of four 16-bit blocks, so each distinct fingerprint goes to the six
-shards of its block pairs and every link is found inside a shard. `deduplicate` links 128-bit fingerprints of 5-word
-shingles at the radius that a similarity of 0.8 gives; its shards are samples of the bits of a second fingerprint, of the
-distinct words, in as many tables as the wanted recall takes. A shard's BK-tree is built and searched in the task
+shards of its block pairs and every link is found inside a shard. A shard's BK-tree is built and searched in the task
 that holds the shard: the trees of all documents have no size bound, so they are dealt by key and not broadcast.
 A shard returns the star forest of its links (one edge per member), never all pairs.
+
+`deduplicate` links texts whose sets of 5-word shingles have a Jaccard similarity of 0.8. Its shards are keys of several
+min-hashes, whose recall does not depend on the number of rows; pairs that meet there and agree in enough bits of their
+sketches are candidates, and each candidate is verified on the shingles of both texts before it links.
 """
 
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,9 +33,12 @@ SEED = 42
 _BLOCK = 16
 #: Rows of a shard up to which all its pairs are compared at once, without a tree.
 SMALL = 16
-#: For `deduplicate`: chance to meet in a shard for a pair at the wanted similarity, and that such a pair agrees in a bit.
-RECALL = 0.97
-AGREE = 0.9
+#: For `deduplicate`: tables of keys, min-hashes of a key, bits of a sketch (one of each min-hash), and rows of a shard up
+#: to which all its pairs are verified at once.
+TABLES = 20
+KEY = 6
+BITS = 128
+FEW = 4
 _CHUNK = 1 << 16
 
 
@@ -64,15 +68,32 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(_majority(digests), "big") if digests else 0
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> tuple[int, int, int]:
-    """Upper and lower half of the 128-bit fingerprint of a text's shingles, and the 64-bit one of its distinct words;
-    zeros without words."""
-    tokens = _words(text)
-    if not tokens:
-        return 0, 0, 0
-    wide = _majority([xxhash.xxh3_128_digest(run, SEED) for run in _shingles(tokens, shingle)])
-    words = _majority([xxhash.xxh64_digest(w, SEED) for w in set(tokens)])
-    return int.from_bytes(wide[:8], "big"), int.from_bytes(wide[8:], "big"), int.from_bytes(words, "big")
+_DRAW = np.random.default_rng(SEED)
+_FACTORS = _DRAW.integers(0, 1 << 64, BITS, dtype=np.uint64) | np.uint64(1)
+_OFFSETS = _DRAW.integers(0, 1 << 64, BITS, dtype=np.uint64)
+
+
+def _set_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted hashes of a text's distinct shingles."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(run, SEED) for run in set(_shingles(_words(text), shingle))], dtype=np.uint64))
+
+
+def set_name(hashes: np.ndarray) -> int:
+    """A name of a shingle set, signed; zero for the empty one."""
+    return int.from_bytes(xxhash.xxh3_64_digest(hashes.tobytes(), SEED), "big", signed=True) if len(hashes) else 0
+
+
+def sketch(hashes: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """Both halves of a shingle set's sketch and its keys, signed: a key of a table is a hash of KEY min-hashes, a bit of
+    the sketch one bit of a min-hash. Zeros and no keys for the empty set."""
+    if not len(hashes):
+        return 0, 0, np.empty(0, dtype=np.int64)
+    least = np.full(BITS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for k in range(0, len(hashes), _CHUNK // BITS):
+        least = np.minimum(least, (hashes[None, k : k + _CHUNK // BITS] * _FACTORS[:, None] + _OFFSETS[:, None]).min(axis=1))
+    hi, lo = np.packbits(((least >> np.uint64(7)) & np.uint64(1)).astype(np.uint8)).view(np.int64).tolist()
+    runs = [least[KEY * t : KEY * (t + 1)].tobytes() for t in range(TABLES)]
+    return hi, lo, np.array([xxhash.xxh3_64_intdigest(run, t) for t, run in enumerate(runs)], dtype=np.uint64).view(np.int64)
 
 
 def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -132,20 +153,8 @@ def _pairs(keys: np.ndarray, rows: np.ndarray, small: np.ndarray, radius: int) -
         yield np.column_stack((rows[at + gap, 0], rows[at, 0]))[near]
 
 
-def _shard_edges(radius: int):
-    """A task over rows (key, id, words of the fingerprint) sorted by key: links of small shards, the star forest of
-    each larger one."""
-
-    def edges(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
-        sizes = np.diff(starts)
-        found = list(_pairs(keys, rows, np.repeat(sizes <= SMALL, sizes), radius))
-        for k in np.flatnonzero(sizes > SMALL):
-            part = rows[starts[k] : starts[k + 1]]
-            forest = list(star_forest(np.ascontiguousarray(part[:, 1:]).view(np.uint64), radius))
-            found.append(part[np.array(forest, dtype=np.int64).reshape(-1, 2), 0])
-        out = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, k])) for k in (0, 1)], names=["u", "v"])
+def _whole_shards(work):
+    """A task over rows (key, ...) sorted by key that gives whole shards to `work`, as keys and the other columns."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rows = np.empty(0, dtype=np.int64), None
@@ -157,14 +166,32 @@ def _shard_edges(radius: int):
             rows = more if rows is None else np.concatenate((rows, more))
             whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
             if whole:
-                yield from edges(keys[:whole], rows[:whole])
+                yield from work(keys[:whole], rows[:whole])
                 keys, rows = keys[whole:], rows[whole:]
         if len(keys):
-            yield from edges(keys, rows)
+            yield from work(keys, rows)
 
     return task
 
 
+def _shard_edges(radius: int):
+    """A task over rows (key, id, words of the fingerprint) sorted by key: links of small shards, the star forest of
+    each larger one."""
+
+    def edges(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
+        sizes = np.diff(starts)
+        found = list(_pairs(keys, rows, np.repeat(sizes <= SMALL, sizes), radius))
+        for k in np.flatnonzero(sizes > SMALL):
+            part = rows[starts[k] : starts[k + 1]]
+            forest = list(star_forest(np.ascontiguousarray(part[:, 1:]).view(np.uint64), radius))
+            found.append(part[np.array(forest, dtype=np.int64).reshape(-1, 2), 0])
+        out = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, k])) for k in (0, 1)], names=["u", "v"])
+
+    return _whole_shards(edges)
+
+
 def links(fingerprints: DataFrame) -> DataFrame:
     """Edges (u, v), u the member and v its shard's least member, that connect all `fp` within radius 2."""
     blocks = [F.shiftrightunsigned("fp", _BLOCK * k).bitwiseAND(F.lit((1 << _BLOCK) - 1)) for k in range(64 // _BLOCK)]
@@ -176,32 +203,116 @@ def links(fingerprints: DataFrame) -> DataFrame:
     return shards.select("key", F.col("fp").alias("id"), "fp").mapInArrow(_shard_edges(RADIUS), "u long, v long")
 
 
-def radius_of(similarity: float, bits: int = 128) -> int:
-    """Differing bits that a pair of this Jaccard similarity has at most, with 1.5 standard deviations to spare: the
-    share of differing bits is the angle between the texts, whose cosine is 2 J / (1 + J)."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * share + 1.5 * math.sqrt(bits * share * (1 - share)))
+def radius_of(similarity: float, bits: int = BITS) -> int:
+    """Differing bits that the sketches of a pair of this Jaccard similarity have at most, with 3 standard deviations to
+    spare: a bit differs with half the chance that the min-hashes do."""
+    share = (1 - similarity) / 2
+    return math.ceil(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
+
 
+def _edge_batch(u: np.ndarray, v: np.ndarray, kind: int) -> pa.RecordBatch:
+    columns = [np.ascontiguousarray(u), np.ascontiguousarray(v), np.full(len(u), kind, dtype=np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["u", "v", "kind"])
 
-def similar_links(classes: DataFrame, radius: int, rows: int, recall: float = RECALL, agree: float = AGREE) -> DataFrame:
-    """Edges (u, v) between ids of `classes` (id, hi, lo, words) whose wide fingerprints differ in at most `radius` bits.
 
-    Shards are keys of as many sampled bits of `words` as keep them small at this number of rows; a pair, whose bits
-    agree with probability `agree`, shares one of the tables' keys with probability `recall`.
+def _far(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(others ^ one).sum(axis=1, dtype=np.int64)
+
+
+def _first_candidates(radius: int):
+    """A task over rows (key, id, words of the sketch): candidates (kind 0: u, v), both of which met in a shard.
+
+    Shards of few rows give all pairs within the radius. In a larger one each row is paired with the first row that
+    leads it, and if there is any such pair its rows (kind 1: id, key) are given for a second pass.
     """
-    size = max(12, min(40, math.ceil(math.log2(max(rows, 2))) + 2))
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - agree**size))
-    draw = random.Random(SEED)
 
-    def key(table: int):
-        bits = [F.shiftleft(F.shiftrightunsigned("words", b).bitwiseAND(F.lit(1).cast("long")), at) for at, b in enumerate(draw.sample(range(64), size))]
-        total = F.lit(table).cast("long") * (1 << 48)
-        for bit in bits:
-            total = total + bit
-        return total
+    def work(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
+        sizes = np.diff(starts)
+        for found in _pairs(keys, rows, np.repeat(sizes <= FEW, sizes), radius):
+            yield _edge_batch(found[:, 0], found[:, 1], 0)
+        for k in np.flatnonzero(sizes > FEW):
+            part = rows[starts[k] : starts[k + 1]]
+            words = np.ascontiguousarray(part[:, 1:]).view(np.uint64)
+            left, any_found = np.arange(len(part)), False
+            while len(left) > 1:
+                lead, left = left[0], left[1:]
+                near = _far(words[lead], words[left]) <= radius
+                if near.any():
+                    any_found = True
+                    yield _edge_batch(part[left[near], 0], np.full(int(near.sum()), part[lead, 0]), 0)
+                    left = left[~near]
+            if any_found:
+                yield _edge_batch(part[:, 0], np.full(len(part), keys[starts[k]]), 1)
+
+    return _whole_shards(work)
+
 
-    shards = classes.select(F.explode(F.array(*[key(t) for t in range(tables)])).alias("key"), "id", "hi", "lo").repartition("key").sortWithinPartitions("key", "id")
-    return shards.mapInArrow(_shard_edges(radius), "u long, v long")
+def _other_candidates(radius: int):
+    """A task over rows (key, id, label, words of the sketch): all pairs within the radius whose labels differ."""
+
+    def work(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
+        for start, end in zip(starts[:-1], starts[1:], strict=True):
+            part = rows[start:end]
+            labels, group, size = np.unique(part[:, 1], return_inverse=True, return_counts=True)
+            if len(labels) < 2:
+                continue
+            part = part[np.argsort(size[group], kind="stable")]
+            words = np.ascontiguousarray(part[:, 2:]).view(np.uint64)
+            last = int(np.flatnonzero(part[:, 1] != part[-1, 1])[-1])
+            for k in range(last + 1):  # what follows carries one label
+                near = (part[k + 1 :, 1] != part[k, 1]) & (_far(words[k], words[k + 1 :]) <= radius)
+                if near.any():
+                    yield _edge_batch(part[k + 1 :, 0][near], np.full(int(near.sum()), part[k, 0]), 0)
+
+    return _whole_shards(work)
+
+
+def jaccard(left: set[bytes], right: set[bytes]) -> float:
+    both = len(left & right)
+    return both / (len(left) + len(right) - both) if left or right else 1.0
+
+
+def verified(edges: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The edges (u, v) whose texts (id, text) have at least this Jaccard similarity of shingle sets."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, set()
+        for batch in batches:
+            keep = []
+            for k in range(batch.num_rows):
+                v = batch.column(1)[k].as_py()
+                if v != last:
+                    last, known = v, set(_shingles(_words(batch.column(3)[k].as_py()), shingle))
+                keep.append(jaccard(set(_shingles(_words(batch.column(2)[k].as_py()), shingle)), known) >= similarity)
+            yield batch.select([0, 1]).filter(pa.array(keep, type=pa.bool_()))
+
+    of = lambda key, name: texts.select(F.col("id").alias(key), F.col("text").alias(name))
+    both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return both.join(of("u", "left"), "u").join(of("v", "right"), "v").select("u", "v", "left", "right").mapInArrow(check, "u long, v long")
+
+
+def similar_links(classes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Edges (u, v) between ids of `classes` (id, first_id, hi, lo, keys), every one verified.
+
+    What meets in a shard within the radius is verified or, in the end, joined by verified edges: a first pass verifies
+    stars, a second one all pairs of larger shards that these leave apart.
+    """
+    radius = radius_of(similarity)
+    shards = classes.select(F.explode("keys").alias("key"), "id", "hi", "lo").repartition("key").sortWithinPartitions("key", "id")
+    met = cut(shards.mapInArrow(_first_candidates(radius), "u long, v long, kind int").distinct())
+    first, again = met.where("kind = 0").select("u", "v"), met.where("kind = 1").select(F.col("u").alias("id"), F.col("v").alias("key"))
+    nodes = first.select("u").union(first.select("v")).union(again.select("id")).distinct().withColumnRenamed("u", "id")
+    name = F.pandas_udf(lambda texts: pd.Series([set_name(_set_hashes(t, shingle)) for t in texts], dtype="int64"), "long").asNondeterministic()
+    wanted = classes.join(nodes, "id").select("id", "first_id")
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("first_id")).select("id", "text")
+    texts = cut(texts.withColumn("_name", name("text")).where("_name = id").select("id", "text").dropDuplicates(["id"]))
+    edges = cut(verified(first, texts, similarity, shingle))
+    label = components(edges).select(F.col("u").alias("id"), F.col("v").alias("label"))
+    members = again.join(classes.select("id", "hi", "lo"), "id").join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"), "hi", "lo")
+    others = members.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_other_candidates(radius), "u long, v long, kind int").select("u", "v")
+    return edges.union(verified(others, texts, similarity, shingle))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -225,20 +336,26 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """(doc_id, group_id) of every distinct non-null doc_id: the smallest doc_id that links of at least about this
-    Jaccard similarity of word shingles reach. Equal texts always link, null and empty ones among themselves."""
+    """(doc_id, group_id) of every distinct non-null doc_id: the smallest doc_id that links of at least this Jaccard
+    similarity of word shingles reach. Texts of equal shingles always link, null and empty ones among themselves."""
 
-    def wide(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def prints_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            found = np.array([wide_fingerprint(t, shingle) for t in texts], dtype=np.uint64).reshape(-1, 3).view(np.int64)
-            yield pd.DataFrame(found, columns=["hi", "lo", "words"])
-
-    of = F.pandas_udf(wide, "hi long, lo long, words long").asNondeterministic()
-    prints = cut(docs.where("doc_id IS NOT NULL").select("doc_id", of("text").alias("p")).select("doc_id", "p.*"))
-    classes = cut(prints.groupBy("hi", "lo", "words").agg(F.min("doc_id").alias("id")))
-    found = components(similar_links(classes, radius_of(similarity), classes.count()))
-    named = classes.join(found, F.col("id") == F.col("u"), "left").select("hi", "lo", "words", F.coalesce("v", "id").alias("group_id"))
-    return prints.join(named, ["hi", "lo", "words"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+            rows = []
+            for text in texts:
+                hashes = _set_hashes(text, shingle)
+                rows.append((set_name(hashes), *sketch(hashes)))
+            yield pd.DataFrame(rows, columns=["id", "hi", "lo", "keys"])
+
+    of = F.pandas_udf(prints_of, "id long, hi long, lo long, keys array<long>").asNondeterministic()
+    docs = docs.where("doc_id IS NOT NULL")
+    prints = cut(docs.select("doc_id", of("text").alias("p")).select("doc_id", "p.*"))
+    classes = cut(prints.groupBy("id", "hi", "lo", "keys").agg(F.min("doc_id").alias("first_id")))
+    found = components(similar_links(classes, docs, similarity, shingle))
+    named = classes.join(found, F.col("id") == F.col("u"), "left").select("id", "first_id", F.coalesce("v", "id").alias("root"))
+    roots = named.groupBy("root").agg(F.min("first_id").alias("group_id"))
+    named = named.join(roots, "root").select("id", "group_id")
+    return prints.select("doc_id", "id").join(named, "id").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
 
 
 def deduplicate(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
