@@ -158,6 +158,15 @@ def test_named_literals_are_found_through_constants():
     assert named("The token: of appreciation. A key = word") == []
 
 
+def test_no_tail_of_a_named_literal_stays():
+    assert secrets.redact('password = "Tr0ubador!x9#Zq7" # x') == "[SECRET]\" # x"
+    assert secrets.joined(secrets.find('password = "Tr0ubador!x9#Zq7"')) == "assign:0:21,named:12:28"
+    long = "aB3!xQ9z" * 1000
+    name = "n" * 80 + "_password"
+    for text in (f'db_pwd = "{long}"', f"{name} = 'Zx81!w77Lm'", f"db_pwd{' ' * 20}={' ' * 20}'Zx81!w77Lm'", "db_pwd = " + "aB3-xQ9z" * 1000):
+        assert [k for _, _, k in secrets.find(text)] == ["named"] and "Zx81" not in secrets.redact(text) and "aB3" not in secrets.redact(text)
+
+
 def test_redaction_leaves_clean_texts(spark, docs):
     given = odd(spark, SECRETS).withColumn("n_chars", F.length("text").cast("long"))
     clean = secrets.redacted(given)

@@ -32,10 +32,10 @@ LEAST_LITERAL = 8
 LEAST_BITS = 2.5
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\[.*\]|\$\{.*\}|%.*%|your[-_ ].*|change[-_]?me.*|example.*|none|null|true|false|todo)$")
-#: name, separator and the first operand; source (=, :=, =>), configuration (: and =) and JSON ("name": "value").
-_PAIR = re.compile(r"""(?:(?P<q>["'])(?P<qname>[A-Za-z_][\w.\-]{0,63})(?P=q)|(?<![\w.\-])(?P<name>[A-Za-z_][\w.\-]{0,63}))[ \t]{0,8}(?::=|=>|[:=])(?!=)[ \t]{0,8}""", re.ASCII)
-_OPERAND = re.compile(r"""(?P<q>["'`])(?P<text>(?:(?!(?P=q))[^\\\n]|\\.){0,4096})(?P=q)|(?P<bare>[A-Za-z0-9+/_.=$\-]{1,4096})""", re.ASCII)
-_PLUS = re.compile(r"[ \t]{0,8}\+[ \t]{0,8}")
+#: name, separator and the first operand, of any length (possessive, so that each is read once); source (=, :=, =>), configuration (: and =) and JSON ("name": "value").
+_PAIR = re.compile(r"""(?:(?P<q>["'])(?P<qname>[A-Za-z_][\w.\-]*+)(?P=q)|(?<![\w.\-])(?P<name>[A-Za-z_][\w.\-]*+))[ \t]*+(?::=|=>|[:=])(?!=)[ \t]*+""", re.ASCII)
+_OPERAND = re.compile(r"""(?P<q>["'`])(?P<text>(?:(?!(?P=q))[^\\\n]|\\.)*+)(?P=q)|(?P<bare>[A-Za-z0-9+/_.=$\-]++)""", re.ASCII)
+_PLUS = re.compile(r"[ \t]*+\+[ \t]*+")
 
 
 def name_score(name: str) -> float:
@@ -78,7 +78,8 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
 
 
 def find(text: str | None) -> list[tuple[int, int, str]]:
-    """All spans (start, end, kind) by start, then kind: the base spans, and named literals that overlap none of them."""
+    """All spans (start, end, kind) by start, then kind: the base spans, and named literals that are not wholly
+    inside one of them."""
     if not text:
         return []
     out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN] if ":" in text or "=" in text else []
@@ -87,7 +88,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     if ":" in text or "=" in text:
         base = list(out)
         named = {span for name, value, spans in pairs(text) if name_score(name) >= LEAST_NAME and _looks_secret(value) for span in spans}
-        out += [(start, end, "named") for start, end in named if start < end and not any(a < end and start < b for a, b, _ in base)]
+        out += [(start, end, "named") for start, end in named if start < end and not any(a <= start and end <= b for a, b, _ in base)]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
