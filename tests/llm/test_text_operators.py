@@ -247,6 +247,12 @@ def test_toxicity_is_learned_and_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_lexicon_does_not_depend_on_partitions(spark):
+    labels, docs = spark.read.parquet(f"{MEDIUM}/labels.parquet"), spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    one, many = (toxicity.fit(docs.repartition(n), labels) for n in (1, 40))
+    assert one.words and one.words == many.words and one.stems == many.stems
+
+
 def test_toxicity_edge_cases(spark, docs):
     given = odd(spark, ["plain words"])
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")

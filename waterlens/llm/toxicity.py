@@ -226,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, training_docs: int = TRAINING_DOCS,
                 docs_of[toxic] += 1
                 if toxic:
                     bad.update(entries)
-        entries = [e for e in n if bad[e] or n[e] > 1] + ["#"]
+        entries = [*n, "#"]
         n["#"], bad["#"] = docs_of.total(), docs_of[1]
         yield pa.RecordBatch.from_pydict({"entry": entries, "n": [n[e] for e in entries], "bad": [bad[e] for e in entries]})
 
