@@ -196,6 +196,17 @@ def test_language_edge_cases(spark, docs):
     assert language_id.report(given.where("false")).count() == 0
 
 
+def test_rare_languages_are_learned_and_unknown_texts_dropped(spark):
+    rows = [(k, f"the quick brown fox number {chr(97 + k % 26)} of the river and the hill", "en") for k in range(20_000)]
+    rows += [(20_000 + k, "ein schneller brauner fuchs und der fluss mit dem huegel", "de") for k in range(40)]
+    docs = spark.createDataFrame(rows, DOCS + ", lang string")
+    assert language_id.fit(docs, training_docs=1).languages == ["de", "en"]
+    more = spark.createDataFrame([(30_000, "\u6c34\u4f4d\u6a21\u578b\u8d28\u91cf", None), (30_001, "the hill", None), (30_002, "12", None)], DOCS + ", lang string")
+    kept = lambda df: {r["doc_id"] for r in language_id.keep_known(df).where("doc_id >= 30000").collect()}
+    assert kept(docs.union(more)) == {30_001}
+    assert kept(more) == {30_000, 30_001}
+
+
 def test_ranks_put_frequent_grams_first_and_ties_by_key():
     keys = language_id.ranked("ab ab c")
     counts = Counter()
