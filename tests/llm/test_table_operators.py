@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -274,15 +275,34 @@ def test_cached_encoding_equals_the_library():
     texts = ["", " ", "\n", " a", "a ", "a\nb", "it's they'll", "a  b", "a\n b", "a \nb", "<|endoftext|> x", "naïve Été ǅ ß ẞ", "café", "12 345 6.7", "…—“q”", "ª º µ ÿ × ÷"]
     texts += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 25))) for _ in range(1500)]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        encoder = token_encoding.Encoder(token_encoding.default_path(name), cache_words=500)
-        assert [t for t in texts if encoder.encode(t) != encoder.whole(t)] == []
+        for as_text in (False, True):
+            encoder = token_encoding.Encoder(token_encoding.default_path(name), as_text, cache_bytes=100_000)
+            first, ids, sizes = next(encoder.slices(pa.array(texts)))
+            assert first == 0 and [t for t, got in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True) if not np.array_equal(got, encoder.whole(t))] == []
+        plain = Tokenizer.from_file(token_encoding.default_path(name))  # the library untouched
+        encoder = token_encoding.Encoder(token_encoding.default_path(name))
+        assert [t for t in texts if encoder.encode(t).tolist() != plain.encode(t, add_special_tokens=False).ids] == []
+    assert 50256 in token_encoding.Encoder(token_encoding.default_path("byte_bpe_50k.json")).encode("hello <|endoftext|> world")
+    assert 50256 not in token_encoding.Encoder(token_encoding.default_path("byte_bpe_50k.json"), True).encode("hello <|endoftext|> world")
+
+
+def test_slices_and_evictions_change_nothing(monkeypatch):
+    rng = random.Random(9)
+    texts = [None, "", *[" ".join(rng.choice(["ab", "Cd.", "e-f", "<|endoftext|>", "x" * 1500, "ü,", "\n"]) for _ in range(rng.randint(0, 40))) for _ in range(200)]]
+    path = token_encoding.default_path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    monkeypatch.setattr(token_encoding, "SLICE_BYTES", 1000)
+    encoder, found, n = token_encoding.Encoder(path, cache_bytes=2000), [], 0
+    for first, ids, sizes in encoder.slices(pa.array(texts, type=pa.string()).slice(1), end_id=0):
+        assert first == len(found)
+        found += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        n += 1
+    assert n > 10 and found == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts[1:]]
 
 
 @functools.lru_cache
 def plain_tokenizer(name):
-    tokenizer = Tokenizer.from_file(token_encoding.default_path(name))
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(token_encoding.default_path(name))
 
 
 def plain_ids(name, text, end):
@@ -354,6 +374,28 @@ def test_token_files_read_back(spark, docs):
     assert token_files.digest(spark, empty).count() == 0
 
 
+def test_token_files_hold_stripes_runs_indexes_and_bloom_filters(spark):
+    rows = spark.range(24_000, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of text"), "id", F.repeat(F.lit(" tail"), 40)).alias("text"))
+    path = new_path(spark, "test-tokens")
+    token_files.write(rows.coalesce(1), path, stripe_bytes=64 << 10, row_group=1000)
+    orc, conf = spark._jvm.org.apache.orc.OrcFile, spark._jsc.hadoopConfiguration()
+    files = [f for f in spark.read.orc(path).inputFiles()]
+    stripes, kinds, encodings = 0, set(), set()  # the writer looks at its size every 5000 rows
+    for name in files:
+        reader = orc.createReader(spark._jvm.org.apache.hadoop.fs.Path(name), orc.readerOptions(conf))
+        records = reader.rows()
+        assert reader.getRowIndexStride() == 1000
+        for stripe in reader.getStripes():
+            footer = records.readStripeFooter(stripe)
+            kinds |= {(s.getColumn(), str(s.getKind())) for s in footer.getStreamsList()}
+            encodings |= {(k, str(e.getKind())) for k, e in enumerate(footer.getColumnsList())}
+            stripes += 1
+    assert stripes > 1
+    assert {(1, "ROW_INDEX"), (1, "BLOOM_FILTER_UTF8")} <= kinds and not any(k != 1 and "BLOOM" in s for k, s in kinds)
+    assert (1, "DIRECT_V2") in encodings and (6, "DIRECT_V2") in encodings  # doc_id and the ids: integer runs
+    assert token_files.read(spark, path, [77]).count() == 1
+
+
 # -- pipeline
 
 

@@ -22,7 +22,7 @@ from .token_encoding import default_path, encoder
 CAPACITY = 2048
 SEPARATOR = 0
 #: Pieces of one length that are ranked in one task, in expectation.
-RANKED = 50_000
+RANKED = 10_000
 Pattern = list[tuple[int, int]]
 
 
@@ -77,23 +77,21 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     one that may be shorter. Null texts count as empty: the separator alone.
     """
     vocabulary = tokenizer or default_path("byte_bpe_50k.json")
-    end = np.array([separator], dtype="<u4").tobytes()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(vocabulary)
         for batch in batches:
-            rows, blobs = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                blob = known.encode(text.as_py() or "") + end
-                total, start, n = len(blob) // 4, 0, 0
-                while start < total:
-                    size = (total - start) % capacity or capacity
-                    part = blob[start * 4 : (start + size) * 4]
-                    rows.append((doc, n, start, size, zlib.crc32(part)))
-                    if with_ids:
-                        blobs.append(np.frombuffer(part, dtype="<i4"))
-                    start, n = start + size, n + 1
-            if rows:
+            for first, ids, sizes in known.slices(batch.column(1), separator):
+                ends, rows, blobs = np.cumsum(sizes).tolist(), [], []
+                for doc, end, total in zip(batch.column(0)[first : first + len(sizes)].to_pylist(), ends, sizes.tolist(), strict=True):
+                    start, n = 0, 0
+                    while start < total:
+                        size = (total - start) % capacity or capacity
+                        part = ids[end - total + start : end - total + start + size]
+                        rows.append((doc, n, start, size, zlib.crc32(part)))
+                        if with_ids:
+                            blobs.append(part.astype(np.int32))
+                        start, n = start + size, n + 1
                 columns = list(zip(*rows, strict=True))
                 arrays = [pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
                 if with_ids:
@@ -105,8 +103,10 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """`found` (pieces, computed anew for each use: pass a materialised table) with sequence_id and offset."""
-    spark = found.sparkSession
+    """`found` (pieces) with sequence_id and offset. Pieces are numbered as they are materialised, so rows that are equal
+    or have a null doc_id are dealt out like any others."""
+    spark, columns = found.sparkSession, found.columns
+    found = cut(found.withColumn("_row", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if any(not 0 < k <= capacity for k in histogram):
         raise ValueError("a piece's length must be from 1 to the capacity")
@@ -131,13 +131,13 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return pd.DataFrame({"sequence_id": row[:, 3] + nth // row[:, 2], "offset": row[:, 4] + nth % row[:, 2] * row[:, 0]})
 
     salts = sum(histogram.values()) // RANKED + 1
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    sizes = found.select("length", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).alias("_salt")).groupBy("length", "_salt").agg(F.count("*").alias("n"))
+    salted = found.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)))
+    sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
     before = sizes.select(F.col("length").alias("_length"), F.col("_salt").alias("_of"), (F.sum("n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("n")).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    nth = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_row")) - 1
     ranked = salted.withColumn("_nth", nth).join(before, (F.col("length") == F.col("_length")) & (F.col("_salt") == F.col("_of")))
     placed = ranked.withColumn("_place", place.asNondeterministic()("length", F.col("_before") + F.col("_nth")))
-    return placed.select(*found.columns, "_place.sequence_id", "_place.offset")
+    return placed.select(*columns, "_place.sequence_id", "_place.offset")
 
 
 def report(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -145,12 +145,12 @@ def report(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
     Repeated rows and rows with a null doc_id are documents of their own; an empty table gives no pieces.
     """
-    return pack(cut(pieces(docs, tokenizer, capacity)), capacity)
+    return pack(pieces(docs, tokenizer, capacity), capacity)
 
 
 def sequences(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """The packed sequences: sequence_id, n_tokens, doc_ids and ids, at most `capacity` ids in each."""
-    packed = pack(cut(pieces(docs, tokenizer, capacity, with_ids=True)), capacity)
+    packed = pack(pieces(docs, tokenizer, capacity, with_ids=True), capacity)
     parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids")))
     grouped = packed.groupBy("sequence_id").agg(parts.alias("parts"))
     ids = F.flatten(F.transform("parts", lambda p: p["ids"]))

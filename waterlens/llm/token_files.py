@@ -15,8 +15,6 @@ from .token_encoding import default_path, encoder
 
 END_ID = 1
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
-#: Ids of one Arrow batch that goes back to Spark, at least one document.
-BATCH_IDS = 1 << 20
 #: Parts whose totals are broadcast; past it they are joined by a shuffle.
 BROADCAST_PARTS = 100_000
 
@@ -32,30 +30,14 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, part, before = encoder(vocabulary), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<u4").tobytes()
-
-        def batch(rows):
-            ids, sizes, blobs = zip(*rows, strict=True)
-            ends = np.cumsum(sizes)
-            values = pa.array(np.frombuffer(b"".join(blobs), dtype="<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), type=pa.int32()), values)
-            starts = before + ends - sizes
-            return pa.RecordBatch.from_arrays([
-                pa.array(ids, type=pa.int64()), pa.array([part] * len(ids), type=pa.int32()), pa.array(starts, type=pa.int64()), pa.array(sizes, type=pa.int64()), lists,
-            ], names=["doc_id", "part", "part_start", "n_tokens", "ids"]), int(ends[-1])
-
-        rows, held = [], 0
-        for given in batches:
-            for doc, text in zip(given.column(0).to_pylist(), given.column(1), strict=True):
-                blob = known.encode(text.as_py() or "") + end
-                rows.append((doc, len(blob) // 4, blob))
-                held += len(blob) // 4
-                if held >= BATCH_IDS:
-                    out, n = batch(rows)
-                    yield out
-                    rows, held, before = [], 0, before + n
-        if rows:
-            yield batch(rows)[0]
+        for batch in batches:
+            for first, ids, sizes in known.slices(batch.column(1), end_id):
+                ends = np.cumsum(sizes)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), type=pa.int32()), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0)[first : first + len(sizes)].cast(pa.int64()), pa.array(np.full(len(sizes), part, dtype=np.int32)), pa.array(before + ends - sizes), pa.array(sizes), lists,
+                ], names=["doc_id", "part", "part_start", "n_tokens", "ids"])
+                before += int(ends[-1])
 
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     files = ordered.select("doc_id", "text").mapInArrow(encode, SCHEMA)
