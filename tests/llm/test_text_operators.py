@@ -110,11 +110,22 @@ def test_leaks_are_dropped_or_cut(spark):
         kept = decontaminate.decontaminate(given, bench, "documents", broadcast_chars=limit)
         assert kept.columns == given.columns
         assert Counter(r["doc_id"] for r in kept.collect()) == Counter([2, 4, 900, 901, 902, None])
-    cut = decontaminate.decontaminate(given, bench, "spans")
-    assert cut.columns == given.columns and cut.count() == given.count()
-    texts = {r["doc_id"]: r["text"] for r in cut.collect()}
-    assert texts[1] == "a  " or texts[1].replace(" ", "") == "a"
-    assert texts[0] == "x  y" and texts[2] == TEXTS[2] and texts[900] is None and texts[902] == LONG
+        cut = decontaminate.decontaminate(given, bench, "spans", broadcast_chars=limit)
+        assert cut.columns == given.columns and cut.count() == given.count()
+        texts = {r["doc_id"]: r["text"] for r in cut.collect()}
+        assert texts[1] == "a  " or texts[1].replace(" ", "") == "a"
+        assert texts[0] == "x  y" and texts[2] == TEXTS[2] and texts[900] is None and texts[902] == LONG
+        marked = decontaminate.annotate(given, bench, broadcast_chars=limit)
+        assert sorted(marked.columns) == sorted(given.columns) and marked.where("leak.n_words = 0").count() == 2
+
+
+def test_rows_are_judged_one_by_one_on_both_sides_of_the_limit(spark):
+    rows = [(1, "clean words only"), (1, TEXTS[0]), (None, TEXTS[0]), (None, "clean as well"), (2, None)]
+    given, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(ITEMS, "item_id long, text string")
+    for limit in (decontaminate.BROADCAST_CHARS, 0):
+        kept = decontaminate.decontaminate(given, bench, broadcast_chars=limit).collect()
+        assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([rows[0], rows[3], rows[4]])
+        assert decontaminate.report(given, bench.where("false"), broadcast_chars=-1 if limit == 0 else limit).where("n_hit = 0 AND n_words >= 0").count() == 5
 
 
 # -- secrets

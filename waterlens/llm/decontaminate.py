@@ -1,7 +1,8 @@
 """Benchmark decontamination: document word windows against a hash set of normalised benchmark windows.
 
-The set is broadcast while the benchmark is under a checked size; past it the same windows meet in a shuffled join.
-Each document is scanned alone, so one hot source or group of copies costs what its rows cost and nothing is shuffled.
+The set is broadcast while the benchmark is under a checked size; past it hashes of the same windows meet in a shuffled
+join. Both ways verify a hit word by word and give the same rows. By broadcast each document is scanned alone, so one hot
+source or group of copies costs what its rows cost and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WINDOW = 10
 #: Largest benchmark, in characters, whose windows are broadcast.
-BROADCAST_CHARS = 32_000_000
+BROADCAST_CHARS = 4_000_000
 #: A word: ASCII letters (lower-cased), digits and everything beyond ASCII.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -99,60 +102,86 @@ def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _fits(benchmark: DataFrame, limit: int) -> bool:
-    size = benchmark.agg(F.sum(F.length("text") + F.lit(16)).alias("n")).first()["n"]
-    return (size or 0) <= limit
+def _leak(text: str | None, n: int, hit: np.ndarray | None, items: list[int]) -> tuple:
+    if hit is None:
+        return n, 0, items, []
+    return n, int(hit.sum()), items, [{"start": a, "end": b} for a, b in spans(text, hit)]
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """`docs` with a struct column `leak` (n_words, n_hit, item_ids, spans) from a broadcast window set."""
-    spark = docs.sparkSession
+def _by_broadcast(rows: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """`rows` (_kept, _text) with the column leak, from a broadcast window set."""
     items = [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").collect()]
-    index = spark.sparkContext.broadcast(WindowIndex(items, window))
+    index = rows.sparkSession.sparkContext.broadcast(WindowIndex(items, window))
 
     @F.pandas_udf(RESULT)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = index.value
         for texts in batches:
-            rows = []
-            for text in texts:
-                n, hit, found = known.hits(text)
-                rows.append((n, 0, [], []) if hit is None else (n, int(hit.sum()), found, [{"start": a, "end": b} for a, b in spans(text, hit)]))
-            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "item_ids", "spans"])
+            yield pd.DataFrame([_leak(text, *known.hits(text)) for text in texts], columns=["n_words", "n_hit", "item_ids", "spans"])
 
-    return docs.withColumn("leak", scan.asNondeterministic()(F.col("text")))
+    return rows.withColumn("leak", scan.asNondeterministic()("_text"))
 
 
-def _report_by_join(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """The same report for a benchmark too large to broadcast: windows of both sides meet in a shuffled join.
+def _by_join(rows: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """`rows` (_kept, _text) with the column leak, for a benchmark too large to broadcast.
 
-    Only (row, position, size) travels with a document window's 64-bit hash; the hit is verified on the words.
+    Of each document window only (row, position, size, hash) is shuffled; what meets a benchmark window of that hash is
+    verified on the words of the text. A window that very many documents share is a skewed key of an inner join, which
+    adaptive execution splits.
     """
-    from .common import cut
 
     def tokens(column):
-        return F.filter(F.split(F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+        lower = F.translate(F.coalesce(column, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        return F.filter(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
     def windows(df, size):
-        many = F.sequence(F.lit(1), F.size("w") - size + 1)
-        return df.where(F.size("w") >= size).withColumn("at", F.explode(many)).select(*[c for c in df.columns if c != "w"], "at", size.alias("size"), F.array_join(F.slice("w", F.col("at"), size), " ").alias("gram"))
-
-    item = benchmark.select("item_id", tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
-    grams = windows(item, F.least(F.size("w"), F.lit(window))).groupBy("size", "gram").agg(F.collect_set("item_id").alias("items"))
-    grams = cut(grams)
-    rows = cut(docs.select("doc_id", "text").withColumn("row", F.expr("uuid()")))
-    text = rows.select("row", tokens(F.col("text")).alias("w"))
-    hit = None
-    for size in [r["size"] for r in grams.select("size").distinct().collect()]:  # at most `window` sizes
-        part = windows(text, F.lit(size)).join(grams.where(F.col("size") == size).select("gram", "items"), "gram").select("row", "at", "items", F.lit(size).alias("size"))
-        hit = part if hit is None else hit.unionByName(part)
-    base = rows.select("row", "doc_id", F.coalesce(F.size(tokens(F.col("text"))), F.lit(0)).cast("long").alias("n_words"))
-    if hit is None:
-        return base.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<long>").alias("item_ids"))
-    hit = cut(hit)
-    count = hit.select("row", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("word")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-    found = hit.select("row", F.explode("items").alias("item")).distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("item_ids"))
-    return base.join(count, "row", "left").join(found, "row", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"))
+        places = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("w", i, size)).alias("hash")))
+        return df.where(F.size("w") >= size).withColumn("_p", F.explode(places)).select("*", "_p.at", "_p.hash").drop("_p")
+
+    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+    item = benchmark.select("item_id", tokens(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("size", F.least(F.size("w"), F.lit(window)))
+    grams = windows(item, F.col("size")).select("size", "hash", F.slice("w", F.col("at"), F.col("size")).alias("gram"), "item_id")
+    grams = cut(grams.groupBy("size", "hash", "gram").agg(F.collect_set("item_id").alias("items")))
+    sizes = [r["size"] for r in grams.select("size").distinct().collect()]  # at most `window`
+    words_of = rows.select("_row", tokens(F.col("_text")).alias("w"))
+    asked = windows(words_of.withColumn("size", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))), F.col("size")).select("_row", "at", "size", "hash")
+    hits = asked.join(grams, ["size", "hash"]).join(words_of, "_row").where(F.slice("w", F.col("at"), F.col("size")) == F.col("gram"))
+    hits = cut(hits.select("_row", "at", "size", "items"))
+    places = hits.groupBy("_row").agg(F.collect_set(F.struct("at", "size")).alias("_places"))
+    items = hits.select("_row", F.explode_outer("items").alias("item")).groupBy("_row").agg(F.sort_array(F.collect_set("item")).alias("_items"))
+
+    @F.pandas_udf(RESULT)
+    def mark(texts: pd.Series, places: pd.Series, items: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, found, named in zip(texts, places, items, strict=True):
+            n, hit = len(words(text)), None
+            if found is not None:
+                edges = np.zeros(n + 1, dtype=np.int64)
+                for place in found:
+                    edges[place["at"] - 1] += 1
+                    edges[place["at"] - 1 + place["size"]] -= 1
+                hit = np.cumsum(edges[:-1]) > 0
+            out.append(_leak(text, n, hit, [] if named is None else list(named)))
+        return pd.DataFrame(out, columns=["n_words", "n_hit", "item_ids", "spans"])
+
+    found = rows.join(places, "_row", "left").join(items, "_row", "left")
+    return found.withColumn("leak", mark.asNondeterministic()("_text", "_places", "_items")).select("_kept", "_text", "leak")
+
+
+def _fits(benchmark: DataFrame, limit: int) -> bool:
+    size = benchmark.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + F.lit(16)).alias("n")).first()["n"]
+    return (size or 0) <= limit
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int, broadcast_chars: int) -> DataFrame:
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_kept"), F.col("text").alias("_text"))
+    return (_by_broadcast if _fits(benchmark, broadcast_chars) else _by_join)(rows, benchmark, window)
+
+
+def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+    """`docs` with a struct column `leak` (n_words, n_hit, item_ids, spans); a column of that name is replaced."""
+    found = _marked(docs, benchmark, window, broadcast_chars)
+    return found.select(*[F.col(f"_kept.`{c}`") for c in docs.columns if c.lower() != "leak"], "leak")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
@@ -162,26 +191,19 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcas
     no hits, items without words have no windows, and an item with a null id marks words but is not listed. Repeated
     rows and items count as they come (ids once). An empty benchmark leaves every document clean.
     """
-    docs = docs.select("doc_id", "text")
-    if not _fits(benchmark, broadcast_chars):
-        return _report_by_join(docs, benchmark, window)
-    found = annotate(docs, benchmark, window)
+    found = annotate(docs.select("doc_id", "text"), benchmark, window, broadcast_chars)
     return found.select("doc_id", "leak.n_words", "leak.n_hit", "leak.item_ids")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "documents", window: int = WINDOW, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
-    """`docs` without leaked passages: action "documents" drops every document with a hit, "spans" cuts the hit words.
+    """`docs` without leaked passages: action "documents" drops every row with a hit, "spans" cuts the hit words.
 
-    All columns stay as they are. Documents without a hit, null texts among them, are returned unchanged.
+    All columns stay as they are. Rows without a hit, null texts among them, are returned unchanged; each row is judged
+    by its own text, whatever its doc_id.
     """
     if action not in ("documents", "spans"):
         raise ValueError(f"unknown action {action!r}")
-    if not _fits(benchmark, broadcast_chars):
-        if action == "spans":
-            raise ValueError("spans are cut only with a benchmark that can be broadcast; use documents")
-        leaked = _report_by_join(docs, benchmark, window).where("n_hit > 0").select("doc_id").distinct()
-        return docs.join(leaked, "doc_id", "left_anti")
-    marked = annotate(docs.withColumn("_kept", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("text", "_kept"), benchmark, window)
+    marked = _marked(docs, benchmark, window, broadcast_chars)
     if action == "documents":
         return marked.where("leak.n_hit = 0").select("_kept.*")
 
@@ -194,7 +216,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
 
         return pd.Series([one(t, c) for t, c in zip(texts, cuts, strict=True)], dtype=object)
 
-    return marked.select("_kept", without("text", "leak.spans").alias("_text")).select("_kept.*", "_text").select(*[F.col("_text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    marked = marked.select("_kept", without("_text", "leak.spans").alias("_text"))
+    return marked.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_kept.`{c}`") for c in docs.columns])
 
 
 def items_sha256(items) -> str:
