@@ -95,9 +95,11 @@ def _grouped(pairs):
 def test_tree_search_equals_a_scan():
     rng = np.random.default_rng(1)
     values = np.unique(rng.integers(0, 1 << 12, 300, dtype=np.uint64))
-    tree = simhash.BKTree(values)
+    tree = simhash.BKTree(values.tolist())
+    assert all((values[at].item() ^ values[child].item()).bit_count() == edge for at, children in enumerate(tree.children) for edge, child in children.items())
     for radius in (0, 1, 3):
         found = {(k, int(q)) for k, near in tree.within(values, radius) for q in near}
+        assert found == {(k, q) for q, value in enumerate(values.tolist()) for k in tree.near(value, radius)}
         assert found == {(a, b) for a in range(len(values)) for b in range(len(values)) if int(values[a] ^ values[b]).bit_count() <= radius}
 
 
@@ -181,6 +183,9 @@ def test_one_document_of_each_group_stays(spark, docs):
     groups = {r["group_id"] for r in simhash.similar_groups(given).collect()}
     assert {k for k in found if k is not None} == groups and all(n == 1 for k, n in found.items() if k is not None) and found[None] == 2
     assert simhash.deduplicate(given.where("false")).count() == 0
+    rows = [(7, "one text of seven", 1), (7, "another text of seven here", 2), (8, "words of eight", 3)]
+    picks = [simhash.deduplicate(spark.createDataFrame(some, "doc_id long, text string, n int").repartition(3)).collect() for some in (rows, rows[::-1])]
+    assert sorted(picks[0]) == sorted(picks[1]) and sorted(r["doc_id"] for r in picks[0]) == [7, 8]
 
 
 # -- search
@@ -189,7 +194,7 @@ def test_one_document_of_each_group_stays(spark, docs):
 def plain_search(rows, k=20, every=20):
     usable = {}
     for n, (vec, values) in enumerate(rows):
-        if vec is not None and values and all(x is not None and np.isfinite(x) and abs(x) * 64 < 1 << 26 for x in values):
+        if vec is not None and values and all(x is not None and np.isfinite(x) for x in values):
             usable[n] = vec, [int(np.floor(64 * float(x))) for x in values]
     out = []
     for vec, q in {(v, tuple(q)) for v, q in usable.values() if v % every == 0}:
@@ -200,7 +205,7 @@ def plain_search(rows, k=20, every=20):
 
 def test_search_equals_a_loop(spark):
     rows = [(r["vec_id"], list(r["embedding"])) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
-    rows += [(1000, None), (1020, [None] * 64), (1040, [float("nan")] * 64), (1060, [float("inf")] + [0.0] * 63), (None, [0.1] * 64), (1080, [0.5, 0.25]), (1081, [0.5, -0.25]), (1100, []), (1120, [1e7] * 64)]
+    rows += [(1000, None), (1020, [None] * 64), (1040, [float("nan")] * 64), (1060, [float("inf")] + [0.0] * 63), (None, [0.1] * 64), (1080, [0.5, 0.25]), (1081, [0.5, -0.25]), (1100, []), (1120, [1e7] * 64), (1140, [0.25] * 64), (1140, [-0.25] * 64), (1140, [0.25] * 64)]
     rows += [(2000 + k, rows[1][1]) for k in range(60)]
     given = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("kth", F.lit(1))
     for shard, block in ((topk_search.SHARD, topk_search.BLOCK), (97, 7)):
@@ -212,8 +217,14 @@ def test_search_equals_a_loop(spark):
 def test_large_components_stay_exact(spark):
     rng = random.Random(2)
     rows = [(k, [rng.uniform(-900_000, 900_000) for _ in range(8)]) for k in range(60)]
-    found = topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == plain_search(rows)
+    rows += [(100, [float(1 << 21), 1.0]), (101, [1.5, 2.0]), (120, [1.0, 0.5]), (121, [-float(1 << 40), 2.0])] + [(200 + k, [k * 1e-3, 1.0]) for k in range(30)]
+    given = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard, block in ((topk_search.SHARD, topk_search.BLOCK), (7, 3)):
+        found = topk_search.search(given, shard=shard, block=block).collect()
+        assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == plain_search(rows)
+    assert next(r["vec_id"] for r in found if r["query_id"] == 120 and r["rank"] == 1) == 100
+    with pytest.raises(Exception, match="passes a long"):
+        topk_search.search(given.union(spark.createDataFrame([(300, [1e12, 1e12])], given.schema)).where("vec_id IN (100, 300)")).collect()
 
 
 # -- chats

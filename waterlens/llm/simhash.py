@@ -13,7 +13,7 @@ sketches are candidates, and each candidate is verified on the shingles of both
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,8 +31,8 @@ RADIUS = 2
 SHINGLE = 3
 SEED = 42
 _BLOCK = 16
-#: Rows of a shard up to which all its pairs are compared at once, without a tree.
-SMALL = 16
+#: Fingerprints of a shard up to which each is sought in the tree of those before it; past it all descend together.
+TOGETHER = 64
 #: For `deduplicate`: tables of keys, min-hashes of a key, bits of a sketch (one of each min-hash), and rows of a shard up
 #: to which all its pairs are verified at once.
 TABLES = 20
@@ -102,26 +102,46 @@ def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 class BKTree:
-    """Values (rows of 64-bit words) by Hamming distance: a node's children are keyed by their distance to it."""
-
-    def __init__(self, values: np.ndarray):
-        self.values = values.reshape(len(values), -1)
-        self.children: list[dict[int, int]] = [{} for _ in values]
-        plain = [int.from_bytes(v.tobytes(), "little") for v in self.values]
-        for k in range(1, len(plain)):
-            value, at = plain[k], 0
-            while (child := self.children[at].get(d := (plain[at] ^ value).bit_count())) is not None:
-                at = child
-            self.children[at][d] = k
+    """Values by Hamming distance: a node's children are keyed by their distance to it, and a search follows only edges
+    whose distance differs from its own by no more than the radius."""
+
+    def __init__(self, values: Iterable[int] = ()):
+        self.values: list[int] = []
+        self.children: list[dict[int, int]] = []
+        for value in values:
+            self.insert(value)
+
+    def insert(self, value: int) -> None:
+        node = len(self.values)
+        self.values.append(value)
+        self.children.append({})
+        at = 0
+        while at < node:
+            d = (self.values[at] ^ value).bit_count()
+            child = self.children[at].get(d)
+            if child is None:
+                self.children[at][d] = node
+                return
+            at = child
+
+    def near(self, value: int, radius: int) -> Iterator[int]:
+        """The nodes within the radius of one value."""
+        stack = [0] if self.values else []
+        while stack:
+            at = stack.pop()
+            distance = (self.values[at] ^ value).bit_count()
+            if distance <= radius:
+                yield at
+            if self.children[at]:
+                stack += [child for edge, child in self.children[at].items() if -radius <= distance - edge <= radius]
 
     def within(self, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(node, positions of queries within the radius). All queries descend together, each along the edges whose
-        distance differs from its own by no more than the radius."""
-        queries = queries.reshape(len(queries), -1)
-        stack = [(0, np.arange(len(queries)))] if len(self.values) else []
+        """(node, positions of the 64-bit queries within the radius). All queries descend together, each along its own
+        edges."""
+        stack = [(0, np.arange(len(queries)))] if self.values else []
         while stack:
             at, rows = stack.pop()
-            distance = np.bitwise_count(queries[rows] ^ self.values[at]).sum(axis=1, dtype=np.int64)
+            distance = np.bitwise_count(queries[rows] ^ np.uint64(self.values[at])).astype(np.int64)
             near = rows[distance <= radius]
             if len(near):
                 yield at, near
@@ -131,26 +151,49 @@ class BKTree:
                     stack.append((child, follow))
 
 
-def star_forest(values: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, int]]:
+def _close_pairs(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
+    """Positions (later, earlier) of values within the radius: each is sought in the tree of those before it."""
+    if len(values) <= TOGETHER:
+        tree = BKTree()
+        for k, value in enumerate(values):
+            for node in tree.near(value, radius):
+                yield k, node
+            tree.insert(value)
+        return
+    for node, near in BKTree(values).within(np.array(values, dtype=np.uint64), radius):
+        for k in near[near > node].tolist():
+            yield k, node
+
+
+def star_forest(values: list[int], radius: int = RADIUS) -> Iterator[tuple[int, int]]:
     """Edges (position of a member, of the least member) of the components that links within the radius make."""
-    label = np.arange(len(values))
-    for node, near in BKTree(values).within(values, radius):
-        labels = np.unique(np.append(label[near], label[node]))
-        if len(labels) > 1:
-            label[np.isin(label, labels[1:])] = labels[0]
-    for k in np.flatnonzero(label != np.arange(len(values))):
-        yield int(k), int(label[k])
-
-
-def _pairs(keys: np.ndarray, rows: np.ndarray, small: np.ndarray, radius: int) -> Iterator[np.ndarray]:
-    """Pairs of ids within the radius in the shards of at most SMALL rows, all shards at once: a tree over so few is no
-    more than these comparisons. small: which rows belong to such shards."""
-    for gap in range(1, SMALL):
-        at = np.flatnonzero(small[gap:] & (keys[gap:] == keys[:-gap]))
-        if not len(at):
-            return
-        near = np.bitwise_count(rows[at + gap, 1:].view(np.uint64) ^ rows[at, 1:].view(np.uint64)).sum(axis=1, dtype=np.int64) <= radius
-        yield np.column_stack((rows[at + gap, 0], rows[at, 0]))[near]
+    parent = list(range(len(values)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    for a, b in _close_pairs(values, radius):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    for k in range(len(values)):
+        if (top := root(k)) != k:
+            yield k, top
+
+
+def _shards(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where shards of more than one row start and end."""
+    edges = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
+    many = np.flatnonzero(np.diff(edges) > 1)
+    return zip(edges[many].tolist(), edges[many + 1].tolist(), strict=True)
+
+
+def _whole(rows: np.ndarray) -> list[int]:
+    """The words of each row as one unsigned integer."""
+    words = np.ascontiguousarray(rows).view(np.uint64).tolist()
+    return [w[0] if len(w) == 1 else w[0] << 64 | w[1] for w in words]
 
 
 def _whole_shards(work):
@@ -175,17 +218,14 @@ def _whole_shards(work):
 
 
 def _shard_edges(radius: int):
-    """A task over rows (key, id, words of the fingerprint) sorted by key: links of small shards, the star forest of
-    each larger one."""
+    """A task over rows (key, id, fingerprint) sorted by key: the star forest of each shard, by its BK-tree."""
 
     def edges(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
-        sizes = np.diff(starts)
-        found = list(_pairs(keys, rows, np.repeat(sizes <= SMALL, sizes), radius))
-        for k in np.flatnonzero(sizes > SMALL):
-            part = rows[starts[k] : starts[k + 1]]
-            forest = list(star_forest(np.ascontiguousarray(part[:, 1:]).view(np.uint64), radius))
-            found.append(part[np.array(forest, dtype=np.int64).reshape(-1, 2), 0])
+        found = []
+        for start, end in _shards(keys):
+            forest = list(star_forest(_whole(rows[start:end, 1:]), radius))
+            if forest:
+                found.append(rows[start:end][np.array(forest, dtype=np.int64), 0])
         out = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, k])) for k in (0, 1)], names=["u", "v"])
 
@@ -222,28 +262,32 @@ def _far(one: np.ndarray, others: np.ndarray) -> np.ndarray:
 def _first_candidates(radius: int):
     """A task over rows (key, id, words of the sketch): candidates (kind 0: u, v), both of which met in a shard.
 
-    Shards of few rows give all pairs within the radius. In a larger one each row is paired with the first row that
-    leads it, and if there is any such pair its rows (kind 1: id, key) are given for a second pass.
+    Shards of few rows give all pairs that their BK-tree finds within the radius. In a larger one the tree holds the rows
+    that no earlier one leads; every other row is paired with a leader, and if there is any such pair the shard's rows
+    (kind 1: id, key) are given for a second pass.
     """
 
     def work(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
-        sizes = np.diff(starts)
-        for found in _pairs(keys, rows, np.repeat(sizes <= FEW, sizes), radius):
-            yield _edge_batch(found[:, 0], found[:, 1], 0)
-        for k in np.flatnonzero(sizes > FEW):
-            part = rows[starts[k] : starts[k + 1]]
-            words = np.ascontiguousarray(part[:, 1:]).view(np.uint64)
-            left, any_found = np.arange(len(part)), False
-            while len(left) > 1:
-                lead, left = left[0], left[1:]
-                near = _far(words[lead], words[left]) <= radius
-                if near.any():
-                    any_found = True
-                    yield _edge_batch(part[left[near], 0], np.full(int(near.sum()), part[lead, 0]), 0)
-                    left = left[~near]
-            if any_found:
-                yield _edge_batch(part[:, 0], np.full(len(part), keys[starts[k]]), 1)
+        pairs, shards = [], []
+        for start, end in _shards(keys):
+            ids, values = rows[start:end, 0].tolist(), _whole(rows[start:end, 1:])
+            if end - start <= FEW:
+                pairs += [(ids[a], ids[b]) for a, b in _close_pairs(values, radius)]
+                continue
+            tree, leaders, before = BKTree(), [], len(pairs)
+            for row, value in zip(ids, values, strict=True):
+                node = next(tree.near(value, radius), None)
+                if node is None:
+                    tree.insert(value)
+                    leaders.append(row)
+                else:
+                    pairs.append((row, leaders[node]))
+            if len(pairs) > before:
+                shards.append((start, end))
+        found = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+        yield _edge_batch(found[:, 0], found[:, 1], 0)
+        for start, end in shards:
+            yield _edge_batch(rows[start:end, 0], keys[start:end], 1)
 
     return _whole_shards(work)
 
@@ -361,8 +405,16 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -
 def deduplicate(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """`docs` with one row of each group of near duplicates: that of the smallest doc_id.
 
-    All columns stay. Repeated rows of that doc_id become one. Rows with a null doc_id cannot be named, so they stay.
+    All columns stay. Of several rows of that doc_id the one with the least hash of its doc_id and text stays. Rows with
+    a null doc_id cannot be named, so they stay. Only the ids of what goes are joined with the rows.
     """
-    kept = similar_groups(docs, similarity, shingle).where("doc_id = group_id").select("doc_id")
-    rows = docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id IS NULL"))
+    groups = cut(similar_groups(docs, similarity, shingle))
+    repeated = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")))
+    losing = groups.where("doc_id <> group_id").select(F.col("doc_id").alias("_id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_kept"), F.col("doc_id").alias("_doc"))
+    rows = rows.join(losing, F.col("_doc") == F.col("_id"), "left_anti")
+    if not repeated.isEmpty():
+        named = F.col("_doc") == F.col("_id")
+        one = rows.join(repeated, named, "left_semi").groupBy("_doc").agg(F.min_by("_kept", F.xxhash64(F.col("_kept.doc_id"), F.col("_kept.text"))).alias("_kept"))
+        rows = rows.join(repeated, named, "left_anti").select("_kept").union(one.select("_kept"))
+    return rows.select("_kept.*")

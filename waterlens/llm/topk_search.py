@@ -23,9 +23,10 @@ SCALE = 64
 SHARD = 16_384
 BLOCK = 8_192
 LEAF = 512
-#: Components from this magnitude on take no part: sums of their products could pass a long.
-LARGEST = 1 << 26
-FOUND = "query_id long, vec_id long, score long"
+#: Norms up to which inner products are exact in doubles, so that a tree may be used.
+FINE = 2.0**26
+FOUND = "query_id long, variant long, vec_id long, score long"
+_NO_BOUND = -(1 << 63)
 
 
 class BallTree:
@@ -103,9 +104,11 @@ def top(found: list[np.ndarray], k: int) -> list[np.ndarray]:
 
 
 def quantised(embedding: Column) -> Column:
-    """floor(64 * x) of each component as double; null for a vector that takes no part."""
-    whole = F.transform(embedding, lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
-    fine = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * SCALE < LARGEST))
+    """floor(64 * x) of each component, whole numbers as doubles; null for a vector that takes no part: a null one, or one
+    with a null or non-finite component."""
+    scaled = F.transform(embedding, lambda x: x.cast("double") * SCALE)  # doubles from 2^53 on are whole as they are
+    whole = F.transform(scaled, lambda x: F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x))
+    fine = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     return F.when(embedding.isNotNull() & fine, whole)
 
 
@@ -113,31 +116,39 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64).reshape(len(column), -1)
 
 
-def _exact(*matrices: np.ndarray) -> bool:
-    """Whether inner products are exact in doubles."""
-    sizes = [float(np.sqrt((m * m).sum(axis=1)).max()) if m.size else 0.0 for m in matrices]
-    return sizes[0] * sizes[1] < 2.0**52
+def _exact_top(own: int, query: np.ndarray, ids: np.ndarray, rows: np.ndarray, kth: int, k: int) -> list[tuple[int, int]]:
+    """(-score, vec_id) of a query's k best rows, in Python integers."""
+    if not (np.isfinite(query).all() and np.isfinite(rows).all()):
+        raise OverflowError("a component passes the range of doubles when quantised")
+    whole = [int(x) for x in query]
+    scored = ((-sum(a * int(b) for a, b in zip(whole, row, strict=True)), int(vec)) for vec, row in zip(ids, rows, strict=True) if vec != own)
+    best = heapq.nsmallest(k, (s for s in scored if -s[0] >= kth))
+    if any(not -(1 << 63) <= -score < 1 << 63 for score, _ in best):
+        raise OverflowError("a score passes a long")
+    return best
 
 
 def _search(k: int):
     def task(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         if not len(queries) or not len(vectors):
-            return empty
+            return pd.DataFrame({"query_id": [], "variant": [], "vec_id": [], "score": []}, dtype="int64")
         own, ids = queries["vec_id"].to_numpy(np.int64), vectors["vec_id"].to_numpy(np.int64)
         q, v = _matrix(queries["v"]), _matrix(vectors["v"])
-        kth = queries["kth"].fillna(-np.inf).to_numpy(np.float64)
-        if _exact(q, v):
-            at, found, score = BallTree(ids, v).search(own, q, kth, k)
-        else:  # integers, without a tree: doubles would round
-            q, v = (np.array(c.tolist(), dtype=np.int64) for c in (queries["v"], vectors["v"]))
-            parts = []
-            for a in range(len(q)):
-                scores = v @ q[a]
-                some = np.flatnonzero((ids != own[a]) & (scores >= kth[a]))
-                parts.append(top([np.full(len(some), a), ids[some], scores[some]], k))
-            at, found, score = (np.concatenate([p[n] for p in parts]) for n in range(3))
-        return pd.DataFrame({"query_id": own[at], "vec_id": found, "score": score})
+        kth = queries["kth"].to_numpy(np.int64)
+        with np.errstate(over="ignore"):
+            fine_q, fine_v = (np.sqrt((m * m).sum(axis=1)) < FINE for m in (q, v))
+        asked = np.flatnonzero(fine_q)
+        at, found, score = BallTree(ids[fine_v], v[fine_v]).search(own[asked], q[asked], kth[asked], k)
+        parts = [(asked[at], found, score)]
+        for a in range(len(q)):  # doubles would round
+            some = np.flatnonzero(~fine_v) if fine_q[a] else np.arange(len(v))
+            if len(some):
+                best = _exact_top(int(own[a]), q[a], ids[some], v[some], int(kth[a]), k)
+                parts.append((np.full(len(best), a), np.array([i for _, i in best], dtype=np.int64), np.array([-s for s, _ in best], dtype=np.int64)))
+        at, found, score = (np.concatenate([p[n] for p in parts]).astype(np.int64) for n in range(3))
+        if len(parts) > 1:
+            at, found, score = top([at, found, score], k)
+        return pd.DataFrame({"query_id": own[at], "variant": queries["variant"].to_numpy(np.int64)[at], "vec_id": found, "score": score})
 
     return task
 
@@ -145,32 +156,34 @@ def _search(k: int):
 def search(vectors: DataFrame, k: int = K, every: int = 20, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by `every`, its k best other rows.
 
-    Scores are inner products of quantised vectors, ties go to the smaller vec_id. Null vectors, vectors with a null,
-    non-finite or huge component (64 x from 2^26 on) and rows with a null vec_id take no part; a vector meets only
-    those of its own length; repeated vec_ids as candidates count once per row, and a query's own id is none of its
-    candidates. Empty tables give no rows.
+    Scores are inner products of quantised vectors, ties go to the smaller vec_id. Null vectors, vectors with a null or
+    non-finite component and rows with a null vec_id take no part; a vector meets only those of its own length; repeated
+    vec_ids as candidates count once per row, and a query's own id is none of its candidates. Different vectors of one
+    vec_id are queries of their own, equal ones a single one. Large components are multiplied as integers; an
+    OverflowError says that a score among the k best passes a long. Empty tables give no rows.
     """
     rows = vectors.select("vec_id", quantised(F.col("embedding")).alias("v")).where(F.col("v").isNotNull() & F.col("vec_id").isNotNull() & (F.size("v") > 0)).withColumn("dim", F.size("v"))
     sizes = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
     shards, blocks = -(-sizes["n"] // shard) or 1, -(-sizes["q"] // block) or 1
     spread = F.xxhash64("vec_id", F.lit("shard"))
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int"))
+    queries = rows.where(F.col("vec_id") % every == 0).withColumn("variant", F.xxhash64("v")).dropDuplicates(["vec_id", "v"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int"))
     candidates = rows.withColumn("shard", F.pmod(spread, F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def meet(asked: DataFrame, given: DataFrame) -> DataFrame:
         given = given.select(*[F.col(c).alias(c) for c in ("vec_id", "v", "dim", "block", "shard")])  # columns of its own: both sides stem from one table
-        asked = asked.select(*[F.col(c).alias(c) for c in ("vec_id", "v", "dim", "block", "shard", "kth")])
+        asked = asked.select(*[F.col(c).alias(c) for c in ("vec_id", "variant", "v", "dim", "block", "shard", "kth")])
         return asked.groupBy("dim", "block", "shard").cogroup(given.groupBy("dim", "block", "shard")).applyInPandas(_search(k), FOUND)
 
     home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
-    first = queries.withColumn("shard", home).withColumn("kth", F.lit(None).cast("double"))
+    first = queries.withColumn("shard", home).withColumn("kth", F.lit(_NO_BOUND).cast("long"))
     found = cut(meet(first, candidates.where(F.col("shard") == home)))
     if shards > 1:
-        bounds = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("kth"))
+        bounds = found.groupBy("query_id", "variant").agg(F.when(F.count("*") >= k, F.min("score")).alias("_kth"))
         others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home)
-        again = queries.join(bounds, F.col("vec_id") == F.col("query_id"), "left").withColumn("shard", F.explode(others))
+        again = queries.join(bounds.withColumnRenamed("variant", "_of"), (F.col("vec_id") == F.col("query_id")) & (F.col("variant") == F.col("_of")), "left")
+        again = again.withColumn("kth", F.coalesce("_kth", F.lit(_NO_BOUND).cast("long"))).withColumn("shard", F.explode(others))
         found = found.union(meet(again, candidates.where(F.col("shard") != home)))
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
+    best = found.groupBy("query_id", "variant").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))
 
 
