@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -232,32 +234,149 @@ def test_ranks_put_frequent_grams_first_and_ties_by_key():
     assert keys.tolist() == sorted(map(code, counts), key=lambda c: (-next(v for g, v in counts.items() if code(g) == c), c))
 
 
+def test_language_equals_plain_loops(spark, docs):
+    """Profiles and out-of-place distances of the whole query, by loops over strings."""
+
+    def grams(text):
+        counts = Counter()
+        for word in re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in (text or "").lower())):
+            padded = f" {word} "
+            counts.update(word)
+            counts.update(padded[k : k + 2] for k in range(len(padded) - 1))
+            counts.update(padded[k : k + 3] for k in range(len(padded) - 2))
+        return counts
+
+    code = lambda g: sum(ord(c) << (21 * (len(g) - 1 - k)) for k, c in enumerate(g))
+    best = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))][:400]
+    rows = docs.collect()
+    learned = {}
+    for r in rows:
+        if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            learned.setdefault(r["lang"], Counter()).update(grams(r["text"]))
+    profiles = {lang: {g: k for k, g in enumerate(best(counts))} for lang, counts in learned.items()}
+    found = {r["doc_id"]: r for r in queries.op9_language_id(spark, SMALL).collect()}
+    assert len(found) == len(rows)
+    for r in rows:
+        own, got = best(grams(r["text"])), found[r["doc_id"]]
+        assert got["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        if not own:
+            assert (got["lang_pred"], got["score"]) == ("und", 0.0)
+            continue
+        distance = {lang: sum(min(abs(p[g] - k), 400) if g in p else 400 for k, g in enumerate(own)) for lang, p in profiles.items()}
+        lang = min(sorted(distance), key=distance.get)
+        assert got["lang_pred"] == lang and abs(got["score"] - (1 - distance[lang] / (400 * len(own)))) < 1e-12
+
+
+def test_clashing_columns_are_replaced(spark, docs):
+    given = docs.select("doc_id", "text", "lang").withColumns({c: F.lit(1) for c in ("lang_pred", "lang_score", "toxicity", "license_matches", "leak")})
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    named = language_id.predict(given, language_id.fit(given))
+    for found in (named, toxicity.score(given, toxicity.Model()), license_scan.scan(given), decontaminate.annotate(given, bench)):
+        assert sorted(found.columns) == sorted(given.columns)
+    assert named.where("lang_pred = '1'").count() == 0
+
+
 # -- toxicity
 
 
 def test_grammar_marks_what_governs_a_word():
     model = toxicity.Model(words={"idiot": 5.0})
-    kinds = lambda t: [toxicity.OUTPUTS[k] for c in model.clauses(t) for k, _ in c]
+    kinds = lambda t: [toxicity.OUTPUTS[k] for c in model.clauses(t) for _, k, _ in c]
     assert kinds("idiot") == ["plain"]
     assert kinds("you are an idiot") == ["directed"]
     assert kinds("not an idiot") == ["negated"]
     assert kinds("she said idiot. idiot") == ["reported", "plain"]
     assert kinds("he claimed you are not an idiot") == ["reported"]
     assert kinds("not. idiot") == ["plain"]
+    weights = lambda t: [(s, w) for c in model.clauses(t) for s, _, w in c]
+    assert weights("idiot idiot") == [("I", 5.0), ("I", 5.5)] and weights("an idiot, one more old idiot") == [("I", 5.0), ("I", 5.0)]
+    assert weights("kill") == [("H", 1.0)] and weights("i will surely kill") == [("H", 2.0)] and weights("will you kill") == [("H", 2.5)]
+    assert weights("never kill") == [("H", 0.0)] and weights("you idiot") == [("I", 5.5)] and weights("no idiot") == [("I", 4.0)]
 
 
 def test_composed_machine_equals_its_parts():
-    rng, symbols = random.Random(3), "LNRQTW"
-    a = toxicity.Transducer({("0", "N"): ("1", "W"), ("1", "L"): ("0", "Ln")})
-    b = toxicity.Transducer({("0", "R"): ("1", "W"), ("1", "Ln"): ("0", "Lr")})
-    both = a.compose(b, set(symbols))
-    for _ in range(50):
-        s, t, u = a.start, b.start, both.start
-        for x in (rng.choice(symbols) for _ in range(20)):
-            s, m = a.step(s, x)
-            t, y = b.step(t, m)
-            u, z = both.step(u, x)
-            assert y == z
+    rng, symbols = random.Random(3), sorted(toxicity.SYMBOLS)
+    parts = [toxicity.insult(), toxicity.threat(), toxicity.negation(), toxicity.reported_speech(), toxicity.target()]
+    machine = toxicity.grammar()
+    for _ in range(300):
+        states, state = [p.start for p in parts], machine.start
+        for given in (rng.choice(symbols) for _ in range(25)):
+            symbol, total = given, 0.0
+            for k, part in enumerate(parts):
+                states[k], symbol, weight = part.step(states[k], symbol)
+                total += weight
+            state, out, weight = machine.step(state, given)
+            assert (out, weight) == (symbol, total)
+
+
+def plain_toxicity(rows):
+    """Lexicon and features of (text, toxic) rows, by plain loops over the parts of the grammar."""
+    tokens = lambda t: re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n\"“”«»]", (t or "").lower())
+    seen, bad = Counter(), Counter()
+    for text, toxic in rows:
+        words = {t for t in tokens(text) if len(t) > 1}
+        entries = {("w", t) for t in words} | {("s", t[:k]) for t in words for k in (3, 4, 5, 6, 7, 8) if len(t) > k}
+        seen.update(entries)
+        bad.update(entries if toxic else [])
+    base = sum(t for _, t in rows) / len(rows)
+    odds = {}
+    for e, n in seen.items():
+        x, y = bad[e] + 0.5, n - bad[e] + 0.5
+        odds[e] = math.log(x / y) - math.log(base / (1 - base)) - math.sqrt(1 / x + 1 / y)
+    lexicon = {e: w for e, w in odds.items() if bad[e] >= 3 and w >= 2.0}
+    parts = [toxicity.insult(), toxicity.threat(), toxicity.negation(), toxicity.reported_speech(), toxicity.target()]
+
+    def features(text):
+        clauses, states, found = [], [p.start for p in parts], []
+        for token in [*tokens(text), "."]:
+            if token in ".!?;:\n":
+                clauses, states, found = [*clauses, found], [p.start for p in parts], []
+                continue
+            weight = max([lexicon.get(("w", token), 0.0)] + [lexicon.get(("s", token[:k]), 0.0) for k in (3, 4, 5, 6, 7, 8) if len(token) > k])
+            groups = ((toxicity.THREATS, "H"), (toxicity.NEGATIONS, "N"), (toxicity.TARGETS, "T"), (toxicity.REPORTS, "R"))
+            symbol = "H" if token in toxicity.THREATS else "I" if weight else "M" if token in toxicity.INTENTS else next((s for g, s in groups if token in g), "Q" if token in '"“”«»' else "W")
+            weight = max(weight, 1.0) if symbol == "H" else weight
+            kind, first = symbol, symbol
+            for k, part in enumerate(parts):
+                states[k], kind, more = part.step(states[k], kind)
+                weight += more
+            if first in "IH":
+                found.append((first, kind[1], max(weight, 0.0)))
+        sums = sorted((sum(w for _, _, w in c) for c in clauses), reverse=True) + [0.0, 0.0]
+        of = lambda test: math.log1p(sum(w for c in clauses for m in c for w in [m[2]] if test(m)))
+        return [sums[0], sums[1], math.log1p(sum(sums)), math.log1p(sum(x >= 3.0 for x in sums)), of(lambda m: m[0] == "H"), *[of(lambda m, g=g: m[1] == g) for g in "dnr"]]
+
+    return lexicon, features
+
+
+def test_toxicity_equals_plain_loops(spark, docs):
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = [(texts[d], t) for d, t in labels.items() if t is not None and d in texts and zlib.crc32(str(d).encode()) % 3 != 1]
+    lexicon, features = plain_toxicity(rows)
+    model = toxicity.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    got = {("w", k): w for k, w in model.words.items()} | {("s", k): w for k, w in model.stems.items()}
+    assert lexicon and got.keys() == lexicon.keys() and all(abs(got[e] - w) < 1e-9 for e, w in lexicon.items())
+    w = model.coefficients
+
+    def loss(w):
+        z = [w[0] + sum(a * b for a, b in zip(w[1:], features(t), strict=True)) for t, _ in rows]
+        ridge = 1e-3 * w[0] ** 2 + 0.5 * sum(x * x for x in w[1:])
+        return sum(math.log1p(math.exp(-abs(a))) + max(a, 0.0) - y * a for a, (_, y) in zip(z, rows, strict=True)) + 0.5 * ridge
+
+    least = loss(w)
+    for k in range(len(w)):
+        for step in (-1e-2, 1e-2):
+            other = list(w)
+            other[k] += step
+            if not (0 < k < len(w) - 2 and other[k] < 0):
+                assert loss(other) > least - 1e-9
+    found = {r["doc_id"]: r for r in queries.op4_toxicity(spark, SMALL).collect()}
+    assert found.keys() == texts.keys()
+    for doc, text in texts.items():
+        score = 1 / (1 + math.exp(-max(-50.0, min(50.0, w[0] + sum(a * b for a, b in zip(w[1:], features(text), strict=True))))))
+        r = found[doc]
+        assert abs(r["score"] - score) < 1e-9 and r["held_out"] == (zlib.crc32(str(doc).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.7)
 
 
 def test_toxicity_is_learned_and_held_out(spark):

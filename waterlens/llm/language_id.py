@@ -90,7 +90,7 @@ def fit(docs: DataFrame, training_docs: int = TRAINING_DOCS, length: int = PROFI
     the driver receives a count and `length` grams of each language.
     """
     labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_crc("doc_id") % 5 != 0))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy("lang").collect()}
     part = max(training_docs / max(len(sizes), 1), LANGUAGE_DOCS)
     shares = [(lang, int(min(1.0, part / n) * 1_000_000) + 1) for lang, n in sizes.items()]
     shares = docs.sparkSession.createDataFrame(shares, "_lang string, _share int")
@@ -116,7 +116,8 @@ def fit(docs: DataFrame, training_docs: int = TRAINING_DOCS, length: int = PROFI
 def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """`docs` with columns lang_pred and lang_score (0 to 1: one less the distance as a share of the largest possible).
 
-    Null and empty texts and texts without a letter get `und` and 0, as do all if nothing was learned.
+    Columns of these names are replaced. Null and empty texts and texts without a letter get `und` and 0, as do all if
+    nothing was learned.
     """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
@@ -128,7 +129,8 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_kept")
     found = docs.select(kept, of.asNondeterministic()("text").alias("_found"))
-    return found.select(*[F.col(f"_kept.`{c}`") for c in docs.columns], F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("lang_score"))
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "lang_score")]
+    return found.select(*[F.col(f"_kept.`{c}`") for c in kept], F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("lang_score"))
 
 
 def report(docs: DataFrame) -> DataFrame:

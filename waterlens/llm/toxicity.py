@@ -1,9 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A lexical transducer maps words to symbols (insult, threat, target, negation, report); its insult entries and weights
-are learned from labels, the other word lists are given. Small transducers mark what negation and reported speech
-govern and what a target makes direct; they are composed into one machine that reads a clause once and emits weighted
-matches. A document's score is a logistic function of its clause matches, fitted on the same training rows.
+A lexical transducer maps words to weighted symbols (insult, threat, intent, target, negation, report); its insult
+entries and weights are learned from labels, the other word lists are given. Small transducers weigh insults that follow
+each other and threats that follow an intent, mark what negation and reported speech govern, and what a target makes
+direct. They are composed into one machine that reads a clause once and emits matches; a match weighs what its word and
+the arcs on its way weigh. A document's score is a logistic function of its clause matches, fitted on the same rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc
+from .common import cut, id_crc
 
 # Closed word lists of the grammar, in the languages it reads.
 TARGETS = frozenset("you your yours yourself he she they them him her these those people everyone tú usted ustedes vosotros du dich dir ihr euch sie tu toi vous eux".split())
@@ -28,6 +29,10 @@ NEGATIONS = frozenset("not no never none without isn't aren't wasn't don't doesn
 REPORTS = frozenset("said says saying told claimed claims quoted wrote reported called alleged dijo dice sagte sagt behauptete dit disait prétend".split())
 THREATS = frozenset("kill hurt destroy shoot stab burn beat hang murder matar morir töten sterben umbringen tuer mourir détruire".split())
 
+INTENTS = frozenset("will gonna going i'll we'll shall must should wants want werde werden muss voy vamos quiero vais va vais je vais".split())
+
+#: Weights of arcs: an insult soon after another, a threat after an intent, a match that is directed, negated or reported.
+AGAIN, INTENDED, DIRECTED, NEGATED, REPORTED = 0.5, 1.0, 0.5, -1.0, -0.5
 #: Bounds of the fit: labelled documents in expectation, entries of the learned lexicon.
 TRAINING_DOCS = 12_000
 LEXICON = 20_000
@@ -38,6 +43,7 @@ LEAST_WEIGHT = 2.0
 THREAT_WEIGHT = 1.0
 STRONG = 3.0
 THRESHOLD = 0.7
+_DRAWS = 1 << 40
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n\"“”«»]")
 _STOPS = frozenset(".!?;:\n")
 _QUOTES = frozenset("\"“”«»")
@@ -47,13 +53,14 @@ OUTPUTS = ("plain", "directed", "negated", "reported")
 
 @dataclass(frozen=True)
 class Transducer:
-    """A deterministic transducer: (state, symbol) to (next state, output symbol); missing arcs copy the symbol."""
+    """A deterministic weighted transducer: (state, symbol) to (next state, output symbol, weight). Missing arcs copy the
+    symbol and weigh nothing; weights add up along a path."""
 
-    arcs: dict[tuple[str, str], tuple[str, str]]
+    arcs: dict[tuple[str, str], tuple[str, str, float]]
     start: str = "0"
 
-    def step(self, state: str, symbol: str) -> tuple[str, str]:
-        return self.arcs.get((state, symbol), (state, symbol))
+    def step(self, state: str, symbol: str) -> tuple[str, str, float]:
+        return self.arcs.get((state, symbol), (state, symbol, 0.0))
 
     def compose(self, after: Transducer, alphabet: set[str]) -> Transducer:
         """The transducer that feeds this one's output to `after`; its states are the reachable pairs."""
@@ -62,36 +69,71 @@ class Transducer:
         while queue:
             a, b = queue.pop()
             for symbol in alphabet:
-                to, middle = self.step(a, symbol)
-                then, out = after.step(b, middle)
-                arcs[f"{a}|{b}", symbol] = f"{to}|{then}", out
+                to, middle, first = self.step(a, symbol)
+                then, out, second = after.step(b, middle)
+                arcs[f"{a}|{b}", symbol] = f"{to}|{then}", out, first + second
                 if f"{to}|{then}" not in seen:
                     seen.add(f"{to}|{then}")
                     queue.append((to, then))
         return Transducer(arcs, begin)
 
 
-def grammar() -> Transducer:
-    """Negation, then reported speech, then target: words are marked as they pass from one to the next.
+#: Symbols: I insult, H threat, M intent, N negation, R report verb, Q quote, T target, W other word. A loaded symbol is
+#: followed by what governs it: n negated, r reported, d directed, p none of them.
+SYMBOLS = frozenset("IHMNRQTW")
+_LOADED = "IH"
+_OTHER = "MNRQTW"
 
-    Symbols: L loaded word (insult or threat), N negation, R report verb, Q quote, T target, W other word. Negation and
-    report govern the next loaded word within two and six words; a quote opens and closes reported speech.
-    """
-    negation = {(s, "N"): ("2", "W") for s in ("0", "1", "2")} | {("2", "W"): ("1", "W"), ("1", "W"): ("0", "W"), ("2", "L"): ("0", "Ln"), ("1", "L"): ("0", "Ln")}
-    negation |= {("2", "T"): ("1", "T"), ("1", "T"): ("0", "T")}
-    report: dict[tuple[str, str], tuple[str, str]] = {("q", "Q"): ("0", "W"), ("q", "L"): ("q", "Lr"), ("q", "Ln"): ("q", "Lr")}
-    for s in ("0", *"123456"):
-        report |= {(s, "R"): ("6", "W"), (s, "Q"): ("q" if s != "0" else "0", "W")}
+
+def insult() -> Transducer:
+    """An insult within two symbols of another weighs more."""
+    arcs = {(s, "I"): ("2", "I", AGAIN if s != "0" else 0.0) for s in "012"}
+    arcs |= {(s, x): (str(int(s) - 1), x, 0.0) for s in "12" for x in "H" + _OTHER}
+    return Transducer(arcs)
+
+
+def threat() -> Transducer:
+    """A threat within three symbols of an intent weighs more; an intent is a plain word to what follows."""
+    arcs = {(s, "M"): ("3", "W", 0.0) for s in "0123"}
+    arcs |= {(s, "H"): ("0", "H", INTENDED) for s in "123"}
+    arcs |= {(s, x): (str(int(s) - 1), x, 0.0) for s in "123" for x in "INRQTW"}
+    return Transducer(arcs)
+
+
+def negation() -> Transducer:
+    """A negation governs the next loaded word within two words."""
+    arcs = {(s, "N"): ("2", "W", 0.0) for s in "012"}
+    arcs |= {(s, x): (str(int(s) - 1), x, 0.0) for s in "12" for x in "WT"}
+    return Transducer(arcs | {(s, x): ("0", x + "n", NEGATED) for s in "12" for x in _LOADED})
+
+
+def reported_speech() -> Transducer:
+    """A report verb governs the next loaded word within six words; a quote after it opens and closes its speech."""
+    arcs = {("q", "Q"): ("0", "W", 0.0)} | {("q", x + n): ("q", x + "r", REPORTED) for x in _LOADED for n in ("", "n")}
+    for s in "0123456":
+        arcs |= {(s, "R"): ("6", "W", 0.0), (s, "Q"): ("q" if s != "0" else "0", "W", 0.0)}
         if s != "0":
-            below = str(int(s) - 1)
-            report |= {(s, "W"): (below, "W"), (s, "T"): (below, "T"), (s, "L"): ("0", "Lr"), (s, "Ln"): ("0", "Lr")}
-    target = {(s, "T"): ("3", "W") for s in "0123"} | {("3", "W"): ("2", "W"), ("2", "W"): ("1", "W"), ("1", "W"): ("0", "W")}
-    target |= {(s, "L"): ("0", "Ld") for s in "123"} | {("0", "L"): ("0", "Lp")}
-    symbols = {"L", "N", "R", "Q", "T", "W"}
-    return Transducer(negation).compose(Transducer(report), symbols).compose(Transducer(target), symbols)
+            arcs |= {(s, x): (str(int(s) - 1), x, 0.0) for x in "WT"}
+            arcs |= {(s, x + n): ("0", x + "r", REPORTED) for x in _LOADED for n in ("", "n")}
+    return Transducer(arcs)
+
+
+def target() -> Transducer:
+    """What stands within three words of a target is directed at it."""
+    arcs = {(s, "T"): ("3", "W", 0.0) for s in "0123"} | {(s, "W"): (str(int(s) - 1), "W", 0.0) for s in "123"}
+    arcs |= {(s, x): ("0", x + "d", DIRECTED) for s in "123" for x in _LOADED}
+    return Transducer(arcs | {("0", x): ("0", x + "p", 0.0) for x in _LOADED})
+
+
+def grammar() -> Transducer:
+    """Insult, threat, negation, reported speech and target, composed in this order."""
+    machine = insult()
+    for after in (threat(), negation(), reported_speech(), target()):
+        machine = machine.compose(after, set(SYMBOLS))
+    return machine
 
 
-_NAMES = {"Lp": 0, "L": 0, "Ld": 1, "Ln": 2, "Lr": 3}
+_NAMES = {"p": 0, "d": 1, "n": 2, "r": 3}
 
 
 @dataclass
@@ -112,10 +154,12 @@ class Model:
         got = self._memo.get(word)
         if got is None:
             weight = max([self.words.get(word, 0.0), *[self.stems.get(word[:n], 0.0) for n in STEMS if len(word) > n]])
-            if weight:
-                got = "L", weight
-            elif word in THREATS:
-                got = "L", THREAT_WEIGHT
+            if word in THREATS:
+                got = "H", max(weight, THREAT_WEIGHT)
+            elif weight:
+                got = "I", weight
+            elif word in INTENTS:
+                got = "M", 0.0
             elif word in NEGATIONS:
                 got = "N", 0.0
             elif word in TARGETS:
@@ -127,8 +171,8 @@ class Model:
             self._memo[word] = got
         return got
 
-    def clauses(self, text: str | None) -> Iterator[list[tuple[int, float]]]:
-        """Each clause's matches: (what governs the word, its weight)."""
+    def clauses(self, text: str | None) -> Iterator[list[tuple[str, int, float]]]:
+        """Each clause's matches: (insult or threat, what governs the word, its weight, at least zero)."""
         state, found = self._start, []
         for token in _TOKEN.findall(text.lower() if text else ""):
             if token in _STOPS:
@@ -137,23 +181,24 @@ class Model:
                 state, found = self._start, []
                 continue
             symbol, weight = self.symbol(token)
-            state, out = self._arcs[state, symbol]
-            if symbol == "L":
-                found.append((_NAMES[out], weight))
+            state, out, more = self._arcs[state, symbol]
+            if symbol in _LOADED:
+                found.append((symbol, _NAMES[out[1]], max(weight + more, 0.0)))
         if found:
             yield found
 
     def features(self, text: str | None) -> np.ndarray:
         """Of the clause scores (sums of weights): the two largest, log(1 + sum), log(1 + number of strong ones); and
-        log(1 + sum of weights) of directed, negated and reported matches."""
-        scores, kinds = [], [0.0] * len(OUTPUTS)
+        log(1 + sum of weights) of threats, and of directed, negated and reported matches."""
+        scores, kinds, threats = [], [0.0] * len(OUTPUTS), 0.0
         for clause in self.clauses(text):
-            scores.append(sum(weight for _, weight in clause))
-            for kind, weight in clause:
+            scores.append(sum(weight for _, _, weight in clause))
+            for symbol, kind, weight in clause:
                 kinds[kind] += weight
+                threats += weight if symbol == "H" else 0.0
         first, second = (sorted(scores, reverse=True) + [0.0, 0.0])[:2]
         strong = sum(x >= STRONG for x in scores)
-        return np.array([first, second, math.log1p(sum(scores)), math.log1p(strong), *map(math.log1p, kinds[1:])])
+        return np.array([first, second, math.log1p(sum(scores)), math.log1p(strong), math.log1p(threats), *map(math.log1p, kinds[1:])])
 
     def score(self, text: str | None) -> float:
         if self.coefficients is None:
@@ -199,22 +244,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5, rounds: int =
 def _training(docs: DataFrame, labels: DataFrame, training_docs: int) -> DataFrame:
     """(text, toxic) of a bounded sample of labelled training rows, half of it toxic where there are enough.
 
-    A document's label is the largest of its non-null labels; crc32(doc_id as text) mod 3 = 1 is held out.
+    A document's label is the largest of its non-null labels; crc32(doc_id as text) mod 3 = 1 is held out. Of several
+    rows of one doc_id that of the least hash of its text takes part, so the sample holds `training_docs` rows in
+    expectation, whatever the tables hold; its ids are broadcast.
     """
     known = labels.where(F.col("toxic").isNotNull() & (id_crc("doc_id") % 3 != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r["toxic"]: r["n"] for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0)
-    for value in (0, 1):
-        part = min(1.0, training_docs / 2 / max(counts.get(value, 0), 1))
-        share = F.when((F.col("toxic") > 0).cast("int") == value, F.lit(int(part * 1_000_000) + 1)).otherwise(share)
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000)) < share)
-    sample = sample.select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-    return docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", "toxic")
+    known = known.select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = F.lit(0).cast("long")
+    for value, n in counts.items():
+        share = F.when(F.col("toxic") == value, F.lit(int(min(1.0, training_docs / 2 / n) * _DRAWS)).cast("long")).otherwise(share)
+    sample = known.where(F.pmod(F.xxhash64("_id", F.lit("toxic")), F.lit(_DRAWS)) < share)
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    return found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, training_docs: int = TRAINING_DOCS, lexicon: int = LEXICON) -> Model:
     """Learns the lexicon and the document model from labelled rows whose crc32 mod 3 is not 1."""
-    sample = _training(docs, labels, training_docs)
+    sample = cut(_training(docs, labels, training_docs))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, bad, docs_of = Counter(), Counter(), Counter()
@@ -258,7 +305,8 @@ def fit(docs: DataFrame, labels: DataFrame, training_docs: int = TRAINING_DOCS,
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with a column toxicity (0 to 1). Null and empty texts have no clauses and get the model's intercept."""
+    """`docs` with a column toxicity (0 to 1); a column of that name is replaced. Null and empty texts have no clauses and
+    get the model's intercept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -269,7 +317,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_kept")
     found = docs.select(kept, of.asNondeterministic()("text").alias("_score"))
-    return found.select(*[F.col(f"_kept.`{c}`") for c in docs.columns], F.col("_score").alias("toxicity"))
+    return found.select(*[F.col(f"_kept.`{c}`") for c in docs.columns if c.lower() != "toxicity"], F.col("_score").alias("toxicity"))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
