@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waterlens.operators.graph import components
@@ -33,12 +33,11 @@ SEED = 42
 _BLOCK = 16
 #: Fingerprints of a shard up to which each is sought in the tree of those before it; past it all descend together.
 TOGETHER = 64
-#: For `deduplicate`: tables of keys, min-hashes of a key, bits of a sketch (one of each min-hash), and rows of a shard up
-#: to which all its pairs are verified at once.
+#: For `deduplicate`: tables of keys, those of the first pass, min-hashes of a key, bits of a sketch (one of each min-hash).
 TABLES = 20
+FIRST = 6
 KEY = 6
 BITS = 128
-FEW = 4
 _CHUNK = 1 << 16
 
 
@@ -250,65 +249,73 @@ def radius_of(similarity: float, bits: int = BITS) -> int:
     return math.ceil(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
 
 
-def _edge_batch(u: np.ndarray, v: np.ndarray, kind: int) -> pa.RecordBatch:
-    columns = [np.ascontiguousarray(u), np.ascontiguousarray(v), np.full(len(u), kind, dtype=np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["u", "v", "kind"])
+def _batch(columns: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({name: pa.array(column, type=pa.int64()) for name, column in columns.items()})
 
 
-def _far(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(others ^ one).sum(axis=1, dtype=np.int64)
+def _leader_pairs(radius: int):
+    """A task over rows (key, id, words of the sketch) sorted by key: pairs (u, v) of each row and a row that leads it.
 
-
-def _first_candidates(radius: int):
-    """A task over rows (key, id, words of the sketch): candidates (kind 0: u, v), both of which met in a shard.
-
-    Shards of few rows give all pairs that their BK-tree finds within the radius. In a larger one the tree holds the rows
-    that no earlier one leads; every other row is paired with a leader, and if there is any such pair the shard's rows
-    (kind 1: id, key) are given for a second pass.
+    A shard's BK-tree holds the rows that no earlier one leads; every other row is paired with a leader within the radius.
     """
 
     def work(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        pairs, shards = [], []
+        u, v = [], []
         for start, end in _shards(keys):
-            ids, values = rows[start:end, 0].tolist(), _whole(rows[start:end, 1:])
-            if end - start <= FEW:
-                pairs += [(ids[a], ids[b]) for a, b in _close_pairs(values, radius)]
-                continue
-            tree, leaders, before = BKTree(), [], len(pairs)
-            for row, value in zip(ids, values, strict=True):
+            tree, leaders = BKTree(), []
+            for row, value in zip(rows[start:end, 0].tolist(), _whole(rows[start:end, 1:]), strict=True):
                 node = next(tree.near(value, radius), None)
                 if node is None:
                     tree.insert(value)
                     leaders.append(row)
                 else:
-                    pairs.append((row, leaders[node]))
-            if len(pairs) > before:
-                shards.append((start, end))
-        found = np.array(pairs, dtype=np.int64).reshape(-1, 2)
-        yield _edge_batch(found[:, 0], found[:, 1], 0)
-        for start, end in shards:
-            yield _edge_batch(rows[start:end, 0], keys[start:end], 1)
+                    u.append(row)
+                    v.append(leaders[node])
+        yield _batch({"u": u, "v": v})
 
     return _whole_shards(work)
 
 
-def _other_candidates(radius: int):
-    """A task over rows (key, id, label, words of the sketch): all pairs within the radius whose labels differ."""
+def _unlike_pairs(radius: int, every: bool):
+    """A task over rows (key, id, label, words of the sketch) sorted by key: pairs (u, v, more) within the radius whose
+    labels differ, found in the shard's BK-tree.
+
+    A row of a smaller label gives all its pairs (`every`), or only the closest one of each larger label. `more` is null
+    but in a row of its own for each shard that has further pairs, where it is the shard's key.
+    """
 
     def work(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
-        for start, end in zip(starts[:-1], starts[1:], strict=True):
-            part = rows[start:end]
-            labels, group, size = np.unique(part[:, 1], return_inverse=True, return_counts=True)
+        u, v, more = [], [], []
+        for start, end in _shards(keys):
+            labels, group, size = np.unique(rows[start:end, 1], return_inverse=True, return_counts=True)
             if len(labels) < 2:
                 continue
-            part = part[np.argsort(size[group], kind="stable")]
-            words = np.ascontiguousarray(part[:, 2:]).view(np.uint64)
-            last = int(np.flatnonzero(part[:, 1] != part[-1, 1])[-1])
-            for k in range(last + 1):  # what follows carries one label
-                near = (part[k + 1 :, 1] != part[k, 1]) & (_far(words[k], words[k + 1 :]) <= radius)
-                if near.any():
-                    yield _edge_batch(part[k + 1 :, 0][near], np.full(int(near.sum()), part[k, 0]), 0)
+            order = np.argsort(size[group], kind="stable")
+            part = rows[start:end][order]
+            rank, ids, values = group[order].tolist(), part[:, 0].tolist(), _whole(part[:, 2:])
+            tree, further = BKTree(values), False
+            for k in range(int(np.flatnonzero(group[order] != group[order[-1]])[-1]) + 1):  # what follows carries one label
+                best: dict[int, tuple[int, int]] = {}
+                for node in tree.near(values[k], radius):
+                    if node <= k or rank[node] == rank[k]:
+                        continue
+                    if every:
+                        u.append(ids[k])
+                        v.append(ids[node])
+                        more.append(None)
+                        continue
+                    found = (values[node] ^ values[k]).bit_count(), node
+                    further |= rank[node] in best
+                    best[rank[node]] = min(found, best.get(rank[node], found))
+                for _, node in best.values():
+                    u.append(ids[k])
+                    v.append(ids[node])
+                    more.append(None)
+            if further:
+                u.append(ids[0])
+                v.append(ids[0])
+                more.append(int(keys[start]))
+        yield _batch({"u": u, "v": v, "more": more})
 
     return _whole_shards(work)
 
@@ -340,23 +347,39 @@ def verified(edges: DataFrame, texts: DataFrame, similarity: float, shingle: int
 def similar_links(classes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Edges (u, v) between ids of `classes` (id, first_id, hi, lo, keys), every one verified.
 
-    What meets in a shard within the radius is verified or, in the end, joined by verified edges: a first pass verifies
-    stars, a second one all pairs of larger shards that these leave apart.
+    What meets in a shard within the radius is verified, or in the end joined by verified edges, in three passes. The
+    first takes FIRST tables and verifies one leader of each row. The second takes all tables and verifies the closest
+    pairs whose ends are still apart, the third all such pairs of the shards that had more than those.
     """
     radius = radius_of(similarity)
-    shards = classes.select(F.explode("keys").alias("key"), "id", "hi", "lo").repartition("key").sortWithinPartitions("key", "id")
-    met = cut(shards.mapInArrow(_first_candidates(radius), "u long, v long, kind int").distinct())
-    first, again = met.where("kind = 0").select("u", "v"), met.where("kind = 1").select(F.col("u").alias("id"), F.col("v").alias("key"))
-    nodes = first.select("u").union(first.select("v")).union(again.select("id")).distinct().withColumnRenamed("u", "id")
+
+    def sharded(rows: DataFrame, keys: Column, *columns: str) -> DataFrame:
+        return rows.select(F.explode(keys).alias("key"), "id", *columns, "hi", "lo").repartition("key").sortWithinPartitions("key", "id")
+
+    def labelled(edges: DataFrame) -> DataFrame:
+        label = components(edges).select(F.col("u").alias("_id"), F.col("v").alias("label"))
+        return cut(classes.join(label, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("label", "id").alias("label"), "hi", "lo", "keys"))
+
     name = F.pandas_udf(lambda texts: pd.Series([set_name(_set_hashes(t, shingle)) for t in texts], dtype="int64"), "long").asNondeterministic()
-    wanted = classes.join(nodes, "id").select("id", "first_id")
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("first_id")).select("id", "text")
-    texts = cut(texts.withColumn("_name", name("text")).where("_name = id").select("id", "text").dropDuplicates(["id"]))
-    edges = cut(verified(first, texts, similarity, shingle))
-    label = components(edges).select(F.col("u").alias("id"), F.col("v").alias("label"))
-    members = again.join(classes.select("id", "hi", "lo"), "id").join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"), "hi", "lo")
-    others = members.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_other_candidates(radius), "u long, v long, kind int").select("u", "v")
-    return edges.union(verified(others, texts, similarity, shingle))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        wanted = classes.join(pairs.select(F.col("u").alias("_id")).union(pairs.select("v")).distinct(), F.col("id") == F.col("_id")).select("id", "first_id")
+        texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("first_id")).select("id", "text")
+        texts = cut(texts.withColumn("_name", name("text")).where("_name = id").select("id", "text").dropDuplicates(["id"]))
+        return cut(verified(pairs, texts, similarity, shingle))
+
+    some = sharded(classes, F.slice("keys", 1, FIRST)).mapInArrow(_leader_pairs(radius), "u long, v long")
+    edges = checked(cut(some.groupBy("u").agg(F.min("v").alias("v"))))
+    unlike = "u long, v long, more long"
+    labels = labelled(edges)
+    closest = cut(sharded(labels, F.col("keys"), "label").mapInArrow(_unlike_pairs(radius, every=False), unlike).distinct())
+    edges = edges.union(checked(closest.where("more IS NULL").select("u", "v")))
+    left = closest.where("more IS NOT NULL").select(F.col("more").alias("_key")).distinct()
+    if left.isEmpty():
+        return edges
+    again = labelled(edges).select(F.explode("keys").alias("key"), "id", "label", "hi", "lo").join(left, F.col("key") == F.col("_key"), "left_semi")
+    others = again.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_unlike_pairs(radius, every=True), unlike)
+    return edges.union(checked(cut(others.select("u", "v").distinct())))
 
 
 def report(docs: DataFrame) -> DataFrame:
