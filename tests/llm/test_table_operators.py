@@ -157,11 +157,15 @@ def test_no_link_under_the_similarity_is_used(spark):
         for at in rng.sample(range(0, 300, 10), 1 + k % 7):
             copy[at] = word()
         texts[10_000 + k] = " ".join(copy)
-    group = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    given = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     similar = plain_similarities(texts)
     find = linked([p for p, j in similar.items() if j >= 0.8])
     assert sum(0.6 <= j < 0.8 for j in similar.values()) > 60
-    assert group == {d: find(d) for d in texts}
+    expected = {d: find(d) for d in texts}
+    assert {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(given, exhaustive=True).collect()} == expected
+    group = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(given).collect()}
+    assert all(expected[g] == expected[d] for d, g in group.items())  # never more than is similar
+    assert sum(group[d] == expected[d] for d in texts) / len(texts) > 0.97
 
 
 def test_recall_of_copies_with_a_fifth_appended(spark):

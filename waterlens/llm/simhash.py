@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waterlens.operators.graph import components
@@ -33,9 +33,8 @@ SEED = 42
 _BLOCK = 16
 #: Fingerprints of a shard up to which each is sought in the tree of those before it; past it all descend together.
 TOGETHER = 64
-#: For `deduplicate`: tables of keys, those of the first pass, min-hashes of a key, bits of a sketch (one of each min-hash).
+#: For `deduplicate`: tables of keys, min-hashes of a key, bits of a sketch (one of each min-hash).
 TABLES = 20
-FIRST = 6
 KEY = 6
 BITS = 128
 _CHUNK = 1 << 16
@@ -253,69 +252,71 @@ def _batch(columns: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({name: pa.array(column, type=pa.int64()) for name, column in columns.items()})
 
 
+def _middle(words: np.ndarray) -> int:
+    """The row closest to the majority of all rows' bits: in a group of copies, what they are copies of."""
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1)
+    return int(np.argmin((bits != (bits.sum(axis=0, dtype=np.int64) * 2 > len(words))).sum(axis=1)))
+
+
 def _leader_pairs(radius: int):
-    """A task over rows (key, id, words of the sketch) sorted by key: pairs (u, v) of each row and a row that leads it.
+    """A task over rows (key, id, words of the sketch) sorted by key: pairs (u, v, distance) of a row and its leader.
 
-    A shard's BK-tree holds the rows that no earlier one leads; every other row is paired with a leader within the radius.
+    A shard's leader is its middle row; those that its BK-tree finds within the radius follow it, and the rest is led in
+    the same way until no row leads another.
     """
 
     def work(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        u, v = [], []
+        u, v, distance = [], [], []
         for start, end in _shards(keys):
-            tree, leaders = BKTree(), []
-            for row, value in zip(rows[start:end, 0].tolist(), _whole(rows[start:end, 1:]), strict=True):
-                node = next(tree.near(value, radius), None)
-                if node is None:
-                    tree.insert(value)
-                    leaders.append(row)
-                else:
-                    u.append(row)
-                    v.append(leaders[node])
-        yield _batch({"u": u, "v": v})
+            ids, words = rows[start:end, 0].tolist(), np.ascontiguousarray(rows[start:end, 1:])
+            values = _whole(words)
+            tree, left = BKTree(values), np.arange(len(values))
+            while len(left) > 1:
+                lead = int(left[_middle(words[left])])
+                open_ = set(left.tolist()) - {lead}
+                near = [k for k in tree.near(values[lead], radius) if k in open_]
+                u += [ids[k] for k in near]
+                v += [ids[lead]] * len(near)
+                distance += [(values[k] ^ values[lead]).bit_count() for k in near]
+                left = np.array(sorted(open_.difference(near)), dtype=np.int64)
+                if not near:  # what is left lies apart from its middle: each row is sought once
+                    for k in left.tolist():
+                        for other in tree.near(values[k], radius):
+                            if other < k and other in open_:
+                                u.append(ids[k])
+                                v.append(ids[other])
+                                distance.append((values[k] ^ values[other]).bit_count())
+                                break
+                    break
+        yield _batch({"u": u, "v": v, "distance": distance})
 
     return _whole_shards(work)
 
 
 def _unlike_pairs(radius: int, every: bool):
-    """A task over rows (key, id, label, words of the sketch) sorted by key: pairs (u, v, more) within the radius whose
-    labels differ, found in the shard's BK-tree.
+    """A task over rows (key, id, label, tried, words of the sketch) sorted by key: pairs (u, v, distance) within the radius
+    whose labels differ, found in the shard's BK-tree.
 
-    A row of a smaller label gives all its pairs (`every`), or only the closest one of each larger label. `more` is null
-    but in a row of its own for each shard that has further pairs, where it is the shard's key.
+    A row of a smaller label gives its closest one but that which it was `tried` with, or `every` one.
     """
 
     def work(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        u, v, more = [], [], []
+        u, v, distance = [], [], []
         for start, end in _shards(keys):
             labels, group, size = np.unique(rows[start:end, 1], return_inverse=True, return_counts=True)
             if len(labels) < 2:
                 continue
             order = np.argsort(size[group], kind="stable")
             part = rows[start:end][order]
-            rank, ids, values = group[order].tolist(), part[:, 0].tolist(), _whole(part[:, 2:])
-            tree, further = BKTree(values), False
+            rank, ids, tried, values = group[order].tolist(), part[:, 0].tolist(), part[:, 2].tolist(), _whole(part[:, 3:])
+            tree = BKTree(values)
             for k in range(int(np.flatnonzero(group[order] != group[order[-1]])[-1]) + 1):  # what follows carries one label
-                best: dict[int, tuple[int, int]] = {}
-                for node in tree.near(values[k], radius):
-                    if node <= k or rank[node] == rank[k]:
-                        continue
-                    if every:
-                        u.append(ids[k])
-                        v.append(ids[node])
-                        more.append(None)
-                        continue
-                    found = (values[node] ^ values[k]).bit_count(), node
-                    further |= rank[node] in best
-                    best[rank[node]] = min(found, best.get(rank[node], found))
-                for _, node in best.values():
+                found = [((values[n] ^ values[k]).bit_count(), ids[n]) for n in tree.near(values[k], radius) if rank[n] != rank[k] and (every or ids[n] != tried[k])]
+                for far, other in found if every else [min(found)] if found else []:
                     u.append(ids[k])
-                    v.append(ids[node])
-                    more.append(None)
-            if further:
-                u.append(ids[0])
-                v.append(ids[0])
-                more.append(int(keys[start]))
-        yield _batch({"u": u, "v": v, "more": more})
+                    v.append(other)
+                    distance.append(far)
+        yield _batch({"u": u, "v": v, "distance": distance})
 
     return _whole_shards(work)
 
@@ -344,42 +345,44 @@ def verified(edges: DataFrame, texts: DataFrame, similarity: float, shingle: int
     return both.join(of("u", "left"), "u").join(of("v", "right"), "v").select("u", "v", "left", "right").mapInArrow(check, "u long, v long")
 
 
-def similar_links(classes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+def similar_links(classes: DataFrame, docs: DataFrame, similarity: float, shingle: int, exhaustive: bool = False) -> DataFrame:
     """Edges (u, v) between ids of `classes` (id, first_id, hi, lo, keys), every one verified.
 
-    What meets in a shard within the radius is verified, or in the end joined by verified edges, in three passes. The
-    first takes FIRST tables and verifies one leader of each row. The second takes all tables and verifies the closest
-    pairs whose ends are still apart, the third all such pairs of the shards that had more than those.
+    In a first pass each row is verified with the closest of its leaders in all shards, in a second one, if its component
+    is not that of all it meets, with the closest row of another component. So each pass verifies at most one pair a row,
+    however large a group is. An exhaustive search then verifies all pairs that meet within the radius and are still in
+    different components; its work grows with the square of a group whose members are not alike enough.
     """
     radius = radius_of(similarity)
+    pairs = "u long, v long, distance long"
 
-    def sharded(rows: DataFrame, keys: Column, *columns: str) -> DataFrame:
-        return rows.select(F.explode(keys).alias("key"), "id", *columns, "hi", "lo").repartition("key").sortWithinPartitions("key", "id")
+    def sharded(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.select(F.explode("keys").alias("key"), "id", *columns, "hi", "lo").repartition("key").sortWithinPartitions("key", "id")
 
-    def labelled(edges: DataFrame) -> DataFrame:
+    def closest(found: DataFrame) -> DataFrame:
+        return cut(found.groupBy("u").agg(F.min_by("v", F.struct("distance", "v")).alias("v")))
+
+    def labelled(edges: DataFrame, tried: DataFrame) -> DataFrame:
         label = components(edges).select(F.col("u").alias("_id"), F.col("v").alias("label"))
-        return cut(classes.join(label, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("label", "id").alias("label"), "hi", "lo", "keys"))
+        rows = classes.join(label, F.col("id") == F.col("_id"), "left").join(tried.select("u", F.col("v").alias("tried")), F.col("id") == F.col("u"), "left")
+        return cut(rows.select("id", F.coalesce("label", "id").alias("label"), F.coalesce("tried", "id").alias("tried"), "hi", "lo", "keys"))
 
     name = F.pandas_udf(lambda texts: pd.Series([set_name(_set_hashes(t, shingle)) for t in texts], dtype="int64"), "long").asNondeterministic()
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        wanted = classes.join(pairs.select(F.col("u").alias("_id")).union(pairs.select("v")).distinct(), F.col("id") == F.col("_id")).select("id", "first_id")
+    def checked(asked: DataFrame) -> DataFrame:
+        wanted = classes.join(asked.select(F.col("u").alias("_id")).union(asked.select("v")).distinct(), F.col("id") == F.col("_id")).select("id", "first_id")
         texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("first_id")).select("id", "text")
         texts = cut(texts.withColumn("_name", name("text")).where("_name = id").select("id", "text").dropDuplicates(["id"]))
-        return cut(verified(pairs, texts, similarity, shingle))
-
-    some = sharded(classes, F.slice("keys", 1, FIRST)).mapInArrow(_leader_pairs(radius), "u long, v long")
-    edges = checked(cut(some.groupBy("u").agg(F.min("v").alias("v"))))
-    unlike = "u long, v long, more long"
-    labels = labelled(edges)
-    closest = cut(sharded(labels, F.col("keys"), "label").mapInArrow(_unlike_pairs(radius, every=False), unlike).distinct())
-    edges = edges.union(checked(closest.where("more IS NULL").select("u", "v")))
-    left = closest.where("more IS NOT NULL").select(F.col("more").alias("_key")).distinct()
-    if left.isEmpty():
-        return edges
-    again = labelled(edges).select(F.explode("keys").alias("key"), "id", "label", "hi", "lo").join(left, F.col("key") == F.col("_key"), "left_semi")
-    others = again.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_unlike_pairs(radius, every=True), unlike)
-    return edges.union(checked(cut(others.select("u", "v").distinct())))
+        return cut(verified(asked, texts, similarity, shingle))
+
+    first = closest(sharded(classes).mapInArrow(_leader_pairs(radius), pairs))
+    edges = checked(first)
+    second = closest(sharded(labelled(edges, first), "label", "tried").mapInArrow(_unlike_pairs(radius, every=False), pairs))
+    edges = edges.union(checked(second))
+    if exhaustive:
+        others = sharded(labelled(edges, second), "label", "tried").mapInArrow(_unlike_pairs(radius, every=True), pairs)
+        edges = edges.union(checked(cut(others.select("u", "v").distinct())))
+    return edges
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -402,9 +405,10 @@ def report(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, exhaustive: bool = False) -> DataFrame:
     """(doc_id, group_id) of every distinct non-null doc_id: the smallest doc_id that links of at least this Jaccard
-    similarity of word shingles reach. Texts of equal shingles always link, null and empty ones among themselves."""
+    similarity of word shingles reach. Texts of equal shingles always link, null and empty ones among themselves.
+    `exhaustive` as in `similar_links`."""
 
     def prints_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -418,7 +422,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -
     docs = docs.where("doc_id IS NOT NULL")
     prints = cut(docs.select("doc_id", of("text").alias("p")).select("doc_id", "p.*"))
     classes = cut(prints.groupBy("id", "hi", "lo", "keys").agg(F.min("doc_id").alias("first_id")))
-    found = components(similar_links(classes, docs, similarity, shingle))
+    found = components(similar_links(classes, docs, similarity, shingle, exhaustive))
     named = classes.join(found, F.col("id") == F.col("u"), "left").select("id", "first_id", F.coalesce("v", "id").alias("root"))
     roots = named.groupBy("root").agg(F.min("first_id").alias("group_id"))
     named = named.join(roots, "root").select("id", "group_id")
