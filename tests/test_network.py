@@ -30,19 +30,19 @@ def model(spark):
 
 
 def test_every_rule_reports_its_rows(model):
-    found = {(r["table_name"], r["id"], r["error"].split(": ", 1)[1]) for r in network.check_model(model).collect()}
+    found = {(r["table_name"], r["id"], r["error"]) for r in network.check_model(model).collect()}
     expected = {
-        ("surface_map", 8, "impervious surface map refers to non-existent node"), ("surface", 2, "surface is not in mapping table"),
-        ("surface_map", 8, "surface map is not in surface layer"), ("surface_map", 9, "surface map is not in surface layer"),
-        ("connection_node", 5, "connection node without impervious surface"), ("channel", 3, "channel without cross section location"),
-        ("cross_section_location", 3, "cross_section_location without cross section shape"), ("weir", 3, "weir without cross section shape"),
-        ("boundary_condition_1d", 2, "boundary condition without connection node"), ("cross_section_location", 3, "cross section location without reference level"),
-        ("connection_node", 4, "connection node without initial water level"), ("connection_node", 9, "isolated connection node"),
-        ("pump", 1, "start level for pump station not close to initial waterlevel"), ("pump", 2, "pumpstation from and to the same connection node"),
-        ("weir", 2, "weir from and to the same connection node"), ("culvert", 3, "culvert from and to the same connection node"),
-        ("weir", 1, "start level 5.0 not close to initial waterlevel 1.0, 1.0"), ("channel", 2, "initial water level at start and end node are not equal 1.0, 2.0"),
-        ("orifice", 1, "initial water level at start and end node are not equal 1.0, 2.0"), ("culvert", 1, "initial water level at start and end node are not equal 2.0, 1.0"),
-        ("surface_map", 2, "percentage = 100 and should be 14.4 or 11.5"), ("table_control", 2, "action_table has more than 1000 characters (model will crash)"),
+        ("surface_map", 8, "ERROR: impervious surface map refers to non-existent node"), ("surface", 2, "WARNING: surface is not in mapping table"),
+        ("surface_map", 8, "WARNING: surface map is not in surface layer"), ("surface_map", 9, "WARNING: surface map is not in surface layer"),
+        ("connection_node", 5, "WARNING: connection node without impervious surface"), ("channel", 3, "ERROR: channel without cross section location"),
+        ("cross_section_location", 3, "ERROR: cross section location has no definition shape"), ("weir", 3, "ERROR: weir has no definition shape"),
+        ("boundary_condition_1d", 2, "WARNING: 1d boundary without connection node"), ("cross_section_location", 3, "ERROR: cross section location without reference level"),
+        ("connection_node", 4, "WARNING: connection node without initial waterlevel"), ("connection_node", 9, "ERROR: node without connection"),
+        ("pump", 1, "WARNING: start level for pump station not close to initial waterlevel"), ("pump", 2, "ERROR: pumpstation from and to the same connection node"),
+        ("weir", 2, "ERROR: weir from and to the same connection node"), ("culvert", 3, "ERROR: culvert from and to the same connection node"),
+        ("weir", 1, "WARNING: start level 5.0 not close to initial waterlevel 1.0, 1.0"), ("channel", 2, "WARNING: initial water level at start and end node are not equal 1.0, 2.0"),
+        ("orifice", 1, "WARNING: initial water level at start and end node are not equal 1.0, 2.0"), ("culvert", 1, "WARNING: initial water level at start and end node are not equal 2.0, 1.0"),
+        ("surface_map", 2, "WARNING: percentage = 100 and should be 14.4 or 11.5"), ("table_control", 2, "ERROR: action_table has more than 1000 characters (model will crash)"),
     }
     assert found == expected
 

@@ -42,3 +42,60 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     along = F.coalesce(((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / F.nullif(squared, F.lit(0.0)), F.lit(0.0))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
     return distance(px, py, ax + t * (bx - ax), ay + t * (by - ay))
+
+
+def first_point(points: Column) -> Column:
+    return F.try_element_at(points, F.lit(1))
+
+
+def last_point(points: Column) -> Column:
+    return F.try_element_at(points, F.lit(-1))
+
+
+def segments(points: Column) -> Column:
+    """The steps of a line: array of (a, b), each a point."""
+    return _steps(points)
+
+
+def bounds(points: Column) -> Column:
+    """The box around points: xmin, ymin, xmax, ymax."""
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    return F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
+
+
+def box_ring(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+    """The closed ring of a box, from its low corner against the clock."""
+    return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax), (xmin, ymin))])
+
+
+def to_wkt(points: Column, kind: str = "LINESTRING") -> Column:
+    """Well-known text of a line or polygon ring."""
+    body = F.array_join(F.transform(points, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ", ")
+    left, right = ("((", "))") if kind == "POLYGON" else ("(", ")")
+    return F.concat(F.lit(f"{kind} {left}"), body, F.lit(right))
+
+
+def from_wkt(text: Column) -> Column:
+    """Points of a well-known text of one line, point or polygon without holes; null if it is none of them."""
+    body = F.regexp_extract(text, r"(?i)^\s*(?:LINESTRING|POINT|POLYGON)\s*(?:Z\s*)?\(\(?([^()]*)\)?\)\s*$", 1)
+    parts = F.transform(F.split(body, r"\s*,\s*"), lambda p: F.split(F.trim(p), r"\s+"))
+    points = F.transform(parts, lambda p: F.struct(F.try_element_at(p, F.lit(1)).try_cast("double").alias("x"), F.try_element_at(p, F.lit(2)).try_cast("double").alias("y")))
+    return F.when(F.length(body) > 0, points)
+
+
+def with_z(points: Column, z: Column) -> Column:
+    """Points with one height for all."""
+    return F.transform(points, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), z.alias("z")))
+
+
+def without_z(points: Column) -> Column:
+    return F.transform(points, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+
+
+def segments_meet(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Whether segments a-b and c-d (points) have a point in common, their ends included."""
+    turn = lambda p, q, r: (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+    d1, d2, d3, d4 = turn(c, d, a), turn(c, d, b), turn(a, b, c), turn(a, b, d)
+    within = lambda p, q, r: r["x"].between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & r["y"].between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
+    across = (((d1 > 0) & (d2 < 0)) | ((d1 < 0) & (d2 > 0))) & (((d3 > 0) & (d4 < 0)) | ((d3 < 0) & (d4 > 0)))
+    return across | ((d1 == 0) & within(c, d, a)) | ((d2 == 0) & within(c, d, b)) | ((d3 == 0) & within(a, b, c)) | ((d4 == 0) & within(a, b, d))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def change_text(left: Column, right: Column, same: str = "not changed") -> Column:
-    """"a -> b" where two values differ, `same` where they agree, null where both are null."""
-    shown = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    """"a -> b" where two values differ, `same` where they agree, null where both are null. Whole numbers show no
+    decimals."""
+    shown = lambda c: F.coalesce(F.regexp_replace(c.cast("string"), r"^(-?\d+)\.0$", "$1"), F.lit("None"))
     return F.when(left.isNull() & right.isNull(), None).when(left.eqNullSafe(right), same).otherwise(F.concat(shown(left), F.lit(" -> "), shown(right)))
 
 

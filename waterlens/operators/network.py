@@ -30,6 +30,14 @@ MESSAGES = {
     "map_unknown": "WARNING: surface map is not in surface layer",
     "node_without_surface": "WARNING: connection node without impervious surface",
     "channel_without_section": "ERROR: channel without cross section location",
+    "section_shape": "ERROR: cross section location has no definition shape",
+    "culvert_shape": "ERROR: culvert has no definition shape",
+    "weir_shape": "ERROR: weir has no definition shape",
+    "orifice_shape": "ERROR: orifice has no definition shape",
+    "boundary_node": "WARNING: 1d boundary without connection node",
+    "section_level": "ERROR: cross section location without reference level",
+    "node_level": "WARNING: connection node without initial waterlevel",
+    "node_isolated": "ERROR: node without connection",
     "pump_level": "WARNING: start level for pump station not close to initial waterlevel",
     "pump_loop": "ERROR: pumpstation from and to the same connection node",
     "weir_loop": "ERROR: weir from and to the same connection node",
@@ -73,7 +81,7 @@ def _mapped_to_nothing(df: DataFrame, tables: Tables) -> DataFrame:
 
 
 def endpoints(tables: Tables) -> DataFrame:
-    """Every node that a line, pump, map or boundary uses, once."""
+    """Every node that a line, pump or pump map uses, once."""
     parts = [tables[t].select(F.col(f"connection_node_id_{side}").alias("node_id")) for t in ("channel", "pipe", *STRUCTURES) for side in ("start", "end")]
     parts += [tables["pump"].select(F.col("connection_node_id").alias("node_id")), tables["pump_map"].select(F.col("connection_node_id_end").alias("node_id"))]
     return reduce(DataFrame.union, parts).where("node_id IS NOT NULL").distinct()
@@ -108,11 +116,12 @@ def model_rules() -> list[Rule]:
         Rule("surface_map", "id", _absent("surface", "id", "id"), MESSAGES["map_unknown"]),
         Rule("connection_node", "id", _mapped_to_nothing, MESSAGES["node_without_surface"]),
         Rule("channel", "id", _childless("cross_section_location", "channel_id"), MESSAGES["channel_without_section"]),
-        *[Rule(t, "id", where("cross_section_shape IS NULL"), f"ERROR: {t} without cross section shape") for t in ("cross_section_location", "culvert", "weir", "orifice")],
-        Rule("boundary_condition_1d", "id", _absent("connection_node", "connection_node_id", "id"), "ERROR: boundary condition without connection node"),
-        Rule("cross_section_location", "id", where("reference_level IS NULL"), "ERROR: cross section location without reference level"),
-        Rule("connection_node", "id", where("initial_water_level IS NULL"), "WARNING: connection node without initial water level"),
-        Rule("connection_node", "id", _isolated, "ERROR: isolated connection node"),
+        Rule("cross_section_location", "id", where("cross_section_shape IS NULL"), MESSAGES["section_shape"]),
+        *[Rule(t, "id", where("cross_section_shape IS NULL"), MESSAGES[f"{t}_shape"]) for t in ("culvert", "weir", "orifice")],
+        Rule("boundary_condition_1d", "id", _absent("connection_node", "connection_node_id", "id"), MESSAGES["boundary_node"]),
+        Rule("cross_section_location", "id", where("reference_level IS NULL"), MESSAGES["section_level"]),
+        Rule("connection_node", "id", where("initial_water_level IS NULL"), MESSAGES["node_level"]),
+        Rule("connection_node", "id", _isolated, MESSAGES["node_isolated"]),
         Rule("pump", "id", _pump_level, MESSAGES["pump_level"]),
         Rule("pump", "id", _pump_loop, MESSAGES["pump_loop"]),
         *[Rule(t, "id", loop, MESSAGES[f"{t}_loop"]) for t in STRUCTURES],

@@ -127,3 +127,17 @@ def map_tiles(tiles: DataFrame, function: Callable[[np.ndarray], np.ndarray], va
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return tiles.mapInArrow(run, schema)
+
+
+def raised(cells: DataFrame, places: DataFrame, keys: Sequence[str], value: str, by: float) -> DataFrame:
+    """`cells` with `value` raised where `places` has the keys."""
+    marked = places.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct().withColumn("_by", F.lit(by))
+    found = cells.join(marked, [F.col(k) == F.col(f"_{k}") for k in keys], "left")
+    return found.select(*[(F.col(value) + F.coalesce("_by", F.lit(0.0))).alias(value) if c == value else c for c in cells.columns])
+
+
+def damage_by_use(cells: DataFrame, curves: DataFrame, depth: str, use: str) -> DataFrame:
+    """`cells` with the damage of their depth by the curve (depths, damages) of their land use; null without a curve."""
+    known = curves.select(F.col(use).alias("_use"), "depths", "damages")
+    found = cells.join(known, F.col(use) == F.col("_use"), "left")
+    return found.withColumn("damage", interpolate_arrays(F.col(depth).cast("double"), F.col("depths"), F.col("damages"))).drop("_use", "depths", "damages")

@@ -99,9 +99,42 @@ def unpivot(df: DataFrame, keep: Sequence[str], columns: Mapping[str, str], to:
     return df.select(*keep, F.explode(parts).alias("_part")).select(*keep, "_part.*")
 
 
-def conform(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:
-    """Exactly the columns of a template, cast; missing ones are null."""
-    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in schema.items()])
+def conform(df: DataFrame, schema: Mapping[str, str], required: Sequence[str] = ()) -> DataFrame:
+    """Exactly the columns of a template, cast; missing ones are null, as is what cannot be cast. A missing column that
+    is required is an error."""
+    missing = [c for c in required if c not in df.columns]
+    if missing:
+        raise ValueError(f"required columns are missing: {', '.join(missing)}")
+    return df.select(*[(F.col(c).try_cast(t) if c in df.columns else F.lit(None).cast(t)).alias(c) for c, t in schema.items()])
+
+
+def to_number(column: Column, fill: float | None = None, kind: str = "double") -> Column:
+    """A text as a number; what is none becomes null, or `fill`."""
+    number = column.try_cast("double")
+    return (number if fill is None else F.coalesce(number, F.lit(fill))).cast(kind)
+
+
+def to_date(column: Column, patterns: Sequence[str] = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss")) -> Column:
+    """A text as a timestamp by the first pattern that fits; null if none does."""
+    return F.coalesce(*[F.try_to_timestamp(column, F.lit(p)) for p in patterns])
+
+
+def drop_empty(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """`df` without rows whose listed columns are all null."""
+    return df.na.drop(how="all", subset=list(columns))
+
+
+def with_column_at(df: DataFrame, position: int, name: str, value: Column) -> DataFrame:
+    """`df` with a new column at a position (from 0)."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return df.select(*columns[:position], value.alias(name), *columns[position:])
+
+
+def by_family(df: DataFrame, code: str, families: Mapping[str, str], origin: str = "family") -> DataFrame:
+    """Rows whose code begins with the prefix of a family, with its name: the longest prefix that fits."""
+    longest = sorted(families.items(), key=lambda kv: (-len(kv[0]), kv[0]))
+    name = F.coalesce(*[F.when(F.col(code).startswith(prefix), F.lit(family)) for prefix, family in longest])
+    return df.withColumn(origin, name).where(F.col(origin).isNotNull())
 
 
 def missing_children(parent: DataFrame, pk: str, child: DataFrame, fk: str) -> DataFrame:
@@ -116,3 +149,22 @@ def with_new_ids(df: DataFrame, column: str, order: Sequence[str], start: int =
     before = sizes.select(F.col("_part").alias("_of"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return ranged.withColumn("_nth", nth).join(F.broadcast(before), F.col("_part") == F.col("_of")).withColumn(column, F.col("_before") + F.col("_nth") + start).select(*df.columns, column)
+
+
+def until_limit(steps: Column, limit: Column) -> Column:
+    """The ascending steps up to the first that reaches the limit, which is held at it."""
+    before = F.filter(F.transform(steps, lambda x, k: F.struct(x.alias("x"), F.when(k > 0, F.get(steps, k - 1)).alias("last"))), lambda s: s["last"].isNull() | (s["last"] < limit))
+    return F.transform(before, lambda s: F.least(s["x"], limit))
+
+
+def largest_of_text(column: Column, separator: str = " ") -> Column:
+    """The largest of the numbers in a text; null without any."""
+    return F.array_max(F.transform(F.split(column, separator), lambda x: x.try_cast("double")))
+
+
+def with_both_ends(edges: DataFrame, nodes: DataFrame, key: str, columns: Sequence[str], start: str, end: str) -> DataFrame:
+    """`edges` with the columns of the nodes at both ends, as column_start and column_end; null where a node is missing."""
+    for side in (start, end):
+        found = nodes.select(F.col(key).alias("_key"), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+        edges = edges.join(found, F.col(side) == F.col("_key"), "left").drop("_key")
+    return edges

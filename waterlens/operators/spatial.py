@@ -5,12 +5,13 @@ A cell that holds very many rows of both sides is split by AQE's skew handling,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import distance, in_ring
+from ..functions.geometry import distance, first_point, in_ring, last_point, segments, segments_meet
 from ..session import cut
 
 
@@ -18,8 +19,53 @@ def _cell(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("long")
 
 
-def _cells(low: Column, high: Column, size: float) -> Column:
-    return F.sequence(_cell(low, size), _cell(high, size))
+def _level(extent: Column, size: float) -> Column:
+    """The level of a shape: cells of 2^level times the size are no smaller than it."""
+    return F.greatest(F.ceil(F.log2(F.greatest(extent / size, F.lit(1.0)))), F.lit(0)).cast("int")
+
+
+def _levels(df: DataFrame, extent: Column, size: float) -> list[int]:
+    """The levels that shapes have; there are few, whatever their number."""
+    return sorted(r[0] for r in df.select(_level(extent, size).alias("l")).distinct().collect() if r[0] is not None)
+
+
+def boxes_meet(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
+    """Pairs of rows whose boxes (lxmin.. and rxmin..) touch or overlap, once each.
+
+    A shape is put into at most four cells of its own level, and of the coarser levels that the other side has, so a very
+    large one costs no more than a small one. A pair meets on the coarser of its two levels, in the cell of its low corner.
+    """
+    extent = lambda p: F.greatest(F.col(f"{p}xmax") - F.col(f"{p}xmin"), F.col(f"{p}ymax") - F.col(f"{p}ymin"))
+    levels = {"l": _levels(right, extent("r"), size), "r": _levels(left, extent("l"), size)}
+
+    def spread(df: DataFrame, p: str) -> DataFrame:
+        own = _level(extent(p), size)
+        coarser = F.filter(F.array(*map(F.lit, levels[p])).cast("array<int>"), lambda v: v > own)
+        df = df.withColumn(f"_{p}own", own).withColumn(f"_{p}level", F.explode(F.concat(F.array(own), coarser)))
+        cell = lambda c: F.floor(F.col(f"{p}{c}") / (F.lit(size) * F.pow(F.lit(2.0), F.col(f"_{p}level")))).cast("long")
+        return df.withColumn(f"_{p}x", F.explode(F.sequence(cell("xmin"), cell("xmax")))).withColumn(f"_{p}y", F.explode(F.sequence(cell("ymin"), cell("ymax"))))
+
+    same = [F.col(f"_l{c}") == F.col(f"_r{c}") for c in ("level", "x", "y")]
+    joined = spread(left, "l").join(spread(right, "r"), same)
+    wide = F.lit(size) * F.pow(F.lit(2.0), F.col("_llevel"))
+    x0, y0, x1, y1 = F.greatest("lxmin", "rxmin"), F.greatest("lymin", "rymin"), F.least("lxmax", "rxmax"), F.least("lymax", "rymax")
+    once = (F.floor(x0 / wide) == F.col("_lx")) & (F.floor(y0 / wide) == F.col("_ly")) & (F.col("_llevel") == F.greatest("_lown", "_rown"))
+    return joined.where((x0 <= x1) & (y0 <= y1) & once).drop(*[f"_{p}{c}" for p in "lr" for c in ("own", "level", "x", "y")])
+
+
+def lines_meet(left: DataFrame, right: DataFrame, left_key: str, right_key: str, size: float, line: str = "line") -> DataFrame:
+    """(left_key, right_key, n_places): lines (array of points) that have a point in common, and how many pairs of their
+    segments do. Segments meet by their boxes, then the exact test decides; a line of one point meets nothing."""
+
+    def parts(df: DataFrame, key: str, p: str) -> DataFrame:
+        found = df.select(F.col(key).alias(f"_{p}key"), F.explode(segments(F.col(line))).alias(f"{p}s"))
+        ends = [F.col(f"{p}s.{e}") for e in "ab"]
+        of = lambda f, c: f(*[e[c] for e in ends])
+        return found.select("*", *[of(f, c).alias(f"{p}{c}{n}") for c in "xy" for f, n in ((F.least, "min"), (F.greatest, "max"))])
+
+    met = boxes_meet(parts(left, left_key, "l"), parts(right, right_key, "r"), size)
+    met = met.where(segments_meet(F.col("ls.a"), F.col("ls.b"), F.col("rs.a"), F.col("rs.b")))
+    return met.groupBy(F.col("_lkey").alias(left_key), F.col("_rkey").alias(right_key)).agg(F.count("*").alias("n_places"))
 
 
 def within_distance(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
@@ -37,13 +83,22 @@ def within_distance(left: DataFrame, right: DataFrame, radius: float) -> DataFra
     return found.drop("_cx", "_cy", "_rx", "_ry")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, ties: Sequence[str], radius: float, group: str | None = None, rounds: int = 12) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str, ties: Sequence[str], radius: float, group: str | None = None, rounds: int | None = None) -> DataFrame:
     """Each left point's nearest right point (ties: the smallest of `ties`), with the distance.
 
-    Searches within the radius and doubles it for the points that found none; what is left after the rounds, or has no
-    partner at all, is not returned. Each round is materialised, so none is computed twice. With `group`, both sides' values of it must agree. The right side is cut into
-    cells anew each round, the left side shrinks.
+    Searches within the radius and doubles it for the points that found none, until it spans both sides; a point without
+    any partner (null coordinates, or none in its group) is not returned. `rounds` ends the search earlier. Each round but
+    a single one is materialised, so none is computed twice. With `group`, both sides' values of it must agree. The right
+    side is cut into cells anew each round, the left side shrinks.
     """
+    if rounds is None:
+        low = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+        spans = [low(left, "lx", "ly"), low(right, "rx", "ry")]
+        if None in (*spans[0], *spans[1]):
+            rounds = 1
+        else:
+            reach = sum(max(s[k + 1] for s in spans) - min(s[k] for s in spans) for k in (0, 2))
+            rounds = 1 + max(0, math.ceil(math.log2(max(reach / radius, 1.0))))
     found, rest = None, left
     last = rounds - 1
     for k in range(rounds):
@@ -55,7 +110,9 @@ def nearest(left: DataFrame, right: DataFrame, key: str, ties: Sequence[str], ra
         best = cut(best) if last else best
         found = best if found is None else found.unionByName(best)
         if k < last:
-            rest = rest.join(best.select(F.col(key).alias("_found")), F.col(key) == F.col("_found"), "left_anti")
+            rest = cut(rest.join(best.select(F.col(key).alias("_found")), F.col(key) == F.col("_found"), "left_anti"))
+            if rest.isEmpty():
+                break
     return found
 
 
@@ -66,11 +123,10 @@ def nearest_within(left: DataFrame, right: DataFrame, key: str, ties: Sequence[s
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
     """Pairs of a point (px, py) and a box (xmin, ymin, xmax, ymax) that holds it: low edges in, high edges out."""
-    spread = boxes.withColumn("_bx", F.explode(_cells(F.col("xmin"), F.col("xmax"), size))).withColumn("_by", F.explode(_cells(F.col("ymin"), F.col("ymax"), size)))
-    own = points.withColumn("_px", _cell(F.col("px"), size)).withColumn("_py", _cell(F.col("py"), size))
-    joined = own.join(spread, (F.col("_px") == F.col("_bx")) & (F.col("_py") == F.col("_by")))
-    inside = (F.col("px") >= F.col("xmin")) & (F.col("px") < F.col("xmax")) & (F.col("py") >= F.col("ymin")) & (F.col("py") < F.col("ymax"))
-    return joined.where(inside).drop("_px", "_py", "_bx", "_by")
+    left = points.withColumns({f"l{c}{n}": F.col(f"p{c}") for c in "xy" for n in ("min", "max")})
+    right = boxes.withColumns({f"r{c}{n}": F.col(f"{c}{n}") for c in "xy" for n in ("min", "max")})
+    inside = (F.col("px") < F.col("xmax")) & (F.col("py") < F.col("ymax"))
+    return boxes_meet(left, right, size).where(inside).drop(*[f"{p}{c}{n}" for p in "lr" for c in "xy" for n in ("min", "max")])
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
@@ -82,15 +138,44 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float) -> D
 
 
 def box_overlay(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
-    """Pairs of boxes (lxmin.. and rxmin..) with their common area, once each: the cell of the overlap's low corner
-    reports the pair."""
-    spread = lambda df, p: df.withColumn("_x", F.explode(_cells(F.col(f"{p}xmin"), F.col(f"{p}xmax"), size))).withColumn("_y", F.explode(_cells(F.col(f"{p}ymin"), F.col(f"{p}ymax"), size)))
-    joined = spread(left, "l").join(spread(right, "r"), ["_x", "_y"])
-    x0, y0 = F.greatest("lxmin", "rxmin"), F.greatest("lymin", "rymin")
-    w, h = F.least("lxmax", "rxmax") - x0, F.least("lymax", "rymax") - y0
-    return joined.where((w > 0) & (h > 0) & (_cell(x0, size) == F.col("_x")) & (_cell(y0, size) == F.col("_y"))).withColumn("area", w * h).drop("_x", "_y")
+    """Pairs of boxes (lxmin.. and rxmin..) with their common area, once each."""
+    w = F.least("lxmax", "rxmax") - F.greatest("lxmin", "rxmin")
+    h = F.least("lymax", "rymax") - F.greatest("lymin", "rymin")
+    return boxes_meet(left, right, size).where((w > 0) & (h > 0)).withColumn("area", w * h)
 
 
 def largest_overlap(overlay: DataFrame, key: str, ties: str) -> DataFrame:
     """Each left row's partner with the largest common area (ties: the smallest)."""
     return overlay.groupBy(key).agg(F.min_by(F.struct(ties, "area"), F.struct(-F.col("area"), F.col(ties))).alias("_b")).select(key, "_b.*")
+
+
+def ends_off_nodes(lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Lines (start_node, end_node, line) of which an end is not where its node (node, place) is, with start_ok and
+    end_ok; a missing node counts as off."""
+    found = lines
+    for side, point in (("start", first_point(F.col("line"))), ("end", last_point(F.col("line")))):
+        at = nodes.select(F.col("node").alias("_node"), F.col("place").alias("_place"))
+        ok = F.coalesce((point["x"] == F.col("_place.x")) & (point["y"] == F.col("_place.y")), F.lit(False))
+        found = found.join(at, F.col(f"{side}_node") == F.col("_node"), "left").withColumn(f"{side}_ok", ok).drop("_node", "_place")
+    return found.where(~(F.col("start_ok") & F.col("end_ok")))
+
+
+def close_others(points: DataFrame, radius: float) -> DataFrame:
+    """(id, n_others, least_other) of points (id, x, y) with others within the radius."""
+    left = points.select("id", F.col("x").alias("lx"), F.col("y").alias("ly"))
+    right = points.select(F.col("id").alias("other"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    found = within_distance(left, right, radius).where("id <> other")
+    return found.groupBy("id").agg(F.count("*").alias("n_others"), F.min("other").alias("least_other"))
+
+
+def off_vertices(sections: DataFrame, channels: DataFrame, tolerance: float = 0.001, radius: float = 8.0) -> DataFrame:
+    """Sections (id, channel_id, x, y) against the vertices of channels (channel_id, line): kind `no vertex` with the
+    distance to the nearest, rounded to 2 decimals, and `other channel` for each channel but the section's own that has a
+    vertex within the tolerance."""
+    points = sections.select("id", "channel_id", F.col("x").alias("lx"), F.col("y").alias("ly"))
+    vertices = channels.select(F.col("channel_id").alias("found"), F.explode("line").alias("_p")).select("found", F.col("_p.x").alias("rx"), F.col("_p.y").alias("ry"))
+    hits = cut(within_distance(points, vertices, tolerance).select("id", "channel_id", "found"))
+    lost = points.join(hits.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti").select("id", "lx", "ly")
+    far = nearest(cut(lost), vertices, "id", ["found"], radius).select("id", F.lit("no vertex").alias("kind"), F.lit(None).cast("long").alias("found"), F.round("distance", 2).alias("distance"))
+    wrong = hits.where("found <> channel_id").select("id", F.lit("other channel").alias("kind"), F.col("found").cast("long").alias("found"), F.lit(None).cast("double").alias("distance")).distinct()
+    return far.unionByName(wrong)
