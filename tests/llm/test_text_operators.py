@@ -12,7 +12,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from waterlens.llm import decontaminate, language_id, license_scan, queries, secrets, toxicity
+from waterlens.llm import decontaminate, language_id, license_scan, license_texts, queries, secrets, toxicity
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string"
@@ -42,19 +42,30 @@ def dice(a, b):
 
 def plain_licenses(text, threshold=0.9):
     text = text or ""
-    units = dict.fromkeys([*text.split("\n"), *re.split(r"\n[ \t\r]*\n", text), text])
-    found = []
-    for unit in units:
-        grams = license_scan.template_bigrams(unit)
-        for name, body in license_scan.NOTICES.items():
-            other = license_scan.template_bigrams(body)
-            if grams and dice(grams, other) >= threshold:
-                found.append((-dice(grams, other), name))
-    return len(found), ",".join(sorted({n for _, n in found})), min(found)[1] if found else None
+    grams_of = license_scan.template_bigrams
+    units = [grams_of(u) for u in dict.fromkeys([*text.split("\n"), *re.split(r"\n[ \t\r]*\n", text), text])]
+    whole = grams_of(text)
+    at = {}
+    for i, g in enumerate(whole):
+        at.setdefault(g, []).append(i)
+    best = {}
+    for name, body in license_texts.TEMPLATES:
+        other = grams_of(body)
+        starts = {max(i - place, 0) for place, g in license_scan.anchors(other, threshold) for i in at.get(g, ())}
+        for unit in units + [whole[s : s + len(other)] for s in starts]:
+            if unit and dice(unit, other) >= threshold:
+                best[name] = max(best.get(name, 0), dice(unit, other))
+    return len(best), ",".join(sorted(best)), min((-d, n) for n, d in best.items())[1] if best else None
+
+
+def commented(body, sign):
+    return "\n".join(f"{sign} {line}" for line in body.split("\n"))
 
 
 def test_licenses_equal_a_loop(spark, docs):
-    texts = ["Released under the MIT License.", "a\nreleased UNDER the mit license\nb", "Licensed under CC BY-NC 4.0.\n\nLicensed under the Apache License, Version 2.0.", "Released under the the MIT License.", "MIT", license_scan.NOTICES["MPL-2.0"].replace("terms", "rules")]
+    notices = license_texts.NOTICES
+    texts = ["Released under the MIT License.", "a\nreleased UNDER the mit license\nb", "Licensed under CC BY-NC 4.0.\n\nLicensed under the Apache License, Version 2.0.", "Released under the the MIT License.", "MIT", notices["MPL-2.0"].replace("terms", "rules")]
+    texts += [f"int main() {{}}\n{commented(b, '//')}\nreturn 0;" for b in license_texts.BODIES.values()]
     given = odd(spark, texts).select("doc_id", "text").union(docs.select("doc_id", "text"))
     texts = {(r["doc_id"], i): r["text"] for i, r in enumerate(given.collect())}
     found = license_scan.report(given).collect()
@@ -62,6 +73,20 @@ def test_licenses_equal_a_loop(spark, docs):
     assert license_scan.report(given.where("false")).count() == 0
 
 
+def test_licenses_inside_files(spark):
+    mit, apache = license_texts.BODIES["MIT"], license_texts.BODIES["Apache-2.0"]
+    edited = mit.replace("software and associated", "library and its").replace("AUTHORS OR", "OWNERS OR")
+    cases = {
+        "MIT": [f"The MIT License\n\nCopyright 2020 A. Person\n{mit}", f"import os\n{commented(mit, '#')}\nx = 1", f"one line of code {' '.join(mit.split())} and more code after it", edited,
+                "Copyright 2020 Foo. Released under the MIT License. All rights reserved."],
+        "Apache-2.0": [f"/*\n{commented(apache, ' *')}\n */\nclass A {{}}", 'Licensed under the Apache License, Version 2.0 (the "License");'],
+        "": ["The license plate was released under the bridge, and permission to use the software was granted free of charge.", mit[: len(mit) // 2], "warranties of merchantability fitness for a particular purpose " * 50],
+    }
+    wanted = [(name, text) for name, texts in cases.items() for text in texts]
+    found = license_scan.report(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(wanted)], DOCS)).collect()
+    assert {r["doc_id"]: r["licenses"] for r in found} == {i: name for i, (name, _) in enumerate(wanted)}
+
+
 # -- decontamination
 
 

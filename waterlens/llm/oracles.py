@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_scan import NOTICES
+from .license_texts import TEMPLATES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -13,22 +13,36 @@ def _literal(text: str) -> str:
 
 _GRAM_WORDS = r"list_filter(string_split_regex(lower({0}), '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+'), lambda x: x <> '')"
 
+#: Bigrams that a match at 0.9 cannot all lack: one more of the longest than 1 - 0.9 / 1.1 of a template.
 LICENSES = f"""
-WITH known(license, body) AS (VALUES {", ".join(f"({_literal(k)}, {_literal(v)})" for k, v in NOTICES.items())}),
-kw AS (SELECT license, {_GRAM_WORDS.format("body")} AS w FROM known),
-kg AS (SELECT license, w[i] || ' ' || w[i + 1] AS gram, count(*) AS n FROM kw, unnest(range(1, len(w))) t(i) GROUP BY ALL),
-ks AS (SELECT license, sum(n) AS size FROM kg GROUP BY 1),
-u AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), list_concat(string_split_regex(text, '\\n[ \\t\\r]*\\n'), [text]))) AS unit
-      FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
-uw AS (SELECT doc_id, row_number() OVER () AS unit_id, {_GRAM_WORDS.format("unit")} AS w FROM u),
-ug AS (SELECT doc_id, unit_id, w[i] || ' ' || w[i + 1] AS gram, count(*) AS n FROM uw, unnest(range(1, len(w))) t(i) GROUP BY ALL),
-us AS (SELECT doc_id, unit_id, sum(n) AS size FROM ug GROUP BY ALL),
-m AS (SELECT us.doc_id, ks.license, 2.0 * sum(least(ug.n, kg.n)) / (us.size + ks.size) AS dice
-      FROM ug JOIN kg USING (gram) JOIN us USING (unit_id) JOIN ks USING (license) GROUP BY us.doc_id, unit_id, ks.license, us.size, ks.size),
-h AS (SELECT * FROM m WHERE dice >= 0.9)
-SELECT d.doc_id, count(h.license) AS n_matches, coalesce(array_to_string(list_sort(list(DISTINCT h.license) FILTER (WHERE h.license IS NOT NULL)), ','), '') AS licenses,
+WITH known(template, license, body) AS (VALUES {", ".join(f"({i}, {_literal(k)}, {_literal(v)})" for i, (k, v) in enumerate(TEMPLATES))}),
+kw AS (SELECT template, license, {_GRAM_WORDS.format("body")} AS w FROM known),
+ko AS (SELECT template, license, i - 1 AS place, w[i] || ' ' || w[i + 1] AS gram FROM kw, unnest(range(1, len(w))) t(i)),
+kg AS (SELECT template, gram, count(*) AS n FROM ko GROUP BY ALL),
+ks AS (SELECT template, license, count(*) AS size FROM ko GROUP BY ALL),
+ka AS (SELECT template, place, gram FROM ko JOIN ks USING (template)
+       QUALIFY row_number() OVER (PARTITION BY template ORDER BY length(gram) DESC, place) <= floor(size * (1 - 0.9 / 1.1) + 1e-9) + 1),
+d AS (SELECT doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS text FROM documents),
+u AS (SELECT DISTINCT row_id, unnest(list_concat(string_split(text, chr(10)), list_concat(string_split_regex(text, '\\n[ \\t\\r]*\\n'), [text]))) AS unit FROM d),
+uw AS (SELECT row_id, row_number() OVER () AS unit_id, {_GRAM_WORDS.format("unit")} AS w FROM u),
+ug AS (SELECT row_id, unit_id, w[i] || ' ' || w[i + 1] AS gram, count(*) AS n FROM uw, unnest(range(1, len(w))) t(i) GROUP BY ALL),
+us AS (SELECT row_id, unit_id, sum(n) AS size FROM ug GROUP BY ALL),
+mu AS (SELECT us.row_id, template, 2.0 * sum(least(ug.n, kg.n)) / (us.size + ks.size) AS dice
+       FROM ug JOIN kg USING (gram) JOIN us USING (unit_id) JOIN ks USING (template) GROUP BY us.row_id, unit_id, template, us.size, ks.size),
+dw AS (SELECT row_id, {_GRAM_WORDS.format("text")} AS w FROM d),
+dg AS (SELECT row_id, i - 1 AS place, w[i] || ' ' || w[i + 1] AS gram FROM dw, unnest(range(1, len(w))) t(i)),
+ws AS (SELECT DISTINCT row_id, template, greatest(dg.place - ka.place, 0) AS start FROM dg JOIN ka USING (gram)),
+wg AS (SELECT row_id, template, start, dg.gram, count(*) AS n FROM ws JOIN ks USING (template) JOIN dg USING (row_id)
+       WHERE dg.place >= start AND dg.place < start + size GROUP BY ALL),
+wz AS (SELECT row_id, template, start, sum(n) AS size FROM wg GROUP BY ALL),
+mw AS (SELECT row_id, template, 2.0 * sum(least(wg.n, kg.n)) / (wz.size + ks.size) AS dice
+       FROM wg JOIN kg USING (template, gram) JOIN wz USING (row_id, template, start) JOIN ks USING (template)
+       GROUP BY row_id, template, start, wz.size, ks.size),
+h AS (SELECT row_id, license, max(dice) AS dice FROM (FROM mu UNION ALL FROM mw) JOIN ks USING (template) WHERE dice >= 0.9 GROUP BY ALL)
+SELECT any_value(d.doc_id) AS doc_id, count(h.license) AS n_matches,
+  coalesce(array_to_string(list_sort(list(h.license) FILTER (WHERE h.license IS NOT NULL)), ','), '') AS licenses,
   arg_min(h.license, (-h.dice, h.license)) AS best_license, round(max(h.dice), 6) AS best_dice
-FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id GROUP BY d.doc_id"""
+FROM d LEFT JOIN h ON d.row_id = h.row_id GROUP BY d.row_id"""
 
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
