@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -205,6 +206,48 @@ def test_no_tail_of_a_named_literal_stays():
         assert [k for _, _, k in secrets.find(text)] == ["named"] and "Zx81" not in secrets.redact(text) and "aB3" not in secrets.redact(text)
 
 
+NAMED = {  # text: the named literals in it
+    'db_pwd = (\n    "aB3!"  # first\n    "dE6gH9kL2"\n)': ["aB3!", "dE6gH9kL2"],
+    'db_pwd = "aB3!" +  // more\n  "dE6gH9kL2";': ["aB3!", "dE6gH9kL2"],
+    'db_pwd = "aB3!\\\ndE6gH9kL2"': ["aB3!\\\ndE6gH9kL2"],
+    'db_pwd = """\naB3!dE6gH9kL2\n"""': ["aB3!dE6gH9kL2"],
+    "tls:\n  private_key: |\n    MIIEv!QIBADANBg\n    kqhkiG9w!0BAQE\n  name: Zx81!w77Lm": ["MIIEv!QIBADANBg", "kqhkiG9w!0BAQE"],
+    "<db_pwd>Zx81!w77Lm</db_pwd>": ["Zx81!w77Lm"],
+    '<add key="db_pwd" value="Zx81!w77Lm"/>': ["Zx81!w77Lm"],
+    "- name: DB_PWD\n  value: 'Zx81!w77Lm'": ["Zx81!w77Lm"],
+    '{"name": "db_pwd", "value": "Zx81!w77Lm"}': ["Zx81!w77Lm"],
+    "db_pwd: str = 'Zx81!w77Lm'": ["Zx81!w77Lm"],
+    "config['db_pwd'] = 'Zx81!w77Lm'": ["Zx81!w77Lm"],
+    "run --db-pwd='Zx81!w77Lm' now": ["Zx81!w77Lm"],
+    "K='Zx81!w77Lm'\nexport DB_PWD=$K": ["Zx81!w77Lm"],
+    "k = 'Zx81!w77Lm'\ndb_pwd = f'{k}'": ["Zx81!w77Lm"],
+    "k = 'Zx81!w77Lm'\nk = k + k\ndb_pwd = k": ["Zx81!w77Lm"],
+    "# db_pwd = 'Zx81!w77Lm'": ["Zx81!w77Lm"],
+    """conn = "host=h db_pwd='Zx81!w77Lm' x=1" """: ["Zx81!w77Lm"],
+    "db_pwd = os.getenv('DB_NAME_1')": [],
+    "db_pwd = settings.db.pwd": [],
+    "db_pwd == 'Zx81!w77Lm'": [],
+    "name: x\nvalue: 'Zx81!w77Lm'": [],
+    "db_pwd = ": [],
+    'db_pwd = "Zx81!w77Lm': [],
+    "db_pwd = (": [],
+}
+
+
+@pytest.mark.parametrize("text", NAMED)
+def test_assignment_syntax(text):
+    assert [text[a:b] for a, b, k in secrets.find(text) if k == "named"] == NAMED[text]
+
+
+def test_lexer_keeps_pace_in_odd_texts():
+    doubled = "k = 'Zx81!w77Lm'\n" + "k = k + k\n" * 5000 + "db_pwd = k"
+    repeated = ("a=/*", "a=(", "a='''", "a-", "<a ", "a: |\n", "a=b+", "--", "db_pwd='x'+", 'a="b=\'c=`', "db_pwd = \\\n")
+    for text in (doubled, 'a="' * 50_001, *(r * 50_000 for r in repeated)):
+        started = time.perf_counter()
+        secrets.find(text)
+        assert time.perf_counter() - started < 5, text[:20]
+
+
 def test_redaction_leaves_clean_texts(spark, docs):
     given = odd(spark, SECRETS).withColumn("n_chars", F.length("text").cast("long"))
     clean = secrets.redacted(given)

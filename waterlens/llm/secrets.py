@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .assignments import Value, literals, pairs
+
 KINDS = ("assign", "access", "hex", "named")
 #: The base patterns; the last two hold their least length, which leaves the same matches as dropping shorter ones.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -30,12 +32,8 @@ NAME_WEIGHTS = {
 LEAST_NAME = 3.0
 LEAST_LITERAL = 8
 LEAST_BITS = 2.5
+_HEADED = re.compile(r"[:=]|</")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-_PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\[.*\]|\$\{.*\}|%.*%|your[-_ ].*|change[-_]?me.*|example.*|none|null|true|false|todo)$")
-#: name, separator and the first operand, of any length (possessive, so that each is read once); source (=, :=, =>), configuration (: and =) and JSON ("name": "value").
-_PAIR = re.compile(r"""(?:(?P<q>["'])(?P<qname>[A-Za-z_][\w.\-]*+)(?P=q)|(?<![\w.\-])(?P<name>[A-Za-z_][\w.\-]*+))[ \t]*+(?::=|=>|[:=])(?!=)[ \t]*+""", re.ASCII)
-_OPERAND = re.compile(r"""(?P<q>["'`])(?P<text>(?:(?!(?P=q))[^\\\n]|\\.)*+)(?P=q)|(?P<bare>[A-Za-z0-9+/_.=$\-]++)""", re.ASCII)
-_PLUS = re.compile(r"[ \t]*+\+[ \t]*+")
 
 
 def name_score(name: str) -> float:
@@ -43,38 +41,15 @@ def name_score(name: str) -> float:
     return float(sum(NAME_WEIGHTS.get(w.lower(), 0) for w in _WORDS.findall(name)))
 
 
-def _bits(value: str) -> float:
-    n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
-
-
-def _looks_secret(value: str) -> bool:
-    mixed = any(c.isdigit() for c in value) or (any(c.isupper() for c in value) and any(c.islower() for c in value)) or any(not c.isalnum() for c in value)
-    return len(value) >= LEAST_LITERAL and " " not in value and mixed and not _PLACEHOLDER.match(value) and _bits(value) >= LEAST_BITS
-
-
-def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, value, spans) of every assignment whose right side is a literal, a name bound before or a sum of them.
-
-    The spans are those of the literals, quotes left out; for a name bound before, where its literals stand.
-    """
-    bound: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    at = 0
-    while (found := _PAIR.search(text, at)) is not None:
-        name = found["name"] or found["qname"]
-        at = end = found.end()
-        value, spans = "", []
-        while (operand := _OPERAND.match(text, end)) is not None:
-            kind = "text" if operand["q"] else "bare"
-            part, places = (operand[kind], [operand.span(kind)]) if operand["q"] or operand["bare"] not in bound else bound[operand["bare"]]
-            value, spans, at = value + part, spans + places, operand.end()
-            plus = _PLUS.match(text, at)
-            if plus is None:
-                break
-            end = plus.end()
-        if spans:
-            bound[name] = value, spans
-            yield name, value, spans
+def _looks_secret(value: Value) -> bool:
+    """Long enough, no blanks, of several kinds of characters, no placeholder, of enough bits a character."""
+    counts = value.counts
+    n = counts.total()
+    if n < LEAST_LITERAL or " " in counts or value.placeholder:
+        return False
+    upper, lower = any(c.isupper() for c in counts), any(c.islower() for c in counts)
+    mixed = (upper and lower) or any(c.isdigit() or not c.isalnum() for c in counts)
+    return mixed and -sum(c / n * math.log2(c / n) for c in counts.values()) >= LEAST_BITS
 
 
 def find(text: str | None) -> list[tuple[int, int, str]]:
@@ -85,9 +60,11 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN] if ":" in text or "=" in text else []
     out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    if ":" in text or "=" in text:
+    if _HEADED.search(text):
         base = list(out)
-        named = {span for name, value, spans in pairs(text) if name_score(name) >= LEAST_NAME and _looks_secret(value) for span in spans}
+        seen: set[int] = set()
+        values = [value for name, value in pairs(text) if name_score(name) >= LEAST_NAME and _looks_secret(value)]
+        named = {(p.start, p.end) for value in values for p in literals(value, seen)}
         out += [(start, end, "named") for start, end in named if start < end and not any(a <= start and end <= b for a, b, _ in base)]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
