@@ -168,3 +168,21 @@ def with_both_ends(edges: DataFrame, nodes: DataFrame, key: str, columns: Sequen
         found = nodes.select(F.col(key).alias("_key"), *[F.col(c).alias(f"{c}_{side}") for c in columns])
         edges = edges.join(found, F.col(side) == F.col("_key"), "left").drop("_key")
     return edges
+
+
+def with_overall_max(df: DataFrame, columns: list[str], name: str, key: str | None = None) -> DataFrame:
+    """`df` with the largest value of several columns together: over all rows, or over those of the same `key`.
+
+    Nulls are passed over; a null key has a largest value of its own. The maximum is an aggregate that is combined before
+    it is shuffled, so that a hot key costs one row a task.
+    """
+    highest = F.max(F.greatest(*columns) if len(columns) > 1 else F.col(columns[0])).alias(name)
+    if key is None:
+        return df.crossJoin(F.broadcast(df.agg(highest)))  # one row
+    found = df.groupBy(F.col(key).alias("_key")).agg(highest)
+    return df.join(found, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+
+
+def renamed_with_defaults(df: DataFrame, names: dict[str, str], defaults: dict[str, object]) -> DataFrame:
+    """The columns of `names` under their new names, nulls filled by the defaults of the new names."""
+    return df.select(*[(F.coalesce(F.col(old), F.lit(defaults[new])) if new in defaults else F.col(old)).alias(new) for old, new in names.items()])

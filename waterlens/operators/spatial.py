@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import distance, first_point, in_ring, last_point, segments, segments_meet
+from ..functions.geometry import distance, first_point, in_ring, last_point, line_length, segments, segments_meet
 from ..session import cut
 
 
@@ -179,3 +179,15 @@ def off_vertices(sections: DataFrame, channels: DataFrame, tolerance: float = 0.
     far = nearest(cut(lost), vertices, "id", ["found"], radius).select("id", F.lit("no vertex").alias("kind"), F.lit(None).cast("long").alias("found"), F.round("distance", 2).alias("distance"))
     wrong = hits.where("found <> channel_id").select("id", F.lit("other channel").alias("kind"), F.col("found").cast("long").alias("found"), F.lit(None).cast("double").alias("distance")).distinct()
     return far.unionByName(wrong)
+
+
+def lines_of_nodes(links: DataFrame, nodes: DataFrame, start: str, end: str) -> DataFrame:
+    """`links` with `line`, the straight line between two nodes (id, x, y), and its `length`; null where a node is missing.
+
+    Links of no length go. Links keep their rows: nodes must have one row an id.
+    """
+    at = lambda side, column: nodes.select(F.col("id").alias(f"_{side}"), F.struct("x", "y").alias(f"_{side}_at")).withColumnRenamed(f"_{side}", f"_{column}_{side}")
+    both = links.join(at("start", start), F.col(start) == F.col(f"_{start}_start"), "left").join(at("end", end), F.col(end) == F.col(f"_{end}_end"), "left")
+    line = F.when(F.col("_start_at").isNotNull() & F.col("_end_at").isNotNull(), F.array("_start_at", "_end_at"))
+    found = both.select(*[F.col(f"`{c}`") for c in links.columns], line.alias("line")).withColumn("length", F.when(F.col("line").isNotNull(), line_length(F.col("line"))))
+    return found.where(F.col("length").isNull() | (F.col("length") != 0))
