@@ -143,7 +143,8 @@ def _right(text: str, at: int, stop: int, bound: dict[str, Value]) -> tuple[list
 
 def pairs(text: str) -> Iterator[tuple[str, Value]]:
     """(name, value) of every assignment of literals; each line of a block or of a literal of several lines is a pair of
-    its own. Quoted literals are searched for assignments as well. The time is linear in the text."""
+    its own. Quoted literals are searched for assignments as well. The time is about linear in the text: only blocks
+    inside blocks are read once for each level."""
     return _pairs(text, 0, len(text), {})
 
 
