@@ -99,3 +99,8 @@ def segments_meet(a: Column, b: Column, c: Column, d: Column) -> Column:
     within = lambda p, q, r: r["x"].between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & r["y"].between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
     across = (((d1 > 0) & (d2 < 0)) | ((d1 < 0) & (d2 > 0))) & (((d3 > 0) & (d4 < 0)) | ((d3 < 0) & (d4 > 0)))
     return across | ((d1 == 0) & within(c, d, a)) | ((d2 == 0) & within(c, d, b)) | ((d3 == 0) & within(a, b, c)) | ((d4 == 0) & within(a, b, d))
+
+
+def parts_of_kind(parts: Column, kind: str) -> Column:
+    """The parts (kind, points) of a collection that are of one kind."""
+    return F.filter(parts, lambda p: p["kind"] == kind)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import encoded
 from ..functions.curves import interpolate_arrays
 from ..functions.nulls import strict_max
-from .relational import carry_max, carry_min, first_per_key, unpivot
+from .relational import carry_max, first_per_key, unpivot
 from .rules import Rule, run_rules, where
 
 Tables = Mapping[str, DataFrame]
@@ -179,9 +179,11 @@ def structure_relations(structures: DataFrame, channels: DataFrame, sections: Da
     gap = F.when(F.col("_end") == "start", F.col("offset")).otherwise(F.col("length") - F.col("offset"))
     nearest = first_per_key(near.withColumn("_gap", gap), ["id", "side", "_channel"], [F.col("_gap").asc_nulls_last(), F.col("section_id")])
     known = nearest.where("reference_level IS NOT NULL")
-    low = carry_min(known, ["id", "side"], [F.col("reference_level"), F.col("section_id")], ["reference_level", "section_id"]).select("id", "side", F.col("reference_level").alias("min_reference"), F.col("section_id").alias("min_section"))
-    high = carry_max(known, ["id", "side"], [F.col("reference_level"), -F.col("section_id")], ["reference_level", "section_id"]).select("id", "side", F.col("reference_level").alias("max_reference"), F.col("section_id").alias("max_section"))
-    return low.join(high, ["id", "side"])
+    level, section = F.col("reference_level"), F.col("section_id")
+    return known.groupBy("id", "side").agg(
+        F.min(level).alias("min_reference"), F.min_by(section, F.struct(level, section)).alias("min_section"),
+        F.max(level).alias("max_reference"), F.max_by(section, F.struct(level, -section)).alias("max_section"),
+    )
 
 
 def wrong_profiles(relations: DataFrame, levels: DataFrame) -> DataFrame:

@@ -106,9 +106,9 @@ def overlay_area(spark, d):
     WITH n AS (SELECT c_custkey AS id, c_acctbal / 1000 AS s, c_acctbal / 900 AS e FROM customer)
     SELECT l_orderkey, l_linenumber, round(abs(round(a.e, 5) - round(b.e, 5)), 5) AS level_difference, CASE WHEN l_discount - 0.05 < 0 THEN -1 ELSE 1 END AS direction,
       round(abs((round(a.e, 5) - round(b.e, 5)) * 100 / (l_quantity * 0.001)), 5) AS slope_cm_km, round(a.s, 5) IS DISTINCT FROM NULL AND round(round(a.s, 5), 2) <> round(round(b.s, 5), 2) AS on_level_limit
-    FROM lineitem JOIN n a ON a.id = l_suppkey JOIN n b ON b.id = l_suppkey + 1 WHERE l_linenumber <= 2""")
+    FROM lineitem JOIN n a ON a.id = l_suppkey JOIN n b ON b.id = l_suppkey + 1""")
 def hydraulic_check(spark, d):
-    lines = table(spark, d, "lineitem").where("l_linenumber <= 2").select(F.struct("l_orderkey", "l_linenumber").alias("id"), F.col("l_suppkey").alias("node_1"), (F.col("l_suppkey") + 1).alias("node_2"), F.col("l_quantity").alias("length"), (F.col("l_discount") - 0.05).alias("q"), F.lit(0.0).alias("u"))
+    lines = table(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("id"), F.col("l_suppkey").alias("node_1"), (F.col("l_suppkey") + 1).alias("node_2"), F.col("l_quantity").alias("length"), (F.col("l_discount") - 0.05).alias("q"), F.lit(0.0).alias("u"))
     nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 1000).alias("level_start"), (F.col("c_acctbal") / 900).alias("level_end"))
     found = network.hydraulic_check(lines, nodes).where("level_difference IS NOT NULL")
     return found.select("id.l_orderkey", "id.l_linenumber", "level_difference", "direction", "slope_cm_km", "on_level_limit")
@@ -169,14 +169,12 @@ def first_wet_element(spark, d):
     SELECT variant, count(*) AS n_rows, CAST(sum(CASE WHEN variant = 'isolated' AND c_acctbal < 0 THEN 101 ELSE c_nationkey END) AS BIGINT) AS types FROM customer, (VALUES ('base'), ('isolated'), ('rich')) v(variant)
     WHERE variant <> 'rich' OR c_acctbal > 5000 GROUP BY 1""")
 def model_variants(spark, d):
-    """Variants of a base model: each a filter and changes on top of it."""
+    """Variants of a base model: each a filter and changes on top of it, all from one scan."""
     base = table(spark, d, "customer").select("c_nationkey", "c_acctbal")
-    changed = base.withColumn("c_nationkey", F.when(F.col("c_acctbal") < 0, 101).otherwise(F.col("c_nationkey")))
-    parts = [("base", base), ("isolated", changed), ("rich", base.where("c_acctbal > 5000"))]
-    union = parts[0][1].withColumn("variant", F.lit("base"))
-    for name, df in parts[1:]:
-        union = union.unionByName(df.withColumn("variant", F.lit(name)))
-    return union.groupBy("variant").agg(F.count("*").alias("n_rows"), F.sum("c_nationkey").cast("long").alias("types"))
+    kinds = F.array_compact(F.array(F.lit("base"), F.lit("isolated"), F.when(F.col("c_acctbal") > 5000, "rich")))
+    kind = F.when((F.col("variant") == "isolated") & (F.col("c_acctbal") < 0), 101).otherwise(F.col("c_nationkey"))
+    rows = base.withColumn("variant", F.explode(kinds)).withColumn("c_nationkey", kind)
+    return rows.groupBy("variant").agg(F.count("*").alias("n_rows"), F.sum("c_nationkey").cast("long").alias("types"))
 
 
 @query("""
