@@ -141,3 +141,30 @@ def damage_by_use(cells: DataFrame, curves: DataFrame, depth: str, use: str) ->
     known = curves.select(F.col(use).alias("_use"), "depths", "damages")
     found = cells.join(known, F.col(use) == F.col("_use"), "left")
     return found.withColumn("damage", interpolate_arrays(F.col(depth).cast("double"), F.col("depths"), F.col("damages"))).drop("_use", "depths", "damages")
+
+
+def storage_table(curves: DataFrame, soil: str, step: float = 0.01, deepest: float = 10.0) -> DataFrame:
+    """(soil, n, storage, following) in metres at depths of n steps: what the root zone can take more at that depth, and
+    the unsaturated zone down to it. curves: (soil, depths, coefficients, root_zone), arrays, the last in millimetres."""
+    d = F.round(F.col("n") * step, 5)
+    at = lambda c: interpolate_arrays(d, F.col("depths"), F.col(c))
+    rows = curves.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(round(deepest / step)))))
+    rows = rows.withColumn("_local", F.when(F.col("n") == 0, 0.0).otherwise(at("coefficients") * step * 1000))
+    down = Window.partitionBy(soil).orderBy("n")  # a soil has one row a step
+    total = (F.array_max("root_zone") - at("root_zone") + F.sum("_local").over(down)) / 1000
+    return rows.withColumn("storage", total).select(soil, "n", "storage", F.lead("storage").over(down).alias("following"))
+
+
+def storage_raster(pixels: DataFrame, table: DataFrame, soil: str, ground: str, groundwater: str, step: float = 0.01) -> DataFrame:
+    """`pixels` with their storage by soil and depth to the groundwater, linear between the steps of the table. Zero on
+    water and where groundwater stands over the ground; null where ground, groundwater or soil is null or not in the
+    table. The join is on soil and step, so that a common soil is spread."""
+    depth = F.col(ground) - F.col(groundwater)
+    rows = pixels.withColumn("_depth", depth).withColumn("_n", F.floor(F.greatest(F.col("_depth"), F.lit(0.0)) / step))
+    last = table.agg(F.max("n").alias("_most"))
+    rows = rows.crossJoin(F.broadcast(last)).withColumn("_n", F.least("_n", "_most"))  # one row
+    known = table.select(F.col(soil).alias("_soil"), F.col("n").alias("_step"), F.col("storage").alias("_a"), F.col("following").alias("_b"))
+    found = rows.join(known, (F.col(soil) == F.col("_soil")) & (F.col("_n") == F.col("_step")), "left")
+    between = F.coalesce(F.col("_a") + (F.col("_depth") / step - F.col("_n")) * (F.col("_b") - F.col("_a")), F.col("_a"))
+    dry = F.when((F.col(ground) == WATER) | (F.col("_depth") < 0), 0.0).otherwise(between)
+    return found.withColumn("storage", F.when(F.col("_depth").isNotNull() & F.col("_soil").isNotNull(), dry)).select(*pixels.columns, "storage")

@@ -133,3 +133,75 @@ def fix_report(findings: DataFrame, fixes: DataFrame) -> DataFrame:
 def change_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str) -> DataFrame:
     """`df` with the difference to the previous row of its key: the base of rules on ascending profiles."""
     return df.withColumn("step", F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def _compared(tree: Mapping, columns: Sequence[str]) -> tuple[Column, Column]:
+    """The value of {function: {left, right, skipna}} and whether exactly one of both sides is null (null beside a number)."""
+    ((function, operands),) = tree.items()
+
+    def side(given) -> tuple[Column, bool]:
+        return (_compared(given, columns)[0], True) if isinstance(given, Mapping) else (expression(given, columns), isinstance(given, str))
+
+    (left, left_varies), (right, right_varies) = side(operands["left"]), side(operands["right"])
+    pick = {"minimum": F.least, "maximum": F.greatest}
+    if function in pick:
+        value = pick[function](left, right)
+        value = value if operands.get("skipna") else F.when(left.isNotNull() & right.isNotNull(), value)
+    elif function in ("difference", "add", "multiply"):
+        value = {"difference": left - right, "add": left + right, "multiply": left * right}[function]
+    else:
+        raise ValueError(f"unknown function {function!r}")
+    return value, left.isNull() != right.isNull() if left_varies and right_varies else F.lit(None).cast("boolean")
+
+
+def compare_attributes(df: DataFrame, rules: Sequence[Mapping], threshold: float = 1e-5, priority: str = "critical") -> DataFrame:
+    """A compared frame (with in_both) with name, name_change_NaN and name_priority of its comparison rules.
+
+    numeric: {"name", "type", "function", "threshold", "priority"}, the function a tree of difference, add, minimum, maximum
+    and multiply over columns and numbers; a result under the threshold is 0, and null if an operand is, but for skipna.
+    category: {"name", "type", "left", "right", "priority"}, for rows of both sides only. Threshold and priority have
+    defaults.
+    """
+    columns, added = df.columns, {}
+    for rule in rules:
+        name, level = rule["name"], rule.get("priority", priority)
+        if rule["type"] == "numeric":
+            value, turned = _compared(rule["function"], columns)
+            value = F.when(F.abs(value) < rule.get("threshold", threshold), 0.0).otherwise(value)
+            added |= {name: value, f"{name}_change_NaN": turned, f"{name}_priority": F.when(F.abs(value) > 0, level).otherwise("")}
+        elif rule["type"] == "category":
+            left, right, both = F.col(rule["left"]), F.col(rule["right"]), F.col("in_both").isin("AB", "both")
+            added |= {name: F.when(both, change_text(left, right)), f"{name}_priority": F.when(both & ~left.eqNullSafe(right), level)}
+        else:
+            raise ValueError(f"unknown comparison {rule['type']!r}")
+    return df.withColumns(added)
+
+
+def attribute_report(layer: DataFrame, key: str, fixes: DataFrame, rules: DataFrame) -> DataFrame:
+    """(key, attribute, validation_sum, fixes) of the invalid rows of a layer, per attribute that a fix names.
+
+    layer: key, invalid_critical and invalid_non_critical, ids joined by ;. fixes: (position, attribute, validation_ids,
+    fix_id, fix_type, description); rules: (id, error_type, message). Texts are C or W with id and message of the broken
+    rules, and AF or MF with id and description of the fixes, each in the order of the fixes and of their ids.
+    """
+    ids = F.array_distinct(F.split(F.concat_ws(";", F.nullif(F.col("invalid_critical"), F.lit("")), F.nullif(F.col("invalid_non_critical"), F.lit(""))), ";"))
+    broken = layer.select(key, F.explode(ids).alias("_id")).select(key, F.trim("_id").try_cast("long").alias("_id")).where("_id IS NOT NULL")
+    wanted = fixes.select("position", "attribute", "fix_id", "fix_type", "description", F.posexplode("validation_ids").alias("_nth", "_of"))
+    text = F.concat(F.when(F.col("error_type") == "critical", "C").otherwise("W"), F.col("id").cast("string"), F.lit(":"), F.col("message"))
+    known = wanted.join(rules.select(F.col("id").alias("_rule"), text.alias("_text")), F.col("_of") == F.col("_rule"), "left")
+    fix = F.concat(F.when(F.col("fix_type") == "automatic", "AF").otherwise("MF"), F.col("fix_id").cast("string"), F.lit(":"), F.col("description"))
+    each = broken.join(known, F.col("_id") == F.col("_of")).groupBy(key, "attribute").agg(
+        F.array_sort(F.collect_list(F.struct("position", "_nth", "_text"))).alias("_texts"), F.array_sort(F.collect_set(F.struct("position", fix.alias("fix")))).alias("_fixes"),
+    )
+    joined = lambda c, part: F.array_join(F.transform(c, lambda r: r[part]), ";")
+    return each.select(key, "attribute", joined("_texts", "_text").alias("validation_sum"), joined("_fixes", "fix").alias("fixes"))
+
+
+def by_attribute(report: DataFrame, layer: DataFrame, key: str, attributes: Sequence[str]) -> DataFrame:
+    """One row per object of an attribute report: validation_sum, fixes and the value of every attribute; the value is
+    null where the attribute has no fix."""
+    own = lambda c, a: F.max(F.when(F.col("attribute") == a, F.col(c))).alias(f"{c}_{a}")
+    wide = report.groupBy(key).agg(*[own(c, a) for a in attributes for c in ("validation_sum", "fixes")])
+    values = layer.select(F.col(key).alias("_key"), *[F.col(a) for a in attributes if a in layer.columns])
+    held = [F.when(F.col(f"fixes_{a}").isNotNull(), F.col(a)).alias(a) for a in attributes if a in layer.columns]
+    return wide.join(values, F.col(key) == F.col("_key")).select(*wide.columns, *held)

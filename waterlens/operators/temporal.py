@@ -56,3 +56,42 @@ def level_differences(series: DataFrame, element: str, t: str, value: str, marks
     wide = series.where(F.col(t).isin(*marks.values())).groupBy(element).agg(*[F.max(F.when(F.col(t) == at, F.col(value))).alias(name) for name, at in marks.items()])
     names = list(marks)
     return wide.select(element, *names, *[(F.col(b) - F.col(a)).alias(f"{a}_to_{b}") for a, b in zip(names, names[1:], strict=False)])
+
+
+def rain_days(rain: DataFrame, keys: Sequence[str], hour: str, value: str, wet: float = WET) -> DataFrame:
+    """Per key the dry days before and after the rain of an hourly list (hours from 0); null without rain."""
+    window = rain_window(rain, keys, hour, value, wet)
+    last = F.col("last_wet") + F.col("dry_after")
+    days = lambda hours: F.when(F.col("first_wet").isNotNull(), F.greatest(hours / 24, F.lit(0.0)))
+    return window.select(*keys, days(F.col("first_wet") - 1).alias("dry_start"), days(last - F.col("last_wet")).alias("dry_end"))
+
+
+def result_marks(steps: DataFrame, keys: Sequence[str], index: str, minutes: str, days: DataFrame) -> DataFrame:
+    """Per key the indexes of the start, the start of the rain, one day before its end, its end and the last step.
+
+    steps: (keys, index from 0, minutes); days: as rain_days gives them. A mark that no step reaches falls on index 0;
+    the two marks at the end of the rain lie one step before theirs, and before index 0 comes the last one. Null without
+    rain, but for the first and the last mark.
+    """
+    ends = steps.groupBy(*keys).agg(F.max(minutes).alias("_end"), F.max(index).alias("_last"))
+    every = steps.join(ends.join(days, list(keys), "left"), list(keys))
+    t, dry_end = F.col(minutes), F.col("dry_end") * 1440
+    first = lambda condition: F.coalesce(F.min(F.when(condition, F.col(index))), F.lit(0))
+    found = every.groupBy(*keys, "_last", "dry_start").agg(
+        first(t > 0).alias("t_0"), first(t > F.col("dry_start") * 1440).alias("_rain"), first(t > F.col("_end") - dry_end - 1440).alias("_day"),
+        first(t > F.col("_end") - dry_end).alias("_stop"), first(t == F.col("_end")).alias("t_end_sum"),
+    )
+    before = lambda c: F.when(F.col(c) == 0, F.col("_last")).otherwise(F.col(c) - 1)
+    marks = {"t_start_rain": F.col("_rain"), "t_end_rain_min_one": before("_day"), "t_end_rain": before("_stop")}
+    return found.select(*keys, "t_0", *[F.when(F.col("dry_start").isNotNull(), c).alias(name) for name, c in marks.items()], "t_end_sum")
+
+
+def level_rises(levels: DataFrame, keys: Sequence[str], element: str, index: str, value: str, marks: DataFrame) -> DataFrame:
+    """Per element the rises up to the rain, in it, on its last day, and from the start to the end. marks: result_marks."""
+    names = [c for c in marks.columns if c not in keys]
+    at = levels.join(marks, list(keys)).groupBy(*keys, element).agg(*[F.max(F.when(F.col(index) == F.col(m), F.col(value))).alias(m) for m in names])
+    rise = lambda a, b: F.col(b) - F.col(a)
+    return at.select(
+        *keys, element, rise("t_0", "t_start_rain").alias("lvl_start"), rise("t_start_rain", "t_end_rain").alias("lvl_rain"),
+        rise("t_end_rain_min_one", "t_end_rain").alias("lvl_end_rain"), rise("t_0", "t_end_sum").alias("lvl_end"),
+    )
