@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from waterlens.operators import raster, rules, temporal
+from waterlens.operators import network, raster, rules, temporal
 
 
 def rows(df, *columns):
@@ -76,3 +76,33 @@ def test_attribute_report(spark):
     ]
     wide = rules.by_attribute(report, layer, "code", ["level", "shape"])
     assert rows(wide, "code", "level", "fixes_shape") == [("w", None, "MF7:h"), ("x", 1.5, "MF7:h")]
+
+
+def test_map_tiles_of_nulls(spark):
+    tiles = spark.createDataFrame([(1, [1.0, None, 3.0]), (2, None), (3, []), (4, [5.0])], "id LONG, data ARRAY<DOUBLE>").coalesce(1)
+    assert rows(raster.map_tiles(tiles, lambda v: v * 2), "id", "data") == [(1, [2.0, None, 6.0]), (2, None), (3, []), (4, [10.0])]
+    assert rows(raster.map_tiles(tiles, lambda v: v[:1]), "id", "data") == [(1, [1.0]), (2, None), (3, []), (4, [5.0])]
+    assert rows(raster.map_tiles(tiles.limit(0), lambda v: v), "id") == []
+
+
+def test_without_water(spark):
+    values = spark.createDataFrame([(1, 2.0), (2, 2.0), (3, 0.0), (4, None), (5, 2.0)], "x LONG, value DOUBLE")
+    ground = spark.createDataFrame([(1, 1.0), (2, 10.0), (3, 1.0), (4, 1.0)], "x LONG, value DOUBLE")
+    assert rows(raster.without_water(values, ground, ["x"]), "x", "value") == [(1, 2.0), (2, None), (3, None), (4, None), (5, 2.0)]
+
+
+def test_leaks_and_manholes(spark):
+    lines = spark.createDataFrame([(1, 1.0, None), (2, 1.0, 2.0), (3, 1.0, None), (4, None, 2.0)], "id LONG, dpumax DOUBLE, held DOUBLE")
+    crossings = spark.createDataFrame([(1, "a", 2.0), (1, "b", 2.0), (2, "a", 0.5), (4, "a", None)], "line_id LONG, kind STRING, crest_level DOUBLE")
+    assert rows(network.leaking_lines(lines, crossings, "held"), "id", "kind", "leaks") == [(1, "b", True), (2, "a", True), (3, None, False), (4, None, False)]
+    nodes = spark.createDataFrame([(1, 3.0), (2, None), (3, 30.0), (4, 1.0)], "id LONG, storage_area DOUBLE")
+    found = network.manhole_proposals(nodes, nodes.where("id = 1"), spark.createDataFrame([(1, 5.0), (2, 6.0), (3, 1.0), (3, 2.0)], "id LONG, crest_level DOUBLE"))
+    got = rows(found, "id", "calculation_type", "drain_level", "surface_level", "storage_area")
+    assert got == [(1, 1, 99.0, 10.0, 3.0), (2, 2, 6.0, None, 10.0), (3, 2, 2.0, None, 30.0)]
+
+
+def test_primary_lines(spark):
+    channels = spark.createDataFrame([(1, 10, 11, 4), (2, 11, 12, 3), (3, None, 13, 4), (4, 1, 2, None)], "id LONG, connection_node_id_start LONG, connection_node_id_end LONG, zoom INT")
+    weirs = spark.createDataFrame([("weir", 1, 10, 13), ("weir", 2, 11, 12), ("weir", 3, None, 10)], "kind STRING, id LONG, connection_node_id_start LONG, connection_node_id_end LONG")
+    found = network.primary_lines(channels, weirs, "zoom")
+    assert rows(found, "kind", "id", "is_primary") == [("channel", 1, True), ("channel", 2, False), ("channel", 3, True), ("channel", 4, False), ("weir", 1, True), ("weir", 2, False), ("weir", 3, False)]

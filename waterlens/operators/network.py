@@ -192,11 +192,41 @@ def wrong_profiles(relations: DataFrame, levels: DataFrame) -> DataFrame:
     return relations.join(levels, ["id", "side"]).where((F.col("minimal_level") < F.col("min_reference")) & F.col("bottom_level").isNull())
 
 
-def leaking_lines(lines: DataFrame, crossings: DataFrame) -> DataFrame:
-    """1D2D lines with their highest crossing (obstacle or drainage boundary) and whether water leaks over the line: its
-    lowest level is under the crossing's. crossings: (line_id, kind, crest_level)."""
+def leaking_lines(lines: DataFrame, crossings: DataFrame, level: str | None = None) -> DataFrame:
+    """1D2D lines with their highest crossing (obstacle or drainage boundary; ties: the later kind) and whether water leaks
+    over the line: its lowest level is under the crossing's, or under the column `level`, the water level to hold.
+    crossings: (line_id, kind, crest_level)."""
     top = carry_max(crossings.where("crest_level IS NOT NULL"), ["line_id"], [F.col("crest_level"), F.col("kind")], ["kind", "crest_level"])
-    return lines.join(top, F.col("id") == F.col("line_id"), "left").drop("line_id").withColumn("leaks", F.coalesce(F.col("dpumax") < F.col("crest_level"), F.lit(False)))
+    under = [F.coalesce(F.col("dpumax") < F.col(c), F.lit(False)) for c in ("crest_level", level) if c]
+    return lines.join(top, F.col("id") == F.col("line_id"), "left").drop("line_id").withColumn("leaks", reduce(lambda a, b: a | b, under))
+
+
+# Manholes proposed where a node's level differs from its area's, and the least storage of a leaking node.
+APART = {"surface_level": 10.0, "bottom_level": -10.0, "calculation_type": 1, "drain_level": 99.0}
+LEAST_STORAGE = 10.0
+
+
+def manhole_proposals(nodes: DataFrame, divergent: DataFrame, leaking: DataFrame) -> DataFrame:
+    """Manholes for nodes (id, storage_area) whose level is not that of their area, and for other nodes that lines leak
+    from, with the highest crest as drain level. divergent: (id); leaking: (id, crest_level)."""
+    apart = divergent.select(F.col("id").alias("_apart")).distinct()
+    crests = leaking.groupBy(F.col("id").alias("_leaks")).agg(F.max("crest_level").alias("_crest"))
+    found = nodes.join(apart, F.col("id") == F.col("_apart"), "left").join(crests, F.col("id") == F.col("_leaks"), "left").where("_apart IS NOT NULL OR _leaks IS NOT NULL")
+    own = F.col("_apart").isNotNull()
+    only = lambda name, other: F.when(own, F.lit(APART[name])).otherwise(other).alias(name)
+    return found.select(
+        "id", only("calculation_type", F.lit(2)), only("drain_level", F.col("_crest")), only("surface_level", F.lit(None)), only("bottom_level", F.lit(None)),
+        F.when(own, F.col("storage_area")).otherwise(F.greatest("storage_area", F.lit(LEAST_STORAGE))).alias("storage_area"),
+    )
+
+
+def primary_lines(channels: DataFrame, structures: DataFrame, zoom: str, category: int = 4) -> DataFrame:
+    """(kind, id, is_primary): channels of the primary category, and structures with both nodes on such channels."""
+    named = channels.select(F.lit("channel").alias("kind"), "id", F.coalesce(F.col(zoom) == category, F.lit(False)).alias("is_primary"))
+    ends = {"connection_node_id_start": "start", "connection_node_id_end": "end"}
+    nodes = unpivot(channels.where(F.col(zoom) == category), ["id"], ends, "_node", "_side").where("_node IS NOT NULL").select("_node").distinct()
+    sides = unpivot(structures, ["kind", "id"], ends, "node_id", "side").join(nodes, F.col("node_id") == F.col("_node"), "left")
+    return named.unionByName(sides.groupBy("kind", "id").agg(F.bool_and(F.col("_node").isNotNull()).alias("is_primary")))
 
 
 def bank_levels(sections: DataFrame, levels: DataFrame, raised: DataFrame, minimum: float = 0.1) -> DataFrame:

@@ -114,17 +114,20 @@ def rasterise(polygons: DataFrame, value: str, size: float) -> DataFrame:
 
 
 def map_tiles(tiles: DataFrame, function: Callable[[np.ndarray], np.ndarray], value: str = "data") -> DataFrame:
-    """A numpy function over each tile's values (array<double>, null as NaN), tile by tile, in Arrow batches."""
+    """A numpy function over each tile's values (array<double>, null as NaN), tile by tile, in Arrow batches. Null tiles
+    stay null; the values of a batch are one flat buffer, of which a tile is a slice."""
     at, names, schema = tiles.columns.index(value), tiles.columns, tiles.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for cell in batch.column(at):
-                data = function(np.array([np.nan if v is None else v for v in cell.as_py()], dtype=np.float64))
-                out.append([None if np.isnan(v) else float(v) for v in data])
-            columns = [pa.array(out, type=pa.list_(pa.float64())) if k == at else batch.column(k) for k in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            lists = batch.column(at)
+            flat, starts = lists.values.to_numpy(zero_copy_only=False).astype(np.float64), lists.offsets.to_numpy()
+            known = lists.is_valid().to_numpy(zero_copy_only=False)
+            parts = [function(flat[starts[k] : starts[k + 1]].copy()) if known[k] else flat[:0] for k in range(len(lists))]
+            ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+            offsets = pa.array(ends, mask=np.append(~known, False))
+            made = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([flat[:0], *parts]), from_pandas=True))
+            yield pa.RecordBatch.from_arrays([made if k == at else batch.column(k) for k in range(len(names))], names=names)
 
     return tiles.mapInArrow(run, schema)
 
@@ -168,3 +171,10 @@ def storage_raster(pixels: DataFrame, table: DataFrame, soil: str, ground: str,
     between = F.coalesce(F.col("_a") + (F.col("_depth") / step - F.col("_n")) * (F.col("_b") - F.col("_a")), F.col("_a"))
     dry = F.when((F.col(ground) == WATER) | (F.col("_depth") < 0), 0.0).otherwise(between)
     return found.withColumn("storage", F.when(F.col("_depth").isNotNull() & F.col("_soil").isNotNull(), dry)).select(*pixels.columns, "storage")
+
+
+def without_water(values: DataFrame, ground: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Values of pixels, null on water and where they are 0; a pixel without ground keeps its value."""
+    below = ground.select(*keys, F.col("value").alias("_ground"))
+    keep = F.coalesce(F.col("_ground") != WATER, F.lit(True)) & (F.col("value") != 0)
+    return values.join(below, list(keys), "left").withColumn("value", F.when(keep, F.col("value"))).drop("_ground")

@@ -53,13 +53,13 @@ def storage_lookup(spark, d):
     return raster.storage_table(spark.sql(_CURVES), "soil").select("soil", "n", F.round("storage", 6).alias("storage"))
 
 
-@query(f"""WITH {_TABLE}, p AS (SELECT l_orderkey, l_linenumber, l_partkey % 3 AS soil, l_quantity AS dem, CASE WHEN l_suppkey % 6 <> 0 THEN l_quantity - CAST(l_partkey % 1300 AS DOUBLE) / 100 + 1.0037 END AS gw FROM lineitem),
+@query(f"""WITH {_TABLE}, p AS (SELECT l_orderkey, l_linenumber, l_partkey % 3 AS soil, l_quantity AS dem, CASE WHEN l_suppkey % 6 <> 0 THEN l_quantity - CAST(l_partkey % 1300 AS DOUBLE) / 100 + 1.00371234 END AS gw FROM lineitem),
     q AS (SELECT *, dem - gw AS x, least(floor(greatest(dem - gw, 0) / 0.01), 1000) AS n FROM p)
     SELECT l_orderkey, l_linenumber, round(CASE WHEN gw IS NULL OR q.soil = 2 THEN NULL WHEN dem = 10 OR x < 0 THEN 0 ELSE coalesce(a.storage + (x / 0.01 - q.n) * (b.storage - a.storage), a.storage) END, 6) AS storage
     FROM q LEFT JOIN t a ON a.soil = q.soil AND a.n = q.n LEFT JOIN t b ON b.soil = q.soil AND b.n = q.n + 1""")
 def storage_map(spark, d):
     """Storage in the ground of every pixel, by soil, ground and groundwater."""
-    low = F.col("l_quantity") - (F.col("l_partkey") % 1300).cast("double") / 100 + 1.0037
+    low = F.col("l_quantity") - (F.col("l_partkey") % 1300).cast("double") / 100 + 1.00371234
     pixels = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 3).alias("soil"), F.col("l_quantity").alias("dem"), F.when(F.col("l_suppkey") % 6 != 0, low).alias("gw"))
     found = raster.storage_raster(pixels, raster.storage_table(spark.sql(_CURVES), "soil"), "soil", "dem", "gw")
     return found.select("l_orderkey", "l_linenumber", F.round("storage", 6).alias("storage"))

@@ -140,6 +140,13 @@ def group_tree(spark, d):
     return graph.prefix_paths(joined, ["r_name", "n_name", "c_mktsegment"])
 
 
+@query("SELECT p_partkey, p_name, p_brand, p_size, round(p_retailprice, 1) AS p_retailprice FROM part")
+def dump_restored(spark, d):
+    """The rows that a dump with rounded numbers gives back."""
+    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
+    return files.restore(files.dump(parts, 1), parts.schema)
+
+
 @query()
 def dump_restore_hash(spark, d):
     parts = table(spark, d, "part")

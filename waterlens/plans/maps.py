@@ -119,11 +119,23 @@ def neighbour_mean(spark, d):
     return found.withColumn("neighbour_mean", F.round("neighbour_mean", 4))
 
 
-@query()
+@query("""
+    SELECT tile, row_number() OVER (PARTITION BY tile ORDER BY p_partkey, v) - 1 AS at, round(v - avg(v) OVER (PARTITION BY tile), 4) AS value FROM (SELECT p_partkey // 100 AS tile, p_partkey, p_retailprice AS v FROM part)""")
 def tile_map(spark, d):
-    """A numpy function over tiles of 100 pixels: differences to the tile's mean. Tested against the column form."""
+    """A numpy function over tiles of 100 pixels: differences to the tile's mean."""
     tiles = table(spark, d, "part").groupBy(F.expr("p_partkey div 100").alias("tile")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_retailprice"))), lambda s: s["p_retailprice"]).alias("data"))
-    return raster.map_tiles(tiles, lambda v: v - v.mean())
+    found = raster.map_tiles(tiles, lambda v: v - v.mean()).select("tile", F.posexplode("data").alias("at", "value"))
+    return found.select("tile", F.col("at").cast("long").alias("at"), F.round("value", 4).alias("value"))
+
+
+@query("""
+    WITH a AS (SELECT p_partkey % 100 AS x, p_partkey // 100 AS y, CAST(p_size % 5 AS DOUBLE) AS v FROM part), g AS (SELECT p_partkey % 100 AS x, p_partkey // 100 AS y, CASE WHEN p_partkey % 7 = 0 THEN 10.0 ELSE 1.0 END AS w FROM part WHERE p_partkey % 3 > 0)
+    SELECT x, y, CASE WHEN v <> 0 AND (w IS NULL OR w <> 10) THEN v END AS value FROM a LEFT JOIN g USING (x, y)""")
+def period_map(spark, d):
+    """Values of a return period, without those on water and those that are 0."""
+    parts = table(spark, d, "part")
+    ground = _pixels(parts.where("p_partkey % 3 > 0"), "p_partkey", F.when(F.col("p_partkey") % 7 == 0, 10.0).otherwise(1.0))
+    return raster.without_water(_pixels(parts, "p_partkey", (F.col("p_size") % 5).cast("double")), ground, ["x", "y"])
 
 
 @query("""

@@ -158,3 +158,46 @@ def widened_weirs(spark, d):
 def channel_start_levels(spark, d):
     model = tables(spark, d)
     return network.with_levels(model["channel"], model["connection_node"]).select("id", "level_start")
+
+
+_KINDS = ("weir", "orifice", "culvert")
+
+
+@query(f"""{_WITH}, z AS (SELECT *, id % 3 + 2 AS zoom FROM channel), n AS (SELECT connection_node_id_start AS n FROM z WHERE zoom = 4 UNION SELECT connection_node_id_end FROM z WHERE zoom = 4),
+    s AS ({" UNION ALL ".join(f"SELECT '{k}' AS kind, id, connection_node_id_start AS a, connection_node_id_end AS b FROM {k}" for k in _KINDS)})
+    SELECT 'channel' AS kind, id, zoom = 4 AS is_primary FROM z UNION ALL SELECT kind, id, EXISTS (SELECT 1 FROM n WHERE n = a) AND EXISTS (SELECT 1 FROM n WHERE n = b) FROM s""")
+def primary_network(spark, d):
+    """Channels and structures of the primary network."""
+    model = tables(spark, d)
+    lines = [model[k].select(F.lit(k).alias("kind"), "id", "connection_node_id_start", "connection_node_id_end") for k in _KINDS]
+    return network.primary_lines(model["channel"].withColumn("zoom", F.col("id") % 3 + 2), lines[0].unionByName(lines[1]).unionByName(lines[2]), "zoom")
+
+
+_LEAKS = """l AS (SELECT id, CAST(id % 200 AS BIGINT) AS node, CAST(id % 10 AS DOUBLE) / 2 AS dpumax, CASE WHEN id % 4 > 0 THEN CAST(id % 9 AS DOUBLE) / 3 END AS held FROM (SELECT p_partkey AS id FROM part)),
+    x AS (SELECT CAST(l_partkey AS BIGINT) AS line_id, CASE WHEN l_linenumber % 2 = 0 THEN 'boundary' ELSE 'obstacle' END AS kind, CASE WHEN l_quantity > 5 THEN l_quantity / 12 END AS crest FROM lineitem WHERE l_suppkey % 3 = 0),
+    t AS (SELECT line_id, max(crest) AS crest, max(kind) AS kind FROM (SELECT *, max(crest) OVER (PARTITION BY line_id) AS top FROM x) WHERE crest = top GROUP BY 1),
+    f AS (SELECT l.*, kind, crest, coalesce(dpumax < crest, FALSE) OR coalesce(dpumax < held, FALSE) AS leaks FROM l LEFT JOIN t ON line_id = id)"""
+
+
+def _leaking(spark, d):
+    lines = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 200).alias("node"), ((F.col("p_partkey") % 10).cast("double") / 2).alias("dpumax"), F.when(F.col("p_partkey") % 4 > 0, (F.col("p_partkey") % 9).cast("double") / 3).alias("held"))
+    kind = F.when(F.col("l_linenumber") % 2 == 0, "boundary").otherwise("obstacle")
+    crossings = table(spark, d, "lineitem").where("l_suppkey % 3 = 0").select(F.col("l_partkey").alias("line_id"), kind.alias("kind"), F.when(F.col("l_quantity") > 5, F.col("l_quantity") / 12).alias("crest_level"))
+    return network.leaking_lines(lines, crossings, "held")
+
+
+@query(f"WITH {_LEAKS} SELECT id, kind, round(crest, 6) AS crest_level, leaks FROM f")
+def leaks(spark, d):
+    """Lines with their highest crossing, and whether water leaks over them."""
+    return _leaking(spark, d).select("id", "kind", F.round("crest_level", 6).alias("crest_level"), "leaks")
+
+
+@query(f"""WITH {_LEAKS}, k AS (SELECT node, round(max(crest), 6) AS crest FROM f WHERE leaks GROUP BY 1),
+    n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 > 0 THEN CAST(c_custkey % 25 AS DOUBLE) END AS storage, c_custkey % 8 = 0 AS apart FROM customer)
+    SELECT id, CASE WHEN apart THEN 1 ELSE 2 END AS calculation_type, CASE WHEN apart THEN 99.0 ELSE crest END AS drain_level, CASE WHEN apart THEN 10.0 END AS surface_level, CASE WHEN apart THEN -10.0 END AS bottom_level,
+      CASE WHEN apart THEN storage ELSE greatest(storage, 10) END AS storage_area FROM n LEFT JOIN k ON node = id WHERE apart OR node IS NOT NULL""")
+def manholes_for_leaks(spark, d):
+    """Manholes that keep water from leaking, or from nodes that do not share the level of their area."""
+    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 > 0, (F.col("c_custkey") % 25).cast("double")).alias("storage_area"))
+    leaking = _leaking(spark, d).where("leaks").select(F.col("node").alias("id"), "crest_level")
+    return network.manhole_proposals(nodes, nodes.where("id % 8 = 0"), leaking).withColumn("drain_level", F.round("drain_level", 6))
