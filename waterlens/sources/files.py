@@ -27,8 +27,9 @@ def read_domains(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
 
 
 def read_query(spark: SparkSession, url: str, sql: str, **options: str) -> DataFrame:
-    """A query that a database runs, as a table; what is filtered afterwards is pushed to it where it can be."""
-    return spark.read.format("jdbc").options(url=url, query=sql, **options).load()
+    """A query that a database runs, as a table; what is filtered afterwards is pushed to it where it can be. With
+    partitionColumn, lowerBound, upperBound and numPartitions among the options it is read in as many parts."""
+    return spark.read.format("jdbc").options(url=url, dbtable=f"({sql}) given", **options).load()
 
 
 def round_numbers(df: DataFrame, digits: int = 6) -> DataFrame:
