@@ -45,13 +45,14 @@ def refuse_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df
 
 
-def rules_overview(documents: DataFrame, text: str = "text") -> DataFrame:
-    """The general rules and the active validation rules of rule documents in JSON, one row each, with whose they are."""
+def rules_overview(documents: DataFrame, text: str = "text", own_set: str = "own", shared_set: str = "shared") -> DataFrame:
+    """The general rules and the active validation rules of rule documents in JSON, one row each, with whose they
+    are: `own_set` for rules of that set and for ids from OWN_RULES_FROM on, else `shared_set`."""
     parsed = documents.select(F.from_json(text, RULES_SCHEMA).alias("_o")).select("_o.*")
-    own = lambda also: F.when(also | (F.col("r.id") >= OWN_RULES_FROM), "hhnk").otherwise("hwh")
+    own = lambda also: F.when(also | (F.col("r.id") >= OWN_RULES_FROM), own_set).otherwise(shared_set)
     describe = F.coalesce("r.description", F.lit("")).alias("description")
     general = parsed.select("object", F.explode("general_rules").alias("r")).select(own(F.lit(False)).alias("origin"), "object", "r.id", F.lit("general rules").alias("kind"), F.col("r.result_variable").alias("name"), describe)
-    checks = parsed.select("object", F.explode("validation_rules").alias("r")).where("r.active").select(own(F.coalesce(F.col("r.validation_rule_set") == "hhnk", F.lit(False))).alias("origin"), "object", "r.id", F.lit("validation rules").alias("kind"), "r.name", describe)
+    checks = parsed.select("object", F.explode("validation_rules").alias("r")).where("r.active").select(own(F.coalesce(F.col("r.validation_rule_set") == own_set, F.lit(False))).alias("origin"), "object", "r.id", F.lit("validation rules").alias("kind"), "r.name", describe)
     return general.unionByName(checks)
 
 

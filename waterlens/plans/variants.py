@@ -39,14 +39,14 @@ def newest_revisions(spark, d):
 
 
 @query("""
-    SELECT 'validation rules' AS kind, r_name AS object, n_nationkey * 6 AS id, n_name AS name, coalesce(CASE WHEN n_nationkey % 3 > 0 THEN n_name END, '') AS description, CASE WHEN n_nationkey % 4 = 0 OR n_nationkey * 6 >= 100 THEN 'hhnk' ELSE 'hwh' END AS origin
+    SELECT 'validation rules' AS kind, r_name AS object, n_nationkey * 6 AS id, n_name AS name, coalesce(CASE WHEN n_nationkey % 3 > 0 THEN n_name END, '') AS description, CASE WHEN n_nationkey % 4 = 0 OR n_nationkey * 6 >= 100 THEN 'own' ELSE 'shared' END AS origin
     FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 5 <> 0
-    UNION ALL SELECT 'general rules', r_name, n_nationkey * 7, n_name, '', CASE WHEN n_nationkey * 7 >= 100 THEN 'hhnk' ELSE 'hwh' END FROM nation JOIN region ON r_regionkey = n_regionkey""")
+    UNION ALL SELECT 'general rules', r_name, n_nationkey * 7, n_name, '', CASE WHEN n_nationkey * 7 >= 100 THEN 'own' ELSE 'shared' END FROM nation JOIN region ON r_regionkey = n_regionkey""")
 def rules_of_documents(spark, d):
     """Rule documents in JSON, one for each layer, as a table of rules."""
     n = F.col("n_nationkey").cast("long")
     general = F.struct((n * 7).alias("id"), F.col("n_name").alias("result_variable"))
-    check = F.struct((n * 6).alias("id"), F.col("n_name").alias("name"), F.when(n % 3 > 0, F.col("n_name")).alias("description"), F.when(n % 4 == 0, "hhnk").otherwise("basic").alias("validation_rule_set"), (n % 5 != 0).alias("active"))
+    check = F.struct((n * 6).alias("id"), F.col("n_name").alias("name"), F.when(n % 3 > 0, F.col("n_name")).alias("description"), F.when(n % 4 == 0, "own").otherwise("basic").alias("validation_rule_set"), (n % 5 != 0).alias("active"))
     layers = table(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list(general).alias("general_rules"), F.collect_list(check).alias("validation_rules"))
     documents = layers.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.to_json(F.struct(F.col("r_name").alias("object"), "general_rules", "validation_rules")).alias("text"))
     return variants.rules_overview(documents).select("kind", "object", "id", "name", "description", "origin")
