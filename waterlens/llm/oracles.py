@@ -76,4 +76,43 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(length('<|im_start|>') + length({_ROLE}) + 1 + length({_ESCAPE.format("text")}) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id"""
 
-ORACLES = {"op1_license_scan": LICENSES, "op2_decontamination": DECONTAMINATION, "op5_topk_search": TOPK, "op6_chat_format": CHATS}
+_ROUND = """
+d{n} AS MATERIALIZED (SELECT r, p.part, arg_min(entry, (dist, entry)) AS entry, min(dist) AS dist FROM (
+  SELECT r, p.part, entry, CAST(list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS dist
+  FROM p JOIN c{n} c ON p.part = c.part) p GROUP BY ALL),
+m{n} AS (SELECT part, entry, list(CAST((s - ((s % n + n) % n)) // n AS BIGINT) ORDER BY k) AS x FROM (
+  SELECT part, entry, k, CAST(sum(x[k]) AS BIGINT) AS s, count(*) AS n FROM d{n} JOIN p USING (r, part), unnest(range(1, len(x) + 1)) t(k) GROUP BY ALL) GROUP BY ALL),
+c{m} AS MATERIALIZED (SELECT part, entry, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN m{n} m USING (part, entry)),"""
+
+VECTOR_CODES = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, vec_id, part, q[part * (len(q) // 8) + 1 : (part + 1) * (len(q) // 8)] AS x FROM v, unnest(range(8)) t(part)),
+c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM p QUALIFY entry < 16),
+{"".join(_ROUND.format(n=n, m=n + 1) for n in range(7)).rsplit("m6 AS", 1)[0]}
+b AS (SELECT sha256(array_to_string(flatten(list(x ORDER BY part, entry)), ',')) AS codebooks_sha256 FROM c6),
+e AS (SELECT r, array_to_string(list(printf('%02x', entry) ORDER BY part), '') AS code, CAST(sum(dist) AS BIGINT) AS error FROM d6 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN e USING (r), b"""
+
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda b: CAST(ascii(b) AS BIGINT))),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda k, z: xor(k >> 1, CASE WHEN k & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+PREFIX_TRIE = f"""
+WITH o AS (SELECT conv_id AS c, turn, coalesce(text, '') AS text, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS sha FROM conversations WHERE conv_id IS NOT NULL),
+t AS MATERIALIZED (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha) - 1 AS p, sha, length(text) AS chars FROM o),
+n AS (SELECT c, count(*) AS n, c - c % 100 AS host, {_CRC} % 6 AS h FROM t GROUP BY c),
+k AS MATERIALIZED (SELECT n.*, least(n.h, coalesce(b.n, 0)) AS taken FROM n LEFT JOIN n b ON b.c = n.host),
+r AS (SELECT k.c, t.p + 1 AS d, sha, chars FROM k JOIN t ON t.c = k.host AND t.p < k.taken
+  UNION ALL SELECT k.c, t.p - k.h + k.taken + 1, sha, chars FROM k JOIN t ON t.c = k.c WHERE t.p >= k.h),
+x AS MATERIALIZED (SELECT c, d, sha256(string_agg(sha, '') OVER (PARTITION BY c ORDER BY d)) AS node, chars, d = max(d) OVER (PARTITION BY c) AS last FROM r
+  UNION ALL SELECT c, 0, '', 0, taken + greatest(n - h, 0) = 0 FROM k),
+g AS MATERIALIZED (SELECT d, node, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(chars) AS v, bool_and(last) AS leaf,
+  sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE last), '')) AS ends_sha256 FROM x GROUP BY d, node),
+below AS (SELECT DISTINCT a.d, a.node, b.d AS bd, b.node AS bn FROM x a JOIN x b ON a.c = b.c AND b.d >= a.d),
+s AS (SELECT below.d, below.node, count(*) FILTER (WHERE bd = below.d + 1) AS n_children, count(*) FILTER (WHERE leaf) AS n_leaves, CAST(sum(v) AS BIGINT) AS saved_tokens
+  FROM below JOIN g ON g.d = bd AND g.node = bn GROUP BY below.d, below.node),
+u AS (SELECT below.bd AS d, below.bn AS node, g.conv_id AS parent_conv_id FROM below JOIN g ON g.d = below.d AND g.node = below.node WHERE bd = below.d + 1)
+SELECT g.conv_id, g.d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM g JOIN s ON g.d = s.d AND g.node = s.node LEFT JOIN u ON g.d = u.d AND g.node = u.node"""
+
+ORACLES = {"op1_license_scan": LICENSES, "op2_decontamination": DECONTAMINATION, "op5_topk_search": TOPK, "op6_chat_format": CHATS, "op11_vector_codes": VECTOR_CODES, "op12_prefix_trie": PREFIX_TRIE}
