@@ -228,6 +228,22 @@ NAMED = {  # text: the named literals in it
     "db_pwd = settings.db.pwd": [],
     "db_pwd == 'Zx81!w77Lm'": [],
     "name: x\nvalue: 'Zx81!w77Lm'": [],
+    "export DB_PWD=Zx81!w77Lm": ["Zx81!w77Lm"],
+    "  - db_pwd: Zx8,!w;7Lm  # note": ["Zx8,!w;7Lm"],
+    "db_pwd: Zx81!w77Lm,\nx: 1": ["Zx81!w77Lm"],
+    "x = ['Zx81!w77Lm', 'b']; db_pwd = x[0]": ["Zx81!w77Lm"],
+    "x = {'a': 'Zx81!w77Lm'}\ndb_pwd = x['a']": ["Zx81!w77Lm"],
+    "db_pwds = [\n  'Zx81!w77Lm',  # one\n  'Zx82!w77Lm'\n]": ["Zx81!w77Lm", "Zx82!w77Lm"],
+    "db_pwds = {'live': 'Zx81!w77Lm', 'test': 'Zx82!w77Lm'}": ["Zx81!w77Lm", "Zx82!w77Lm"],
+    'cfg.set("db_pwd", "Zx81!w77Lm")': ["Zx81!w77Lm"],
+    'let db_pwd = String::from("Zx81!w77Lm");': ["Zx81!w77Lm"],
+    'Key dbPwd = new SecretKey("Zx81!w77Lm");': ["Zx81!w77Lm"],
+    'db_pwd = cfg.lookup("Zx81!w77Lm")': [],
+    'db_pwd = join("Zx81!w77Lm", "b")': [],
+    "the db_pwd: Zx81!w77Lm was there": [],
+    "db_pwd = rows[k!]": [],
+    "db_pwd = fetch(a!b)": [],
+    "db_pwd = {{vault!pw1}}": [],
     "db_pwd = ": [],
     'db_pwd = "Zx81!w77Lm': [],
     "db_pwd = (": [],
@@ -248,6 +264,48 @@ def test_lexer_keeps_pace_in_odd_texts():
         assert time.perf_counter() - started < 5, text[:20]
 
 
+#: Lines of files in which {} is a literal: with a sensitive name, and with another.
+SYNTAX = (
+    ('{n} = "{v}"', "py"), ("{n} = '{v}'  # set", "py"), ("{n}: str = '{v}'", "py"), ("config['{n}'] = '{v}'", "py"), ("x = ['{v}', 'b']\n{n} = x[0]", "py"),
+    ("{n} = Secret('{v}')", "py"), ('const {n} = `{v}`;', "js"), ('  "{n}": "{v}",', "json"), ("{n}: {v}", "yaml"), ("  {n}: '{v}'", "yaml"), ("export {n}={v}", "env"),
+    ("{n}={v}", "env"), ("{n} = {v} ; note", "ini"), ("<{n}>{v}</{n}>", "xml"), ('<add key="{n}" value="{v}"/>', "xml"), ('cfg.set("{n}", "{v}");', "java"),
+    ('String {n} = new String("{v}");', "java"), ('let {n} = String::from("{v}");', "rs"), ('{n} := "{v}"', "go"), ("k = '{v}'\n{n} = k", "py"), ("{n} = ('{v}')", "py"),
+)
+SENSITIVE = ("db_password", "clientSecret", "AUTH_TOKEN", "smtp.passphrase", "signingKey", "admin_pwd")
+OTHERS = ("user_name", "baseUrl", "FILE_PATH", "log.level", "primaryKey", "max_count", "password_hint", "token_type")
+
+
+def test_planted_secrets_in_generated_files():
+    rng = random.Random(8)
+    value = lambda: "".join(rng.sample("ABCDEFGHJKMNPQRS", 4) + rng.sample("abcdefghjkmnp", 4) + rng.sample("23456789", 3) + rng.sample("!@%&^~", 2))
+    planted = hits = false = 0
+    for _ in range(200):
+        lines, secret, plain = [], set(), set()
+        for _ in range(rng.randint(1, 25)):
+            form, v, sensitive = rng.choice(SYNTAX)[0], value(), rng.random() < 0.5
+            lines.append(form.format(n=rng.choice(SENSITIVE if sensitive else OTHERS), v=v))
+            (secret if sensitive else plain).add(v)
+            lines += rng.choice(([], ["# a note: nothing here"], [""], ["return compute(value)"], ["The door was open, and the key lay there."]))
+        text = "\n".join(lines)
+        spans = secrets.find(text)
+        covered = lambda v, text=text, spans=spans: any(a <= text.index(v) and text.index(v) + len(v) <= b for a, b, _ in spans)
+        planted, hits, false = planted + len(secret), hits + sum(map(covered, secret)), false + sum(map(covered, plain))
+    assert hits >= 0.99 * planted and false == 0, (planted, hits, false)
+
+
+def test_time_of_a_text_is_linear():
+    took = []
+    for n in (20_000, 80_000):
+        text = 'password = "Abc1!x9#Zq"\n' * n
+        started = time.perf_counter()
+        assert len(secrets.find(text)) == n
+        took.append(time.perf_counter() - started)
+    assert took[1] < 7 * took[0]
+    started = time.perf_counter()
+    secrets.find("It was said: the river = wide, and the key lay at the door. " * 500_000)  # 30 MB
+    assert time.perf_counter() - started < 60
+
+
 def test_redaction_leaves_clean_texts(spark, docs):
     given = odd(spark, SECRETS).withColumn("n_chars", F.length("text").cast("long"))
     clean = secrets.redacted(given)

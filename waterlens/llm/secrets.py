@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,13 +34,14 @@ NAME_WEIGHTS = {
 LEAST_NAME = 3.0
 LEAST_LITERAL = 8
 LEAST_BITS = 2.5
-_HEADED = re.compile(r"[:=]|</")
+_HEADED = re.compile(r"""[:=]|</|\([ \t]*["']""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 def name_score(name: str) -> float:
-    """Sum of the weights of a name's words, split at case changes, digits and punctuation."""
-    return float(sum(NAME_WEIGHTS.get(w.lower(), 0) for w in _WORDS.findall(name)))
+    """Sum of the weights of a name's words or their singulars, split at case changes, digits and punctuation."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    return float(sum(NAME_WEIGHTS.get(w, NAME_WEIGHTS.get(w.removesuffix("s"), 0)) for w in words))
 
 
 def _looks_secret(value: Value) -> bool:
@@ -61,11 +64,13 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if _HEADED.search(text):
-        base = list(out)
+        base = sorted(out)
+        starts, reach = [b[0] for b in base], list(accumulate((b[1] for b in base), max))  # the furthest end of all up to one
+        inside = lambda start, end: (k := bisect_right(starts, start)) > 0 and end <= reach[k - 1]
         seen: set[int] = set()
         values = [value for name, value in pairs(text) if name_score(name) >= LEAST_NAME and _looks_secret(value)]
         named = {(p.start, p.end) for value in values for p in literals(value, seen)}
-        out += [(start, end, "named") for start, end in named if start < end and not any(a <= start and end <= b for a, b, _ in base)]
+        out += [(start, end, "named") for start, end in named if start < end and not inside(start, end)]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
