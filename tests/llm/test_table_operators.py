@@ -6,6 +6,7 @@ import functools
 import hashlib
 import json
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -168,6 +169,48 @@ def test_no_link_under_the_similarity_is_used(spark):
     assert sum(group[d] == expected[d] for d in texts) / len(texts) > 0.97
 
 
+def test_a_farther_partner_links_when_closer_ones_fail(spark):
+    """Each text has five partners just under the similarity that come first, and one at it: further passes get to it."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts, wanted = {}, []
+    for n in range(20):
+        base = [word() for _ in range(220)]
+        texts[100 * n] = " ".join(base)
+        for k in range(1, 6):  # one run of new words: J just under 0.8
+            texts[100 * n + k] = " ".join(base[: 190 + k] + [word() for _ in range(30 - k)])
+        texts[100 * n + 9] = " ".join(base[:176] + [word() for _ in range(12)] + base[188:])
+        wanted.append((100 * n, 100 * n + 9))
+    given = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    find = linked([p for p, j in plain_similarities(texts).items() if j >= 0.8])
+    group = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(given).collect()}
+    assert all(group[a] == group[b] for a, b in wanted)
+    assert sum(group[d] == find(d) for d in texts) / len(texts) > 0.97
+
+
+def test_groups_do_not_hang_on_windows(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    expected = sorted(map(tuple, simhash.similar_groups(docs).collect()))
+    monkeypatch.setattr(simhash, "TOGETHER", 0)
+    assert sorted(map(tuple, simhash.similar_groups(docs).collect())) == expected  # scans find what trees find
+    monkeypatch.setattr(simhash, "WINDOW", 20)
+    copies = [(5000 + k, f"{' '.join(f'w{i}' for i in range(200))} tail{k}") for k in range(300)]  # one key of 300 rows
+    given = docs.select("doc_id", "text").union(spark.createDataFrame(copies, "doc_id long, text string"))
+    group = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(given).collect()}
+    assert {group[k] for k, _ in copies} == {5000}
+    assert sorted(p for p in group.items() if p[0] < 5000) == expected
+
+
+def test_a_large_shard_takes_bounded_time():
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 1 << 63, (10_000, 2), dtype=np.uint64)
+    words = np.concatenate((words, words ^ np.array([1, 8], dtype=np.uint64)))
+    started = time.perf_counter()
+    leader, far = simhash._led(words, 20)
+    assert time.perf_counter() - started < 30
+    assert ((leader >= 0).sum() == 10_000) and (far[leader >= 0] == 2).all()
+
+
 def test_recall_of_copies_with_a_fifth_appended(spark):
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))

@@ -20,12 +20,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waterlens.operators.graph import components
 
-from .common import cut
+from .common import cut, written
 
 RADIUS = 2
 SHINGLE = 3
@@ -38,6 +38,12 @@ TABLES = 20
 KEY = 6
 BITS = 128
 _CHUNK = 1 << 16
+#: Partners of a row that a pass verifies; rows of a key that are compared at once; ids that are broadcast.
+NEAREST = 4
+WINDOW = 50_000
+BROADCAST_IDS = 1_000_000
+#: While leaders lead this part of what is left, one in _MANY, the next one is the middle of the rest.
+_MANY = 16
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -94,6 +100,22 @@ def sketch(hashes: np.ndarray) -> tuple[int, int, np.ndarray]:
     return hi, lo, np.array([xxhash.xxh3_64_intdigest(run, t) for t, run in enumerate(runs)], dtype=np.uint64).view(np.int64)
 
 
+def _named_sets(shingle: int):
+    """A task over (id, text): the id and the sorted shingle hashes of the texts whose shingle set it names."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sets = [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hashes = _set_hashes(text, shingle)
+                if set_name(hashes) == name:  # doc_ids may repeat with other texts
+                    ids.append(name)
+                    sets.append(hashes.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(sets, type=pa.binary())], names=["id", "hashes"])
+
+    return task
+
+
 def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
@@ -194,8 +216,9 @@ def _whole(rows: np.ndarray) -> list[int]:
     return [w[0] if len(w) == 1 else w[0] << 64 | w[1] for w in words]
 
 
-def _whole_shards(work):
-    """A task over rows (key, ...) sorted by key that gives whole shards to `work`, as keys and the other columns."""
+def _whole_shards(work, window: int = 0):
+    """A task over rows (key, ...) sorted by key that gives whole shards to `work`, as keys and the other columns; with a
+    `window` a shard of more rows is given in parts of that many."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rows = np.empty(0, dtype=np.int64), None
@@ -206,6 +229,8 @@ def _whole_shards(work):
             keys = np.concatenate((keys, batch.column(0).to_numpy()))
             rows = more if rows is None else np.concatenate((rows, more))
             whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+            if not whole and window and len(keys) >= window:
+                whole = window
             if whole:
                 yield from work(keys[:whole], rows[:whole])
                 keys, rows = keys[whole:], rows[whole:]
@@ -242,10 +267,10 @@ def links(fingerprints: DataFrame) -> DataFrame:
 
 
 def radius_of(similarity: float, bits: int = BITS) -> int:
-    """Differing bits that the sketches of a pair of this Jaccard similarity have at most, with 3 standard deviations to
-    spare: a bit differs with half the chance that the min-hashes do."""
+    """Differing bits that the sketches of a pair of this Jaccard similarity have at most, with 4 standard deviations to
+    spare (what that lets through is verified): a bit differs with half the chance that the min-hashes do."""
     share = (1 - similarity) / 2
-    return math.ceil(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
+    return math.ceil(bits * share + 4 * math.sqrt(bits * share * (1 - share)))
 
 
 def _batch(columns: dict[str, list]) -> pa.RecordBatch:
@@ -258,131 +283,148 @@ def _middle(words: np.ndarray) -> int:
     return int(np.argmin((bits != (bits.sum(axis=0, dtype=np.int64) * 2 > len(words))).sum(axis=1)))
 
 
-def _leader_pairs(radius: int):
-    """A task over rows (key, id, words of the sketch) sorted by key: pairs (u, v, distance) of a row and its leader.
+def _distances(words: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(words ^ one).sum(axis=1, dtype=np.int64)
+
+
+def _led(words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row its leader (-1 for none) and their distance.
 
-    A shard's leader is its middle row; those that its BK-tree finds within the radius follow it, and the rest is led in
-    the same way until no row leads another.
+    The first leader is the middle row, the next the middle of what is left while leaders lead many, else the first row
+    left. Rows within the radius of a leader follow it.
     """
+    leader, far = np.full(len(words), -1), np.zeros(len(words), dtype=np.int64)
+    left, many = np.arange(len(words)), True
+    while len(left) > 1:
+        lead = left[_middle(words[left])] if many else left[0]
+        distance = _distances(words[left], words[lead])
+        follow = (distance <= radius) & (left != lead)
+        leader[left[follow]], far[left[follow]] = lead, distance[follow]
+        many = bool(follow.sum() * _MANY >= len(left))
+        left = left[~follow & (left != lead)]
+    return leader, far
+
+
+def _first_meetings(radius: int):
+    """A task over rows (key, id, next, words of the sketch) sorted by key: the rows of shards of more than one, each with
+    its leader (v, or its own id) and their distance."""
 
     def work(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        u, v, distance = [], [], []
+        found = []
         for start, end in _shards(keys):
-            ids, words = rows[start:end, 0].tolist(), np.ascontiguousarray(rows[start:end, 1:])
-            values = _whole(words)
-            tree, left = BKTree(values), np.arange(len(values))
-            while len(left) > 1:
-                lead = int(left[_middle(words[left])])
-                open_ = set(left.tolist()) - {lead}
-                near = [k for k in tree.near(values[lead], radius) if k in open_]
-                u += [ids[k] for k in near]
-                v += [ids[lead]] * len(near)
-                distance += [(values[k] ^ values[lead]).bit_count() for k in near]
-                left = np.array(sorted(open_.difference(near)), dtype=np.int64)
-                if not near:  # what is left lies apart from its middle: each row is sought once
-                    for k in left.tolist():
-                        for other in tree.near(values[k], radius):
-                            if other < k and other in open_:
-                                u.append(ids[k])
-                                v.append(ids[other])
-                                distance.append((values[k] ^ values[other]).bit_count())
-                                break
-                    break
-        yield _batch({"u": u, "v": v, "distance": distance})
+            part = rows[start:end]
+            leader, far = _led(np.ascontiguousarray(part[:, 2:]).view(np.uint64), radius)
+            follows = np.where(leader >= 0, part[leader, 0], part[:, 0])
+            found.append(np.column_stack((keys[start:end], part, follows, far)))
+        out = np.concatenate(found) if found else np.empty((0, 7), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, k])) for k in range(7)], names=["key", "id", "next", "hi", "lo", "v", "distance"])
 
-    return _whole_shards(work)
+    return _whole_shards(work, WINDOW)
 
 
-def _unlike_pairs(radius: int, every: bool):
-    """A task over rows (key, id, label, tried, words of the sketch) sorted by key: pairs (u, v, distance) within the radius
-    whose labels differ, found in the shard's BK-tree.
+def _unlike_pairs(radius: int, most: int, every: bool):
+    """A task over rows (key, id, label, tried, past distance, past id, words of the sketch) sorted by key: pairs (u, v,
+    distance) within the radius whose labels differ.
 
-    A row of a smaller label gives its closest one but that which it was `tried` with, or `every` one.
+    A row that is not of its shard's largest label (or `every` row) gives its `most` closest ones after (past distance, past id) but that
+    which it was `tried` with; equal distances by id. Small shards are searched in their BK-tree, others by a scan: at this
+    radius a large tree leaves out little.
     """
 
+    def near(tree: BKTree | None, values: list[int], words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if tree is None:
+            distance = _distances(words, words[k])
+            at = np.flatnonzero(distance <= radius)
+            return at, distance[at]
+        at = list(tree.near(values[k], radius))
+        return np.array(at), np.array([(values[n] ^ values[k]).bit_count() for n in at])
+
     def work(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         u, v, distance = [], [], []
         for start, end in _shards(keys):
-            labels, group, size = np.unique(rows[start:end, 1], return_inverse=True, return_counts=True)
+            part = rows[start:end]
+            labels, group, size = np.unique(part[:, 1], return_inverse=True, return_counts=True)
             if len(labels) < 2:
                 continue
-            order = np.argsort(size[group], kind="stable")
-            part = rows[start:end][order]
-            rank, ids, tried, values = group[order].tolist(), part[:, 0].tolist(), part[:, 2].tolist(), _whole(part[:, 3:])
-            tree = BKTree(values)
-            for k in range(int(np.flatnonzero(group[order] != group[order[-1]])[-1]) + 1):  # what follows carries one label
-                found = [((values[n] ^ values[k]).bit_count(), ids[n]) for n in tree.near(values[k], radius) if rank[n] != rank[k] and (every or ids[n] != tried[k])]
-                for far, other in found if every else [min(found)] if found else []:
-                    u.append(ids[k])
-                    v.append(other)
-                    distance.append(far)
+            ids, words = part[:, 0], np.ascontiguousarray(part[:, 5:]).view(np.uint64)
+            values = _whole(words) if len(part) <= TOGETHER else []
+            tree = BKTree(values) if values else None
+            for k in range(len(part)) if every else np.flatnonzero(group != size.argmax()).tolist():
+                at, far = near(tree, values, words, k)
+                _, _, tried, past, past_id = part[k, :5].tolist()
+                keep = (group[at] != group[k]) & (ids[at] != tried) & ((far > past) | ((far == past) & (ids[at] > past_id)))
+                at, far = at[keep], far[keep]
+                for n in np.lexsort((ids[at], far))[:most].tolist():
+                    u.append(int(ids[k]))
+                    v.append(int(ids[at[n]]))
+                    distance.append(int(far[n]))
         yield _batch({"u": u, "v": v, "distance": distance})
 
-    return _whole_shards(work)
+    return _whole_shards(work, WINDOW)
 
 
-def jaccard(left: set[bytes], right: set[bytes]) -> float:
-    both = len(left & right)
-    return both / (len(left) + len(right) - both) if left or right else 1.0
+def jaccard(left: np.ndarray, right: np.ndarray) -> float:
+    """Of two sorted sets of shingle hashes; 1 for two empty ones."""
+    both = len(np.intersect1d(left, right, assume_unique=True))
+    return both / (len(left) + len(right) - both) if len(left) or len(right) else 1.0
 
 
-def verified(edges: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The edges (u, v) whose texts (id, text) have at least this Jaccard similarity of shingle sets."""
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (u, v) whose shingle sets (id, hashes: sorted 64-bit integers) have at least this Jaccard similarity."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, set()
+        of = lambda scalar: np.frombuffer(scalar.as_py(), dtype=np.uint64)
         for batch in batches:
-            keep = []
-            for k in range(batch.num_rows):
-                v = batch.column(1)[k].as_py()
-                if v != last:
-                    last, known = v, set(_shingles(_words(batch.column(3)[k].as_py()), shingle))
-                keep.append(jaccard(set(_shingles(_words(batch.column(2)[k].as_py()), shingle)), known) >= similarity)
+            keep = [jaccard(of(a), of(b)) >= similarity for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, type=pa.bool_()))
 
-    of = lambda key, name: texts.select(F.col("id").alias(key), F.col("text").alias(name))
+    side = lambda key, name: sets.select(F.col("id").alias(key), F.col("hashes").alias(name))
     both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    return both.join(of("u", "left"), "u").join(of("v", "right"), "v").select("u", "v", "left", "right").mapInArrow(check, "u long, v long")
+    return both.join(side("u", "left"), "u").join(side("v", "right"), "v").select("u", "v", "left", "right").mapInArrow(check, "u long, v long")
 
 
 def similar_links(classes: DataFrame, docs: DataFrame, similarity: float, shingle: int, exhaustive: bool = False) -> DataFrame:
     """Edges (u, v) between ids of `classes` (id, first_id, hi, lo, keys), every one verified.
 
-    In a first pass each row is verified with the closest of its leaders in all shards, in a second one, if its component
-    is not that of all it meets, with the closest row of another component. So each pass verifies at most one pair a row,
-    however large a group is. An exhaustive search then verifies all pairs that meet within the radius and are still in
-    different components; its work grows with the square of a group whose members are not alike enough.
+    Rows are dealt to shards once; what shares no key with another row is left out from then on, and the shingle sets of
+    the rest are made once. In a first pass each row is verified with the closest of its leaders in all shards. In each
+    further pass every row takes its NEAREST closest partners of other components that it has not come to yet, until a
+    pass joins nothing, or, if `exhaustive`, until no row has a partner left. So a pass verifies at most NEAREST pairs a
+    row, however large a group is; an exhaustive search's passes grow with the size of a group whose members are not alike
+    enough. Keys are dealt by ranges of (key, next key), so a key of very many rows goes to several tasks, and a task
+    takes it in windows.
     """
     radius = radius_of(similarity)
     pairs = "u long, v long, distance long"
-
-    def sharded(rows: DataFrame, *columns: str) -> DataFrame:
-        return rows.select(F.explode("keys").alias("key"), "id", *columns, "hi", "lo").repartition("key").sortWithinPartitions("key", "id")
-
-    def closest(found: DataFrame) -> DataFrame:
-        return cut(found.groupBy("u").agg(F.min_by("v", F.struct("distance", "v")).alias("v")))
-
-    def labelled(edges: DataFrame, tried: DataFrame) -> DataFrame:
-        label = components(edges).select(F.col("u").alias("_id"), F.col("v").alias("label"))
-        rows = classes.join(label, F.col("id") == F.col("_id"), "left").join(tried.select("u", F.col("v").alias("tried")), F.col("id") == F.col("u"), "left")
-        return cut(rows.select("id", F.coalesce("label", "id").alias("label"), F.coalesce("tried", "id").alias("tried"), "hi", "lo", "keys"))
-
-    name = F.pandas_udf(lambda texts: pd.Series([set_name(_set_hashes(t, shingle)) for t in texts], dtype="int64"), "long").asNondeterministic()
-
-    def checked(asked: DataFrame) -> DataFrame:
-        wanted = classes.join(asked.select(F.col("u").alias("_id")).union(asked.select("v")).distinct(), F.col("id") == F.col("_id")).select("id", "first_id")
-        texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("first_id")).select("id", "text")
-        texts = cut(texts.withColumn("_name", name("text")).where("_name = id").select("id", "text").dropDuplicates(["id"]))
-        return cut(verified(asked, texts, similarity, shingle))
-
-    first = closest(sharded(classes).mapInArrow(_leader_pairs(radius), pairs))
-    edges = checked(first)
-    second = closest(sharded(labelled(edges, first), "label", "tried").mapInArrow(_unlike_pairs(radius, every=False), pairs))
-    edges = edges.union(checked(second))
-    if exhaustive:
-        others = sharded(labelled(edges, second), "label", "tried").mapInArrow(_unlike_pairs(radius, every=True), pairs)
-        edges = edges.union(checked(cut(others.select("u", "v").distinct())))
-    return edges
+    dealt = classes.select("id", "hi", "lo", F.posexplode("keys").alias("t", "key"), (F.col("keys")[(F.col("t") + 1) % F.size("keys")]).alias("next"))
+    dealt = dealt.repartitionByRange("key", "next", "id").sortWithinPartitions("key", "next", "id").select("key", "id", "next", "hi", "lo")
+    met = written(dealt.mapInArrow(_first_meetings(radius), "key long, id long, next long, hi long, lo long, v long, distance long"), "met")
+
+    wanted = written(met.select("id").distinct().join(classes.select("id", "first_id"), "id").select("id", "first_id"), "wanted")
+    by_id = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    found = docs.select("doc_id", "text").join(by_id, F.col("doc_id") == F.col("first_id")).select("id", "text")
+    sets = written(found.mapInArrow(_named_sets(shingle), "id long, hashes binary").groupBy("id").agg(F.first("hashes").alias("hashes")), "sets")
+
+    first = written(met.where("v <> id").groupBy("id").agg(F.min_by("v", F.struct("distance", "v")).alias("v")).select(F.col("id").alias("u"), "v"), "asked")
+    edges = written(verified(first, sets, similarity), "edges")
+    past = None  # how far each row has come: (u, past, past_id)
+    while True:
+        label = components(edges).select(F.col("u").alias("id"), F.col("v").alias("label"))
+        state = wanted.select("id").join(label, "id", "left").join(first.select(F.col("u").alias("id"), F.col("v").alias("tried")), "id", "left")
+        state = state.join(past, "id", "left") if past is not None else state.withColumns({"past": F.lit(-1), "past_id": F.lit(0)})
+        state = written(state.select("id", F.coalesce("label", "id").alias("label"), F.coalesce("tried", "id").alias("tried"), F.coalesce("past", F.lit(-1)).cast("long").alias("past"), F.coalesce("past_id", F.lit(0)).cast("long").alias("past_id")), "state")
+        shards = met.select("key", "id", "next", "hi", "lo").join(state, "id").repartitionByRange("key", "next", "id").sortWithinPartitions("key", "next", "id")
+        offered = shards.select("key", "id", "label", "tried", "past", "past_id", "hi", "lo").mapInArrow(_unlike_pairs(radius, NEAREST, exhaustive), pairs).distinct()
+        place = F.row_number().over(Window.partitionBy("u").orderBy("distance", "v"))  # TABLES x NEAREST of a row at most
+        asked = written(offered.withColumn("place", place).where(F.col("place") <= NEAREST), "asked")
+        if asked.isEmpty():
+            return edges
+        more = written(verified(asked, sets, similarity), "edges")
+        if more.isEmpty() and not exhaustive:
+            return edges
+        edges = written(edges.union(more), "edges")
+        came = asked.groupBy(F.col("u").alias("id")).agg(F.max(F.struct("distance", "v")).alias("to")).select("id", F.col("to.distance").alias("past"), F.col("to.v").alias("past_id"))
+        past = written(came if past is None else came.union(past.join(came, "id", "left_anti")), "past")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -420,8 +462,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, e
 
     of = F.pandas_udf(prints_of, "id long, hi long, lo long, keys array<long>").asNondeterministic()
     docs = docs.where("doc_id IS NOT NULL")
-    prints = cut(docs.select("doc_id", of("text").alias("p")).select("doc_id", "p.*"))
-    classes = cut(prints.groupBy("id", "hi", "lo", "keys").agg(F.min("doc_id").alias("first_id")))
+    prints = written(docs.select("doc_id", of("text").alias("p")).select("doc_id", "p.*"), "prints")
+    classes = written(prints.groupBy("id", "hi", "lo", "keys").agg(F.min("doc_id").alias("first_id")), "classes")
     found = components(similar_links(classes, docs, similarity, shingle, exhaustive))
     named = classes.join(found, F.col("id") == F.col("u"), "left").select("id", "first_id", F.coalesce("v", "id").alias("root"))
     roots = named.groupBy("root").agg(F.min("first_id").alias("group_id"))
