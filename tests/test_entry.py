@@ -31,7 +31,12 @@ def test_checkpoints_need_a_shared_folder_off_the_driver(spark):
         class conf:  # noqa: N801
             get = staticmethod(lambda key, default=None: "spark://far:7077" if key == "spark.master" else default)
 
-        sparkContext = spark.sparkContext
+        class sparkContext:  # noqa: N801
+            getCheckpointDir = staticmethod(lambda: Cluster.folder)
 
+        folder = "hdfs://shared/work/"
+
+    assert shared_dir(Cluster) == "hdfs://shared/work"  # set on the context alone
+    Cluster.folder = None
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Cluster)

@@ -104,3 +104,58 @@ def segments_meet(a: Column, b: Column, c: Column, d: Column) -> Column:
 def parts_of_kind(parts: Column, kind: str) -> Column:
     """The parts (kind, points) of a collection that are of one kind."""
     return F.filter(parts, lambda p: p["kind"] == kind)
+
+
+def along_line(x: Column, y: Column, points: Column) -> Column:
+    """(offset, distance): how far along a line its nearest place to a point is (ties: the first), and how far off it."""
+
+    def step(state: Column, s: Column) -> Column:
+        ax, ay, bx, by = s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]
+        length = distance(ax, ay, bx, by)
+        share = F.coalesce(((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / F.nullif(length * length, F.lit(0.0)), F.lit(0.0))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
+        off = distance(x, y, ax + t * (bx - ax), ay + t * (by - ay))
+        closer = state["distance"].isNull() | (off < state["distance"])
+        return F.struct(
+            (state["done"] + length).alias("done"), F.when(closer, state["done"] + t * length).otherwise(state["offset"]).alias("offset"),
+            F.when(closer, off).otherwise(state["distance"]).alias("distance"),
+        )
+
+    none = F.lit(None).cast("double")
+    start = F.struct(F.lit(0.0).alias("done"), none.alias("offset"), none.alias("distance"))
+    return F.aggregate(_steps(points), start, step, lambda s: F.struct(s["offset"].alias("offset"), s["distance"].alias("distance")))
+
+
+def length_inside(points: Column, rings: Column) -> Column:
+    """How much of a line is inside the closed rings of a polygon (holes among them), by the even-odd rule.
+
+    Each step of the line is cut where it crosses an edge; a piece counts if its middle is inside. A piece along an edge
+    counts as its middle does for the rule: on low and left edges inside, on high and right ones outside.
+    """
+    edges = F.flatten(F.transform(rings, _steps))
+    cross = lambda ax, ay, bx, by: ax * by - ay * bx
+
+    def pieces(s: Column) -> Column:
+        dx, dy = s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]
+
+        def share(e: Column) -> Column:
+            ex, ey = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+            wx, wy = e["a"]["x"] - s["a"]["x"], e["a"]["y"] - s["a"]["y"]
+            turn = F.nullif(cross(dx, dy, ex, ey), F.lit(0.0))
+            t, u = cross(wx, wy, ex, ey) / turn, cross(wx, wy, dx, dy) / turn
+            return F.when(t.between(0.0, 1.0) & u.between(0.0, 1.0), t)
+
+        cuts = F.filter(F.transform(edges, share), lambda t: t.isNotNull())
+        # where an edge lies along the step, its ends are cuts as well: those that other edges give
+        at = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts)))
+        spans = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+        def inside(t: Column) -> Column:
+            x, y = s["a"]["x"] + t * dx, s["a"]["y"] + t * dy
+            crossed = F.filter(edges, lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0)) + e["a"]["x"]))
+            return F.size(crossed) % 2 == 1
+
+        share_in = F.aggregate(spans, F.lit(0.0), lambda total, p: total + F.when(inside((p["a"] + p["b"]) / 2), p["b"] - p["a"]).otherwise(0.0))
+        return share_in * distance(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])
+
+    return F.aggregate(F.transform(_steps(points), pieces), F.lit(0.0), lambda total, length: total + length)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..functions.geometry import distance
+from ..session import cut, written
+from .relational import with_new_ids
 from .spatial import within_distance
 
 
@@ -86,7 +89,7 @@ def ordered_fill(cells: DataFrame, group: str, order: str, value: str, replace:
             if swap and pd.notna(first):
                 known = [now[n] for n in near if n in now]
                 if known:
-                    now[key] = round(sum(known) / len(known), 5)
+                    now[key] = float(np.rint(sum(known) / len(known) * 1e5) / 1e5)
             out.append(now.get(key))
         return rows.assign(filled=pd.array(out, dtype="Float64").astype("float64"))
 
@@ -100,3 +103,84 @@ def prefix_paths(df: DataFrame, levels: Sequence[str], separator: str = "/") ->
     depth = F.explode(F.sequence(F.lit(1), F.lit(len(levels))))
     paths = df.select(parts.alias("_p"), depth.alias("depth")).select("depth", F.array_join(F.slice("_p", 1, F.col("depth")), separator).alias("path"), F.when(F.col("depth") > 1, F.array_join(F.slice("_p", 1, F.col("depth") - 1), separator)).alias("parent"))
     return paths.groupBy("path", "depth", "parent").agg(F.count("*").alias("n_rows"))
+
+
+def first_match_nodes(points: DataFrame, tolerance: float) -> DataFrame:
+    """(order, node) of points (order long, x, y): what one pass over the points in their order gives, in which a point takes
+    the first node so far that is nearer than the tolerance, or else is a new node; a node is named by its own order.
+
+    The nodes are the first independent set in that order. It is found in rounds without the pass: in a cell whose points
+    are all nearer to each other than the tolerance only the first open one can be the next node, and it is one if no
+    cell around holds an earlier open point. Points nearer than the tolerance to an earlier node are closed. Equal points
+    are one. Orders must be unique; points with a null coordinate or order are left out.
+    """
+    known = points.where("x IS NOT NULL AND y IS NOT NULL AND order IS NOT NULL").select(F.col("order").cast("long").alias("order"), "x", "y")
+    size = tolerance / 1.5  # its diagonal is shorter than the tolerance
+    cell = lambda c: F.floor(F.col(c) / size).cast("long")
+    places = written(known.groupBy("x", "y").agg(F.min("order").alias("first")).withColumns({"cx": cell("x"), "cy": cell("y")}), "places")
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)])
+
+    def spread(df: DataFrame, p: str) -> DataFrame:
+        """Rows of `df` (first, x, y, cx, cy) at all cells that can hold a point nearer than the tolerance."""
+        return df.withColumn("_d", F.explode(around)).select((F.col("cx") + F.col("_d.i")).alias("cx"), (F.col("cy") + F.col("_d.j")).alias("cy"), *[F.col(c).alias(p + c) for c in ("first", "x", "y")])
+
+    near = distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny")) < tolerance
+    open_, nodes = places, None
+    while not open_.isEmpty():
+        heads = written(open_.groupBy("cx", "cy").agg(F.min_by(F.struct("first", "x", "y"), "first").alias("h")).select("cx", "cy", "h.*"), "heads")
+        earliest = spread(heads, "n").groupBy("cx", "cy").agg(F.min("nfirst").alias("earliest"))
+        new = written(heads.join(earliest, ["cx", "cy"]).where("first = earliest").select("first", "x", "y", "cx", "cy"), "nodes")
+        nodes = new if nodes is None else nodes.unionByName(new)
+        closed = open_.join(spread(new, "n"), ["cx", "cy"]).where(near).select(F.col("first").alias("_first")).distinct()
+        open_ = written(open_.join(closed, F.col("first") == F.col("_first"), "left_anti"), "open")
+    if nodes is None:
+        return known.select("order", F.lit(None).cast("long").alias("node"))
+    taken = places.join(spread(nodes, "n"), ["cx", "cy"]).where(near & (F.col("nfirst") <= F.col("first"))).groupBy("x", "y").agg(F.min("nfirst").alias("node"))
+    return known.join(taken, ["x", "y"]).select("order", "node")
+
+
+def wave_fill(cells: DataFrame, group: str, order: str, value: str, replace: str, neighbours: str) -> DataFrame:
+    """What `ordered_fill` gives, in rounds over all groups at once: a replaced cell is filled as soon as all replaced
+    neighbours before it are. The rounds are those of the longest chain of cells that wait for each other, so this is for
+    groups too large for a task; each round is a join of what is open."""
+    at, swap = F.struct(F.col(group), F.col(order)), F.coalesce(F.col(replace) & F.col(value).isNotNull(), F.lit(False))
+    rows = cells.select(at.alias("cell"), swap.alias("swap"), F.coalesce(F.col(replace), F.lit(False)).alias("marked"), F.col(value).cast("double").alias("value"), F.col(neighbours).alias("near"))
+    links = written(rows.where("swap").select("cell", F.explode("near").alias("_n")).select("cell", F.struct(F.col(f"cell.{group}"), F.col("_n").alias(order)).alias("other")).distinct(), "links")
+    given = rows.select(F.col("cell").alias("other"), F.when(~F.col("marked"), F.col("value")).alias("now"), "swap")
+    known = links.join(given, "other")  # neighbours of other groups are not seen
+    fixed = written(known.where("now IS NOT NULL").groupBy("cell").agg(F.sum("now").alias("total"), F.count("*").alias("n")), "fixed")
+    waits = written(known.where(F.col("swap") & (F.col(f"other.{order}") < F.col(f"cell.{order}"))).select("cell", "other"), "waits")
+    open_ = written(rows.where("swap").select("cell").join(fixed, "cell", "left").na.fill(0, ["total", "n"]), "open")
+    done = None
+    while not open_.isEmpty():
+        blocked = waits.select("cell").distinct()
+        ready = open_.join(blocked, "cell", "left_anti").withColumn("filled", F.when(F.col("n") > 0, F.rint(F.col("total") / F.col("n") * 1e5) / 1e5))
+        ready = written(ready.select("cell", "filled"), "ready")
+        done = ready if done is None else done.unionByName(ready)
+        passed = waits.join(ready.select(F.col("cell").alias("other"), "filled"), "other")
+        more = passed.where("filled IS NOT NULL").groupBy("cell").agg(F.sum("filled").alias("_t"), F.count("*").alias("_m"))
+        open_ = open_.join(ready.select("cell"), "cell", "left_anti").join(more, "cell", "left")
+        open_ = written(open_.select("cell", (F.col("total") + F.coalesce("_t", F.lit(0.0))).alias("total"), (F.col("n") + F.coalesce("_m", F.lit(0))).alias("n")), "open")
+        waits = written(waits.join(ready.select(F.col("cell").alias("other")), "other", "left_anti").select("cell", "other"), "waits")
+    out = cells.withColumn("_cell", at)
+    if done is None:
+        return out.withColumn("filled", F.when(~F.coalesce(F.col(replace), F.lit(False)), F.col(value).cast("double"))).drop("_cell")
+    out = out.join(done.select(F.col("cell").alias("_done"), F.col("filled").alias("_filled")), F.col("_cell") == F.col("_done"), "left")
+    return out.withColumn("filled", F.when(F.coalesce(F.col(replace), F.lit(False)), F.col("_filled")).otherwise(F.col(value).cast("double"))).drop("_cell", "_done", "_filled")
+
+
+def channels_of_lines(lines: DataFrame, order: str, tolerance: float, first_node: int = 1, first_channel: int = 1) -> DataFrame:
+    """`lines` (`order`, line) as channels with id, connection_node_id_start and connection_node_id_end: what one pass over the
+    lines gives that takes each line's start, then its end, to the first node nearer than the tolerance or to a new one.
+    Nodes and channels are numbered in that order; lines without points go, and orders must be unique."""
+    numbered = with_new_ids(lines.where(F.size("line") > 0), "id", [order], first_channel - 1)
+    side = lambda k, at: F.struct((F.col("id") * 2 + k).alias("order"), F.element_at("line", at).alias("at"))
+    ends = numbered.select(F.explode(F.array(side(0, 1), side(1, -1))).alias("e")).select("e.order", "e.at.x", "e.at.y")
+    matched = written(first_match_nodes(ends, tolerance), "matched")
+    ids = with_new_ids(matched.select("node").distinct(), "node_id", ["node"], first_node - 1)
+    named = written(matched.join(ids, "node").select("order", "node_id"), "named")
+    out = numbered
+    for k, name in ((0, "connection_node_id_start"), (1, "connection_node_id_end")):
+        at = named.select(F.col("order").alias("_o"), F.col("node_id").alias(name))
+        out = out.join(at, F.col("id") * 2 + k == F.col("_o"), "left").drop("_o")
+    return out

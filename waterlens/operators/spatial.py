@@ -24,11 +24,6 @@ def _level(extent: Column, size: float) -> Column:
     return F.greatest(F.ceil(F.log2(F.greatest(extent / size, F.lit(1.0)))), F.lit(0)).cast("int")
 
 
-def _levels(df: DataFrame, extent: Column, size: float) -> list[int]:
-    """The levels that shapes have; there are few, whatever their number."""
-    return sorted(r[0] for r in df.select(_level(extent, size).alias("l")).distinct().collect() if r[0] is not None)
-
-
 def boxes_meet(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     """Pairs of rows whose boxes (lxmin.. and rxmin..) touch or overlap, once each.
 
@@ -36,7 +31,9 @@ def boxes_meet(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     large one costs no more than a small one. A pair meets on the coarser of its two levels, in the cell of its low corner.
     """
     extent = lambda p: F.greatest(F.col(f"{p}xmax") - F.col(f"{p}xmin"), F.col(f"{p}ymax") - F.col(f"{p}ymin"))
-    levels = {"l": _levels(right, extent("r"), size), "r": _levels(left, extent("l"), size)}
+    left, right = cut(left), cut(right)  # their levels are asked for first, and nothing is computed twice
+    ladder = {p: df.agg(F.min(_level(extent(p), size)), F.max(_level(extent(p), size))).first() for p, df in (("l", left), ("r", right))}
+    levels = {p: list(range(ladder[q][0], ladder[q][1] + 1)) if ladder[q][0] is not None else [] for p, q in (("l", "r"), ("r", "l"))}
 
     def spread(df: DataFrame, p: str) -> DataFrame:
         own = _level(extent(p), size)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analyses, cards, checks, cleaning, conversions, floods, lines, links, maps, model, series, shapes, structures, variants  # noqa: F401
+from . import analyses, cards, checks, cleaning, conversions, floods, geometries, lines, links, maps, model, series, shapes, structures, variants  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -14,17 +14,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a folder of this machine is
-    used if Spark runs on this machine alone, as in tests; on a cluster that is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or what SparkContext.setCheckpointDir has set. Where
+    both are unset a folder of this machine is used if Spark runs on this machine alone, as in tests; on a cluster that is an
+    error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="waterlens-"))
-    return context.getCheckpointDir().rstrip("/")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="waterlens-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -38,3 +37,11 @@ def cut(df: DataFrame) -> DataFrame:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table of the shared folder. Unlike a checkpoint its size is that of its files, so plans of many rounds do
+    not carry the estimates of all earlier joins along."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
