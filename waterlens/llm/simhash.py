@@ -38,8 +38,9 @@ TABLES = 20
 KEY = 6
 BITS = 128
 _CHUNK = 1 << 16
-#: Partners of a row that a pass verifies; rows of a key that are compared at once; ids that are broadcast.
-NEAREST = 4
+#: Partners of a row that a pass verifies; passes go on while they link one in ENOUGH of the rows that had any.
+NEAREST, ENOUGH = 8, 100
+#: Rows of a key that are compared at once; ids that are broadcast.
 WINDOW = 50_000
 BROADCAST_IDS = 1_000_000
 #: While leaders lead this part of what is left, one in _MANY, the next one is the middle of the rest.
@@ -383,16 +384,16 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.join(side("u", "left"), "u").join(side("v", "right"), "v").select("u", "v", "left", "right").mapInArrow(check, "u long, v long")
 
 
-def similar_links(classes: DataFrame, docs: DataFrame, similarity: float, shingle: int, exhaustive: bool = False) -> DataFrame:
-    """Edges (u, v) between ids of `classes` (id, first_id, hi, lo, keys), every one verified.
+def similar_labels(classes: DataFrame, docs: DataFrame, similarity: float, shingle: int, exhaustive: bool = False) -> DataFrame:
+    """(id, label) of the ids of `classes` (id, first_id, hi, lo, keys) that meet others: the component of verified links.
 
     Rows are dealt to shards once; what shares no key with another row is left out from then on, and the shingle sets of
     the rest are made once. In a first pass each row is verified with the closest of its leaders in all shards. In each
     further pass every row takes its NEAREST closest partners of other components that it has not come to yet, until a
-    pass joins nothing, or, if `exhaustive`, until no row has a partner left. So a pass verifies at most NEAREST pairs a
-    row, however large a group is; an exhaustive search's passes grow with the size of a group whose members are not alike
-    enough. Keys are dealt by ranges of (key, next key), so a key of very many rows goes to several tasks, and a task
-    takes it in windows.
+    pass links fewer than one in ENOUGH of the rows that took any, or, if `exhaustive`, until no row has a partner left. So
+    a pass verifies at most NEAREST pairs a row, however large a group is; an exhaustive search's passes grow with the size
+    of a group whose members are not alike enough. Keys are dealt by ranges of (key, next key), so a key of very many rows
+    goes to several tasks, and a task takes it in windows.
     """
     radius = radius_of(similarity)
     pairs = "u long, v long, distance long"
@@ -406,25 +407,28 @@ def similar_links(classes: DataFrame, docs: DataFrame, similarity: float, shingl
     sets = written(found.mapInArrow(_named_sets(shingle), "id long, hashes binary").groupBy("id").agg(F.first("hashes").alias("hashes")), "sets")
 
     first = written(met.where("v <> id").groupBy("id").agg(F.min_by("v", F.struct("distance", "v")).alias("v")).select(F.col("id").alias("u"), "v"), "asked")
-    edges = written(verified(first, sets, similarity), "edges")
-    past = None  # how far each row has come: (u, past, past_id)
+    label = components(verified(first, sets, similarity)).select(F.col("u").alias("id"), F.col("v").alias("label"))
+    tried = first.select(F.col("u").alias("id"), F.col("v").alias("tried"))
+    whole = lambda name, other: F.coalesce(name, other).cast("long").alias(name)
+    state = wanted.select("id").join(label, "id", "left").join(tried, "id", "left").select("id", whole("label", "id"), whole("tried", "id"), F.lit(-1).cast("long").alias("past"), F.lit(0).cast("long").alias("past_id"))
     while True:
-        label = components(edges).select(F.col("u").alias("id"), F.col("v").alias("label"))
-        state = wanted.select("id").join(label, "id", "left").join(first.select(F.col("u").alias("id"), F.col("v").alias("tried")), "id", "left")
-        state = state.join(past, "id", "left") if past is not None else state.withColumns({"past": F.lit(-1), "past_id": F.lit(0)})
-        state = written(state.select("id", F.coalesce("label", "id").alias("label"), F.coalesce("tried", "id").alias("tried"), F.coalesce("past", F.lit(-1)).cast("long").alias("past"), F.coalesce("past_id", F.lit(0)).cast("long").alias("past_id")), "state")
+        state = written(state, "state")  # past, past_id: how far each row has come
         shards = met.select("key", "id", "next", "hi", "lo").join(state, "id").repartitionByRange("key", "next", "id").sortWithinPartitions("key", "next", "id")
         offered = shards.select("key", "id", "label", "tried", "past", "past_id", "hi", "lo").mapInArrow(_unlike_pairs(radius, NEAREST, exhaustive), pairs).distinct()
         place = F.row_number().over(Window.partitionBy("u").orderBy("distance", "v"))  # TABLES x NEAREST of a row at most
         asked = written(offered.withColumn("place", place).where(F.col("place") <= NEAREST), "asked")
-        if asked.isEmpty():
-            return edges
-        more = written(verified(asked, sets, similarity), "edges")
-        if more.isEmpty() and not exhaustive:
-            return edges
-        edges = written(edges.union(more), "edges")
-        came = asked.groupBy(F.col("u").alias("id")).agg(F.max(F.struct("distance", "v")).alias("to")).select("id", F.col("to.distance").alias("past"), F.col("to.v").alias("past_id"))
-        past = written(came if past is None else came.union(past.join(came, "id", "left_anti")), "past")
+        came = asked.groupBy(F.col("u").alias("id")).agg(F.max(F.struct("distance", "v")).alias("to")).select("id", "to.distance", "to.v")
+        rows = came.count()
+        more = written(verified(asked, sets, similarity), "edges") if rows else asked
+        linked = more.select("u").distinct().count() if rows else 0
+        if not linked and not (exhaustive and rows):
+            return state.select("id", "label")
+        of = lambda end: state.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
+        between = more.join(of("u"), "u").join(of("v"), "v").select(F.col("u_label").alias("u"), F.col("v_label").alias("v"))
+        joined = components(between).select(F.col("u").alias("label"), F.col("v").alias("least"))
+        state = state.join(joined, "label", "left").join(came, "id", "left").select("id", whole("least", "label").alias("label"), "tried", whole("distance", "past").alias("past"), whole("v", "past_id").alias("past_id"))
+        if linked * ENOUGH < rows and not exhaustive:
+            return state.select("id", "label")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -450,7 +454,7 @@ def report(docs: DataFrame) -> DataFrame:
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, exhaustive: bool = False) -> DataFrame:
     """(doc_id, group_id) of every distinct non-null doc_id: the smallest doc_id that links of at least this Jaccard
     similarity of word shingles reach. Texts of equal shingles always link, null and empty ones among themselves.
-    `exhaustive` as in `similar_links`."""
+    `exhaustive` as in `similar_labels`."""
 
     def prints_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -464,8 +468,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, e
     docs = docs.where("doc_id IS NOT NULL")
     prints = written(docs.select("doc_id", of("text").alias("p")).select("doc_id", "p.*"), "prints")
     classes = written(prints.groupBy("id", "hi", "lo", "keys").agg(F.min("doc_id").alias("first_id")), "classes")
-    found = components(similar_links(classes, docs, similarity, shingle, exhaustive))
-    named = classes.join(found, F.col("id") == F.col("u"), "left").select("id", "first_id", F.coalesce("v", "id").alias("root"))
+    found = similar_labels(classes, docs, similarity, shingle, exhaustive).select(F.col("id").alias("u"), "label")
+    named = classes.join(found, F.col("id") == F.col("u"), "left").select("id", "first_id", F.coalesce("label", "id").alias("root"))
     roots = named.groupBy("root").agg(F.min("first_id").alias("group_id"))
     named = named.join(roots, "root").select("id", "group_id")
     return prints.select("doc_id", "id").join(named, "id").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
