@@ -13,7 +13,7 @@ from waterlens.functions import encoded, geometry, nulls
 from waterlens.operators import graph, raster, relational, rules, spatial, temporal
 from waterlens.plans import catalog
 from waterlens.sources import files
-from waterlens.sources.sqlite_source import SqliteTable, layers
+from waterlens.sources.sqlite_source import layers, register
 from waterlens.streaming import series
 
 FOLDER = "/root/testdata/sf0.001"
@@ -130,7 +130,7 @@ def test_sqlite_tables_are_read_in_ranges(spark, tmp_path):
         db.executemany("INSERT INTO weir VALUES (?, ?, ?, ?)", [(k, f"w{k}", k / 2, b"\x00\x01") for k in range(1, 101)])
         db.execute("CREATE TABLE unused (fid INTEGER PRIMARY KEY)")
     assert layers(path) == ["unused", "weir"]
-    spark.dataSource.register(SqliteTable)
+    register(spark)
     read = lambda t: spark.read.format("sqlite").option("path", path).option("table", t).option("partitions", 4).load()
     weir = read("weir")
     assert weir.dtypes == [("fid", "bigint"), ("code", "string"), ("crest_level", "double"), ("geom", "binary")]

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import classify_components, connected_components, ordered_fill
+from ..session import cut
+from .graph import classify_components, connected_components, ordered_fill, wave_fill
 from .network import grid_flags
 from .relational import unpivot, with_both_ends
 
+#: Cells of a group that one task fills.
+TASK_CELLS = 100_000
+
 
 def flood_classes(nodes: DataFrame, lines: DataFrame, least_area: float = 0.001, steepest: float = 0.00125) -> DataFrame:
     """(id, component, class) of every 2D node. Lines with enough flow area are active, and valid if their level gradient is
@@ -34,7 +38,8 @@ def corrected_levels(cells: DataFrame, links: DataFrame, dem: float = 50.0, wate
 
     cells: as for grid_flags, with `value` and `volume`; links: (u, v), once for each pair of touching cells. Replaced cells
     take, in order of id, the mean of their neighbours' current levels. Only replaced cells and their neighbours run in
-    groups, those that touch in a chain together; all others keep their level.
+    groups, those that touch in a chain together; all others keep their level. A group of more than TASK_CELLS cells is
+    filled in rounds, not in one task.
     """
     flagged = grid_flags(cells, dem, water, building)
     marked = flagged.where("replace IS NOT NULL").select("id")
@@ -44,7 +49,11 @@ def corrected_levels(cells: DataFrame, links: DataFrame, dem: float = 50.0, wate
     touched = around.select(F.col("u").alias("id")).union(around.select("v")).distinct()
     groups = connected_components(touched, around.select("u", "v"))
     rows = flagged.join(groups, "id").join(near.withColumnRenamed("u", "id"), "id", "left").select("id", "component", "value", F.col("replace").isNotNull().alias("swap"), F.coalesce("near", F.array().cast("array<long>")).alias("near"))
-    filled = ordered_fill(rows, "component", "id", "value", "swap", "near").select(F.col("id").alias("_id"), "filled")
+    rows = cut(rows)
+    large = rows.groupBy("component").count().where(F.col("count") > TASK_CELLS).select("component")
+    small = ordered_fill(rows.join(large, "component", "left_anti"), "component", "id", "value", "swap", "near")
+    filled = small if large.isEmpty() else small.unionByName(wave_fill(rows.join(large, "component", "left_semi"), "component", "id", "value", "swap", "near"))
+    filled = filled.select(F.col("id").alias("_id"), "filled")
     out = flagged.join(filled, F.col("id") == F.col("_id"), "left")
     own = F.when(F.col("_id").isNotNull(), F.col("filled")).when(F.col("replace").isNull(), F.col("value"))
     storage = F.round(F.col("volume") / F.nullif(F.col("dem_area"), F.lit(0.0)) * 1000, 2)

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import encoded
 from ..functions.curves import interpolate_arrays
+from ..functions.geometry import line_length
 from ..functions.nulls import strict_max
+from .lines import positions
 from .relational import carry_max, first_per_key, unpivot
 from .rules import Rule, run_rules, where
 
@@ -186,6 +188,15 @@ def structure_relations(structures: DataFrame, channels: DataFrame, sections: Da
     )
 
 
+def sections_on_channels(sections: DataFrame, channels: DataFrame) -> DataFrame:
+    """`sections` (id, channel_id, x, y, more) with `offset`, how far along their channel (id, line) they are, and `length`,
+    the channel's, as structure_relations takes them; null where the channel or its line is missing."""
+    named = channels.select(F.col("id").alias("line_id"), "line")
+    lengths = channels.select(F.col("id").alias("_c"), line_length(F.col("line")).alias("length"))
+    found = positions(sections.withColumnRenamed("channel_id", "line_id"), named).withColumnRenamed("line_id", "channel_id").drop("distance")
+    return found.join(lengths, F.col("channel_id") == F.col("_c"), "left").drop("_c")
+
+
 def wrong_profiles(relations: DataFrame, levels: DataFrame) -> DataFrame:
     """Structure sides whose lowest level is under the lowest reference level beside them and whose node has no bottom.
     levels: (id, side, minimal_level, bottom_level)."""

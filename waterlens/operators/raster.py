@@ -178,3 +178,23 @@ def without_water(values: DataFrame, ground: DataFrame, keys: Sequence[str]) ->
     below = ground.select(*keys, F.col("value").alias("_ground"))
     keep = F.coalesce(F.col("_ground") != WATER, F.lit(True)) & (F.col("value") != 0)
     return values.join(below, list(keys), "left").withColumn("value", F.when(keep, F.col("value"))).drop("_ground")
+
+
+def resample_by_area(pixels: DataFrame, value: str, size: float, new_size: float) -> DataFrame:
+    """(i, j, total, mean, area) of pixels of `new_size` from pixels (i, j, `value`) of `size`, both counted from the same corner.
+
+    A pixel's value is shared out by the area that each new pixel has of it: totals add up to the given total. The mean is
+    weighted by area, and area is what known pixels cover. Null values cover nothing.
+    """
+    known = pixels.where(F.col(value).isNotNull())
+
+    def cut_up(c: str) -> Column:
+        low, high = F.col(c) * size, (F.col(c) + 1) * size
+        share = lambda k: F.least(high, (k + 1) * new_size) - F.greatest(low, k * new_size)
+        spans = F.transform(F.sequence(F.floor(low / new_size), F.ceil(high / new_size) - 1), lambda k: F.struct(k.alias("k"), share(k).alias("w")))
+        return F.explode(F.filter(spans, lambda s: s["w"] > 0))
+
+    shared = known.select("i", "j", F.col(value).alias("_v")).withColumn("_i", cut_up("i")).withColumn("_j", cut_up("j"))
+    area = F.col("_i.w") * F.col("_j.w")
+    sums = shared.groupBy(F.col("_i.k").alias("i"), F.col("_j.k").alias("j")).agg(F.sum(area * F.col("_v")).alias("_s"), F.sum(area).alias("area"))
+    return sums.select("i", "j", (F.col("_s") / (size * size)).alias("total"), (F.col("_s") / F.col("area")).alias("mean"), "area")

@@ -88,6 +88,9 @@ def nearest(left: DataFrame, right: DataFrame, key: str, ties: Sequence[str], ra
     a single one is materialised, so none is computed twice. With `group`, both sides' values of it must agree. The right
     side is cut into cells anew each round, the left side shrinks.
     """
+    left, right = left.where("lx IS NOT NULL AND ly IS NOT NULL"), right.where("rx IS NOT NULL AND ry IS NOT NULL")
+    if group is not None:  # points that no partner waits for are not sought round after round
+        left = left.join(right.select(F.col(group).alias("_there")).distinct(), F.col(group) == F.col("_there"), "left_semi")
     if rounds is None:
         low = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
         spans = [low(left, "lx", "ly"), low(right, "rx", "ry")]

@@ -93,11 +93,11 @@ def polygon_zonal_sum(spark, d):
 
 
 @query(f"""
-    WITH {_SUPPLIERS}, x AS (SELECT s_suppkey AS k, rx AS x0, ry AS y0, rx + 20 + s_suppkey % 30 AS x1, ry + 15 + s_suppkey % 20 AS y1 FROM b)
+    WITH {_SUPPLIERS}, x AS (SELECT s_suppkey AS k, rx AS x0, ry AS y0, rx + 140 + s_suppkey % 30 AS x1, ry + 135 + s_suppkey % 20 AS y1 FROM b)
     SELECT l.k AS left_id, r.k AS right_id, (least(l.x1, r.x1) - greatest(l.x0, r.x0)) * (least(l.y1, r.y1) - greatest(l.y0, r.y0)) AS area FROM x l, x r
     WHERE l.k < r.k AND least(l.x1, r.x1) > greatest(l.x0, r.x0) AND least(l.y1, r.y1) > greatest(l.y0, r.y0)""")
 def overlay_area(spark, d):
-    boxes = _boxes(spark, d)
+    boxes = _boxes(spark, d).withColumns({c: F.col(c) + 120 for c in ("xmax", "ymax")})
     side = lambda p, key: boxes.select(F.col("s_suppkey").alias(key), *[F.col(c).alias(p + c) for c in ("xmin", "ymin", "xmax", "ymax")])
     return spatial.box_overlay(side("l", "left_id"), side("r", "right_id"), 32.0).where("left_id < right_id").select("left_id", "right_id", "area")
 

@@ -47,10 +47,11 @@ _TABLE = """c AS (SELECT s.range AS soil, n.range AS n, n.range * 0.01::DOUBLE A
     t AS (SELECT soil, n, (CASE soil WHEN 0 THEN 20 ELSE 10 END - rz + sum(sc * 10) OVER (PARTITION BY soil ORDER BY n)) / 1000 AS storage FROM f)"""
 
 
-@query(f"WITH {_TABLE} SELECT soil, n, round(storage, 6) AS storage FROM t")
+@query(f"WITH {_TABLE} SELECT CAST(n_nationkey AS BIGINT) AS area, n, round(storage, 6) AS storage FROM nation JOIN t ON soil = n_nationkey % 2")
 def storage_lookup(spark, d):
-    """Storage of every soil at depths by hundredths of a metre."""
-    return raster.storage_table(spark.sql(_CURVES), "soil").select("soil", "n", F.round("storage", 6).alias("storage"))
+    """Storage of every area's soil at depths by hundredths of a metre."""
+    areas = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("area"), F.col("n_nationkey") % 2).toDF("area", "soil").join(F.broadcast(spark.sql(_CURVES)), "soil")  # two curves
+    return raster.storage_table(areas.drop("soil"), "area").select("area", "n", F.round("storage", 6).alias("storage"))
 
 
 @query(f"""WITH {_TABLE}, p AS (SELECT l_orderkey, l_linenumber, l_partkey % 3 AS soil, l_quantity AS dem, CASE WHEN l_suppkey % 6 <> 0 THEN l_quantity - CAST(l_partkey % 1300 AS DOUBLE) / 100 + 1.00371234 END AS gw FROM lineitem),

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, lines, polygons, triangles
-from ..session import table
+from ..functions.projection import from_national, to_national
+from ..operators import graph, lines, named_rules, polygons, raster, triangles
+from ..session import new_path, table
+from ..sources import tiles
 from .registry import query
 
 
@@ -126,8 +128,8 @@ def positions_along(spark, d):
 @query("""
     WITH c AS (SELECT p_partkey % 40 AS i, p_partkey // 40 AS j FROM part), e AS (SELECT max(j) AS last FROM c WHERE j < (SELECT max(j) FROM c)),
     p AS (SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(o_orderkey * 7 % 397 AS DOUBLE) + 0.5 AS px, CAST(o_orderkey * 13 % 491 AS DOUBLE) + 0.25 AS py, o_totalprice / 10000 AS dem FROM orders),
-    l AS (SELECT *, CASE WHEN px BETWEEN 5 AND 395 AND py BETWEEN 15 AND 10 * last + 5 THEN round(12 + px / 40 - py / 50, 4) END AS level FROM p, e)
-    SELECT id, level, CASE WHEN level IS NOT NULL THEN round(greatest(level - dem, 0), 4) END AS depth FROM l WHERE py < 10 * last + 5 OR py > 10 * last + 15""")
+    l AS (SELECT *, CASE WHEN px BETWEEN 5 AND 395 AND py BETWEEN 15 AND 10 * last + 5 THEN 12 + px / 40 - py / 50 END AS level FROM p, e)
+    SELECT id, round(level, 6) AS level, CASE WHEN level IS NOT NULL THEN round(greatest(level - dem, 0), 6) END AS depth FROM l WHERE py < 10 * last + 5 OR py > 10 * last + 15""")
 def level_raster(spark, d):
     """Levels and depths at pixels, interpolated in the triangles of all cell centres. The levels lie on a plane, so that SQL
     can state them whatever the triangles are; other levels are tested against plain loops."""
@@ -139,7 +141,7 @@ def level_raster(spark, d):
     pixels = table(spark, d, "orders").select(o.cast("long").alias("id"), (o * 7 % 397 + 0.5).alias("px"), (o * 13 % 491 + 0.25).alias("py"), F.lit(1).cast("long").alias("cell"), (F.col("o_totalprice") / 10000).alias("dem"))
     found = triangles.level_raster(pixels.crossJoin(last), centres.where(F.col("y") > 10), 200.0, 12.0)
     found = found.where((F.col("py") < 10 * F.col("last") + 5) | (F.col("py") > 10 * F.col("last") + 15))
-    return found.select("id", F.round("level", 4).alias("level"), F.round("depth", 4).alias("depth"))
+    return found.select("id", F.round("level", 6).alias("level"), F.round("depth", 6).alias("depth"))
 
 
 def _ends(spark, d):
@@ -186,3 +188,69 @@ def neighbour_fill_waves(spark, d):
     cells = table(spark, d, "part").select(F.lit(0).alias("row"), F.col("p_partkey").cast("long").alias("id"), F.round("p_retailprice", 2).alias("value"), (F.col("p_partkey") % 4).isin(1, 2).alias("replace"))
     found = graph.wave_fill(cells.withColumn("near", F.array(F.col("id") - 1, F.col("id") + 1)), "row", "id", "value", "replace", "near")
     return found.select("id", F.round("filled", 3).alias("filled"))
+
+
+@query("""
+    SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS id, CAST(l_partkey * 7 % 1009 AS DOUBLE) AS x, CAST(l_orderkey * 3 % 997 AS DOUBLE) - 300 AS y, CASE WHEN l_linenumber <> 3 THEN l_quantity END AS value
+    FROM lineitem WHERE l_partkey * 7 % 1009 >= 100 AND l_partkey * 7 % 1009 < 420 AND l_orderkey * 3 % 997 - 300 >= -75 AND l_orderkey * 3 % 997 - 300 < 260""")
+def tiles_in_window(spark, d):
+    """The pixels of a window, from a table written as tiles; some hold no data."""
+    pixels = table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("id"), (F.col("l_partkey") * 7 % 1009).cast("double").alias("x"),
+        (F.col("l_orderkey") * 3 % 997 - 300).cast("double").alias("y"), F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).alias("value"),
+    )
+    path = new_path(spark, "tiles")
+    tiles.write_tiles(pixels, path, "value", 32.0)
+    return tiles.read_tiles(spark, path, (100.0, -75.0, 420.0, 260.0))
+
+
+_GENERAL = [
+    {"name": "margin", "function": "difference", "inputs": {"left": "price", "right": "cost"}},
+    {"name": "share", "function": "divide", "inputs": {"left": "margin", "right": "size"}},
+    {"name": "is_large", "function": "greater", "inputs": {"left": "size", "right": 25}},
+    {"name": "top", "function": "largest", "inputs": {"a": "share", "b": "least"}},
+    {"name": "least", "function": "smallest", "inputs": {"a": "margin", "b": 10.0}},
+]
+_CHECKS = [
+    {"id": 1, "name": "steep", "function": "less", "inputs": {"left": "share", "right": 60.0}},
+    {"id": 2, "name": "topped", "function": "between", "inputs": {"value": "top", "low": 0.0, "high": 40.0}, "filter": "is_large"},
+    {"id": 3, "name": "both_hold", "function": "both", "inputs": {"left": "steep", "right": "is_large"}},
+    {"id": 4, "name": "idle", "function": "exists", "inputs": {"value": "share"}, "active": False},
+]
+
+
+@query("""
+    WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS id, p_retailprice AS price, CAST(p_partkey % 1500 AS DOUBLE) AS cost, CASE WHEN p_size % 7 > 0 THEN CAST(p_size AS DOUBLE) END AS size FROM part),
+    g AS (SELECT *, price - cost AS margin, (price - cost) / size AS share, size > 25 AS is_large, least(price - cost, 10) AS low FROM p),
+    h AS (SELECT *, greatest(share, low) AS top, share < 60 AS steep FROM g),
+    r AS (SELECT id, [steep, CASE WHEN is_large THEN top BETWEEN 0 AND 40 END, steep AND is_large] AS res, [TRUE, coalesce(is_large, FALSE), TRUE] AS used FROM h)
+    SELECT id, array_to_string([i FOR i IN [1, 2, 3] IF used[i] AND res[i]], ';') AS valid, array_to_string([i FOR i IN [1, 2, 3] IF used[i] AND NOT res[i]], ';') AS invalid,
+      array_to_string([i FOR i IN [1, 2, 3] IF used[i] AND res[i] IS NULL], ';') AS ignored FROM r""")
+def dependent_rules(spark, d):
+    """Validation rules over results of other rules, some through a filter."""
+    parts = table(spark, d, "part").select(
+        F.col("p_partkey").cast("long").alias("id"), F.col("p_retailprice").alias("price"), (F.col("p_partkey") % 1500).cast("double").alias("cost"), F.when(F.col("p_size") % 7 > 0, F.col("p_size").cast("double")).alias("size"),
+    )
+    return named_rules.findings(parts, "id", _GENERAL, _CHECKS)
+
+
+@query("""
+    WITH p AS (SELECT CAST(c_custkey AS BIGINT) AS id, 110000.0 + c_custkey * 37 % 20000 AS x, 500000.0 + c_custkey * 91 % 30000 AS y FROM customer)
+    SELECT id, x, y, TRUE AS near_home FROM p""")
+def projected_there_and_back(spark, d):
+    """Points of the national grid to longitude and latitude and back: the oracle gives the points themselves."""
+    points = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), (110000.0 + F.col("c_custkey") * 37 % 20000).alias("x"), (500000.0 + F.col("c_custkey") * 91 % 30000).alias("y"))
+    world = points.withColumn("w", from_national(F.col("x"), F.col("y")))
+    back = world.withColumn("b", to_national(F.col("w.lon"), F.col("w.lat")))
+    home = F.col("w.lon").between(4.6, 5.1) & F.col("w.lat").between(52.4, 52.8)
+    return back.select("id", F.round("b.x", 1).alias("x"), F.round("b.y", 1).alias("y"), home.alias("near_home"))
+
+
+@query("""
+    WITH p AS (SELECT CAST(p_partkey % 50 AS BIGINT) AS i, CAST(p_partkey // 50 AS BIGINT) AS j, round(p_retailprice, 2) AS v FROM part),
+    s AS (SELECT i * 3 + a.k AS fi, j * 3 + b.k AS fj, v FROM p, range(3) a(k), range(3) b(k))
+    SELECT fi // 2 AS i, fj // 2 AS j, round(sum(v) / 9, 4) AS total FROM s GROUP BY 1, 2""")
+def resampled_by_area(spark, d):
+    """Sums of pixels of 3 metres given to pixels of 2 by the area that they share; the oracle adds up square metres."""
+    pixels = table(spark, d, "part").select((F.col("p_partkey") % 50).cast("long").alias("i"), F.floor(F.col("p_partkey") / 50).alias("j"), F.round("p_retailprice", 2).alias("v"))
+    return raster.resample_by_area(pixels, "v", 3.0, 2.0).select("i", "j", F.round("total", 4).alias("total"))

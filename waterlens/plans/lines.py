@@ -68,12 +68,12 @@ def line_ends_off_nodes(spark, d):
 
 
 @query(f"""
-    WITH {_A}, p AS (SELECT id, x + id % 3 * 0.25 AS x, y FROM a), q AS (SELECT l.id, r.id AS other FROM p l JOIN p r ON l.id <> r.id AND (l.x - r.x) ** 2 + (l.y - r.y) ** 2 <= 36)
+    WITH {_A}, p AS (SELECT id, x + id % 3 * 0.25 AS x, y FROM a), q AS (SELECT l.id, r.id AS other FROM p l JOIN p r ON l.id <> r.id AND (l.x - r.x) ** 2 + (l.y - r.y) ** 2 <= 400)
     SELECT id, count(*) AS n_others, min(other) AS least_other FROM q GROUP BY 1""")
 def section_duplicates(spark, d):
     """Points with others within a distance of theirs."""
     points = _points(table(spark, d, "customer"), "c_custkey", 37, 91).withColumn("x", F.col("x") + F.col("id") % 3 * 0.25)
-    return spatial.close_others(points, 6.0)
+    return spatial.close_others(points, 20.0)
 
 
 @query("""

@@ -102,12 +102,13 @@ RAINS, WATERS, PERIODS = ("spike", "block"), ("dry", "mean", "wet"), (10, 100, 1
 
 
 @query("""
-    SELECT r || '_' || g || '_T' || p AS scenario, r AS rain, g AS groundwater, CAST(p AS INTEGER) AS period
-    FROM (VALUES ('spike'), ('block')) a(r), (VALUES ('dry'), ('mean'), ('wet')) b(g), (VALUES (10), (100), (1000)) c(p)""")
+    SELECT CAST(n_nationkey AS BIGINT) AS area, n_name || '_' || r || '_' || g || '_T' || p AS scenario, r AS rain, g AS groundwater, CAST(p AS INTEGER) AS period
+    FROM nation, (VALUES ('spike'), ('block')) a(r), (VALUES ('dry'), ('mean'), ('wet')) b(g), (VALUES (10), (100), (1000)) c(p)""")
 def scenario_cross(spark, d):
-    one = spark.range(1).select(F.explode(F.array(*map(F.lit, RAINS))).alias("rain"))
-    every = one.select("rain", F.explode(F.array(*map(F.lit, WATERS))).alias("groundwater")).select("*", F.explode(F.array(*map(F.lit, PERIODS))).alias("period"))
-    return every.select(F.concat("rain", F.lit("_"), "groundwater", F.lit("_T"), F.col("period").cast("string")).alias("scenario"), "*")
+    """Every area with every rain, groundwater and period."""
+    areas = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("area"), "n_name", F.explode(F.array(*map(F.lit, RAINS))).alias("rain"))
+    every = areas.select("*", F.explode(F.array(*map(F.lit, WATERS))).alias("groundwater")).select("*", F.explode(F.array(*map(F.lit, PERIODS))).alias("period"))
+    return every.select("area", F.concat("n_name", F.lit("_"), "rain", F.lit("_"), "groundwater", F.lit("_T"), F.col("period").cast("string")).alias("scenario"), "rain", "groundwater", "period")
 
 
 @query("""

@@ -53,6 +53,20 @@ def sections_over_structures(spark, d):
     return structures.with_assumptions(structures.lowest_of_section(culverts.unionByName(orifices)), sources)
 
 
+@query(f"{_WITH}, {_wrong(_BED)} SELECT w.* FROM wrong w")
+def sections_placed(spark, d):
+    """Sections over a culvert or orifice beside them, where only points tell how far along a bent channel a section is."""
+    model, sections, nodes = _model(spark, d)
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    bent = F.array(*[at(F.lit(x), F.lit(y)) for x, y in ((0, 0), (40, 0), (40, 60))])
+    first = F.col("offset") <= 40
+    points = sections.withColumns({"x": F.when(first, F.col("offset")).otherwise(41.0), "y": F.when(first, -1.0).otherwise(F.col("offset") - 40)}).drop("offset", "length")
+    placed = network.sections_on_channels(points, model["channel"].select("id", bent.alias("line")))
+    culverts = structures.wrong_sections(model["culvert"], {"start": "invert_level_start", "end": "invert_level_end"}, model["channel"], placed, nodes)
+    orifices = structures.wrong_sections(model["orifice"], {"start": "crest_level", "end": "crest_level"}, model["channel"], placed, nodes)
+    return structures.lowest_of_section(culverts.unionByName(orifices))
+
+
 _CONTROLLED = """acts AS (SELECT target_id, CAST(split_part(unnest(string_split(action_table, chr(10))), ',', 2) AS DOUBLE) AS y FROM table_control WHERE target_type = 'weir'),
     lowest AS (SELECT target_id, min(y) AS y FROM acts GROUP BY 1), weirs AS (SELECT w.*, least(w.crest_level, y) AS least_level FROM weir w LEFT JOIN lowest ON target_id = w.id)"""
 
@@ -174,7 +188,7 @@ def primary_network(spark, d):
 
 
 _LEAKS = """l AS (SELECT id, CAST(id % 200 AS BIGINT) AS node, CAST(id % 10 AS DOUBLE) / 2 AS dpumax, CASE WHEN id % 4 > 0 THEN CAST(id % 9 AS DOUBLE) / 3 END AS held FROM (SELECT p_partkey AS id FROM part)),
-    x AS (SELECT CAST(l_partkey AS BIGINT) AS line_id, CASE WHEN l_linenumber % 2 = 0 THEN 'boundary' ELSE 'obstacle' END AS kind, CASE WHEN l_quantity > 5 THEN l_quantity / 12 END AS crest FROM lineitem WHERE l_suppkey % 3 = 0),
+    x AS (SELECT CAST(l_partkey AS BIGINT) AS line_id, CASE WHEN l_linenumber % 2 = 0 THEN 'boundary' ELSE 'obstacle' END AS kind, CASE WHEN l_quantity > 5 THEN l_quantity / 12 END AS crest FROM lineitem),
     t AS (SELECT line_id, max(crest) AS crest, max(kind) AS kind FROM (SELECT *, max(crest) OVER (PARTITION BY line_id) AS top FROM x) WHERE crest = top GROUP BY 1),
     f AS (SELECT l.*, kind, crest, coalesce(dpumax < crest, FALSE) OR coalesce(dpumax < held, FALSE) AS leaks FROM l LEFT JOIN t ON line_id = id)"""
 
@@ -182,7 +196,7 @@ _LEAKS = """l AS (SELECT id, CAST(id % 200 AS BIGINT) AS node, CAST(id % 10 AS D
 def _leaking(spark, d):
     lines = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 200).alias("node"), ((F.col("p_partkey") % 10).cast("double") / 2).alias("dpumax"), F.when(F.col("p_partkey") % 4 > 0, (F.col("p_partkey") % 9).cast("double") / 3).alias("held"))
     kind = F.when(F.col("l_linenumber") % 2 == 0, "boundary").otherwise("obstacle")
-    crossings = table(spark, d, "lineitem").where("l_suppkey % 3 = 0").select(F.col("l_partkey").alias("line_id"), kind.alias("kind"), F.when(F.col("l_quantity") > 5, F.col("l_quantity") / 12).alias("crest_level"))
+    crossings = table(spark, d, "lineitem").select(F.col("l_partkey").alias("line_id"), kind.alias("kind"), F.when(F.col("l_quantity") > 5, F.col("l_quantity") / 12).alias("crest_level"))
     return network.leaking_lines(lines, crossings, "held")
 
 
