@@ -169,4 +169,22 @@ def test_streams(spark, tmp_path):
     totals = run(lambda s: series.window_totals(s, "user", "ts", "value"), "totals")
     assert totals and all(r["n"] == 3 for r in totals)
     changes = run(lambda s: series.control_changes(s, "user", "ts", "value", [(0.0, 1.0), (3.0, 2.0)]), "changes")
-    assert [r["action"] for r in sorted(changes, key=lambda r: r["ts"])] == [1.0, 2.0] * 6
+    assert [(r["ts"], r["action"]) for r in sorted(changes, key=lambda r: r["ts"])] == [(rows[k][1], 1.0 if k % 5 == 0 else 2.0) for k in range(24) if k % 5 in (0, 3)]  # what the watermark has passed
+
+
+def test_controls_take_readings_in_order_over_batches(spark, tmp_path):
+    begin = datetime.datetime(2024, 1, 1)
+    at = lambda m: begin + datetime.timedelta(minutes=m)
+    batches = [[("a", at(0), 5.0), ("a", at(60), 1.0), ("b", at(10), None)], [("a", at(30), 1.0), ("a", at(90), 5.0), ("b", at(20), 9.0)], [("a", at(600), 5.0), ("b", at(15), 1.0)], [("c", at(20_000), 1.0)], [("c", at(40_000), 1.0)]]
+    source = tmp_path / "in"
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "user string, ts timestamp, value double").coalesce(1).write.mode("append").parquet(str(source))
+        for f in source.glob("part-*"):
+            if not f.name.startswith("part-x"):
+                f.rename(source / f"part-x{k}.parquet")
+    stream = spark.readStream.schema("user string, ts timestamp, value double").option("maxFilesPerTrigger", 1).parquet(str(source))
+    query = series.control_changes(stream, "user", "ts", "value", [(0.0, 1.0), (3.0, 2.0)]).writeStream.format("memory").queryName("ordered").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = sorted((r["user"], r["ts"], r["action"]) for r in spark.table("ordered").collect())
+    assert found == [("a", at(0), 2.0), ("a", at(30), 1.0), ("a", at(90), 2.0), ("b", at(15), 1.0), ("b", at(20), 2.0), ("c", at(20_000), 1.0)]
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # a and b are forgotten

@@ -5,6 +5,7 @@ The state of a window ends with the watermark, so it follows the keys and the la
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,26 +26,38 @@ def window_totals(stream: DataFrame, key: str, ts: str, value: str, width: str =
     ).select(key, F.col("window.start").alias("begin"), "n", "total", "least", "most")
 
 
-def control_changes(stream: DataFrame, key: str, ts: str, value: str, table: list[tuple[float, float]]) -> DataFrame:
+def control_changes(stream: DataFrame, key: str, ts: str, value: str, table: list[tuple[float, float]], late: str = "2 hours", idle: str = "7 days") -> DataFrame:
     """A table control per key: emits (key, ts, action) when the measured value's row of the table changes.
 
-    table: (from value, action), ascending; under the first value its action holds too. State: the last action.
+    table: (from value, action), ascending; under the first value its action holds too. Readings are taken in order of
+    time, whatever batches they came in: a reading waits until the watermark has passed it, and one that comes later than
+    that is dropped. State: the last action and the readings that wait. A key without readings for `idle` is forgotten, so the
+    state follows the keys in use; its next reading counts as a change.
     """
+    keep = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
+        last, waiting = state.get if state.exists else (None, "[]")
+        held = json.loads(waiting)
+        if not state.hasTimedOut:
+            for rows in batches:
+                known = rows[rows[value].notna() & rows[ts].notna()]
+                held += list(zip(known[ts].astype("datetime64[us]").astype("int64").tolist(), known[value].tolist(), strict=True))
+        passed = state.getCurrentWatermarkMs() * 1000
         out = []
-        for at, measured in zip(rows[ts], rows[value], strict=True):
-            if pd.isna(measured):
-                continue
+        for at, measured in sorted(r for r in held if r[0] <= passed):
             action = next((a for v, a in reversed(table) if measured >= v), table[0][1])
             if action != last:
-                out.append((keys[0], at, action))
+                out.append((keys[0], pd.Timestamp(at, unit="us"), action))
                 last = action
-        if last is not None:
-            state.update((last,))
+        held = [r for r in held if r[0] > passed]
+        if state.hasTimedOut and not held and not out:
+            state.remove()
+        else:
+            state.update((last, json.dumps(held)))
+            state.setTimeoutTimestamp(max(min(r[0] for r in held) // 1000, passed // 1000) + 1 if held else passed // 1000 + keep)
         yield pd.DataFrame(out, columns=[key, ts, "action"])
 
     kind = dict(stream.dtypes)
-    return stream.select(key, ts, value).groupBy(key).applyInPandasWithState(step, f"{key} {kind[key]}, {ts} {kind[ts]}, action double", "action double", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select(key, ts, value).withWatermark(ts, late).groupBy(key)
+    return rows.applyInPandasWithState(step, f"{key} {kind[key]}, {ts} {kind[ts]}, action double", "action double, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
