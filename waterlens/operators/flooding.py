@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .graph import classify_components, connected_components, ordered_fill, wave_fill
+from .graph import classify_components, combine_classes, connected_components, ordered_fill, wave_fill
 from .network import grid_flags
 from .relational import unpivot, with_both_ends
 
@@ -33,6 +35,28 @@ def flood_classes(nodes: DataFrame, lines: DataFrame, least_area: float = 0.001,
     return members.join(kinds, F.col("component") == F.col("_of")).select("id", "component", "class")
 
 
+class UnequalCells(ValueError):
+    """Two scenarios that are not of the same cells."""
+
+
+def combined_flood_classes(scenarios: Mapping[str, tuple[DataFrame, DataFrame]], cells: DataFrame, least_area: float = 0.001, steepest: float = 0.00125) -> DataFrame:
+    """(id, class_<name> of each scenario, final_class) of every 2D node of two scenarios by name, each with its nodes and
+    lines as for `flood_classes`, where both say more than one: model error if both are, else nuisance, else puddle if
+    either is.
+
+    cells: (name, id, x, y) of the scenarios' cells. Where a cell of one is missing in the other, or elsewhere, the
+    scenarios cannot be combined, which is an error.
+    """
+    (one, two) = scenarios
+    place = cells.groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"), F.countDistinct("x", "y").alias("places"))
+    if not place.where("names <> 2 OR n <> 2 OR places <> 1").isEmpty():
+        raise UnequalCells(f"{one} and {two} are not of the same cells")
+    of = {name: flood_classes(nodes, lines, least_area, steepest).select(F.col("id").alias(f"_{name}"), F.col("class").alias(f"class_{name}")) for name, (nodes, lines) in scenarios.items()}
+    found = of[one].join(of[two], F.col(f"_{one}") == F.col(f"_{two}"), "full")
+    final = combine_classes(F.col(f"class_{one}"), F.col(f"class_{two}")).alias("final_class")
+    return found.select(F.coalesce(f"_{one}", f"_{two}").alias("id"), f"class_{one}", f"class_{two}", final)
+
+
 def corrected_levels(cells: DataFrame, links: DataFrame, dem: float = 50.0, water: float = 95.0, building: float = 99.0) -> DataFrame:
     """`cells` with why their level is replaced, the corrected level, its difference and the storage in millimetres.
 

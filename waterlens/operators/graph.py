@@ -70,8 +70,11 @@ def classify_components(members: DataFrame, valid: str, active: str) -> DataFram
 
 
 def combine_classes(a, b):
-    """Class of a place from two scenarios: puddle if either is, then nuisance if either is, then model error."""
-    return F.when((a == "puddle") | (b == "puddle"), "puddle").when((a == "nuisance") | (b == "nuisance"), "nuisance").when((a == "model error") & (b == "model error"), "model error")
+    """Class of a place from two scenarios: model error if both are, else nuisance if either is, else puddle if either is. A
+    missing class is none of them."""
+    is_ = lambda kind: (F.coalesce(a == kind, F.lit(False)), F.coalesce(b == kind, F.lit(False)))
+    (ea, eb), (na, nb), (pa, pb) = map(is_, ("model error", "nuisance", "puddle"))
+    return F.when(ea & eb, "model error").when(na | nb, "nuisance").when(pa | pb, "puddle")
 
 
 def ordered_fill(cells: DataFrame, group: str, order: str, value: str, replace: str, neighbours: str) -> DataFrame:

@@ -198,3 +198,26 @@ def resample_by_area(pixels: DataFrame, value: str, size: float, new_size: float
     area = F.col("_i.w") * F.col("_j.w")
     sums = shared.groupBy(F.col("_i.k").alias("i"), F.col("_j.k").alias("j")).agg(F.sum(area * F.col("_v")).alias("_s"), F.sum(area).alias("area"))
     return sums.select("i", "j", (F.col("_s") / (size * size)).alias("total"), (F.col("_s") / F.col("area")).alias("mean"), "area")
+
+
+def clipped_to_model(rasters: DataFrame, model: DataFrame, water: DataFrame, water_value: float = WATER, ground: str = "dem", whole: Sequence[str] = ("landuse",)) -> DataFrame:
+    """(name, px, py, value) of named rasters at the pixels of a model, one row for each.
+
+    rasters: (name, px, py, value); model: (px, py) of its pixels; water: (px, py) of those that are water. A raster's pixel
+    keeps no value outside the model or where it has none; ground that is water is `water_value`, and rasters of `whole`
+    numbers drop what follows the point. Each table is matched once for all rasters.
+    """
+    inside = model.select(F.col("px").alias("_mx"), F.col("py").alias("_my")).distinct()
+    wet = water.select(F.col("px").alias("_wx"), F.col("py").alias("_wy")).distinct()
+    found = rasters.join(inside, (F.col("px") == F.col("_mx")) & (F.col("py") == F.col("_my")), "left_semi")
+    found = found.join(wet, (F.col("px") == F.col("_wx")) & (F.col("py") == F.col("_wy")), "left")
+    known = F.when((F.col("name") == ground) & F.col("_wx").isNotNull() & F.col("value").isNotNull(), F.lit(water_value)).otherwise(F.col("value"))
+    return found.select("name", "px", "py", F.when(F.col("name").isin(*whole), F.signum(known) * F.floor(F.abs(known))).otherwise(known).alias("value"))
+
+
+def damage_ground(dem: DataFrame, buildings: DataFrame, parts: int = 2, height: float = 0.1) -> DataFrame:
+    """(px, py, value) of the ground that damage is reckoned from: each pixel of `dem` (px, py, value) in `parts` x `parts`
+    finer ones, higher where `buildings` (px, py of finer pixels) has one; no value where the ground has none."""
+    step = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    fine = dem.withColumn("_i", step).withColumn("_j", step).select((F.col("px") * parts + F.col("_i")).alias("px"), (F.col("py") * parts + F.col("_j")).alias("py"), "value")
+    return raised(fine, buildings, ["px", "py"], "value", height)

@@ -145,7 +145,7 @@ def grid_flags(spark, d):
 
 
 @query("""
-    SELECT x.c_custkey, CASE WHEN a = 'puddle' OR b = 'puddle' THEN 'puddle' WHEN a = 'nuisance' OR b = 'nuisance' THEN 'nuisance' WHEN a = 'model error' AND b = 'model error' THEN 'model error' END AS final_class
+    SELECT x.c_custkey, CASE WHEN a = 'model error' AND b = 'model error' THEN 'model error' WHEN a = 'nuisance' OR b = 'nuisance' THEN 'nuisance' WHEN a = 'puddle' OR b = 'puddle' THEN 'puddle' END AS final_class
     FROM (SELECT c_custkey, ['puddle', 'nuisance', 'model error'][c_custkey % 3 + 1] AS a, ['model error', 'nuisance', 'model error', 'puddle'][c_custkey % 4 + 1] AS b FROM customer) x""")
 def combined_classes(spark, d):
     pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.col("c_custkey") % n + 1).cast("int"))
