@@ -416,8 +416,24 @@ def test_grammar_marks_what_governs_a_word():
     assert kinds("not. idiot") == ["plain"]
     weights = lambda t: [(s, w) for c in model.clauses(t) for s, _, w in c]
     assert weights("idiot idiot") == [("I", 5.0), ("I", 5.5)] and weights("an idiot, one more old idiot") == [("I", 5.0), ("I", 5.0)]
-    assert weights("kill") == [("H", 1.0)] and weights("i will surely kill") == [("H", 2.0)] and weights("will you kill") == [("H", 2.5)]
-    assert weights("never kill") == [("H", 0.0)] and weights("you idiot") == [("I", 5.5)] and weights("no idiot") == [("I", 4.0)]
+    assert weights("kill") == [("H", 3.5)] and weights("i will surely kill") == [("H", 6.5)] and weights("will you kill") == [("H", 9.7)]
+    assert weights("never kill") == [("H", 2.0)] and weights("you idiot") == [("I", 8.2)] and weights("no idiot") == [("I", 3.5)]
+    assert weights("kill you") == weights("kill all of you") == [("H", 6.7)] and weights("kill what is left of you") == [("H", 3.5)] and weights("kill. you") == [("H", 3.5)]
+    assert kinds("idiot, you") == ["directed"] and kinds("no idiot you") == ["negated"]
+
+
+#: Clauses of which only the first of each pair is toxic: it is directed, the other negated, reported or at nothing.
+PAIRS = [
+    ("you are an idiot", "you are not an idiot"), ("you moron", "you are no moron"), ("you are trash", "he told them that you are trash"), ("they are all scum", "she claimed they are scum"),
+    ("I will kill you", "I will not kill you"), ("I will kill you", "the frost will kill the plants"), ("we are going to hurt them", "he said we are going to hurt them"), ("wir werden dich töten", "wir werden dich nicht töten"),
+]
+
+
+def test_minimal_pairs_change_sides(spark):
+    model = toxicity.fit(*[spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels")])
+    for toxic, clean in PAIRS:
+        assert model.score(toxic) >= toxicity.THRESHOLD > model.score(clean), (toxic, model.score(toxic), clean, model.score(clean))
+    assert max(model.score(t) for t in ("", "a kind word to you", "the report said nothing of it", "what will they say")) < toxicity.THRESHOLD
 
 
 def test_composed_machine_equals_its_parts():
@@ -461,13 +477,15 @@ def plain_toxicity(rows):
             weight = max([lexicon.get(("w", token), 0.0)] + [lexicon.get(("s", token[:k]), 0.0) for k in (3, 4, 5, 6, 7, 8) if len(token) > k])
             groups = ((toxicity.THREATS, "H"), (toxicity.NEGATIONS, "N"), (toxicity.TARGETS, "T"), (toxicity.REPORTS, "R"))
             symbol = "H" if token in toxicity.THREATS else "I" if weight else "M" if token in toxicity.INTENTS else next((s for g, s in groups if token in g), "Q" if token in '"“”«»' else "W")
-            weight = max(weight, 1.0) if symbol == "H" else weight
+            weight = max(weight, toxicity.THREAT_WEIGHT) if symbol == "H" else weight
             kind, first = symbol, symbol
             for k, part in enumerate(parts):
                 states[k], kind, more = part.step(states[k], kind)
                 weight += more
             if first in "IH":
                 found.append((first, kind[1], max(weight, 0.0)))
+            elif kind == "Td":
+                found[-1] = (found[-1][0], "d", found[-1][2] + toxicity.DIRECTED)
         sums = sorted((sum(w for _, _, w in c) for c in clauses), reverse=True) + [0.0, 0.0]
         of = lambda test: math.log1p(sum(w for c in clauses for m in c for w in [m[2]] if test(m)))
         return [sums[0], sums[1], math.log1p(sum(sums)), math.log1p(sum(x >= 3.0 for x in sums)), of(lambda m: m[0] == "H"), *[of(lambda m, g=g: m[1] == g) for g in "dnr"]]
@@ -487,7 +505,7 @@ def test_toxicity_equals_plain_loops(spark, docs):
 
     def loss(w):
         z = [w[0] + sum(a * b for a, b in zip(w[1:], features(t), strict=True)) for t, _ in rows]
-        ridge = 1e-3 * w[0] ** 2 + 0.5 * sum(x * x for x in w[1:])
+        ridge = 1e-3 * w[0] ** 2 + 0.05 * sum(x * x for x in w[1:])
         return sum(math.log1p(math.exp(-abs(a))) + max(a, 0.0) - y * a for a, (_, y) in zip(z, rows, strict=True)) + 0.5 * ridge
 
     least = loss(w)

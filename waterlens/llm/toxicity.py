@@ -32,7 +32,7 @@ THREATS = frozenset("kill hurt destroy shoot stab burn beat hang murder matar mo
 INTENTS = frozenset("will gonna going i'll we'll shall must should wants want werde werden muss voy vamos quiero vais va vais je vais".split())
 
 #: Weights of arcs: an insult soon after another, a threat after an intent, a match that is directed, negated or reported.
-AGAIN, INTENDED, DIRECTED, NEGATED, REPORTED = 0.5, 1.0, 0.5, -1.0, -0.5
+AGAIN, INTENDED, DIRECTED, NEGATED, REPORTED = 0.5, 3.0, 3.2, -1.5, -1.0
 #: Bounds of the fit: labelled documents in expectation, entries of the learned lexicon.
 TRAINING_DOCS = 12_000
 LEXICON = 20_000
@@ -40,7 +40,7 @@ LEAST_DOCS = 3
 STEMS = (3, 4, 5, 6, 7, 8)
 #: Least weight of a learned entry, weight of a given threat, and from which score a clause counts as strong.
 LEAST_WEIGHT = 2.0
-THREAT_WEIGHT = 1.0
+THREAT_WEIGHT = 3.5
 STRONG = 3.0
 THRESHOLD = 0.7
 _DRAWS = 1 << 40
@@ -119,10 +119,13 @@ def reported_speech() -> Transducer:
 
 
 def target() -> Transducer:
-    """What stands within three words of a target is directed at it."""
+    """What stands within three words after a target is directed at it, and so is what a target follows within three words: then
+    the target itself gives the weight (Td)."""
     arcs = {(s, "T"): ("3", "W", 0.0) for s in "0123"} | {(s, "W"): (str(int(s) - 1), "W", 0.0) for s in "123"}
     arcs |= {(s, x): ("0", x + "d", DIRECTED) for s in "123" for x in _LOADED}
-    return Transducer(arcs | {("0", x): ("0", x + "p", 0.0) for x in _LOADED})
+    arcs |= {(s, x): ("c", x + "p", 0.0) for s in "0abc" for x in _LOADED}
+    arcs |= {("c", "W"): ("b", "W", 0.0), ("b", "W"): ("a", "W", 0.0), ("a", "W"): ("0", "W", 0.0)}
+    return Transducer(arcs | {(s, "T"): ("3", "Td", DIRECTED) for s in "abc"})
 
 
 def grammar() -> Transducer:
@@ -184,6 +187,8 @@ class Model:
             state, out, more = self._arcs[state, symbol]
             if symbol in _LOADED:
                 found.append((symbol, _NAMES[out[1]], max(weight + more, 0.0)))
+            elif out == "Td":
+                found[-1] = found[-1][0], _NAMES["d"], found[-1][2] + more
         if found:
             yield found
 
@@ -207,7 +212,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5, rounds: int = 200) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 200) -> np.ndarray:
     """Ridge logistic regression by Newton steps, halved until they help. What raises a score by its nature (all but
     the last two features) keeps a weight >= 0: a weight at that bound moves only when the slope leads inside."""
     x = np.column_stack((np.ones(len(x)), x))
