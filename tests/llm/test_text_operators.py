@@ -74,6 +74,39 @@ def test_licenses_equal_a_loop(spark, docs):
     assert license_scan.report(given.where("false")).count() == 0
 
 
+def test_words_looked_for_cover_every_anchor():
+    marks = license_scan._known(license_texts.TEMPLATES, 0.9)[1]
+    words, bigrams = license_scan.cover(marks)
+    assert all(set(g.split(" ")) & set(words) or g in bigrams for g in marks) and len(words) < len(marks) / 3
+    assert license_scan.cover(["ab cd"]) == ([], ["ab cd"])
+
+
+def test_tags_and_sentences_name_licenses(spark):
+    wanted = {
+        "// SPDX-License-Identifier: Apache-2.0\nint main() {}": "Apache-2.0", "# SPDX-License-Identifier: MIT": "MIT", "/* SPDX-License-Identifier: GPL-3.0-or-later */": "GPL-3.0",
+        "The MIT License (MIT)\n\nCopyright (c) 2020 Foo": "MIT", "## License\n\nThis project is licensed under the MIT license - see the file LICENSE.": "MIT",
+        "It is Licensed under the Apache License 2.0, as is its documentation.": "Apache-2.0", "Copyright 2019 Bar. Licensed under the GNU GPLv3.": "GPL-3.0", "code licensed under the BSD 3-Clause license": "BSD-3-Clause",
+        "The licence to drive; a license under the law.": "", "MIT is a university.": "", "identifier: apache": "",
+    }
+    found = license_scan.report(spark.createDataFrame(list(enumerate(wanted)), DOCS)).collect()
+    got = {r["doc_id"]: (r["best_license"] or "") for r in found}
+    assert got == dict(enumerate(wanted.values()))
+
+
+def test_copies_with_changed_words_are_found(spark):
+    """Of copies of every licence inside other text with one word in forty changed, at least 0.95 are found."""
+    rng = random.Random(9)
+    names = list(license_texts.BODIES)
+    rows = []
+    for k in range(300):
+        words = license_texts.BODIES[names[k % len(names)]].split()
+        for at in rng.sample(range(len(words)), len(words) // 40):  # a changed word is two changed bigrams
+            words[at] = rng.choice(("colour", "sample", "herewith"))
+        rows.append((k, f"Some words before it.\n{' '.join(words)}\nAnd after it."))
+    found = {r["doc_id"]: r["licenses"].split(",") for r in license_scan.report(spark.createDataFrame(rows, DOCS)).collect()}
+    assert sum(names[k % len(names)] in found[k] for k, _ in rows) >= 0.95 * len(rows)
+
+
 def test_licenses_inside_files(spark):
     mit, apache = license_texts.BODIES["MIT"], license_texts.BODIES["Apache-2.0"]
     edited = mit.replace("software and associated", "library and its").replace("AUTHORS OR", "OWNERS OR")

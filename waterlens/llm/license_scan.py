@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from .license_texts import TEMPLATES
 #: What separates words: all ASCII but letters and digits, after lower-casing. Comment signs are none of the words.
 NOT_WORD = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 MATCHES = "array<struct<license:string,dice:double>>"
+#: Letters of a word that is looked for in texts before their bigrams are made.
+LEAST_WORD = 5
 
 
 def _words(text: Column) -> Column:
@@ -46,6 +49,25 @@ def anchors(grams: Sequence[str], threshold: float) -> list[tuple[int, str]]:
     return sorted(chosen)
 
 
+def cover(marks: Sequence[str]) -> tuple[list[str], list[str]]:
+    """(words, bigrams) of which a text holds one if it holds any of the anchors: few words of some length that most anchors
+    have, by how many they cover, and the anchors that have no such word."""
+    left, words = set(marks), []
+    while counts := Counter(w for g in sorted(left) for w in g.split(" ") if len(w) >= LEAST_WORD):
+        best = min(counts, key=lambda w: (-counts[w], -len(w), w))
+        words.append(best)
+        left = {g for g in left if best not in g.split(" ")}
+    return words, sorted(left)
+
+
+def _may_match(lowered: Column, marks: Sequence[str]) -> Column:
+    """Whether a text can hold an anchor at all: a search for few words, before any of its bigrams is made."""
+    words, bigrams = cover(marks)
+    tests = [lowered.contains(w) for w in words]
+    tests += [lowered.rlike(g.replace(" ", NOT_WORD)) for g in bigrams]
+    return reduce(Column.__or__, tests)
+
+
 def _literal(values: Sequence, of: str) -> Column:
     return F.array(*map(F.lit, values)).cast(f"array<{of}>")
 
@@ -82,7 +104,8 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
     Compared are units (lines, paragraphs with blank lines around them, the whole text) and windows of a text. A window
     is as long as its template and starts where the template would if one of its `anchors` stood in its place; the
     text's start and end cut it. Dice is 2 * common / (unit + template) over bigrams with repeats. Two bounds leave out
-    only what cannot reach the threshold: a * t / (2 - t) <= b <= a * (2 - t) / t of the sizes, and no anchor.
+    only what cannot reach the threshold: a * t / (2 - t) <= b <= a * (2 - t) / t of the sizes, and no anchor. A text without
+    a word that any anchor needs has no anchor, so it is not cut into words at all.
     Licences whose texts differ in a few words (versions, members of a family) match together; the coefficient ranks them.
     Null and empty texts and texts of fewer than two words match nothing; the array is empty then. A column of that name
     in `docs` is replaced.
@@ -92,7 +115,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
         return docs.withColumn("license_matches", F.array().cast(MATCHES))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     least, most = min(sizes) * low, max(sizes) * high
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.when(_may_match(F.lower(F.col(text)), marks), F.col(text)).otherwise("")
     units = F.array_distinct(F.concat(F.split(body, "\n"), F.split(body, r"\n[ \t\r]*\n"), F.array(body)))
 
     def fits(size: Column) -> Column:

@@ -129,5 +129,22 @@ required.
 3. This notice may not be removed or altered from any source distribution.""",
 }
 
+# How authors name licences in a sentence.
+NAMES: dict[str, tuple[str, ...]] = {
+    "AGPL-3.0": ("GNU AGPLv3", "GNU Affero General Public License v3.0"),
+    "Apache-2.0": ("Apache License 2.0", "Apache 2.0 License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License"),
+    "GPL-2.0": ("GNU GPLv2", "GNU General Public License v2.0"),
+    "GPL-3.0": ("GNU GPLv3", "GNU General Public License v3.0"),
+    "ISC": ("ISC License",),
+    "LGPL-3.0": ("GNU LGPLv3", "GNU Lesser General Public License v3.0"),
+    "MIT": ("MIT License",),
+    "MPL-2.0": ("Mozilla Public License 2.0", "MPL 2.0"),
+}
+#: Tags that name a licence by its identifier, and sentences that name it; GNU licences have two identifiers of their own.
+TAGS = [(name, f"SPDX-License-Identifier: {name}{more}") for name in NOTICES for more in (("", "-only", "-or-later") if "GPL" in name else ("",))]
+SENTENCES = [(name, f"licensed under the {title}") for name, titles in NAMES.items() for title in titles] + [("MIT", "The MIT License (MIT)")]
+
 #: (licence, text) of every template.
-TEMPLATES: list[tuple[str, str]] = [*NOTICES.items(), *BODIES.items()]
+TEMPLATES: list[tuple[str, str]] = [*NOTICES.items(), *BODIES.items(), *TAGS, *SENTENCES]
