@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,11 +60,14 @@ def cover(marks: Sequence[str]) -> tuple[list[str], list[str]]:
 
 
 def _may_match(lowered: Column, marks: Sequence[str]) -> Column:
-    """Whether a text can hold an anchor at all: a search for few words, before any of its bigrams is made."""
+    """Whether a text can hold an anchor at all: one search for the beginnings of few words, sorted by their first letters,
+    before any of its bigrams is made."""
     words, bigrams = cover(marks)
-    tests = [lowered.contains(w) for w in words]
-    tests += [lowered.rlike(g.replace(" ", NOT_WORD)) for g in bigrams]
-    return reduce(Column.__or__, tests)
+    starts: dict[str, list[str]] = {}
+    for text in [*words, *bigrams]:
+        starts.setdefault(text[0], []).append(text[1:].replace(" ", NOT_WORD))
+    branches = "|".join(f"{first}(?:{'|'.join(sorted(rest))})" for first, rest in sorted(starts.items()))
+    return lowered.rlike(rf"(?<![a-z0-9\x{{80}}-\x{{10FFFF}}])(?:{branches})")
 
 
 def _literal(values: Sequence, of: str) -> Column:
@@ -115,7 +117,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
         return docs.withColumn("license_matches", F.array().cast(MATCHES))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     least, most = min(sizes) * low, max(sizes) * high
-    body = F.when(_may_match(F.lower(F.col(text)), marks), F.col(text)).otherwise("")
+    body = F.col("_body")
     units = F.array_distinct(F.concat(F.split(body, "\n"), F.split(body, r"\n[ \t\r]*\n"), F.array(body)))
 
     def fits(size: Column) -> Column:
@@ -136,7 +138,9 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_kept")
     marked = lambda grams: F.filter(F.transform(grams, lambda g, i: F.when(g.isin(marks), F.struct(i.alias("at"), g.alias("gram")))), lambda h: h.isNotNull())
     sized = F.filter(F.transform(units, _words), lambda w: fits(F.size(w) - 1))
-    rows = docs.select(kept, F.filter(F.transform(sized, _bigrams), lambda u: F.exists(u, lambda g: g.isin(marks))).alias("_units"), _bigrams(_words(body)).alias("_grams"))
+    lowered = docs.select(kept, F.col(text).alias("_text"), F.lower(text).alias("_lowered"))  # each made once, as several expressions use it
+    docs_left = lowered.select("_kept", F.when(_may_match(F.col("_lowered"), marks), F.col("_text")).otherwise("").alias("_body"))
+    rows = docs_left.select("_kept", F.filter(F.transform(sized, _bigrams), lambda u: F.exists(u, lambda g: g.isin(marks))).alias("_units"), _bigrams(_words(body)).alias("_grams"))
     rows = rows.withColumn("_hits", marked(F.col("_grams")))
     of_units = F.flatten(F.transform("_units", compare))
     of_windows = F.flatten(F.transform(known, lambda k: F.transform(starts(F.col("_hits"), k), lambda s: _dice(k, F.slice(F.col("_grams"), s + 1, k["size"])))))
