@@ -488,5 +488,5 @@ def test_query_names_and_columns(spark):
     import __spark_entry__ as entry
 
     names = entry.queries().keys()
-    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{k}" for k in range(1, 11)] and "pipeline" in names
+    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{k}" for k in range(1, 14)] and "pipeline" in names
     assert json.dumps(sorted(set(entry.oracle_sql()) - set(names))) == "[]"
