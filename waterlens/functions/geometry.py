@@ -10,6 +10,11 @@ def _steps(points: Column) -> Column:
     return F.zip_with(F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
 
@@ -132,30 +137,37 @@ def length_inside(points: Column, rings: Column) -> Column:
     Each step of the line is cut where it crosses an edge; a piece counts if its middle is inside. A piece along an edge
     counts as its middle does for the rule: on low and left edges inside, on high and right ones outside.
     """
-    edges = F.flatten(F.transform(rings, _steps))
     cross = lambda ax, ay, bx, by: ax * by - ay * bx
 
-    def pieces(s: Column) -> Column:
-        dx, dy = s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]
+    def share(s: Column, e: Column) -> Column:
+        """Where on the step the edge is, from 0 to 1; null where it is not."""
+        ends = F.struct(
+            (s["b"]["x"] - s["a"]["x"]).alias("dx"), (s["b"]["y"] - s["a"]["y"]).alias("dy"), (e["b"]["x"] - e["a"]["x"]).alias("ex"),
+            (e["b"]["y"] - e["a"]["y"]).alias("ey"), (e["a"]["x"] - s["a"]["x"]).alias("wx"), (e["a"]["y"] - s["a"]["y"]).alias("wy"),
+        )
 
-        def share(e: Column) -> Column:
-            ex, ey = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
-            wx, wy = e["a"]["x"] - s["a"]["x"], e["a"]["y"] - s["a"]["y"]
-            turn = F.nullif(cross(dx, dy, ex, ey), F.lit(0.0))
-            t, u = cross(wx, wy, ex, ey) / turn, cross(wx, wy, dx, dy) / turn
-            return F.when(t.between(0.0, 1.0) & u.between(0.0, 1.0), t)
+        def at(v: Column) -> Column:
+            turn = F.nullif(cross(v["dx"], v["dy"], v["ex"], v["ey"]), F.lit(0.0))
+            both = F.struct((cross(v["wx"], v["wy"], v["ex"], v["ey"]) / turn).alias("t"), (cross(v["wx"], v["wy"], v["dx"], v["dy"]) / turn).alias("u"))
+            return let(both, lambda p: F.when(p["t"].between(0.0, 1.0) & p["u"].between(0.0, 1.0), p["t"]))
 
-        cuts = F.filter(F.transform(edges, share), lambda t: t.isNotNull())
-        # where an edge lies along the step, its ends are cuts as well: those that other edges give
-        at = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts)))
-        spans = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return let(ends, at)
 
-        def inside(t: Column) -> Column:
-            x, y = s["a"]["x"] + t * dx, s["a"]["y"] + t * dy
-            crossed = F.filter(edges, lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0)) + e["a"]["x"]))
-            return F.size(crossed) % 2 == 1
+    def inside(x: Column, y: Column, edges: Column) -> Column:
+        crossed = F.filter(edges, lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0)) + e["a"]["x"]))
+        return F.size(crossed) % 2 == 1
 
-        share_in = F.aggregate(spans, F.lit(0.0), lambda total, p: total + F.when(inside((p["a"] + p["b"]) / 2), p["b"] - p["a"]).otherwise(0.0))
-        return share_in * distance(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])
+    def middle_inside(s: Column, a: Column, b: Column, edges: Column) -> Column:
+        on = lambda c: s["a"][c] + (a + b) / 2 * (s["b"][c] - s["a"][c])
+        return let(F.struct(on("x").alias("x"), on("y").alias("y")), lambda p: inside(p["x"], p["y"], edges))
 
-    return F.aggregate(F.transform(_steps(points), pieces), F.lit(0.0), lambda total, length: total + length)
+    def piece(s: Column, edges: Column) -> Column:
+        # where an edge lies along the step, its ends are cuts as well: those that other edges give
+        cuts = F.filter(F.transform(edges, lambda e: share(s, e)), lambda t: t.isNotNull())
+        every = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts)))
+        spans = let(every, lambda at: F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+        part = F.aggregate(spans, F.lit(0.0), lambda total, p: total + F.when(middle_inside(s, p["a"], p["b"], edges), p["b"] - p["a"]).otherwise(0.0))
+        return part * distance(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])
+
+    every_edge = F.flatten(F.transform(rings, _steps))
+    return let(every_edge, lambda edges: F.aggregate(F.transform(_steps(points), lambda s: piece(s, edges)), F.lit(0.0), lambda total, length: total + length))

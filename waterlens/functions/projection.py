@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .geometry import let
+
 # The centre in the grid (metres) and in longitude and latitude (degrees).
 CENTRE_X, CENTRE_Y, CENTRE_LON, CENTRE_LAT = 155000.0, 463000.0, 5.38720621, 52.15517440
 # Coefficients by powers of (dx, dy), each 100 km, in arc seconds of latitude and longitude.
@@ -41,22 +43,17 @@ def _polynomial(coefficients: dict[tuple[int, int], float], a: Column, b: Column
     return reduce(Column.__add__, (F.lit(c) * _power(a, p) * _power(b, q) for (p, q), c in coefficients.items()))
 
 
-def _let(value: Column, body) -> Column:
-    """`body` of a value that is computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def from_national(x: Column, y: Column) -> Column:
     """(lon, lat) in degrees of a place on the national grid; null for null."""
     shift = F.struct(((x - CENTRE_X) / 1e5).alias("x"), ((y - CENTRE_Y) / 1e5).alias("y"))
     at = lambda d, of, centre: F.lit(centre) + _polynomial(of, d["x"], d["y"]) / 3600
-    return _let(shift, lambda d: F.struct(at(d, TO_LON, CENTRE_LON).alias("lon"), at(d, TO_LAT, CENTRE_LAT).alias("lat")))
+    return let(shift, lambda d: F.struct(at(d, TO_LON, CENTRE_LON).alias("lon"), at(d, TO_LAT, CENTRE_LAT).alias("lat")))
 
 
 def _approximate(lon: Column, lat: Column) -> Column:
     shift = F.struct(((lat - CENTRE_LAT) * 0.36).alias("lat"), ((lon - CENTRE_LON) * 0.36).alias("lon"))
     at = lambda d, of, centre: F.lit(centre) + _polynomial(of, d["lat"], d["lon"])
-    return _let(shift, lambda d: F.struct(at(d, TO_X, CENTRE_X).alias("x"), at(d, TO_Y, CENTRE_Y).alias("y")))
+    return let(shift, lambda d: F.struct(at(d, TO_X, CENTRE_X).alias("x"), at(d, TO_Y, CENTRE_Y).alias("y")))
 
 
 def to_national(lon: Column, lat: Column) -> Column:
@@ -64,10 +61,10 @@ def to_national(lon: Column, lat: Column) -> Column:
     back misses, so it is the inverse of `from_national` within a centimetre."""
 
     def corrected(p: Column) -> Column:
-        again = _let(from_national(p["x"], p["y"]), lambda w: _approximate(w["lon"], w["lat"]))
-        return _let(again, lambda q: F.struct((p["x"] * 2 - q["x"]).alias("x"), (p["y"] * 2 - q["y"]).alias("y")))
+        again = let(from_national(p["x"], p["y"]), lambda w: _approximate(w["lon"], w["lat"]))
+        return let(again, lambda q: F.struct((p["x"] * 2 - q["x"]).alias("x"), (p["y"] * 2 - q["y"]).alias("y")))
 
-    return _let(_approximate(lon, lat), corrected)
+    return let(_approximate(lon, lat), corrected)
 
 
 def line_to_national(points: Column) -> Column:
