@@ -116,15 +116,18 @@ def along_line(x: Column, y: Column, points: Column) -> Column:
 
     def step(state: Column, s: Column) -> Column:
         ax, ay, bx, by = s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]
-        length = distance(ax, ay, bx, by)
-        share = F.coalesce(((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / F.nullif(length * length, F.lit(0.0)), F.lit(0.0))
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
-        off = distance(x, y, ax + t * (bx - ax), ay + t * (by - ay))
-        closer = state["distance"].isNull() | (off < state["distance"])
-        return F.struct(
-            (state["done"] + length).alias("done"), F.when(closer, state["done"] + t * length).otherwise(state["offset"]).alias("offset"),
-            F.when(closer, off).otherwise(state["distance"]).alias("distance"),
-        )
+        first = F.struct(distance(ax, ay, bx, by).alias("n"), ((x - ax) * (bx - ax) + (y - ay) * (by - ay)).alias("dot"))
+
+        def place(v: Column) -> Column:
+            t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(v["dot"] / F.nullif(v["n"] * v["n"], F.lit(0.0)), F.lit(0.0))))
+            return let(t, lambda t: F.struct(v["n"].alias("n"), t.alias("t"), distance(x, y, ax + t * (bx - ax), ay + t * (by - ay)).alias("off")))
+
+        def taken(p: Column) -> Column:
+            here = F.struct((state["done"] + p["n"]).alias("done"), (state["done"] + p["t"] * p["n"]).alias("offset"), p["off"].alias("distance"))
+            before = F.struct((state["done"] + p["n"]).alias("done"), state["offset"].alias("offset"), state["distance"].alias("distance"))
+            return F.when(state["distance"].isNull() | (p["off"] < state["distance"]), here).otherwise(before)
+
+        return let(let(first, place), taken)
 
     none = F.lit(None).cast("double")
     start = F.struct(F.lit(0.0).alias("done"), none.alias("offset"), none.alias("distance"))
