@@ -188,6 +188,34 @@ def test_a_farther_partner_links_when_closer_ones_fail(spark):
     assert sum(group[d] == find(d) for d in texts) / len(texts) > 0.97
 
 
+@pytest.mark.parametrize(("window", "exhaustive"), [(simhash.WINDOW, False), (5, False), (5, True)])
+def test_no_partner_is_dropped_after_many_that_fail(spark, monkeypatch, window, exhaustive):
+    """Forty texts just under the similarity with each other and their base; two of them are at it, at no special place in
+    the order of sketches, and no pass before links any."""
+    monkeypatch.setattr(simhash, "WINDOW", window)
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = {}
+    for n in range(12):
+        base = [word() for _ in range(220)]
+        texts[100 * n] = " ".join(base)
+        rims = [[word() for _ in range(25)] for _ in range(40)]
+        rims[30][0] = rims[7][0]  # 192 of 240 shingles; all others 191 of 241
+        texts |= {100 * n + 1 + k: " ".join(base[:195] + rim) for k, rim in enumerate(rims)}
+    given = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    group = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(given, exhaustive=exhaustive).collect()}
+    assert group == {d: d - 23 if d % 100 == 31 else d for d in texts}
+
+
+def test_parities_differ_in_no_more_places_than_sets(spark):
+    rng = np.random.default_rng(15)
+    for size, other in ((1, 1), (50, 45), (700, 600), (5000, 5000)):
+        left = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        right = np.unique(np.concatenate((left[: size // 2], rng.integers(0, 1 << 63, other, dtype=np.uint64))))
+        differ = int.from_bytes(simhash.parities(left)) ^ int.from_bytes(simhash.parities(right))
+        assert differ.bit_count() <= len(np.setxor1d(left, right))
+
+
 def test_groups_do_not_hang_on_windows(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     expected = sorted(map(tuple, simhash.similar_groups(docs).collect()))

@@ -7,7 +7,8 @@ A shard returns the star forest of its links (one edge per member), never all pa
 
 `deduplicate` links texts whose sets of 5-word shingles have a Jaccard similarity of 0.8. Its shards are keys of several
 min-hashes, whose recall does not depend on the number of rows; pairs that meet there and agree in enough bits of their
-sketches are candidates, and each candidate is verified on the shingles of both texts before it links.
+sketches are candidates, and every candidate is verified on the shingles of both texts unless a chain of links joins the
+two already or a bound proves it dissimilar. An exhaustive search lets every pair of texts meet.
 """
 
 from __future__ import annotations
@@ -38,10 +39,12 @@ TABLES = 20
 KEY = 6
 BITS = 128
 _CHUNK = 1 << 16
-#: Partners of a row that a pass verifies; passes go on while they link one in ENOUGH of the rows that had any.
-NEAREST, ENOUGH = 8, 100
-#: Rows of a key that are compared at once; ids that are broadcast.
-WINDOW = 50_000
+#: Partners of a row that the first search verifies; each further one takes MORE times as many, up to MOST.
+NEAREST, MORE, MOST = 8, 4, 128
+#: Places of a shingle set's parities, a power of two.
+PLACES = 1024
+#: Rows of a block: those of a larger key are dealt to blocks, and each two blocks meet. Ids that are broadcast.
+WINDOW = 8_192
 BROADCAST_IDS = 1_000_000
 #: While leaders lead this part of what is left, one in _MANY, the next one is the middle of the rest.
 _MANY = 16
@@ -101,18 +104,26 @@ def sketch(hashes: np.ndarray) -> tuple[int, int, np.ndarray]:
     return hi, lo, np.array([xxhash.xxh3_64_intdigest(run, t) for t, run in enumerate(runs)], dtype=np.uint64).view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """Whether an odd number of a set's hashes falls on each of PLACES places. Those of two sets differ in no more places
+    than the sets do in elements."""
+    return np.packbits((np.bincount((hashes & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES) & 1).astype(np.uint8)).tobytes()
+
+
 def _named_sets(shingle: int):
-    """A task over (id, text): the id and the sorted shingle hashes of the texts whose shingle set it names."""
+    """A task over (id, text): id, size, parities and sorted shingle hashes of the texts whose shingle set it names."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sets = [], []
+            ids, sets, sizes, odd = [], [], [], []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashes = _set_hashes(text, shingle)
                 if set_name(hashes) == name:  # doc_ids may repeat with other texts
                     ids.append(name)
+                    sizes.append(len(hashes))
+                    odd.append(parities(hashes))
                     sets.append(hashes.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(sets, type=pa.binary())], names=["id", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in ((ids, pa.int64()), (sizes, pa.int64()), (odd, pa.binary()), (sets, pa.binary()))], names=["id", "size", "parities", "hashes"])
 
     return task
 
@@ -217,21 +228,23 @@ def _whole(rows: np.ndarray) -> list[int]:
     return [w[0] if len(w) == 1 else w[0] << 64 | w[1] for w in words]
 
 
-def _whole_shards(work, window: int = 0):
-    """A task over rows (key, ...) sorted by key that gives whole shards to `work`, as keys and the other columns; with a
-    `window` a shard of more rows is given in parts of that many."""
+def _longs(column: pa.Array) -> np.ndarray:
+    """A column of longs, or the longs of each row of a column of as many bytes each."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int64).reshape(len(column), -1) if pa.types.is_binary(column.type) else column.to_numpy()
+
+
+def _whole_shards(work):
+    """A task over rows (key, ...) sorted by key that gives whole shards to `work`, as keys and the other columns."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rows = np.empty(0, dtype=np.int64), None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            more = np.column_stack([batch.column(k).to_numpy() for k in range(1, batch.num_columns)])
+            more = np.column_stack([_longs(batch.column(k)) for k in range(1, batch.num_columns)])
             keys = np.concatenate((keys, batch.column(0).to_numpy()))
             rows = more if rows is None else np.concatenate((rows, more))
             whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
-            if not whole and window and len(keys) >= window:
-                whole = window
             if whole:
                 yield from work(keys[:whole], rows[:whole])
                 keys, rows = keys[whole:], rows[whole:]
@@ -307,61 +320,68 @@ def _led(words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _first_meetings(radius: int):
-    """A task over rows (key, id, next, words of the sketch) sorted by key: the rows of shards of more than one, each with
-    its leader (v, or its own id) and their distance."""
+    """A task over rows (key, id, words of the sketch) sorted by key: key and id of the rows of shards of more than one, each
+    with its leader (v, or its own id) and their distance."""
 
     def work(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         found = []
         for start, end in _shards(keys):
             part = rows[start:end]
-            leader, far = _led(np.ascontiguousarray(part[:, 2:]).view(np.uint64), radius)
+            leader, far = _led(np.ascontiguousarray(part[:, 1:]).view(np.uint64), radius)
             follows = np.where(leader >= 0, part[leader, 0], part[:, 0])
-            found.append(np.column_stack((keys[start:end], part, follows, far)))
-        out = np.concatenate(found) if found else np.empty((0, 7), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, k])) for k in range(7)], names=["key", "id", "next", "hi", "lo", "v", "distance"])
+            found.append(np.column_stack((keys[start:end], part[:, 0], follows, far)))
+        out = np.concatenate(found) if found else np.empty((0, 4), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, k])) for k in range(4)], names=["key", "id", "v", "distance"])
 
-    return _whole_shards(work, WINDOW)
+    return _whole_shards(work)
 
 
-def _unlike_pairs(radius: int, most: int, every: bool):
-    """A task over rows (key, id, label, tried, past distance, past id, words of the sketch) sorted by key: pairs (u, v,
-    distance) within the radius whose labels differ.
+def _unlike_pairs(radius: int, most: int, similarity: float):
+    """A task over rows (key, id, label, tried, past distance, past id, words of the sketch, size, parities) sorted by key:
+    pairs (u, v, distance) within the radius whose labels differ.
 
-    A row that is not of its shard's largest label (or `every` row) gives its `most` closest ones after (past distance, past id) but that
-    which it was `tried` with; equal distances by id. Small shards are searched in their BK-tree, others by a scan: at this
-    radius a large tree leaves out little.
+    A row gives its `most` closest ones after (past distance, past id) but that which it was `tried` with; equal distances by
+    id. Pairs whose sizes or parities prove them less similar are left out: sets of this Jaccard similarity differ in at
+    most (1 - similarity) / (1 + similarity) of the sum of their sizes. Small shards are searched in their BK-tree; in others
+    the rows of a label are compared with all rows of other labels: at this radius a large tree leaves out little.
     """
-
-    def near(tree: BKTree | None, values: list[int], words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        if tree is None:
-            distance = _distances(words, words[k])
-            at = np.flatnonzero(distance <= radius)
-            return at, distance[at]
-        at = list(tree.near(values[k], radius))
-        return np.array(at), np.array([(values[n] ^ values[k]).bit_count() for n in at])
+    share = (1 - similarity) / (1 + similarity)
 
     def work(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         u, v, distance = [], [], []
         for start, end in _shards(keys):
             part = rows[start:end]
-            labels, group, size = np.unique(part[:, 1], return_inverse=True, return_counts=True)
+            labels, group = np.unique(part[:, 1], return_inverse=True)
             if len(labels) < 2:
                 continue
-            ids, words = part[:, 0], np.ascontiguousarray(part[:, 5:]).view(np.uint64)
+            ids, sizes = part[:, 0], part[:, 7]
+            words, odd = (np.ascontiguousarray(part[:, k]).view(np.uint64) for k in (slice(5, 7), slice(8, None)))
             values = _whole(words) if len(part) <= TOGETHER else []
             tree = BKTree(values) if values else None
-            for k in range(len(part)) if every else np.flatnonzero(group != size.argmax()).tolist():
-                at, far = near(tree, values, words, k)
-                _, _, tried, past, past_id = part[k, :5].tolist()
-                keep = (group[at] != group[k]) & (ids[at] != tried) & ((far > past) | ((far == past) & (ids[at] > past_id)))
-                at, far = at[keep], far[keep]
-                for n in np.lexsort((ids[at], far))[:most].tolist():
-                    u.append(int(ids[k]))
-                    v.append(int(ids[at[n]]))
-                    distance.append(int(far[n]))
+            for label in range(len(labels)):
+                others = np.flatnonzero(group != label)
+                theirs = words[others]
+                for k in np.flatnonzero(group == label).tolist():
+                    _, _, tried, past, past_id = part[k, :5].tolist()
+                    if tree is None:
+                        far = _distances(theirs, words[k])
+                        near = np.flatnonzero(far <= radius)
+                        at, far = others[near], far[near]
+                    else:
+                        at = np.array([n for n in tree.near(values[k], radius) if group[n] != label], dtype=np.int64)
+                        far = _distances(words[at], words[k])
+                    keep = (ids[at] != tried) & ((far > past) | ((far == past) & (ids[at] > past_id)))
+                    at, far = at[keep], far[keep]
+                    differ = np.maximum(np.abs(sizes[at] - sizes[k]), _distances(odd[at], odd[k]))
+                    keep = differ <= (sizes[at] + sizes[k]) * share + 1e-6
+                    at, far = at[keep], far[keep]
+                    first = np.lexsort((ids[at], far))[:most]
+                    u += [int(ids[k])] * len(first)
+                    v += ids[at[first]].tolist()
+                    distance += far[first].tolist()
         yield _batch({"u": u, "v": v, "distance": distance})
 
-    return _whole_shards(work, WINDOW)
+    return _whole_shards(work)
 
 
 def jaccard(left: np.ndarray, right: np.ndarray) -> float:
@@ -384,51 +404,66 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.join(side("u", "left"), "u").join(side("v", "right"), "v").select("u", "v", "left", "right").mapInArrow(check, "u long, v long")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """(key, id, hi, lo) of the rows of each key that several have. The rows of a key of more than WINDOW are dealt to blocks by
+    a hash, and each goes to a key for its block with every block, so any two of them still meet."""
+    counts = rows.groupBy("key").count().where("count > 1").select(F.col("key").alias("_key"), F.ceil(F.col("count") / WINDOW).alias("blocks"))
+    met = rows.join(counts, F.col("key") == F.col("_key")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    both = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return met.select(F.when(F.col("blocks") > 1, both).otherwise(F.col("key")).alias("key"), "id", "hi", "lo")
+
+
 def similar_labels(classes: DataFrame, docs: DataFrame, similarity: float, shingle: int, exhaustive: bool = False) -> DataFrame:
     """(id, label) of the ids of `classes` (id, first_id, hi, lo, keys) that meet others: the component of verified links.
 
-    Rows are dealt to shards once; what shares no key with another row is left out from then on, and the shingle sets of
-    the rest are made once. In a first pass each row is verified with the closest of its leaders in all shards. In each
-    further pass every row takes its NEAREST closest partners of other components that it has not come to yet, until a
-    pass links fewer than one in ENOUGH of the rows that took any, or, if `exhaustive`, until no row has a partner left. So
-    a pass verifies at most NEAREST pairs a row, however large a group is; an exhaustive search's passes grow with the size
-    of a group whose members are not alike enough. Keys are dealt by ranges of (key, next key), so a key of very many rows
-    goes to several tasks, and a task takes it in windows.
+    Rows that share a key meet; what meets no other row is left out from then on, and the shingle sets of the rest are made
+    once. In a first pass each row is verified with the closest of its leaders in all shards. In each further pass every
+    row takes its closest partners of other components that it has not come to yet, NEAREST first and more from pass to
+    pass, until no row has a partner left: no candidate is dropped. If `exhaustive`, all rows share one key, and a pair is
+    left out only where its sizes or parities prove it dissimilar, so no link is lost; the work grows with the square of
+    the rows.
     """
     radius = radius_of(similarity)
     pairs = "u long, v long, distance long"
-    dealt = classes.select("id", "hi", "lo", F.posexplode("keys").alias("t", "key"), (F.col("keys")[(F.col("t") + 1) % F.size("keys")]).alias("next"))
-    dealt = dealt.repartitionByRange("key", "next", "id").sortWithinPartitions("key", "next", "id").select("key", "id", "next", "hi", "lo")
-    met = written(dealt.mapInArrow(_first_meetings(radius), "key long, id long, next long, hi long, lo long, v long, distance long"), "met")
+    rows = classes.where("size(keys) > 0").select("id", "hi", "lo", F.lit(0).cast("long").alias("key") if exhaustive else F.explode("keys").alias("key"))
+    shards = dealt(rows).repartition("key").sortWithinPartitions("key", "id").select("key", "id", "hi", "lo")
+    met = written(shards.mapInArrow(_first_meetings(radius), "key long, id long, v long, distance long"), "met")
 
-    wanted = written(met.select("id").distinct().join(classes.select("id", "first_id"), "id").select("id", "first_id"), "wanted")
-    by_id = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    wanted = written(met.select("id").distinct().join(classes.select("id", "first_id", "hi", "lo"), "id").select("id", "first_id", "hi", "lo"), "wanted")
+    by_id = wanted.select("id", "first_id")
+    by_id = F.broadcast(by_id) if wanted.count() <= BROADCAST_IDS else by_id
     found = docs.select("doc_id", "text").join(by_id, F.col("doc_id") == F.col("first_id")).select("id", "text")
-    sets = written(found.mapInArrow(_named_sets(shingle), "id long, hashes binary").groupBy("id").agg(F.first("hashes").alias("hashes")), "sets")
+    named = found.mapInArrow(_named_sets(shingle), "id long, size long, parities binary, hashes binary")
+    sets = written(named.groupBy("id").agg(*[F.first(c).alias(c) for c in ("size", "parities", "hashes")]), "sets")
+    sides = written(wanted.select("id", "hi", "lo").join(sets.select("id", "size", "parities"), "id"), "sides")
 
     first = written(met.where("v <> id").groupBy("id").agg(F.min_by("v", F.struct("distance", "v")).alias("v")).select(F.col("id").alias("u"), "v"), "asked")
     label = components(verified(first, sets, similarity)).select(F.col("u").alias("id"), F.col("v").alias("label"))
     tried = first.select(F.col("u").alias("id"), F.col("v").alias("tried"))
     whole = lambda name, other: F.coalesce(name, other).cast("long").alias(name)
     state = wanted.select("id").join(label, "id", "left").join(tried, "id", "left").select("id", whole("label", "id"), whole("tried", "id"), F.lit(-1).cast("long").alias("past"), F.lit(0).cast("long").alias("past_id"))
+    met, most = met.select("key", "id"), NEAREST
     while True:
         state = written(state, "state")  # past, past_id: how far each row has come
-        shards = met.select("key", "id", "next", "hi", "lo").join(state, "id").repartitionByRange("key", "next", "id").sortWithinPartitions("key", "next", "id")
-        offered = shards.select("key", "id", "label", "tried", "past", "past_id", "hi", "lo").mapInArrow(_unlike_pairs(radius, NEAREST, exhaustive), pairs).distinct()
-        place = F.row_number().over(Window.partitionBy("u").orderBy("distance", "v"))  # TABLES x NEAREST of a row at most
-        asked = written(offered.withColumn("place", place).where(F.col("place") <= NEAREST), "asked")
-        came = asked.groupBy(F.col("u").alias("id")).agg(F.max(F.struct("distance", "v")).alias("to")).select("id", "to.distance", "to.v")
-        rows = came.count()
-        more = written(verified(asked, sets, similarity), "edges") if rows else asked
-        linked = more.select("u").distinct().count() if rows else 0
-        if not linked and not (exhaustive and rows):
-            return state.select("id", "label")
-        of = lambda end: state.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
-        between = more.join(of("u"), "u").join(of("v"), "v").select(F.col("u_label").alias("u"), F.col("v_label").alias("v"))
-        joined = components(between).select(F.col("u").alias("label"), F.col("v").alias("least"))
-        state = state.join(joined, "label", "left").join(came, "id", "left").select("id", whole("least", "label").alias("label"), "tried", whole("distance", "past").alias("past"), whole("v", "past_id").alias("past_id"))
-        if linked * ENOUGH < rows and not exhaustive:
+        labels = met.join(state.select("id", "label"), "id").groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("last"))
+        met = written(met.join(labels.where("least <> last").select("key"), "key"), "met")  # shards of one label have nothing left
+        shards = met.join(state, "id").join(sides, "id").repartition("key").sortWithinPartitions("key", "id")
+        shards = shards.select("key", "id", "label", "tried", "past", "past_id", "hi", "lo", "size", "parities")
+        offered = shards.mapInArrow(_unlike_pairs(BITS if exhaustive else radius, most, similarity), pairs).distinct()
+        place = F.row_number().over(Window.partitionBy("u").orderBy("distance", "v"))  # TABLES x most of a row and block at most
+        asked = written(offered.withColumn("place", place).where(F.col("place") <= most), "asked")
+        if asked.isEmpty():
             return state.select("id", "label")
+        came = asked.groupBy(F.col("u").alias("id")).agg(F.max(F.struct("distance", "v")).alias("to")).select("id", "to.distance", "to.v")
+        more = written(verified(asked, sets, similarity), "edges")
+        now = state.withColumn("least", F.lit(None).cast("long"))
+        if not more.isEmpty():
+            of = lambda end: state.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
+            between = more.join(of("u"), "u").join(of("v"), "v").select(F.col("u_label").alias("u"), F.col("v_label").alias("v"))
+            now = state.join(components(between).select(F.col("u").alias("label"), F.col("v").alias("least")), "label", "left")
+        state = now.join(came, "id", "left").select("id", whole("least", "label").alias("label"), "tried", whole("distance", "past").alias("past"), whole("v", "past_id").alias("past_id"))
+        most = min(MORE * most, MOST)
 
 
 def report(docs: DataFrame) -> DataFrame:
