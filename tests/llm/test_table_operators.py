@@ -188,6 +188,15 @@ def test_a_farther_partner_links_when_closer_ones_fail(spark):
     assert sum(group[d] == find(d) for d in texts) / len(texts) > 0.97
 
 
+def test_case_and_blanks_tell_no_units_of_a_lower_casing_vocabulary_apart():
+    encoder = token_encoding.Encoder(token_encoding.default_path("word_bpe_49k.json"))
+    texts = ["Word word WORD\nword Word", " word", "word", "\n", " ", "", None, "  word", "WORD", "it's IT'S \u0301a A\u0301 \u0130 7 \u03a3\u03a3 K\u212a", " .Word", "x" * 400]
+    found = [(ids, sizes) for _, ids, sizes in encoder.slices(pa.array(texts, type=pa.string()), 1)]
+    assert len(found) == 1 and [len(encoder.whole(t or "")) + 1 for t in texts] == found[0][1].tolist()
+    assert found[0][0].tolist() == [i for t in texts for i in [*encoder.whole(t or "").tolist(), 1]]
+    assert [u for u in encoder.known if u.strip().lower() == "word"] == ["word"]
+
+
 @pytest.mark.parametrize(("window", "exhaustive"), [(simhash.WINDOW, False), (5, False), (5, True)])
 def test_no_partner_is_dropped_after_many_that_fail(spark, monkeypatch, window, exhaustive):
     """Forty texts just under the similarity with each other and their base; two of them are at it, at no special place in

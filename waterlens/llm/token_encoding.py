@@ -2,7 +2,8 @@
 
 Both vocabularies split a text before the white space that precedes a word and between a letter and a punctuation mark,
 so a text's ids are those of its units in order. Units are cut from the bytes of a whole column, their dictionary is
-built by Arrow, only units that a worker has not met are encoded by the library, and the ids are gathered by numpy.
+built by Arrow, only units that a worker has not met are encoded by the library, and the ids are gathered by numpy. A
+vocabulary that lower-cases also drops white space, so there units are told apart without case and the blank before.
 Texts that hold a special string are encoded whole by the library.
 """
 
@@ -35,6 +36,7 @@ for _bytes, _kind in (
     (bytes([*range(0x41, 0x5B), *range(0x61, 0x7B)]), _LETTER), (_PUNCTUATION.encode(), _MARK),
 ):
     _KIND[list(_bytes)] |= _kind
+_KINDS = _KIND.tobytes()
 #: Units that are one word or run of marks to both vocabularies, after white space.
 _SIMPLE = re.compile(rf"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+|[{re.escape(_PUNCTUATION)}]+)")
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -42,6 +44,8 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
+#: Writers of up to 15 ids as little-endian 32-bit integers.
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(16)]
 #: What the white space before a unit adds to the piece: a blank joins the word, a line feed is a piece of its own.
 _FRONT = {"": "", " ": _BYTE_CHARS[32], "\n": ""}
 
@@ -80,6 +84,9 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _unit(self, unit: str) -> bytes:
+        if self.lower and unit.isascii() and unit.isalpha():  # lower-cased as bytes
+            ids = [t.id for t in self.model.tokenize(unit)]
+            return _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else struct.pack(f"<{len(ids)}I", *ids)
         found = _SIMPLE.fullmatch(unit)
         if found is None:
             return self.whole(unit).tobytes()
@@ -97,12 +104,16 @@ class Encoder:
         """Ids of distinct units, as little-endian 32-bit integers."""
         if self.held > self.cache_bytes:
             self.known, self.held = {}, 0
-        fresh = {u: self._unit(u) for u in units if u not in self.known}
-        kept = {u: ids for u, ids in fresh.items() if len(u) <= _LONGEST}
-        self.known.update(kept)
-        self.held += sum(_ENTRY + len(u) + len(ids) for u, ids in kept.items())
-        every = self.known if len(kept) == len(fresh) else self.known | fresh
-        return list(map(every.__getitem__, units))
+        known, found = self.known, []
+        for unit in units:
+            ids = known.get(unit)
+            if ids is None:
+                ids = self._unit(unit)
+                if len(unit) <= _LONGEST:
+                    known[unit] = ids
+                    self.held += _ENTRY + len(unit) + len(ids)
+            found.append(ids)
+        return found
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, rows = _bytes_of(texts)
@@ -110,14 +121,25 @@ class Encoder:
             return np.empty(0, dtype="<u4"), np.zeros(len(texts), dtype=np.int64)
         cut = np.empty(len(data), dtype=bool)
         cut[-1] = False
-        kind = _KIND[data]
+        raw = data.tobytes()
+        kind = np.frombuffer(raw.translate(_KINDS), dtype=np.uint8)
+        if self.lower:
+            data = np.frombuffer(raw.lower(), dtype=np.uint8)
         cut[:-1] = (kind[:-1] & _CUT != 0) & (kind[1:] & _SPACE == 0)
         cut[1:] |= (kind[:-1] & _LETTER != 0) & (kind[1:] & _MARK != 0)
         filled = rows[1:] > rows[:-1]
         cut[rows[1:][filled] - 1] = False  # what follows is another text's
         cut[rows[:-1][filled]] = True
         starts = np.flatnonzero(cut)
-        ends = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
+        left = starts
+        if self.lower:  # case and the blank before a unit tell no units apart: fewer are met and encoded
+            after = np.minimum(starts + 1, len(data) - 1)
+            bare = (kind[starts] & _CUT != 0) & (kind[after] & _SPACE == 0) & ~cut[after]
+            left = starts - (np.cumsum(bare) - bare)
+            kept = np.ones(len(data), dtype=bool)
+            kept[starts[bare]] = False
+            data = data[kept]
+        ends = pa.py_buffer(np.append(left, len(data)).astype(np.int32))
         units = pa.StringArray.from_buffers(len(starts), ends, pa.py_buffer(data)).dictionary_encode()
         blobs = self._ids_of(units.dictionary.to_numpy(zero_copy_only=False).tolist())
         flat = np.frombuffer(b"".join(blobs), dtype="<u4")
