@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waterlens.operators import spatial
+from waterlens.operators import lines, spatial
 
 LINE = "array<struct<x:double,y:double>>"
 
@@ -65,3 +65,19 @@ def test_boxes_of_all_sizes_meet_once(spark, monkeypatch, size):
         assert found == sorted(expected)
         if lw == rw == (14, 15):  # cells of one level held many that do not meet
             assert counts[-1] < 4 * len(expected) + 2 * len(a)
+
+
+def test_longest_inside_is_that_of_all_lengths(spark):
+    rng = random.Random(6)
+    ring = lambda x, y, r: [(x - r, y), (x, y - r), (x + r, y), (x, y + r), (x - r, y)]
+    box = lambda x, y, r: [(x, y), (x + r, y), (x + r, y + r), (x, y + r), (x, y)]
+    place = lambda: (float(rng.randint(0, 60)), float(rng.randint(0, 60)))
+    shapes = spark.createDataFrame([(k, [(ring if k % 3 else box)(*place(), float(rng.randint(3, 15)))]) for k in range(80)] + [(90, None), (91, [])], f"polygon_id long, rings array<{LINE}>")
+    for sizes in ((2,), (1, 2, 3, 4)):
+        given = spark.createDataFrame([(k, [place() for _ in range(rng.choice(sizes))]) for k in range(60)] + [(70, [(5.0, 5.0), (5.0, 40.0)]), (71, [(3.0, 8.0), (3.0, 8.0)]), (72, None)], f"line_id long, line {LINE}")
+        every = lines.lengths_inside(given, shapes, 8.0).withColumn("length", F.round("length", 4)).where("length > 0").collect()
+        expected = {}
+        for r in sorted(every, key=lambda r: (-r["length"], r["polygon_id"])):
+            expected.setdefault(r["line_id"], (r["polygon_id"], r["length"]))
+        found = {r["line_id"]: (r["polygon_id"], r["length"]) for r in lines.longest_inside(given, shapes, 8.0, digits=4).collect()}
+        assert found == expected and len(expected) > 30

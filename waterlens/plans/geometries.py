@@ -103,9 +103,7 @@ def line_areas(spark, d):
     s = F.col("s_suppkey")
     x0, y0 = s * 37 % 1000 - 0.5, s * 91 % 1009 - 0.25
     areas = table(spark, d, "supplier").select(s.cast("long").alias("polygon_id"), F.array(_box(x0, y0, x0 + 80 + s % 30, y0 + 60 + s % 20)).alias("rings"))
-    inside = lines.lengths_inside(given, areas, 64.0).withColumn("length", F.round("length", 6)).where("length > 0")
-    best = F.max_by(F.struct("polygon_id", "length"), F.struct("length", -F.col("polygon_id"))).alias("_b")
-    return inside.groupBy("line_id").agg(best).select("line_id", "_b.*")
+    return lines.longest_inside(given, areas, 64.0, digits=6)
 
 
 @query("""
