@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waterlens.operators import lines, spatial
+from waterlens.operators import lines, polygons, spatial
 
 LINE = "array<struct<x:double,y:double>>"
 
@@ -81,3 +81,12 @@ def test_longest_inside_is_that_of_all_lengths(spark):
             expected.setdefault(r["line_id"], (r["polygon_id"], r["length"]))
         found = {r["line_id"]: (r["polygon_id"], r["length"]) for r in lines.longest_inside(given, shapes, 8.0, digits=4).collect()}
         assert found == expected and len(expected) > 30
+
+
+def test_equal_polygons_are_one(spark, monkeypatch):
+    counts, plain = [], polygons._edges
+    monkeypatch.setattr(polygons, "_edges", lambda shapes, size: (counts.append(shapes.count()), plain(shapes, size))[1])
+    box = lambda x, r: [[(x, 0.0), (x + r, 0.0), (x + r, r), (x, r), (x, 0.0)]]
+    given = spark.createDataFrame([(k % 2, box(float(k % 3), 2.0)) for k in range(240)] + [(None, box(0.0, 3.0))] * 2, f"grp long, rings array<{LINE}>")
+    assert {r["grp"]: round(r["area"], 9) for r in polygons.union_areas(given, "grp", 4.0).collect()} == {0: 8.0, 1: 8.0, None: 9.0}
+    assert counts == [7]

@@ -63,10 +63,11 @@ def overlay_areas(left: DataFrame, right: DataFrame, group: str, size: float) ->
     Sides: (`group`, rings), rings an array of closed rings, holes among them by the even-odd rule. Polygons of one side may
     overlap: what several cover counts once, so the sum of the areas of a side is that of its union. A group may have one
     side only. Null or empty rings cover nothing; a null group is a group. Tiles of `size` bound what meets in one place:
-    neither a group of very many polygons nor a large polygon is one task.
+    neither a group of very many polygons nor a large polygon is one task. Equal polygons of a group and side are one.
     """
     of = lambda df, side: df.select(F.col(group).alias("grp"), F.lit(side).alias("side"), "rings")
-    shapes = of(left, 0).unionByName(of(right, 1)).withColumn("shape", F.monotonically_increasing_id())
+    # equal polygons cover what one covers; all their edges would meet in pairs
+    shapes = of(left, 0).unionByName(of(right, 1)).distinct().withColumn("shape", F.monotonically_increasing_id())
     edges = cut(_edges(cut(shapes), size))
     at = ["grp", "tx", "ty"]
     heights = edges.select(*at, F.explode(F.array("ay", "by")).alias("y")).unionByName(_crossings(edges, size)).distinct()
