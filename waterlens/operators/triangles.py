@@ -76,36 +76,43 @@ def triangulate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return found[(found < n).all(axis=1)]
 
 
-def triangles(points: DataFrame, tile: float, reach: float) -> DataFrame:
+def triangles(points: DataFrame, tile: float, reach: float, value: str | None = None, near: DataFrame | None = None) -> DataFrame:
     """(a, b, c, each with x and y) of the Delaunay triangles of points (id, x, y) whose circle has a radius up to `reach`;
-    a < b < c.
+    a < b < c. Each corner has its `value` as well, if a column is named: av, bv, cv. With `near` (px, py), triangles may be
+    left out that hold none of these places: tiles whose circles reach none are not worked on.
 
     Points of equal coordinates are one, the smallest id. Points without coordinates are left out. The triangles do not hang
     on the size of a tile. A tile and its surroundings are one task's work: choose `tile` so that it holds some hundred
     points; the centres of grid cells are no closer than a cell's width, so no tile holds more than its area allows.
     """
-    places = points.where("x IS NOT NULL AND y IS NOT NULL").groupBy(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.min("id").alias("id"))
+    places = points.where("x IS NOT NULL AND y IS NOT NULL").groupBy(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.min_by(F.struct("id", (F.col(value) if value else F.lit(None)).cast("double").alias("v")), "id").alias("_i")).select("x", "y", "_i.*")
     low = lambda c: F.floor((F.col(c) - reach * 1.01) / tile).cast("long")
     high = lambda c: F.floor((F.col(c) + reach * 1.01) / tile).cast("long")
     dealt = places.withColumn("tx", F.explode(F.sequence(low("x"), high("x")))).withColumn("ty", F.explode(F.sequence(low("y"), high("y"))))
 
+    if near is not None:  # a triangle is no further from its circle's centre than `reach`
+        of = lambda c: F.explode(F.sequence(low(c), high(c)))
+        wanted = near.select(of("px").alias("tx"), "py").distinct().select("tx", of("py").alias("ty")).distinct()
+        dealt = dealt.join(wanted, ["tx", "ty"], "left_semi")
+
     def of_tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
-        x, y, ids = rows["x"].to_numpy(), rows["y"].to_numpy(), rows["id"].to_numpy()
+        x, y, ids, v = (rows[c].to_numpy() for c in ("x", "y", "id", "v"))
         mx, my = _moved(x, y, reach)
         found = np.sort(triangulate(mx, my), axis=1)
         cx, cy, squared = _circles(mx, my, found)
         found = found[(squared <= reach * reach) & (np.floor(cx / tile) == key[0]) & (np.floor(cy / tile) == key[1])]
-        columns = {n: of[found[:, k]] for k, p in enumerate("abc") for n, of in ((p, ids), (f"{p}x", x), (f"{p}y", y))}
+        columns = {n: of[found[:, k]] for k, p in enumerate("abc") for n, of in ((p, ids), (f"{p}x", x), (f"{p}y", y), (f"{p}v", v))}
         return pd.DataFrame(columns)
 
-    schema = ", ".join(f"{p} long, {p}x double, {p}y double" for p in "abc")
-    return dealt.groupBy("tx", "ty").applyInPandas(of_tile, schema)
+    schema = ", ".join(f"{p} long, {p}x double, {p}y double, {p}v double" for p in "abc")
+    found = dealt.groupBy("tx", "ty").applyInPandas(of_tile, schema)
+    return found if value else found.drop("av", "bv", "cv")
 
 
 def pixel_weights(pixels: DataFrame, found: DataFrame, cell: float) -> DataFrame:
-    """`pixels` (px, py, more) that are in a triangle, with its corners a, b, c and their weights wa, wb, wc; a pixel on a
-    common side or corner is in the triangle of the smallest (a, b, c). Triangles meet pixels in cells of `cell`."""
+    """`pixels` (px, py, more) that are in a triangle, with its corners a, b, c, their weights wa, wb, wc and, if triangles
+    have them, values av, bv, cv; a pixel on a common side or corner is in the triangle of the smallest (a, b, c). Triangles meet pixels in cells of `cell`."""
     bound = lambda pick, c: F.floor(pick(*[F.col(p + c) for p in "abc"]) / cell).cast("long")
     spread = found.withColumn("_cx", F.explode(F.sequence(bound(F.least, "x"), bound(F.greatest, "x")))).withColumn("_cy", F.explode(F.sequence(bound(F.least, "y"), bound(F.greatest, "y"))))
     own = pixels.withColumn("_cx", F.floor(F.col("px") / cell).cast("long")).withColumn("_cy", F.floor(F.col("py") / cell).cast("long"))
@@ -113,7 +120,7 @@ def pixel_weights(pixels: DataFrame, found: DataFrame, cell: float) -> DataFrame
     whole = F.nullif(turn("ax", "ay", "bx", "by", "cx", "cy"), F.lit(0.0))
     shares = {"wa": turn("px", "py", "bx", "by", "cx", "cy") / whole, "wb": turn("ax", "ay", "px", "py", "cx", "cy") / whole, "wc": turn("ax", "ay", "bx", "by", "px", "py") / whole}
     met = own.join(spread, ["_cx", "_cy"]).withColumns(shares).where("wa >= -1e-12 AND wb >= -1e-12 AND wc >= -1e-12")
-    best = F.min_by(F.struct("a", "b", "c", "wa", "wb", "wc"), F.struct("a", "b", "c")).alias("_t")
+    best = F.min_by(F.struct("a", "b", "c", "wa", "wb", "wc", *[c for c in ("av", "bv", "cv") if c in found.columns]), F.struct("a", "b", "c")).alias("_t")
     return met.groupBy(*pixels.columns).agg(best).select(*pixels.columns, "_t.*")
 
 
@@ -127,17 +134,20 @@ def level_raster(pixels: DataFrame, centres: DataFrame, tile: float, reach: floa
     without a cell then has none.
     """
     used = centres if blend else centres.where("level IS NOT NULL")
-    found = cut(triangles(used, tile, reach))
-    inside = pixel_weights(pixels.select("px", "py").distinct(), found, reach / 2)
-    corners = inside.select("px", "py", F.explode(F.array(*[F.struct(F.col(p).alias("corner"), F.col(f"w{p}").alias("w")) for p in "abc"])).alias("t")).select("px", "py", "t.*")
-    levels = used.select(F.col("id").alias("corner"), F.col("level").alias("_v"))
-    known = corners.join(levels, "corner").where("_v IS NOT NULL")
-    sums = known.groupBy(F.col("px").alias("_px"), F.col("py").alias("_py")).agg(F.sum("w").alias("_w"), F.sum(F.col("w") * F.col("_v")).alias("_s"))
-    out = pixels.join(sums, (F.col("px") == F.col("_px")) & (F.col("py") == F.col("_py")), "left")
+    places = cut(pixels.select("px", "py").distinct())
+    # values go with the corners of triangles, so no table of all centres is joined or broadcast
+    found = cut(triangles(used, tile, reach, "level", places))
+    inside = pixel_weights(places, found, reach / 2)
+    # pandas makes NaN and null one: it is a null where there are centres without a level
+    known = {p: F.when(~F.isnan(f"{p}v"), F.col(f"{p}v")) if blend else F.coalesce(f"{p}v", F.lit(math.nan)) for p in "abc"}
+    weight = sum((F.when(known[p].isNotNull(), F.col(f"w{p}")).otherwise(0.0) for p in "abc"), F.lit(0.0))
+    share = sum((F.coalesce(F.col(f"w{p}") * known[p], F.lit(0.0)) for p in "abc"), F.lit(0.0))
+    sums = inside.select(F.col("px").alias("_px"), F.col("py").alias("_py"), weight.alias("_w"), share.alias("_s"))
+    out = pixels.join(sums.hint("merge"), (F.col("px") == F.col("_px")) & (F.col("py") == F.col("_py")), "left")
     level: Column = F.when(F.col("_w") > 0.5, F.col("_s") / F.col("_w"))
     if blend:
         own = centres.select(F.col("id").alias("_cell"), F.col("level").alias("_own"))
-        out = out.join(own, F.col("cell") == F.col("_cell"), "left")
+        out = out.join(own.hint("merge"), F.col("cell") == F.col("_cell"), "left")
         level = F.when(F.col("cell").isNotNull(), F.coalesce(level, "_own"))
         out = out.withColumn("level", level).drop("_cell", "_own")
     else:
