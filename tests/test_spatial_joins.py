@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waterlens.operators import lines, polygons, spatial
+from waterlens.operators import graph, lines, polygons, spatial
 
 LINE = "array<struct<x:double,y:double>>"
 
@@ -105,3 +105,24 @@ def test_others_nearby_are_counted_by_runs(spark, monkeypatch):
     found = spatial.close_others(spark.createDataFrame(rows, "id long, x double, y double"), 5.0)
     assert sorted(map(tuple, found.collect())) == sorted(expected)
     assert not pairs  # no join of all pairs
+
+
+def test_snapping_compares_few_of_dense_points(spark):
+    rng = random.Random(9)
+    at = [(rng.uniform(0, 6), rng.uniform(0, 6)) for _ in range(600)]  # one dense node
+    at += [(20 + rng.uniform(0, 8), rng.uniform(0, 8)) for _ in range(25)]  # some chains
+    at += [(40.0, 0.0), (43.0, 0.0), (46.0, 0.0), (49.01, 0.0), (49.01, 3.0), (40.0, 3.0), (60.0, 0.0), (62.1, 2.1), (60.0, 0.0)]
+    points = dict(enumerate(at))
+    node = dict.fromkeys(points)
+    for k in points:
+        if node[k] is None:
+            node[k], seen = k, [k]
+            for a in seen:
+                for b in points:
+                    if node[b] is None and (at[a][0] - at[b][0]) ** 2 + (at[a][1] - at[b][1]) ** 2 <= 9:
+                        node[b] = k
+                        seen.append(b)
+    df = spark.createDataFrame([(k, *p) for k, p in points.items()] + [(9000, None, 1.0)], "id long, x double, y double")
+    found = {r["id"]: (r["node"], r["x"], r["y"]) for r in graph.snap(df, 3.0).collect()}
+    assert found == {k: (n, *at[n]) for k, n in node.items()}
+    assert "within_distance" not in graph.snap.__code__.co_names  # no join of all points within the tolerance

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.geometry import distance
 from ..session import cut, written
 from .relational import with_new_ids
-from .spatial import within_distance
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -51,14 +51,46 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def snap(points: DataFrame, tolerance: float) -> DataFrame:
     """(id, node, x, y): points (id, x, y) that chains of steps within the tolerance join are one node, named and placed
-    by its smallest id. Equal points are one node however many there are."""
-    places = cut(points.groupBy("x", "y").agg(F.min("id").alias("place")))
-    left = places.select(F.col("place").alias("u"), F.col("x").alias("lx"), F.col("y").alias("ly"))
-    right = places.select(F.col("place").alias("v"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-    close = within_distance(left, right, tolerance).where("u < v").select("u", "v")
-    named = connected_components(places.select(F.col("place").alias("id")), close).select(F.col("id").alias("_place"), F.col("component").alias("node"))
-    spots = places.select(F.col("place").alias("node"), F.col("x").alias("node_x"), F.col("y").alias("node_y"))
-    found = points.join(places, ["x", "y"]).join(named, F.col("place") == F.col("_place")).join(spots, "node")
+    by its smallest id. Equal points are one node however many there are.
+
+    Places go to cells so small that all of one cell are one node. Cells are linked first where the places of each that are
+    farthest towards the other are near enough; only cells that this leaves in different nodes are searched for a near pair.
+    """
+    side = tolerance / math.sqrt(2) * (1 - 1e-6)
+    cell = lambda c: F.floor(F.col(c) / side).cast("long")
+    known = points.where("x IS NOT NULL AND y IS NOT NULL")
+    places = cut(known.groupBy("x", "y").agg(F.min("id").alias("place")).withColumns({"cx": cell("x"), "cy": cell("y")}))
+    ways = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)]
+    at = F.struct("x", "y")
+    ends = [f(at, F.col("x") * i + F.col("y") * j).alias(f"{name}{k}") for k, (i, j) in enumerate(ways) for name, f in (("high", F.max_by), ("low", F.min_by))]
+    cells = cut(places.groupBy("cx", "cy").agg(F.min("place").alias("name"), *[f(c).alias(f.__name__ + c) for c in "xy" for f in (F.min, F.max)], *ends))
+    box = ["cx", "cy", "name", "minx", "maxx", "miny", "maxy"]
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"high{k}").alias("end")) for k, (i, j) in enumerate(ways)]))
+    ahead = cells.select(*[F.col(c).alias(f"u{c}") for c in box], steps.alias("s")).select("*", "s.*").drop("s")
+    lows = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.col(f"low{k}").alias("start")) for k, (i, j) in enumerate(ways)]))
+    behind = cells.select(*[F.col(c).alias(f"v{c}") for c in box], lows.alias("s")).select("*", "s.*").drop("s")
+    met = ahead.join(behind, (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")) & (F.col("ucx") + F.col("i") == F.col("vcx")) & (F.col("ucy") + F.col("j") == F.col("vcy")))
+    gap = distance(F.col("end.x"), F.col("end.y"), F.col("start.x"), F.col("start.y"))
+    pairs = cut(met.select(*[f"{p}{c}" for p in "uv" for c in box], (gap <= tolerance).alias("linked")))
+    links = pairs.where("linked").select(F.col("uname").alias("u"), F.col("vname").alias("v"))
+    names = cells.select(F.col("name").alias("id"))
+    first = cut(connected_components(names, links))
+    of = lambda p: first.select(F.col("id").alias(f"_{p}"), F.col("component").alias(f"{p}node"))
+    apart = pairs.where("NOT linked").join(of("u"), F.col("uname") == F.col("_u")).join(of("v"), F.col("vname") == F.col("_v")).where("unode <> vnode")
+    # of each of the two cells only the places that are near the other's box
+    off = lambda p, c, q: F.greatest(F.col(f"{q}min{c}") - F.col(c), F.col(c) - F.col(f"{q}max{c}"), F.lit(0.0))
+    near = lambda p, q: F.sqrt(off(p, "x", q) * off(p, "x", q) + off(p, "y", q) * off(p, "y", q)) <= tolerance * (1 + 1e-9)
+    spots = lambda p: places.select(F.col("cx").alias(f"_{p}cx"), F.col("cy").alias(f"_{p}cy"), "x", "y")
+    here = lambda p: (F.col(f"{p}cx") == F.col(f"_{p}cx")) & (F.col(f"{p}cy") == F.col(f"_{p}cy"))
+    lefts = apart.join(spots("u"), here("u")).where(near("u", "v")).select("uname", "vname", "unode", "vnode", "vcx", "vcy", *[f"u{m}{c}" for c in "xy" for m in ("min", "max")], F.col("x").alias("lx"), F.col("y").alias("ly"))
+    both = lefts.join(spots("v"), here("v")).where(near("v", "u") & (distance(F.col("lx"), F.col("ly"), F.col("x"), F.col("y")) <= tolerance))
+    more = both.select(F.col("unode").alias("u"), F.col("vnode").alias("v")).distinct()
+    last = connected_components(first.select(F.col("component").alias("id")).distinct(), more).withColumnsRenamed({"id": "_first", "component": "node"})
+    named = first.join(last, F.col("component") == F.col("_first")).select(F.col("id").alias("_name"), "node")
+    nodes = cells.select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "name").join(named, F.col("name") == F.col("_name")).select("_cx", "_cy", "node")
+    spots_of = places.select(F.col("place").alias("_place"), F.col("x").alias("node_x"), F.col("y").alias("node_y"))
+    nodes = nodes.join(spots_of, F.col("node") == F.col("_place")).drop("_place")
+    found = known.withColumns({"_x": cell("x"), "_y": cell("y")}).join(nodes, (F.col("_x") == F.col("_cx")) & (F.col("_y") == F.col("_cy")))
     return found.select("id", "node", F.col("node_x").alias("x"), F.col("node_y").alias("y"))
 
 
