@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -126,3 +127,18 @@ def test_snapping_compares_few_of_dense_points(spark):
     found = {r["id"]: (r["node"], r["x"], r["y"]) for r in graph.snap(df, 3.0).collect()}
     assert found == {k: (n, *at[n]) for k, n in node.items()}
     assert "within_distance" not in graph.snap.__code__.co_names  # no join of all points within the tolerance
+
+
+def test_points_in_polygons_of_short_and_long_rings(spark, monkeypatch):
+    rng = random.Random(10)
+    star = lambda x, y, n: [(x + rng.randint(2, 9) * math.cos(k * 2 * math.pi / n), y + rng.randint(2, 9) * math.sin(k * 2 * math.pi / n)) for k in range(n)]
+    points = [(k, rng.uniform(0, 60), rng.uniform(0, 60)) for k in range(400)]
+    for most in (6, 30):
+        rings = {k: (r := star(rng.randint(0, 60), rng.randint(0, 60), rng.choice((3, 4, most)))) + r[:1] for k in range(60)}
+        held = lambda x, y, r: sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(r, r[1:], strict=False)) % 2
+        loops, plain = [], spatial.in_ring
+        monkeypatch.setattr(spatial, "in_ring", lambda *a, loops=loops, plain=plain: (loops.append(1), plain(*a))[1])
+        found = spatial.points_in_polygons(spark.createDataFrame(points, "p long, px double, py double"), spark.createDataFrame([*rings.items(), (99, None)], f"s long, ring {LINE}"), 8.0)
+        assert sorted((r["p"], r["s"]) for r in found.collect()) == sorted((p, s) for p, x, y in points for s, r in rings.items() if held(x, y, r))
+        assert bool(loops) == (most > 16)  # edges of short rings are written out
+        monkeypatch.undo()

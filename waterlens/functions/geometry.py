@@ -34,6 +34,16 @@ def in_ring(x: Column, y: Column, points: Column) -> Column:
     return F.size(crossed) % 2 == 1
 
 
+def in_short_ring(x: Column, y: Column, points: Column, n: int) -> Column:
+    """What `in_ring` says of closed rings of at most `n` points, with every edge written out."""
+    crossed = F.lit(False)
+    for k in range(n - 1):
+        a, b = F.get(points, F.lit(k)), F.get(points, F.lit(k + 1))
+        across = ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"])
+        crossed = crossed != F.coalesce(across, F.lit(False))
+    return crossed
+
+
 def overlap_area(axmin, aymin, axmax, aymax, bxmin, bymin, bxmax, bymax) -> Column:
     """Common area of two axis-aligned boxes."""
     width = F.least(axmax, bxmax) - F.greatest(axmin, bxmin)
