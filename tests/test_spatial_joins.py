@@ -163,3 +163,17 @@ def test_points_in_polygons_of_short_and_long_rings(spark, monkeypatch):
         assert sorted((r["p"], r["s"]) for r in found.collect()) == sorted((p, s) for p, x, y in points for s, r in rings.items() if held(x, y, r))
         assert bool(loops) == (most > 16)  # edges of short rings are written out
         monkeypatch.undo()
+
+
+@pytest.mark.parametrize("other", [False, True])
+def test_largest_overlap_equals_all_pairs(spark, other):
+    rng = random.Random(11)
+    boxes = [(k, x := float(rng.randint(0, 60)), y := float(rng.randint(0, 60)), x + rng.choice((0, 9, 30, 34)), y + rng.choice((2, 28, 30))) for k in range(300)] + [(900, 500.0, 500.0, 510.0, 510.0), (901, 509.0, 480.0, 700.0, 501.0)]
+    expected = {}
+    for i, x0, y0, x1, y1 in boxes:
+        areas = [(-(min(x1, u1) - max(x0, u0)) * (min(y1, v1) - max(y0, v0)), j) for j, u0, v0, u1, v1 in boxes if min(x1, u1) > max(x0, u0) and min(y1, v1) > max(y0, v0) and not (other and i == j)]
+        if areas:
+            expected[i] = (min(areas)[1], -min(areas)[0])
+    side = lambda p: spark.createDataFrame(boxes, f"{p} long, " + ", ".join(f"{p}{c} double" for c in ("xmin", "ymin", "xmax", "ymax")))
+    found = {r["l"]: (r["r"], r["area"]) for r in spatial.largest_overlap(side("l"), side("r"), "l", "r", 16.0, other=other).collect()}
+    assert found == expected

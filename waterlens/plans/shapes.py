@@ -73,8 +73,7 @@ def polygon_join(spark, d):
 def largest_overlap(spark, d):
     boxes = _boxes(spark, d).withColumns({c: F.col(c) + 120 for c in ("xmax", "ymax")})
     side = lambda p, key: boxes.select(F.col("s_suppkey").alias(key), *[F.col(c).alias(p + c) for c in ("xmin", "ymin", "xmax", "ymax")])
-    overlay = spatial.box_overlay(side("l", "left_id"), side("r", "right_id"), 32.0).where("left_id <> right_id")
-    return spatial.largest_overlap(overlay, "left_id", "right_id")
+    return spatial.largest_overlap(side("l", "left_id"), side("r", "right_id"), "left_id", "right_id", 32.0, other=True)
 
 
 def _network(spark, d):
